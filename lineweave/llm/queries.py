@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lineweave.llm import digest, language, mixing, pieces, simhash, tokenfile, toxicity
-from lineweave.llm.common import documents
+from lineweave.llm import digest, language, mixing, pieces, simhash, tokenfile, toxicity, vectors
+from lineweave.llm.common import documents, tune
 
 #: Files of public tokenizers; queries take them from the installed package by name.
 WORD_BPE, PIECE_BPE, END_ID = "word_bpe_49k.json", "piece_bpe_32k.model", 1
@@ -47,12 +47,17 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", F.col("_size").alias("size"), F.col("_source_size").alias("source_size"), F.col("_target").alias("target"), (F.col("_copies") * F.col("_size")).alias("taken"))
 
 
+def op8_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tune(spark)
+    return vectors.near_duplicates(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest.edited_likeness(documents(spark, sf_dir))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_toxicity, op3_simhash, op4_token_files, op5_sentencepiece, op6_language, op7_mixing, op10_fingerprints)}
+    return {f.__name__: f for f in (op2_toxicity, op3_simhash, op4_token_files, op5_sentencepiece, op6_language, op7_mixing, op8_embeddings, op10_fingerprints)}
 
 
 #: Same rows by a sort of each source's documents, where the operator narrows histograms.
