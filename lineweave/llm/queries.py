@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lineweave.llm import digest, language, mixing, pieces, simhash, tokenfile, toxicity, vectors
+from lineweave.llm import digest, language, lines, mixing, pieces, simhash, suffixes, tokenfile, toxicity, vectors
 from lineweave.llm.common import documents, tune
 
 #: Files of public tokenizers; queries take them from the installed package by name.
@@ -20,6 +20,10 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.repeated_passages(documents(spark, sf_dir))
+
+
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     return toxicity.toxicity(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
@@ -52,12 +56,16 @@ def op8_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.near_duplicates(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
 
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.line_report(documents(spark, sf_dir))
+
+
 def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest.edited_likeness(documents(spark, sf_dir))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_toxicity, op3_simhash, op4_token_files, op5_sentencepiece, op6_language, op7_mixing, op8_embeddings, op10_fingerprints)}
+    return {f.__name__: f for f in (op1_suffix_dedup, op2_toxicity, op3_simhash, op4_token_files, op5_sentencepiece, op6_language, op7_mixing, op8_embeddings, op9_line_dedup, op10_fingerprints)}
 
 
 #: Same rows by a sort of each source's documents, where the operator narrows histograms.
