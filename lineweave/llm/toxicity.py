@@ -11,10 +11,10 @@ from lineweave.llm.common import byte_values, cut, mix64, pieces, prefix_hash, s
 from lineweave.llm.ftrl import Ftrl
 
 #: Bits of the feature space, labelled rows that are learned from at most (about: they are chosen by hash), passes over them.
-BITS, SAMPLE, PASSES = 20, 8_000, 4
+BITS, SAMPLE, PASSES = 20, 8_000, 5
 #: Distances between the two words of a feature: 1 is a bigram, more are skip-grams.
 REACH = (1, 2, 3)
-RATE, L1, L2 = 0.2, 0.6, 1.0
+RATE, L1, L2 = 1.0, 6.0, 0.1
 
 # Bytes of a word: small letters after lower-casing, digits, and all beyond ASCII
 _PART = np.zeros(256, bool)
