@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
 
 import pandas as pd
@@ -24,7 +25,7 @@ def only_tags(c: Column | str) -> Column:
 def convert_newlines(c: Column | str, newline: str = "\n", merge: bool = False) -> Column:
     r"""``\h`` becomes a space, ``\N`` and ``\n`` a line end; merge collapses repeated ones."""
     out = F.regexp_replace(F.replace(c, F.lit("\\h"), F.lit(" ")), r"\\[Nn]", newline)
-    return F.regexp_replace(out, f"(?:{newline})+", newline) if merge else out
+    return F.regexp_replace(out, f"(?:{re.escape(newline)})+", newline) if merge else out
 
 
 def strip_html(c: Column | str) -> Column:
@@ -152,6 +153,4 @@ def inline_encode(text: str) -> str:
 
 
 def inline_decode(text: str) -> str:
-    import re
-
     return re.sub("#([0-9A-Fa-f]{2})", lambda m: chr(int(m[1], 16)), text)
