@@ -561,3 +561,12 @@ def test_fingerprints_odd(spark, odd):
     lone = digest.edited_likeness(table(spark, ["a lone document of some words"])).collect()
     assert len(lone) == 1 and lone[0].near_next == 1.0
     assert digest.edited_likeness(table(spark, [])).count() == 0
+
+
+def test_mix_sql(spark):
+    from oracle import connect, differ
+
+    from lineweave.llm import queries
+
+    sf = "/root/testdata/sf0.01"
+    assert differ(spark, connect(sf), queries.op7_mixing, queries.oracle_sql()["op7_mixing"], sf) == ""
