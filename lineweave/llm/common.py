@@ -157,7 +157,7 @@ _powers: dict[str, np.ndarray] = {}
 def powers(n: int, inverse: bool = False) -> np.ndarray:
     """1, r, r^2 ... modulo 2^64, or the same of 1/r."""
     key = "inverse" if inverse else "radix"
-    if len(_powers.get(key, ())) < n:
+    if key not in _powers or len(_powers[key]) < n:
         size = max(n, PIECE_BYTES + 1)
         x = np.full(size, _INVERSE if inverse else _RADIX, _U)
         x[0] = 1
