@@ -56,9 +56,10 @@ def srt(lines: DataFrame) -> DataFrame:
     return gathered(prepared(lines), line)
 
 
-def microdvd(lines: DataFrame, num: int = 24000, den: int = 1001) -> DataFrame:
+def microdvd(lines: DataFrame, num: int = 24000, den: int = 1001, with_rate: bool = False) -> DataFrame:
+    """with_rate: a first line {1}{1} names the frames per second."""
     line = F.concat(F.lit("{"), frame_at("start_ms", num, den, "start").cast("string"), F.lit("}{"), frame_at("end_ms", num, den, "end").cast("string"), F.lit("}"), strip_tags(convert_newlines("text", "|", merge=False)))
-    return gathered(prepared(lines), line)
+    return gathered(prepared(lines), line, f"{{1}}{{1}}{num / den:.6f}\n" if with_rate else "")
 
 
 def plain(lines: DataFrame) -> DataFrame:
@@ -70,10 +71,32 @@ def plain(lines: DataFrame) -> DataFrame:
 
 def encore(lines: DataFrame, rate: int = 30, drop: bool = False) -> DataFrame:
     code = lambda c, mode: smpte(frame_at(c, rate, 1, mode), rate, drop)
-    line = F.concat_ws(" ", (F.col("row_no") + 1).cast("string"), code("start_ms", "start"), code("end_ms", "end"), strip_tags(convert_newlines("text")))
+    line = F.concat_ws(" ", (F.col("row_no") + 1).cast("string"), code("start_ms", "start"), code("end_ms", "end"), strip_tags(convert_newlines("text", "\r\n")))
     return gathered(prepared(lines), line)
 
 
+#: Fixed text: first lines of timecode and keyframe files
+TIMECODE_HEAD = "# timecode format v2\n"
+KEYFRAME_HEAD = "# keyframe format v1\nfps 0\n"
+
+
+def timecodes(codes: DataFrame, length: int | None = None) -> DataFrame:
+    """codes: (file_id, frame, ms). Files with fewer frames than length go on at their mean rate; a file of one time ends there."""
+    rows = codes.select("file_id", "frame", "ms")
+    if length is not None:
+        ends = rows.groupBy("file_id").agg(F.count("*").alias("n"), F.min("ms").alias("a"), F.max("ms").alias("b"), F.max("frame").alias("last"))
+        ends = ends.where((F.col("n") > 1) & (F.col("last") < length - 1)).withColumn("f", F.explode(F.sequence(F.col("last") + 1, F.lit(length - 1))))
+        ms = F.round(F.col("b") + (F.col("f") - F.col("last")) * (F.col("b") - F.col("a")) / (F.col("n") - 1)).cast("int")
+        rows = rows.unionByName(ends.select("file_id", F.col("f").cast("int").alias("frame"), ms.alias("ms")))
+    return gathered(rows.withColumnRenamed("frame", "row_no"), F.col("ms").cast("string"), TIMECODE_HEAD)
+
+
+def keyframes(frames: DataFrame) -> DataFrame:
+    """frames: (file_id, frame); each frame is written once, in order."""
+    rows = frames.select("file_id", F.col("frame").alias("row_no")).distinct()
+    return gathered(rows, F.col("row_no").cast("string"), KEYFRAME_HEAD)
+
+
 def can_save_plain(lines: DataFrame) -> DataFrame:
     """Whether a format without styles and markup keeps all of each file."""
     return lines.groupBy("file_id").agg(F.bool_and((F.col("style") == "Default") & ~F.col("text").rlike(r"\{[^}]*\}")).alias("can_save"))
