@@ -157,3 +157,46 @@ def spectrum(block: Column | str) -> Column:
         return s.map(lambda x: None if x is None else np.log10(1 + np.abs(np.fft.rfft(np.asarray(x, float)))[: max(1, len(x) // 2)]).tolist())
 
     return run(block)
+
+
+def upsert_samples(samples: DataFrame, new: DataFrame) -> DataFrame:
+    """Samples (track_id, segment, frame, ...) of both tables; where both have a frame of a segment, the new one."""
+    keys = ["track_id", "segment", "frame"]
+    return samples.join(new.select(keys), keys, "left_anti").select(samples.columns).unionByName(new.select(samples.columns))
+
+
+def owned(samples: DataFrame, segments: DataFrame) -> DataFrame:
+    """Samples within the bounds of their enabled segment (track_id, segment, first_frame, last_frame, enabled)."""
+    s = segments.where("enabled").select("track_id", "segment", "first_frame", "last_frame")
+    return samples.join(s, ["track_id", "segment"]).where("frame between first_frame and last_frame").select(samples.columns)
+
+
+def row_signature(luma: Column | str, width: Column | str, height: Column | str, across: int = 16, down: int = 8, deviation: int = 40) -> Column:
+    """For each cell of a grid over an image, the share (0..255) of pixels that are so far off the median luminance. Images
+    without pixels, or with a size that doesn't fit, give zeros."""
+
+    def one(pixels, w: int, h: int) -> list[int]:
+        if pixels is None or not len(pixels) or len(pixels) != w * h:
+            return [0] * (across * down)
+        p = np.asarray(pixels, np.int64)
+        far = (np.abs(p - np.sort(p)[len(p) // 2]) >= deviation).reshape(h, w)
+        ys, xs = [k * h // down for k in range(down + 1)], [k * w // across for k in range(across + 1)]
+        cells = [far[a:b, c:d] for a, b in zip(ys, ys[1:]) for c, d in zip(xs, xs[1:])]
+        return [int(x.sum()) * 255 // x.size if x.size else 0 for x in cells]
+
+    @F.pandas_udf("array<int>")
+    def run(p: pd.Series, w: pd.Series, h: pd.Series) -> pd.Series:
+        return pd.Series([one(*x) for x in zip(p, w, h)])
+
+    return run(luma, width, height)
+
+
+def signature_distance(a: Column | str, b: Column | str) -> Column:
+    """Mean difference of two signatures, 0 to 1; 1 if they are empty or differ in length."""
+    return F.when((F.size(a) > 0) & (F.size(a) == F.size(b)), mean_abs_diff(a, b) / 255).otherwise(1.0)
+
+
+def near_center(left: Column, right: Column, width: Column, band: float) -> Column:
+    """Whether a box's middle lies in the band (in percent of the width) around the middle; all do from 100 on."""
+    middle = F.floor((left + right) / 2)
+    return F.lit(band >= 100) | (width <= 0) | (F.abs(middle - width / 2) <= band / 200 * width)

@@ -80,3 +80,35 @@ def split_lines(lines: DataFrame) -> DataFrame:
     rows = syllables(lines)
     n = F.count("*").over(Window.partitionBy("file_id", "id"))
     return rows.withColumn("_n", n).where("_n > 1").select("file_id", "id", "idx", F.col("syl_start_ms").alias("start_ms"), (F.col("syl_start_ms") + F.col("duration_ms")).alias("end_ms"), "text")
+
+
+def merge_with_previous(rows: DataFrame, at: int) -> DataFrame:
+    """Each line's syllable `at` joins the one before; the first stays."""
+    if at < 1:
+        return rows
+    place = F.when(F.col("idx") >= at, F.col("idx") - 1).otherwise(F.col("idx"))
+    parts = F.sort_array(F.collect_list(F.struct("idx", "text", "tag", "tags")))
+    out = rows.withColumn("_p", place).groupBy("file_id", "id", "start_ms", "end_ms", F.col("_p").alias("new_idx")).agg(parts.alias("p"), F.sum("duration_ms").cast("int").alias("duration_ms"))
+    join = lambda f: F.array_join(F.transform("p", lambda x: x[f]), "")
+    return timed(out.select("file_id", "id", "start_ms", "end_ms", F.col("new_idx").alias("idx"), F.col("p")[0]["tag"].alias("tag"), "duration_ms", join("text").alias("text"), join("tags").alias("tags")))
+
+
+def clear_timing(rows: DataFrame) -> DataFrame:
+    return rows.withColumns({"duration_ms": F.lit(0), "syl_start_ms": F.col("start_ms")})
+
+
+def set_boundaries(rows: DataFrame, ends: Column) -> DataFrame:
+    """Syllables that end at the given times, kept in order and within the line; where one is null, at the line's end."""
+    w = Window.partitionBy("file_id", "id").orderBy("idx")
+    end = F.greatest(F.col("start_ms"), F.max(F.least(F.coalesce(ends, "end_ms"), "end_ms")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    out = rows.withColumn("_e", end)
+    begin = F.coalesce(F.lag("_e").over(w), "start_ms")
+    return out.withColumn("syl_start_ms", begin.cast("int")).withColumn("duration_ms", (F.col("_e") - F.col("syl_start_ms")).cast("int")).drop("_e")
+
+
+def auto_lead_in(lines: DataFrame) -> DataFrame:
+    """Lines begin where the one before ends, the gap a timed syllable without text in front. Lines that touch or overlap stay."""
+    before = F.lag("end_ms").over(Window.partitionBy("file_id").orderBy("row_no"))
+    rows = lines.withColumn("_gap", F.col("start_ms") - before)
+    text = F.concat(F.lit("{\\k"), F.floor(F.col("_gap") / 10).cast("string"), F.lit("}"), "text")
+    return rows.withColumns({"start_ms": F.when(F.col("_gap") > 0, F.col("start_ms") - F.col("_gap")).otherwise(F.col("start_ms")), "text": F.when(F.col("_gap") > 0, text).otherwise(F.col("text"))}).drop("_gap")

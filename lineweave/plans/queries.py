@@ -7,12 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lineweave.functions import markup as B
 from lineweave.functions import text as X
 from lineweave.functions import times as T
 from lineweave.operators import evidence as V
+from lineweave.operators import history as H
 from lineweave.operators import karaoke as K
 from lineweave.operators import lines as L
 from lineweave.operators import matching as M
+from lineweave.operators import styles as S
 from lineweave.operators import timing as G
 from lineweave.operators import windows as W
 from lineweave.plans import tables as D
@@ -232,3 +235,62 @@ def strip_html(spark, d):
 def font_usage(spark, d):
     chars = D.lines(spark, d).select(F.col("style").alias("face"), "id", F.explode(F.split("text", "")).alias("c")).where("c <> ''")
     return chars.groupBy("face").agg(F.count_distinct("c").alias("chars"), F.count_distinct("id").alias("lines"))
+
+
+# markup
+over_lines("tag_parameters", lambda d: d.select("id", F.array_join(B.parameters(F.concat(F.lit("( 1,(a,b) , "), F.col("layer").cast("string"), F.lit(")rest"))), "|").alias("parts"), B.write_tag(F.lit("\\pos"), F.array(F.lit("1"), F.col("layer").cast("string"))).alias("tag")), r"SELECT id, '1|(a,b)|' || layer || '|rest' AS parts, '\pos(1,' || layer || ')' AS tag FROM lines")
+over_lines("tag_values", lambda d: d.select("id", B.alpha_value(F.concat(F.lit("&H"), F.hex(F.col("row_no") * 40), F.lit("&"))).alias("alpha"), B.whole_value(F.concat(F.lit(" -"), F.col("row_no").cast("string"), F.lit("px"))).alias("whole"), B.number_text(F.col("start_ms") / 1000 + F.col("layer") / 8).alias("number")), "SELECT id, least(row_no * 40, 255)::INT AS alpha, -row_no AS whole, rtrim(rtrim(printf('%.3f', start_ms / 1000.0 + layer / 8.0), '0'), '.') AS number FROM lines")
+over_lines("toggle_tag", lambda d: d.select("id", B.toggle_tag(F.concat(F.lit("{\\b1\\i1}"), "text"), "b").alias("off"), B.toggle_tag("text", "b").alias("on"), B.remove_tag(F.concat(F.lit("{\\bord2\\b1}"), "text"), "b").alias("without")), r"SELECT id, '{\i1\b0}' || text AS off, '{\b1}' || text AS on, '{\bord2}' || text AS without FROM lines")
+over_lines("clean_tags", lambda d: d.select("id", B.clean_tags(F.concat(F.lit("{\\i1}{\\k20}{\\pos(1, 2)}"), "text", F.lit("{ }"))).alias("text")), r"SELECT id, '{\pos(1,2)\k20\i1}' || text AS text FROM lines")
+over_lines("translate_blocks", lambda d: d.select("id", B.translate_blocks(F.concat(F.lit("ab{\\i1}"), "text"), F.create_map(F.lit(0), F.lit("x"))).alias("text")), r"SELECT id, 'x{\i1}' || text AS text FROM lines")
+_SIGNS = "".join(map(chr, range(0x21, 0x7F)))
+_WIDE = "".join({'"': "”", "'": "’", "`": "‘"}.get(x, chr(ord(x) + 0xFEE0)) for x in _SIGNS)
+over_lines("fullwidth", lambda d: d.select("id", B.edge_blur(B.fullwidth("text")).alias("text")), r"SELECT id, '{\be1}' || translate(text, '" + _SIGNS.replace("'", "''") + "', '" + _WIDE + "') AS text FROM lines")
+over_lines("wrap_lines", lambda d: d.select("id", B.wrap_points(F.transform(B.word_list("text"), F.length), 30).alias("breaks")), None)
+over_lines("misspelled", lambda d: S.misspelled(d, d.where("layer = 0 and row_no < 3").select(F.explode(B.word_list("text")).alias("word")).select(F.lower("word").alias("word"))), "SELECT file_id, id, pos, word FROM w WHERE NOT comment AND (upper(word) <> word OR lower(word) = word) AND lower(word) NOT IN (SELECT lower(word) FROM w WHERE layer = 0 AND row_no < 3)", r"w AS (SELECT file_id, id, comment, layer, row_no, (p - 1)::INT AS pos, l[p] AS word FROM (SELECT *, generate_subscripts(l, 1) AS p FROM (SELECT *, regexp_extract_all(text, '[\p{L}\p{M}\p{N}]+(?:[''’][\p{L}\p{M}]+)*') AS l FROM lines)))")
+
+# styles and versions
+_FACES = "s AS (SELECT DISTINCT file_id, style AS name, style AS face FROM lines)"
+over_lines("font_usage_tags", lambda d: S.font_usage(d.withColumn("text", F.when(F.col("layer") == 1, F.concat(F.lit("ab{\\fnX\\b1}"), "text")).otherwise(F.col("text"))), d.select("file_id", F.col("style").alias("name"), F.col("style").alias("face"), F.lit(False).alias("bold"), F.lit(False).alias("italic")).distinct()), "SELECT face, bold, false AS italic, count(DISTINCT c) AS chars, count(DISTINCT CASE WHEN bold THEN id END) AS lines FROM (SELECT id, CASE WHEN layer = 1 THEN 'X' ELSE style END AS face, layer = 1 AS bold, unnest(string_split(text, '')) AS c FROM lines WHERE NOT comment UNION ALL SELECT id, style, false, unnest(['a', 'b']) FROM lines WHERE NOT comment AND layer = 1) WHERE c <> '' GROUP BY ALL")
+over_lines("assign_style", lambda d: S.assign(d, d.where("layer = 1").select("file_id", "id", F.lit("New").alias("style"))).select("id", "style"), "SELECT id, CASE WHEN layer = 1 THEN 'New' ELSE style END AS style FROM lines")
+over_lines("undo_version", lambda d: H.at_version(d.withColumns({"version": F.lit(1), "deleted": F.lit(False)}).unionByName(d.where("layer = 1").withColumns({"text": F.lit("x"), "version": F.lit(2), "deleted": F.col("row_no") % 2 == 0})).unionByName(d.withColumns({"version": F.lit(3), "deleted": F.lit(True)})), 2).select("id", "text"), "SELECT id, CASE WHEN layer = 1 THEN 'x' ELSE text END AS text FROM lines WHERE NOT (layer = 1 AND row_no % 2 = 0)")
+over_lines("check_folds", lambda d: H.check_folds(d.select("file_id", "row_no", (F.col("row_no") % 3 == 2).alias("closing"), (F.col("row_no") % 2).cast("int").alias("fold_id"), F.lit(False).alias("collapsed"))), None)
+
+
+@query("SELECT file_id, (CASE ord WHEN 0 THEN 2 ELSE ord - 1 END)::INT AS ord, name FROM styles", D.STYLES)
+def move_styles_up(spark, d):
+    return S.order_styles(D.styles(spark, d), 1, 2, "top").select("file_id", "ord", "name")
+
+
+@query("SELECT file_id, ord, name FROM styles UNION ALL SELECT file_id, 3, 'TOP - Copy' FROM styles WHERE name = 'TOP'", D.STYLES)
+def copy_style(spark, d):
+    return S.copy_styles(D.styles(spark, d), F.col("name") == "TOP").select("file_id", "ord", "name")
+
+
+@query("SELECT file_id, ord, name, CASE name WHEN 'TOP' THEN 99.0 ELSE fontsize END AS fontsize FROM styles", D.STYLES)
+def import_styles(spark, d):
+    s = D.styles(spark, d)
+    return S.import_styles(s, s.where("name = 'TOP'").withColumn("fontsize", F.lit(99.0)))
+
+
+# karaoke edits
+over_lines("merge_syllables", lambda d: K.merge_with_previous(K.syllables(d.withColumn("text", F.lit("{\\k20}a{\\kf30}b{\\k10}c"))), 1).select("id", "idx", "tag", "text", "duration_ms", "syl_start_ms"), "SELECT id, i AS idx, 'k' AS tag, t AS text, u AS duration_ms, start_ms + a AS syl_start_ms FROM lines, (VALUES (0, 'ab', 500, 0), (1, 'c', 100, 500)) AS v(i, t, u, a)")
+over_lines("set_syllable_ends", lambda d: K.set_boundaries(K.syllables(d.withColumn("text", F.lit("{\\k20}a{\\kf30}b{\\k10}c"))), F.when(F.col("idx") == 0, F.col("start_ms") + 300).when(F.col("idx") == 1, F.col("start_ms") + 100)).select("id", "idx", "syl_start_ms", "duration_ms"), "SELECT id, i AS idx, start_ms + a AS syl_start_ms, CASE i WHEN 0 THEN 300 WHEN 1 THEN 0 ELSE end_ms - start_ms - 300 END AS duration_ms FROM lines, (VALUES (0, 0), (1, 300), (2, 300)) AS v(i, a)")
+over_lines("auto_lead_in", lambda d: K.auto_lead_in(d).select("id", "start_ms", "text"), r"SELECT id, CASE WHEN start_ms > p THEN p ELSE start_ms END AS start_ms, CASE WHEN start_ms > p THEN '{\k' || ((start_ms - p) // 10) || '}' || text ELSE text END AS text FROM (SELECT *, lag(end_ms) OVER (PARTITION BY file_id ORDER BY row_no) AS p FROM lines)")
+
+
+# samples and signatures
+_SAMPLES = "s AS (SELECT scan_id AS track_id, frame % 3 AS segment, frame, value FROM frames)"
+
+
+@query("SELECT track_id, segment, frame, CASE WHEN frame % 5 = 0 THEN -1.0 ELSE value END AS value FROM s WHERE segment > 0 AND frame BETWEEN 2 AND 30", D.FRAMES, _SAMPLES)
+def upsert_and_trim_samples(spark, d):
+    s = D.frames(spark, d).select(F.col("scan_id").alias("track_id"), (F.col("frame") % 3).alias("segment"), "frame", "value")
+    segments = s.select("track_id", "segment").distinct().withColumns({"first_frame": F.lit(2), "last_frame": F.lit(30), "enabled": F.col("segment") > 0})
+    return V.owned(V.upsert_samples(s, s.where("frame % 5 = 0").withColumn("value", F.lit(-1.0))), segments)
+
+
+@query()
+def row_signatures(spark, d):
+    e = D.read(spark, d, "embeddings").select("vec_id", F.transform("embedding", lambda x: F.floor((x + 1) * 127).cast("int")).alias("p"))
+    return e.select("vec_id", V.row_signature("p", F.lit(8), F.lit(8), 4, 2).alias("signature"))
