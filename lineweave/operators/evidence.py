@@ -200,3 +200,24 @@ def near_center(left: Column, right: Column, width: Column, band: float) -> Colu
     """Whether a box's middle lies in the band (in percent of the width) around the middle; all do from 100 on."""
     middle = F.floor((left + right) / 2)
     return F.lit(band >= 100) | (width <= 0) | (F.abs(middle - width / 2) <= band / 200 * width)
+
+
+def snap_boundary(frames: DataFrame, leave: float, earliest: bool = True) -> DataFrame:
+    """(scan_id, frame): first (or last) frame of each scan whose coverage is at least `leave` and that a box confirms; null
+    where no frame is so."""
+    hit = F.when((F.col("coverage") >= leave) & F.col("ocr_box"), F.col("frame"))
+    return frames.groupBy("scan_id").agg((F.min(hit) if earliest else F.max(hit)).alias("frame"))
+
+
+def ambiguous(frames: DataFrame, bounds: DataFrame, leave: float, start: bool = True) -> DataFrame:
+    """bounds (scan_id, frame) with `ambiguous`: the boundary has no evidence, or one of the two frames beyond it is missing
+    while evidence goes on, or covered."""
+    side = -1 if start else 1
+    outer = F.lead if side > 0 else F.lag
+    w = scan_window()
+    bad = F.lit(False)
+    for k in (1, 2):
+        f = outer("frame", k).over(w)
+        bad = bad | (f.isNotNull() & ((f != F.col("frame") + side * k) | (outer("coverage", k).over(w) >= leave)))
+    seen = frames.withColumn("_bad", bad).select("scan_id", "frame", "_bad")
+    return bounds.join(seen, ["scan_id", "frame"], "left").withColumn("ambiguous", F.coalesce("_bad", F.lit(True))).drop("_bad")

@@ -15,6 +15,7 @@ from lineweave.operators import history as H
 from lineweave.operators import karaoke as K
 from lineweave.operators import lines as L
 from lineweave.operators import matching as M
+from lineweave.operators import resample as Z
 from lineweave.operators import styles as S
 from lineweave.operators import timing as G
 from lineweave.operators import windows as W
@@ -294,3 +295,18 @@ def upsert_and_trim_samples(spark, d):
 def row_signatures(spark, d):
     e = D.read(spark, d, "embeddings").select("vec_id", F.transform("embedding", lambda x: F.floor((x + 1) * 127).cast("int")).alias("p"))
     return e.select("vec_id", V.row_signature("p", F.lit(8), F.lit(8), 4, 2).alias("signature"))
+
+
+over_lines("resample_tags", lambda d: Z.resample_lines(d.withColumn("text", F.concat(F.lit("{\\pos(10,20)\\fs"), (F.col("layer") + 10).cast("string"), F.lit("\\fscx100}"), "text")), Z.scale((640, 480), (1280, 720))).select("id", "text"), r"SELECT id, '{\pos(20,30)\fs' || rtrim(rtrim(printf('%.3f', (layer + 10) * 1.5), '0'), '.') || '\fscx133.333}' || text AS text FROM lines")
+over_lines("auto_split", lambda d: K.auto_split(K.syllables(d.withColumn("text", F.lit("{\\k50}ab cd e")))).select("id", "idx", "text", "duration_ms", "syl_start_ms"), "SELECT id, i AS idx, t AS text, u AS duration_ms, start_ms + a AS syl_start_ms FROM lines, (VALUES (0, 'ab ', 210, 0), (1, 'cd ', 220, 210), (2, 'e', 70, 430)) AS v(i, t, u, a)")
+
+
+@query("SELECT scan_id, min(CASE WHEN coverage >= 0.4 AND ocr_box THEN frame END) AS frame FROM frames GROUP BY scan_id", D.FRAMES)
+def snap_boundary(spark, d):
+    return V.snap_boundary(D.frames(spark, d), 0.4)
+
+
+@query("SELECT scan_id, frame, coalesce(a >= 0.4, false) OR coalesce(b >= 0.4, false) AS ambiguous FROM (SELECT *, lag(coverage) OVER w AS a, lag(coverage, 2) OVER w AS b FROM frames WINDOW w AS (PARTITION BY scan_id ORDER BY frame)) WHERE frame % 4 = 1", D.FRAMES)
+def ambiguous_bounds(spark, d):
+    f = D.frames(spark, d)
+    return V.ambiguous(f, f.where("frame % 4 = 1").select("scan_id", "frame"), 0.4)

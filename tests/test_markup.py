@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lineweave.functions import markup as B
 from lineweave.operators import evidence as V
 from lineweave.operators import history as H
+from lineweave.operators import resample as Z
 from lineweave.operators import styles as S
 
 
@@ -93,3 +94,22 @@ def test_row_signature(spark):
     assert one(spark, V.row_signature(c, F.lit(7), F.lit(10), 3, 2)) == want
     assert one(spark, V.row_signature(F.lit(None).cast("array<int>"), F.lit(1), F.lit(1), 2, 1)) == [0, 0]
     assert one(spark, V.signature_distance(F.array(F.lit(0), F.lit(255)), F.array(F.lit(255), F.lit(255)))) == 0.5
+
+
+def test_resampling(spark):
+    s = Z.scale((640, 480), (1280, 720), "add_border")
+    assert (s.left, s.right, s.top, s.x, s.y) == (106, 106, 0, 1280 / 852, 1.5)
+    assert Z.scale((848, 480), (1280, 720)).stretch == 1.0
+    two = Z.Scale(2.0, 1.5)
+    text = "{\\clip(1,2,3,4)\\t(0,5,\\bord2)\\p1}m 1 1 x l 3.1 2{\\p0}a 1 2{\\clip(m 1 1)\\fs+2\\move(1,1,2,2,5,6)}"
+    assert one(spark, Z.resample_text(F.lit(text), two)) == "{\\clip(2,3,6,6)\\t(0,5,\\bord3)\\p1}m 2 1.5 l 6.25 3{\\p0}a 1 2{\\clip(m 2 1.5)\\fs+2\\move(2,1.5,4,3,5,6)}"
+    rows = spark.createDataFrame([(True, "template", "{\\fs2}", 4), (False, "", "{\\fs2}", 0)], "comment boolean, effect string, text string, margin_v int")
+    assert [(r.text, r.margin_v) for r in Z.resample_lines(rows, two).collect()] == [("{\\fs2}", 4), ("{\\fs3}", 0)]
+    styles = spark.createDataFrame([(21.0, 1.0, 100.0, 3)], "fontsize double, outline_w double, scalex double, margin_l int")
+    assert tuple(Z.resample_styles(styles, two).first()) == (32.0, 1.5, 100.0, 6)
+
+
+def test_ambiguous_bounds(spark):
+    f = spark.createDataFrame([(1, 3, 0.0), (1, 5, 0.0), (1, 6, 0.9), (1, 7, 0.9)], "scan_id int, frame int, coverage double")
+    b = spark.createDataFrame([(1, 6), (1, 3), (1, 4)], "scan_id int, frame int")
+    assert {r.frame: r.ambiguous for r in V.ambiguous(f, b, 0.5).collect()} == {6: True, 3: False, 4: True}
