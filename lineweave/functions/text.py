@@ -123,6 +123,16 @@ def rgb_to_hsv(r: Column, g: Column, b: Column) -> Column:
     return F.struct(hue.alias("h"), F.when(top == 0, 0.0).otherwise(d / top).alias("s"), (top / 255).alias("v"))
 
 
+def hsv_to_rgb(h: Column, s: Column, v: Column) -> Column:
+    """Channels 0..255 of a hue in degrees (any turn), saturation and value in 0..1."""
+
+    def channel(n: int) -> Column:
+        k = F.pmod(n + h / 60.0, F.lit(6.0))
+        return F.round(255 * (v - v * s * F.greatest(F.lit(0.0), F.least(k, 4 - k, F.lit(1.0))))).cast("int")
+
+    return F.struct(channel(5).alias("r"), channel(3).alias("g"), channel(1).alias("b"))
+
+
 # ---------------------------------------------------------------- small codecs
 
 

@@ -328,3 +328,29 @@ def resolution(width: Column, height: Column) -> Column:
     rw = F.when((w == 0) & (h == 0), 384).when((w == 0) & (h == 1024), 1280).when(w == 0, F.floor(h * 4 / 3)).otherwise(w)
     rh = F.when((w == 0) & (h == 0), 288).when((h == 0) & (w == 1280), 1024).when(h == 0, F.floor(w * 3 / 4)).otherwise(h)
     return F.struct(rw.cast("int").alias("width"), rh.cast("int").alias("height"))
+
+
+# ---------------------------------------------------------------- a script's rows as one table
+
+
+def script_rows(info: DataFrame, styles: DataFrame, lines: DataFrame) -> DataFrame:
+    """One table of a script's rows, told apart by `class` (info, style, dialogue); columns that a class lacks are null."""
+    parts = [d.withColumn("class", F.lit(c)) for c, d in (("info", info), ("style", styles), ("dialogue", lines))]
+    return parts[0].unionByName(parts[1], allowMissingColumns=True).unionByName(parts[2], allowMissingColumns=True)
+
+
+def rows_of_class(rows: DataFrame, name: str, columns: list[str]) -> DataFrame:
+    return rows.where(F.col("class") == name).select(columns)
+
+
+def delete_range(lines: DataFrame, first: int, last: int) -> DataFrame:
+    """Lines without those from place first to last of each file, both included."""
+    return renumber(lines.where(~F.col("row_no").between(first, last)), F.col("row_no"))
+
+
+def insert_lines(lines: DataFrame, new: DataFrame, at: int | None = None) -> DataFrame:
+    """New lines, in their own order, before the line at a place of their file; without one, or beyond the end, after all."""
+    old = lines.withColumn("_at", F.struct(F.col("row_no").alias("a"), F.lit(1).alias("b"), F.lit(0).alias("c")))
+    place = F.lit((1 << 31) - 1 if at is None else at)
+    added = new.select(lines.columns).withColumn("_at", F.struct(place.alias("a"), F.lit(0).alias("b"), F.col("row_no").alias("c")))
+    return renumber(old.unionByName(added), F.col("_at")).drop("_at")

@@ -310,3 +310,15 @@ def snap_boundary(spark, d):
 def ambiguous_bounds(spark, d):
     f = D.frames(spark, d)
     return V.ambiguous(f, f.where("frame % 4 = 1").select("scan_id", "frame"), 0.4)
+
+
+over_lines("delete_range", lambda d: L.delete_range(d, 1, 2).select("id", "row_no"), "SELECT id, (row_number() OVER (PARTITION BY file_id ORDER BY row_no) - 1)::INT AS row_no FROM lines WHERE row_no NOT BETWEEN 1 AND 2")
+over_lines("insert_lines", lambda d: L.insert_lines(d, d.where("layer = 1").withColumn("id", -F.col("id")), 1).select("id", "row_no"), "SELECT id, (row_number() OVER (PARTITION BY file_id ORDER BY a, b, c) - 1)::INT AS row_no FROM (SELECT file_id, id, row_no AS a, 1 AS b, 0 AS c FROM lines UNION ALL SELECT file_id, -id, 1, 0, row_no FROM lines WHERE layer = 1)")
+over_lines("hsv_round_trip", lambda d: d.select("id", X.rgb_to_hsv(F.col("row_no") * 20 % 256, F.col("layer") * 100, F.lit(7)).alias("x")).select("id", X.hsv_to_rgb(F.col("x.h"), F.col("x.s"), F.col("x.v")).alias("y")).select("id", "y.r", "y.g", "y.b"), "SELECT id, (row_no * 20 % 256)::INT AS r, layer * 100 AS g, 7 AS b FROM lines")
+
+
+@query("SELECT class, count(*) AS n FROM (SELECT 'style' AS class FROM styles UNION ALL SELECT 'dialogue' FROM lines UNION ALL SELECT 'info' FROM (SELECT DISTINCT file_id FROM lines)) GROUP BY class", D.LINES, D.STYLES)
+def script_classes(spark, d):
+    lines = D.lines(spark, d)
+    info = lines.select("file_id").distinct().select("file_id", F.lit("PlayResX").alias("key"), F.lit("640").alias("value"))
+    return L.script_rows(info, D.styles(spark, d), lines).groupBy("class").agg(F.count("*").alias("n"))
