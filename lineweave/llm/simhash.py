@@ -8,9 +8,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lineweave.llm.common import _SPACE, cut, drop, partitions, pieces, spread, utf8, words
+from lineweave.llm.common import _SPACE, cut, drop, mix64, partitions, pieces, spread, utf8, words
 from lineweave.llm.components import components
 
+#: Share of shingles at which two texts are near copies; hash bands that propose pairs and minima of a band: a pair at 0.8 shares
+#: no band with a chance of (1 - 0.8^4)^20, 3 in 100,000.
+ALIKE, BANDS, BAND = 0.8, 20, 4
+#: Fingerprint bits in which such a pair may differ to be compared (10 are expected at 0.8, with a deviation of 3), and sets of a tile.
+WIDE, TILE = 22, 256
 #: Pairs of trie nodes that one step of the traversal holds.
 FRONTIER = 400_000
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -184,7 +189,126 @@ def near_duplicates(docs: DataFrame, width: int = 4, budget: int = 4, seed: int
     return fps.join(label, "fp", "left").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def shingle_sets(docs: DataFrame, width: int, seed: int, whole: bool) -> DataFrame:
+    """(doc_id, mark, size, fp) of each row: a hash of its set of shingles, their number and the fingerprint; with `bands`, hashes
+    of BAND minima each, or if whole with the sorted `shingles` themselves."""
+    odd = mix64(np.arange(1, BANDS * BAND + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
+
+    def run(batches):
+        for b in batches:
+            data, off = utf8(b.column("text"))
+            for i, j in pieces(off):
+                h, begin = shingle_hashes(data[off[i] : off[j]], off[i : j + 1] - off[i], width, seed)
+                fp = majority(h, begin)
+                sets = [np.unique(h[x:y]) for x, y in zip(begin[:-1].tolist(), begin[1:].tolist())]
+                marks = [xxhash.xxh3_128_digest(x.tobytes()) for x in sets]
+                cols = [b.column("doc_id").slice(i, j - i), pa.array(marks, pa.binary()), pa.array([len(x) for x in sets], pa.int32()), pa.array(fp.view(np.int64))]
+                if whole:
+                    cols.append(pa.array([x.tobytes() for x in sets], pa.binary()))
+                else:
+                    low = np.zeros((BANDS * BAND, j - i), np.uint64)
+                    full = np.flatnonzero(np.diff(begin))
+                    if len(full):
+                        for k, m in enumerate(odd):
+                            low[k, full] = np.minimum.reduceat((h ^ (h >> np.uint64(31))) * m, begin[:-1][full])
+                    value = np.zeros((BANDS, j - i), np.uint64)
+                    for k in range(BAND):
+                        value = mix64(value ^ low[k::BAND])
+                    value = mix64(value + np.arange(BANDS, dtype=np.uint64)[:, None])
+                    cols.append(pa.ListArray.from_arrays(np.arange(0, BANDS * (j - i) + 1, BANDS, dtype=np.int32), pa.array(np.ascontiguousarray(value.T).view(np.int64).ravel())))
+                yield pa.RecordBatch.from_arrays(cols, ["doc_id", "mark", "size", "fp", "shingles" if whole else "bands"])
+
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, mark binary, size int, fp long, " + ("shingles binary" if whole else "bands array<long>"))
+
+
+def paired(rows: DataFrame, keys: list[str], most: int, node: str = "node") -> DataFrame:
+    """rows with columns own, p and q: groups of more than `most` rows are dealt out as pairs of parts, in one of which any two
+    of a group's rows meet."""
+    hot = rows.groupBy(*keys).count().where(F.col("count") > most).withColumn("parts", F.ceil(F.col("count") / most).cast("int")).drop("count")
+    rows = rows.join(hot, keys, "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    rows = rows.withColumn("own", F.pmod(F.xxhash64(node), F.col("parts")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    return rows.withColumn("p", F.least("own", "other")).withColumn("q", F.greatest("own", "other")).drop("parts", "other")
+
+
+def maybe_alike(fp: np.ndarray, size: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs i < j whose sizes allow a Jaccard similarity of `least` and whose fingerprints are near, nearest first."""
+    far = np.bitwise_count(fp[:, None] ^ fp[None, :])
+    low, high = np.minimum(size[:, None], size[None, :]), np.maximum(size[:, None], size[None, :])
+    i, j = np.nonzero(np.triu((far <= WIDE) & (low / high >= least), 1))
+    order = np.argsort(far[i, j], kind="stable")
+    return i[order], j[order]
+
+
+def alike_links(docs: DataFrame, nodes: DataFrame, width: int, seed: int, least: float) -> DataFrame:
+    """Links (u, v) that join the same nodes as all pairs of shingle sets with a Jaccard similarity of `least` do.
+
+    nodes: (mark, node, size, fp, bands), one row for each distinct set. Bands propose groups; within what their possible pairs
+    connect, each pair of sets is compared exactly, unless links join it already. Bands and groups that many sets share are
+    dealt out as pairs of parts, and a task gives trees, so no table grows with the square of a group.
+    """
+
+    def propose(t, at):
+        node, fp, size = t["node"].to_numpy(), t["fp"].to_numpy().view(np.uint64), t["size"].to_numpy()
+        us, vs = [], []
+        for a, b in zip(at[:-1].tolist(), at[1:].tolist()):
+            if b - a > 1:
+                root = forest(b - a, *maybe_alike(fp[a:b], size[a:b], least))
+                link = np.flatnonzero(root != np.arange(b - a))
+                us.append(node[a:b][link])
+                vs.append(node[a:b][root[link]])
+        cat = [np.concatenate(x) if x else np.zeros(0, np.int64) for x in (us, vs)]
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in cat], ["u", "v"])
+
+    rows = nodes.where("size > 0").select("node", "size", "fp", F.explode("bands").alias("value"))
+    loose = cut(components(spread(paired(rows, ["value"], TILE), partitions(docs), ["value", "p", "q"], propose, "u long, v long")))
+    sets = shingle_sets(docs.join(loose.select(F.col("node").alias("doc_id")), "doc_id", "left_semi"), width, seed, True)
+    rows = sets.where("size > 0").join(loose, sets.doc_id == loose.node).select("component", "node", "mark", "size", "fp", "shingles")
+
+    def compare(t, at):
+        node, fp, size = t["node"].to_numpy(), t["fp"].to_numpy().view(np.uint64), t["size"].to_numpy()
+        us, vs = [], []
+        for a, b in zip(at[:-1].tolist(), at[1:].tolist()):
+            held = [np.frombuffer(x, np.uint64) for x in t["shingles"].slice(a, b - a).to_pylist()]
+            root = list(range(b - a))
+
+            def top(x):
+                while root[x] != x:
+                    root[x] = root[root[x]]
+                    x = root[x]
+                return x
+
+            i, j = maybe_alike(fp[a:b], size[a:b], least)
+            for x, y in zip(i.tolist(), j.tolist()):
+                r, s = top(x), top(y)
+                if r != s:
+                    both = len(held[x]) + len(held[y])
+                    same = len(np.intersect1d(held[x], held[y], assume_unique=True))
+                    if same / (both - same) >= least:
+                        root[max(r, s)] = min(r, s)
+            ends = np.array([top(x) for x in range(b - a)])
+            link = np.flatnonzero(node[a:b] != node[a:b][ends])
+            us.append(node[a:b][link])
+            vs.append(node[a:b][ends[link]])
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (us, vs)], ["u", "v"])
+
+    found = cut(spread(paired(rows, ["component"], TILE), partitions(docs), ["component", "p", "q"], compare, "u long, v long"))
+    drop(loose)
+    return found
+
+
+def similar(docs: DataFrame, width: int = 5, seed: int = 42, least: float = ALIKE) -> DataFrame:
+    """(doc_id, component_id) of each row of docs: texts link when the Jaccard similarity of their sets of word shingles is
+    `least` or more, and component_id is the smallest doc_id reachable. Null and wordless texts link with each other; rows that
+    repeat a doc_id each give a row, and link what any of their texts link."""
+    sets = cut(shingle_sets(docs, width, seed, False))
+    nodes = cut(sets.groupBy("mark").agg(F.min("doc_id").alias("node"), F.first("size").alias("size"), F.first("fp").alias("fp"), F.first("bands").alias("bands")))
+    found = cut(components(alike_links(docs, nodes.where("node is not null"), width, seed, least)))
+    label = cut(nodes.join(found, "node", "left").select("mark", F.coalesce("component", "node").alias("component_id")))
+    drop(nodes, found)
+    return sets.join(label, "mark").select("doc_id", "component_id")
+
+
 def keep_one(docs: DataFrame, **options) -> DataFrame:
-    """The rows of docs without all but the smallest doc_id of each near-duplicate group. Rows without a doc_id stay."""
-    kept = near_duplicates(docs, **options).where("doc_id = component_id").select("doc_id").distinct()
+    """The rows of docs without all but the smallest doc_id of each group of similar() texts. Rows without a doc_id stay."""
+    kept = similar(docs, **options).where("doc_id = component_id").select("doc_id").distinct()
     return docs.where("doc_id is null").unionByName(docs.join(kept, "doc_id", "left_semi").select(docs.columns))

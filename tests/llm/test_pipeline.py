@@ -1,5 +1,6 @@
 """Each stage of the pipeline against brute force on the rows that the stage before kept."""
 
+import random
 from collections import Counter
 
 import pytest
@@ -59,3 +60,25 @@ def test_mix(stages):
 def test_pieces(stages):
     assert Counter(r.doc_id for r in stages[4].collect()) == Counter(r.doc_id for r in stages[5].collect())
     assert all(r.parity and r.round_trip for r in stages[5].collect())
+
+
+def test_near_copies_at_a_jaccard_of_four_fifths(spark):
+    rng = random.Random(8)
+    rows, shingles = [], {}
+    for k in range(120):
+        w = [f"w{rng.randrange(5000)}" for _ in range(rng.choice((60, 200, 600)))]
+        for d in (2 * k, 2 * k + 1):
+            rows.append((d, " ".join(w)))
+            shingles[d] = {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
+            w = list(w)
+            for i in rng.sample(range(len(w)), max(1, len(w) * (1 + k % 3) // 100)):
+                w[i] = f"x{rng.randrange(5000)}"
+    rows += [(900, None), (901, " "), (902, "")]
+    shingles |= {d: set() for d in (900, 901, 902)}
+    ids = sorted(shingles)
+    alike = [(a, b) for k, a in enumerate(ids) for b in ids[k + 1 :] if 5 * len(shingles[a] & shingles[b]) >= 4 * len(shingles[a] | shingles[b])]
+    root = groups(alike, ids)
+    far = sum((fingerprint(dict(rows)[a], 5) ^ fingerprint(dict(rows)[b], 5)).bit_count() > 4 for a, b in alike)
+    assert far >= 20  # pairs that four bits miss
+    kept = corpus_pipeline.simhash_dedup(spark, spark.createDataFrame(rows, "doc_id long, text string"), SF)
+    assert sorted(r.doc_id for r in kept.collect()) == [d for d in ids if root[d] == d]
