@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -9,11 +11,12 @@ from pyspark.sql import functions as F
 
 from lineweave.llm.common import cut, drop, partitions, release, spread
 from lineweave.llm.components import components
+from lineweave.llm.simhash import paired
 
-#: Hash tables that give the first neighbours; vectors that share a bucket of one on average.
-TABLES, BUCKET = 10, 64
-#: Neighbours of a list at first, rounds of refinement (each doubles the length of saturated lists), largest local join.
-NEIGHBOURS, ROUNDS, LOCAL = 8, 4, 256
+#: Vectors that share a bucket of a hash table on average, and tables at first.
+BUCKET, TABLES = 64, 10
+#: Neighbours of a list, all in other components, and vectors of one side of a local join.
+NEIGHBOURS, LOCAL = 8, 256
 #: Vectors that the audit compares with all others, the recall below which more tables are added, and how often.
 AUDITED, RECALL, REPAIRS = 200, 0.97, 2
 #: Vectors of one side of an exact comparison within a component.
@@ -27,24 +30,33 @@ def units(column, kind: str) -> np.ndarray:
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
-def proposals(t: pa.Table, at: np.ndarray, kind: str, least: float, k: int) -> tuple[list, list, list]:
-    """For each group of rows (id, vec): each row's k nearest of the group with at least that cosine."""
+def proposals(t: pa.Table, at: np.ndarray, kind: str, threshold: float, k: int) -> tuple[list, list, list]:
+    """For each group of rows (id, vec, c): each row's k nearest of the group that are of another component c, whatever their
+    cosine, and links at the threshold that connect what all links of the group connect."""
+    from lineweave.llm.simhash import forest
+
     us, vs, ss = [], [], []
-    ids = t["id"].to_numpy()
+    ids, label = t["id"].to_numpy(), t["c"].to_numpy()
     vec = t["vec"].combine_chunks()
     for a, b in zip(at[:-1].tolist(), at[1:].tolist()):
         if b - a < 2:
             continue
         own, first = np.unique(ids[a:b], return_index=True)
-        if len(own) < 2:
+        c = label[a + first]
+        if (c == c[0]).all():
             continue
         x = units(vec.take(pa.array(a + first)), kind)
         s = x @ x.T
-        np.fill_diagonal(s, -2)
+        s[c[:, None] == c[None, :]] = -2
+        root = forest(len(own), *np.nonzero(s >= threshold))
+        link = np.flatnonzero(root != np.arange(len(own)))
+        us.append(own[link])
+        vs.append(own[root[link]])
+        ss.append(np.full(len(link), 2.0))  # joined, be it by others
         m = min(k, len(own) - 1)
         near = np.argpartition(-s, m - 1, axis=1)[:, :m]
         sims = np.take_along_axis(s, near, axis=1)
-        i, j = np.nonzero(sims >= least)
+        i, j = np.nonzero(sims > -2)
         us.append(own[i])
         vs.append(own[near[i, j]])
         ss.append(sims[i, j])
@@ -56,16 +68,13 @@ def _edges(us: list, vs: list, ss: list) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(x) for x in cat], ["u", "v", "sim"])
 
 
-def _split(rows: DataFrame, keys: list[str], most: int) -> DataFrame:
-    """rows with a column part: groups of more than `most` rows are dealt out by hash, so none outgrows a task."""
-    hot = rows.groupBy(*keys).count().where(F.col("count") > most).withColumn("parts", F.ceil(F.col("count") / most).cast("int")).drop("count")
-    return rows.join(hot, keys, "left").withColumn("part", F.pmod(F.xxhash64("id", *keys), F.coalesce("parts", F.lit(1))).cast("int")).drop("parts")
+def plane_bits(n: int) -> int:
+    return max(1, int(np.log2(max(2, n / BUCKET))))
 
 
-def first_neighbours(nodes: DataFrame, kind: str, least: float, k: int, tables: range, seed: int) -> DataFrame:
-    """(u, v, sim): nearest of those that fall on the same side of a table's random hyperplanes. Buckets hold about BUCKET
-    vectors whatever their number; larger ones are split."""
-    bits = max(1, int(np.log2(max(2, nodes.count() / BUCKET))))
+def first_neighbours(nodes: DataFrame, kind: str, threshold: float, k: int, tables: range, seed: int, bits: int) -> DataFrame:
+    """(u, v, sim): proposals() from those that fall on the same side of a table's random hyperplanes. Buckets hold about BUCKET
+    vectors whatever their number; any two of a larger one meet in one of its pairs of parts."""
 
     def buckets(batches):
         planes: dict = {}
@@ -78,44 +87,44 @@ def first_neighbours(nodes: DataFrame, kind: str, least: float, k: int, tables:
                     p = planes.setdefault((dim, t), np.random.default_rng([seed, int(dim), t]).standard_normal((int(dim), bits)))
                     bucket = ((x @ p > 0) << np.arange(bits)).sum(axis=1)
                     n = len(rows)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(n, t), pa.int32()), pa.array(np.full(n, dim), pa.int32()), pa.array(bucket, pa.int64()), b.column("id").take(rows), b.column("vec").take(rows)], ["table", "dim", "bucket", "id", "vec"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(n, t), pa.int32()), pa.array(np.full(n, dim), pa.int32()), pa.array(bucket, pa.int64()), b.column("id").take(rows), b.column("c").take(rows), b.column("vec").take(rows)], ["table", "dim", "bucket", "id", "c", "vec"])
 
-    rows = nodes.select("id", "dim", "vec").mapInArrow(buckets, "table int, dim int, bucket long, id long, vec binary")
+    rows = nodes.select("id", "c", "dim", "vec").mapInArrow(buckets, "table int, dim int, bucket long, id long, c long, vec binary")
     keys = ["table", "dim", "bucket"]
 
     def kernel(t, at):
-        yield _edges(*proposals(t, at, kind, least, k))
+        yield _edges(*proposals(t, at, kind, threshold, k))
 
-    return spread(_split(rows, keys, LOCAL), partitions(nodes), [*keys, "part"], kernel, "u long, v long, sim double")
+    return spread(paired(rows, keys, LOCAL, "id"), partitions(nodes), [*keys, "p", "q"], kernel, "u long, v long, sim double")
 
 
-def merged(edges: DataFrame, k: int, longest: int, threshold: float) -> DataFrame:
-    """The k best of each list, and as many as `longest` while they reach the threshold. Lists are cut in two steps, so that
-    the many proposals of a frequent neighbour don't meet at once."""
+def merged(edges: DataFrame, label: DataFrame, k: int) -> DataFrame:
+    """The k best of each list that are of other components. Lists are cut in two steps, so that the many proposals of a
+    frequent neighbour don't meet at once."""
 
     def best(rows: DataFrame, keys: list[str]) -> DataFrame:
-        lists = rows.groupBy(*keys).agg(F.slice(F.sort_array(F.collect_set(F.struct("sim", "v")), asc=False), 1, longest).alias("l"))
-        return lists.select("u", F.posexplode("l").alias("rank", "x")).select("u", F.col("x.v").alias("v"), F.col("x.sim").alias("sim"), "rank")
+        lists = rows.groupBy(*keys).agg(F.slice(F.sort_array(F.collect_set(F.struct("sim", "v")), asc=False), 1, k).alias("l"))
+        return lists.select("u", F.explode("l").alias("x")).select("u", F.col("x.v").alias("v"), F.col("x.sim").alias("sim"))
 
-    rows = best(edges.withColumn("salt", F.pmod(F.xxhash64("v"), F.lit(16))), ["u", "salt"])
-    return best(rows, ["u"]).where((F.col("rank") < k) | (F.col("sim") >= threshold)).select("u", "v", "sim")
+    a, b = (label.select(F.col("node").alias(x), F.col("component").alias(f"c{x}")) for x in "uv")
+    apart = edges.where("sim < 2").join(a, "u", "left").join(b, "v", "left").where(F.coalesce("cu", "u") != F.coalesce("cv", "v"))
+    return best(best(apart.withColumn("salt", F.pmod(F.xxhash64("v"), F.lit(16))), ["u", "salt"]), ["u"])
 
 
-def descend(graph: DataFrame, nodes: DataFrame, kind: str, least: float, k: int) -> DataFrame:
-    """Proposals (u, v, sim) from one round: at each node its neighbours, those that have it as neighbour and itself are
-    compared with each other."""
-    pairs = graph.select(F.col("u").alias("m"), F.col("v").alias("id")).unionByName(graph.select(F.col("v").alias("m"), F.col("u").alias("id"))).distinct()
-    pairs = pairs.unionByName(graph.select(F.col("u").alias("m"), F.col("u").alias("id")).distinct())
-    rows = pairs.join(nodes.select("id", "vec", "dim"), "id")
+def descend(graph: DataFrame, nodes: DataFrame, kind: str, threshold: float, k: int) -> DataFrame:
+    """proposals() of one round: at each node its neighbours, those that have it as neighbour and itself are compared."""
+    pairs = graph.select(F.col("u").alias("m"), F.col("v").alias("id")).unionByName(graph.select(F.col("v").alias("m"), F.col("u").alias("id")))
+    pairs = pairs.unionByName(graph.select(F.col("u").alias("m"), F.col("u").alias("id"))).distinct()
+    rows = pairs.join(nodes.select("id", "c", "vec", "dim"), "id")
 
     def kernel(t, at):
-        yield _edges(*proposals(t, at, kind, least, k))
+        yield _edges(*proposals(t, at, kind, threshold, k))
 
-    return spread(_split(rows, ["m"], LOCAL), partitions(nodes), ["m", "part"], kernel, "u long, v long, sim double")
+    return spread(paired(rows, ["m"], LOCAL, "id"), partitions(nodes), ["m", "p", "q"], kernel, "u long, v long, sim double")
 
 
-def audit(graph: DataFrame, nodes: DataFrame, kind: str, threshold: float, number: int) -> float:
-    """Share of the links of `number` vectors that the graph has or implies by one step; the truth is by brute force."""
+def audit(label: DataFrame, nodes: DataFrame, kind: str, threshold: float, number: int) -> float:
+    """Share of the links of `number` vectors that lie within a component of label; the truth is by brute force."""
     chosen = nodes.orderBy(F.xxhash64("id", F.lit(3))).select("id", "dim", "vec").limit(number).collect()
     if not chosen:
         return 1.0
@@ -143,7 +152,6 @@ def audit(graph: DataFrame, nodes: DataFrame, kind: str, threshold: float, numbe
             yield _edges(us, vs, ss)
 
     truth = cut(nodes.select("id", "dim", "vec").mapInArrow(run, "u long, v long, sim double"))
-    label = components(graph.where(F.col("sim") >= threshold).select("u", "v"))
     a = label.select(F.col("node").alias("u"), F.col("component").alias("cu"))
     b = label.select(F.col("node").alias("v"), F.col("component").alias("cv"))
     n, hit = truth.join(a, "u", "left").join(b, "v", "left").agg(F.count("*"), F.count_if(F.col("cu") == F.col("cv"))).first()
@@ -189,18 +197,16 @@ def exact_links(nodes: DataFrame, label: DataFrame, kind: str, threshold: float)
     return counts, found.where("kind = 1").select("u", "v")
 
 
-def near_duplicates(vectors: DataFrame, threshold: float = 0.95, seed: int = 11, tables: int = TABLES) -> DataFrame:
+def near_duplicates(vectors: DataFrame, threshold: float = 0.95, seed: int = 11, tables: int | None = None) -> DataFrame:
     """(vec_id, n_links, component_id, kept) of each row of vectors (vec_id long, embedding array of float or double).
 
     Vectors with a cosine of at least the threshold, in double precision, link. Null, empty and zero vectors and such with
     null or non-finite components link with nothing, nor do vectors of different lengths; equal vectors are one node of the
     graph and link with each other. A vec_id that repeats with one vector counts as often as it occurs; with several vectors
-    one of them links. Neighbours below the cosine of twice the threshold's angle aren't listed: no such one leads
-    to a link. Other columns are not looked at.
+    one of them links. tables: hash tables, TABLES by default. Other columns are not looked at.
     """
     kind = "<f8" if "double" in dict(vectors.dtypes)["embedding"] else "<f4"
     spark = vectors.sparkSession
-    least = max(0.0, 2 * threshold**2 - 1)
     fine = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("embedding", lambda x: x != 0)
 
     def pack(batches):
@@ -214,28 +220,41 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.95, seed: int = 11,
     classes = members.groupBy("vec", "dim").agg(F.min("vec_id").alias("id"), F.count("*").alias("n"))
     nodes = cut(classes.groupBy("id").agg(F.min_by(F.struct("vec", "dim", "n"), "vec").alias("x")).select("id", "x.*"))
 
-    graph = cut(merged(first_neighbours(nodes, kind, least, NEIGHBOURS, range(tables), seed), NEIGHBOURS, NEIGHBOURS, threshold))
-    for repair in range(REPAIRS + 1):
-        seen = None
-        for r in range(ROUNDS):
-            longest = NEIGHBOURS << r
-            more = descend(graph, nodes, kind, least, longest)
-            after = cut(merged(graph.unionByName(more), NEIGHBOURS, longest, threshold))
-            drop(graph)
-            graph = after
-            links = graph.where(F.col("sim") >= threshold).count()
-            if links == seen:
-                break
-            seen = links
+    size = nodes.count()
+    bits = plane_bits(size)
+    tables = TABLES if tables is None else tables
+    links = nodes.limit(0).select(F.col("id").alias("u"), F.col("id").alias("v"))
+    graph = links.withColumn("sim", F.lit(0.0))
+    label = links.select(F.col("u").alias("node"), F.col("v").alias("component"))
+
+    def grown(propose: Callable) -> int:
+        """Takes proposals in; how many links between components they had."""
+        nonlocal links, graph, label
+        known = nodes.join(label, nodes.id == label.node, "left").select("id", "vec", "dim", F.coalesce("component", "id").alias("c"))
+        more = cut(propose(known))
+        new = more.where("sim >= 2").select("u", "v")
+        n = new.count()
+        if n:
+            # a component is as good as its star: links to its smallest node
+            stars = label.where("node != component").select(F.col("node").alias("u"), F.col("component").alias("v"))
+            label = cut(components(stars.unionByName(new)))
+        graph = cut(merged(graph.unionByName(more), label, NEIGHBOURS))
+        drop(more)
         release(spark)
-        if repair == REPAIRS or audit(graph, nodes, kind, threshold, AUDITED) >= RECALL:
+        return n
+
+    def hashed(first: int, last: int) -> None:
+        for t in range(first, last, TABLES):
+            grown(lambda known: first_neighbours(known, kind, threshold, NEIGHBOURS, range(t, min(last, t + TABLES)), seed, bits))
+
+    hashed(0, tables)
+    for repair in range(REPAIRS + 1):
+        while grown(lambda known: descend(graph, known, kind, threshold, NEIGHBOURS)):
+            pass
+        if repair == REPAIRS or audit(label, nodes, kind, threshold, AUDITED) >= RECALL:
             break
-        more = first_neighbours(nodes, kind, least, NEIGHBOURS, range(tables * (repair + 1), tables * (repair + 2)), seed)
-        after = cut(merged(graph.unionByName(more), NEIGHBOURS, NEIGHBOURS << (ROUNDS - 1), threshold))
-        drop(graph)
-        graph = after
+        hashed(tables * (repair + 1), tables * (repair + 2))
 
-    label = components(graph.where(F.col("sim") >= threshold).select("u", "v"))
     counts, links = exact_links(nodes, label, kind, threshold)
     found = components(links)
     per = cut(nodes.join(counts, "id", "left").join(found, nodes.id == found.node, "left").select("vec", F.col("id"), (F.coalesce("others", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("component", "id").alias("component_id")))

@@ -570,3 +570,24 @@ def test_mix_sql(spark):
 
     sf = "/root/testdata/sf0.01"
     assert differ(spark, connect(sf), queries.op7_mixing, queries.oracle_sql()["op7_mixing"], sf) == ""
+
+
+def near_copies(rng, centre, n, spread):
+    return [centre + spread * rng.standard_normal(len(centre)) / np.sqrt(len(centre)) for _ in range(n)]
+
+
+def test_embeddings_links_between_dense_groups(spark):
+    """Each vector has more near copies in its own group than a list holds; the links to the other group still count."""
+    rng = np.random.default_rng(4)
+    a, b, c = (x / np.linalg.norm(x) for x in rng.standard_normal((3, 64)))
+    b -= (a @ b) * a
+    b /= np.linalg.norm(b)
+    t = 0.33
+    rows = [(i, x.tolist()) for i, x in enumerate(near_copies(rng, a, 101, 0.1) + near_copies(rng, np.cos(t) * a + np.sin(t) * b, 101, 0.1) + near_copies(rng, c, 50, 3.0))]
+    want = cosine_truth(rows)
+    x = np.array([v / np.linalg.norm(v) for _, v in rows[:202]])
+    s = x @ x.T
+    across = s[:101, 101:] >= 0.95
+    assert across.any() and not any((s[i, :101] > s[i, 101:].max()).sum() < 65 for i in range(101))
+    got = vectors.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    assert {r.vec_id: (r.n_links, r.component_id, r.kept) for r in got} == want
