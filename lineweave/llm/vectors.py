@@ -13,8 +13,9 @@ from lineweave.llm.common import cut, drop, partitions, release, spread
 from lineweave.llm.components import components
 from lineweave.llm.simhash import paired
 
-#: Vectors that share a bucket of a hash table on average, and tables at first.
-BUCKET, TABLES = 64, 10
+#: Vectors that share a bucket of a hash table on average, share of pairs at the threshold that the tables bring together, and
+#: tables that are in the shared folder at once.
+BUCKET, MEET, TABLES = 64, 0.999, 10
 #: Neighbours of a list, all in other components, and vectors of one side of a local join.
 NEIGHBOURS, LOCAL = 8, 256
 #: Vectors that the audit compares with all others, the recall below which more tables are added, and how often.
@@ -72,6 +73,12 @@ def plane_bits(n: int) -> int:
     return max(1, int(np.log2(max(2, n / BUCKET))))
 
 
+def table_count(n: int, threshold: float, meet: float = MEET) -> int:
+    """Tables of n vectors after which a pair at the threshold has met in a bucket with probability `meet`."""
+    p = max(1e-9, 1 - np.arccos(min(1.0, threshold)) / np.pi) ** plane_bits(n)
+    return 1 if p >= meet else int(np.ceil(np.log(1 - meet) / np.log1p(-p)))
+
+
 def first_neighbours(nodes: DataFrame, kind: str, threshold: float, k: int, tables: range, seed: int, bits: int) -> DataFrame:
     """(u, v, sim): proposals() from those that fall on the same side of a table's random hyperplanes. Buckets hold about BUCKET
     vectors whatever their number; any two of a larger one meet in one of its pairs of parts."""
@@ -203,7 +210,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.95, seed: int = 11,
     Vectors with a cosine of at least the threshold, in double precision, link. Null, empty and zero vectors and such with
     null or non-finite components link with nothing, nor do vectors of different lengths; equal vectors are one node of the
     graph and link with each other. A vec_id that repeats with one vector counts as often as it occurs; with several vectors
-    one of them links. tables: hash tables, TABLES by default. Other columns are not looked at.
+    one of them links. tables: hash tables, by default as many as table_count() says. Other columns are not looked at.
     """
     kind = "<f8" if "double" in dict(vectors.dtypes)["embedding"] else "<f4"
     spark = vectors.sparkSession
@@ -222,7 +229,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.95, seed: int = 11,
 
     size = nodes.count()
     bits = plane_bits(size)
-    tables = TABLES if tables is None else tables
+    tables = table_count(size, threshold) if tables is None else tables
     links = nodes.limit(0).select(F.col("id").alias("u"), F.col("id").alias("v"))
     graph = links.withColumn("sim", F.lit(0.0))
     label = links.select(F.col("u").alias("node"), F.col("v").alias("component"))

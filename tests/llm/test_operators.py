@@ -591,3 +591,16 @@ def test_embeddings_links_between_dense_groups(spark):
     assert across.any() and not any((s[i, :101] > s[i, 101:].max()).sum() < 65 for i in range(101))
     got = vectors.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
     assert {r.vec_id: (r.n_links, r.component_id, r.kept) for r in got} == want
+
+
+def test_embeddings_large_bucket(spark):
+    """Pairs in a bucket that is dealt out meet, whatever part they are in, with one table; more vectors need more tables."""
+    rng = np.random.default_rng(6)
+    one = np.abs(rng.standard_normal((700, 48))) * (rng.random((700, 48)) < 0.5)
+    vec = np.concatenate([one, one + 0.1 * rng.random((700, 48))])
+    rows = [(i, v.tolist()) for i, v in enumerate(vec)]
+    df = spark.createDataFrame([(i, 0, 48, np.array(v, "<f8").tobytes()) for i, v in rows], "id long, c long, dim int, vec binary").selectExpr("id", "id as c", "dim", "vec")
+    edges = vectors.first_neighbours(df, "<f8", 0.95, 4, range(1), 11, 0).where("sim >= 2").collect()
+    want = {i: c for i, (_, c, _) in cosine_truth(rows).items()}
+    assert groups([(r.u, r.v) for r in edges], list(want)) == want and len(set(want.values())) < 1000
+    assert [vectors.table_count(n, 0.95) for n in (100_000, 1_000_000)] == [17, 24]
