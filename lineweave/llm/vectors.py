@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Callable
 
 import numpy as np
@@ -18,8 +19,10 @@ from lineweave.llm.simhash import paired
 BUCKET, MEET, TABLES = 64, 0.999, 10
 #: Neighbours of a list, all in other components, and vectors of one side of a local join.
 NEIGHBOURS, LOCAL = 8, 256
-#: Vectors that the audit compares with all others, the recall below which more tables are added, and how often.
-AUDITED, RECALL, REPAIRS = 200, 0.97, 2
+#: Vectors that the audit compares with all others at first and at most, how many of them must have links for it to stop drawing,
+#: the recall below which more tables are added, and how often.
+AUDITED, MOST_AUDITED, ENOUGH, RECALL, REPAIRS = 200, 3200, 50, 0.97, 2
+_log = logging.getLogger(__name__)
 #: Vectors of one side of an exact comparison within a component.
 TILE = 512
 
@@ -130,40 +133,41 @@ def descend(graph: DataFrame, nodes: DataFrame, kind: str, threshold: float, k:
     return spread(paired(rows, ["m"], LOCAL, "id"), partitions(nodes), ["m", "p", "q"], kernel, "u long, v long, sim double")
 
 
-def audit(label: DataFrame, nodes: DataFrame, kind: str, threshold: float, number: int) -> float:
-    """Share of the links of `number` vectors that lie within a component of label; the truth is by brute force."""
-    chosen = nodes.orderBy(F.xxhash64("id", F.lit(3))).select("id", "dim", "vec").limit(number).collect()
-    if not chosen:
-        return 1.0
-    sent = nodes.sparkSession.sparkContext.broadcast([(r[0], r[1], bytes(r[2])) for r in chosen])  # a fixed number of vectors
-
-    def run(batches):
-        by: dict = {}
-        for i, dim, v in sent.value:
-            by.setdefault(dim, ([], []))
-            by[dim][0].append(i)
-            by[dim][1].append(v)
-        for b in batches:
-            dims = np.array(b.column("dim").to_pylist())
-            us, vs, ss = [], [], []
-            for dim in np.unique(dims):
-                if dim in by:
-                    rows = pa.array(np.flatnonzero(dims == dim))
-                    ids = b.column("id").take(rows).to_numpy()
-                    q = np.array(by[dim][0])
-                    s = units(pa.array(by[dim][1], pa.binary()), kind) @ units(b.column("vec").take(rows), kind).T
-                    i, j = np.nonzero((s >= threshold) & (q[:, None] != ids[None, :]))
-                    us.append(q[i])
-                    vs.append(ids[j])
-                    ss.append(s[i, j])
-            yield _edges(us, vs, ss)
-
-    truth = cut(nodes.select("id", "dim", "vec").mapInArrow(run, "u long, v long, sim double"))
-    a = label.select(F.col("node").alias("u"), F.col("component").alias("cu"))
-    b = label.select(F.col("node").alias("v"), F.col("component").alias("cv"))
-    n, hit = truth.join(a, "u", "left").join(b, "v", "left").agg(F.count("*"), F.count_if(F.col("cu") == F.col("cv"))).first()
-    drop(truth)
-    return hit / n if n else 1.0
+def audit(label: DataFrame, nodes: DataFrame, kind: str, threshold: float, number: int) -> tuple[float | None, int]:
+    """Mean over audited vectors that have links of the share of them that lie within a component of label, and how many such
+    vectors were found; the truth is by brute force. `number` vectors are drawn, then four times as many until ENOUGH have links, all
+    are drawn or MOST_AUDITED; without one that has links the mean is None."""
+    known = nodes.join(label, nodes.id == label.node, "left").select("id", "dim", "vec", F.coalesce("component", "id").alias("c"))
+
+    def counted(sent):
+        def run(batches):
+            by: dict = {}
+            for row in sent.value:
+                by.setdefault(row[1], []).append(row)
+            for b in batches:
+                dims = np.array(b.column("dim").to_pylist())
+                for dim in np.unique(dims):
+                    if dim in by:
+                        rows = pa.array(np.flatnonzero(dims == dim))
+                        ids, c = b.column("id").take(rows).to_numpy(), b.column("c").take(rows).to_numpy()
+                        q, cq = np.array([r[0] for r in by[dim]]), np.array([r[3] for r in by[dim]])
+                        s = units(pa.array([r[2] for r in by[dim]], pa.binary()), kind) @ units(b.column("vec").take(rows), kind).T
+                        link = (s >= threshold) & (q[:, None] != ids[None, :])
+                        some = np.flatnonzero(link.any(axis=1))
+                        hit = link & (cq[:, None] == c[None, :])
+                        yield pa.RecordBatch.from_arrays([pa.array(q[some]), pa.array(link[some].sum(axis=1)), pa.array(hit[some].sum(axis=1))], ["u", "links", "hits"])
+
+        return run
+
+    while True:
+        chosen = known.orderBy(F.xxhash64("id", F.lit(3))).limit(number).collect()
+        sent = nodes.sparkSession.sparkContext.broadcast([(r[0], r[1], bytes(r[2]), r[3]) for r in chosen])  # a bounded number of vectors
+        per = known.mapInArrow(counted(sent), "u long, links long, hits long").groupBy("u").agg((F.sum("hits") / F.sum("links")).alias("recall"))
+        found, mean = per.agg(F.count("*"), F.avg("recall")).first()
+        if found >= ENOUGH or len(chosen) < number or number >= MOST_AUDITED:
+            _log.warning("audit of %d vectors, %d of them with links: mean recall %s", len(chosen), found, mean)
+            return mean, found
+        number = min(4 * number, MOST_AUDITED)
 
 
 def exact_links(nodes: DataFrame, label: DataFrame, kind: str, threshold: float) -> tuple[DataFrame, DataFrame]:
@@ -210,7 +214,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.95, seed: int = 11,
     Vectors with a cosine of at least the threshold, in double precision, link. Null, empty and zero vectors and such with
     null or non-finite components link with nothing, nor do vectors of different lengths; equal vectors are one node of the
     graph and link with each other. A vec_id that repeats with one vector counts as often as it occurs; with several vectors
-    one of them links. tables: hash tables, by default as many as table_count() says. Other columns are not looked at.
+    one of them links. Fails when the audited recall stays below RECALL. tables: hash tables, by default as many as table_count() says. Other columns are not looked at.
     """
     kind = "<f8" if "double" in dict(vectors.dtypes)["embedding"] else "<f4"
     spark = vectors.sparkSession
@@ -258,8 +262,11 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.95, seed: int = 11,
     for repair in range(REPAIRS + 1):
         while grown(lambda known: descend(graph, known, kind, threshold, NEIGHBOURS)):
             pass
-        if repair == REPAIRS or audit(label, nodes, kind, threshold, AUDITED) >= RECALL:
+        recall, audited = audit(label, nodes, kind, threshold, AUDITED)
+        if recall is None or recall >= RECALL:
             break
+        if repair == REPAIRS:
+            raise RuntimeError(f"recall {recall:.4f} of {audited} audited vectors is below {RECALL} after {REPAIRS} repairs")
         hashed(tables * (repair + 1), tables * (repair + 2))
 
     counts, links = exact_links(nodes, label, kind, threshold)

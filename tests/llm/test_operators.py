@@ -604,3 +604,19 @@ def test_embeddings_large_bucket(spark):
     want = {i: c for i, (_, c, _) in cosine_truth(rows).items()}
     assert groups([(r.u, r.v) for r in edges], list(want)) == want and len(set(want.values())) < 1000
     assert [vectors.table_count(n, 0.95) for n in (100_000, 1_000_000)] == [17, 24]
+
+
+def test_embeddings_audit(spark, monkeypatch):
+    """A large joined group doesn't outvote small ones that are lost, and what stays low isn't returned."""
+    rng = np.random.default_rng(9)
+    vec = near_copies(rng, 10 * np.eye(32)[0], 60, 0.1)
+    for _ in range(40):
+        vec += near_copies(rng, rng.standard_normal(32), 2, 0.01)
+    rows = [(i, 32, np.array(v, "<f8").tobytes()) for i, v in enumerate(vec)]
+    nodes = spark.createDataFrame(rows, "id long, dim int, vec binary")
+    label = spark.createDataFrame([(i, 0) for i in range(60)], "node long, component long")
+    assert vectors.audit(label, nodes, "<f8", 0.95, 200) == (pytest.approx(60 / 140), 140)
+    assert vectors.audit(label, nodes.limit(1), "<f8", 0.95, 200) == (None, 0)
+    monkeypatch.setattr(vectors, "audit", lambda *a: (0.5, 140))
+    with pytest.raises(RuntimeError, match="recall 0.5000 of 140"):
+        vectors.near_duplicates(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vec)], "vec_id long, embedding array<double>"), tables=1)
