@@ -186,11 +186,13 @@ def within(cps: np.ndarray, off: np.ndarray, i: np.ndarray, j: np.ndarray, edits
 
 
 def first_slot(longer: str, shorter: str, edits: int) -> int:
-    """Least slot by which the longer line meets a segment of the shorter."""
+    """Least slot by which the longer line meets a segment of the shorter; of lines of one length, its own segment comes before
+    its probes, as in shared_keys()."""
     less = len(longer) - len(shorter)
     for i in range(edits + 1):
         p, n = (int(v) for v in segment(np.array(len(shorter)), i, edits))
-        for shift in range(max(-i, less - (edits - i), -p), min(i, less + (edits - i), len(longer) - n - p) + 1):
+        shifts = range(max(-i, less - (edits - i), -p), min(i, less + (edits - i), len(longer) - n - p) + 1)
+        for shift in shifts if less else sorted(shifts, key=bool):
             if longer[p + shift : p + shift + n] == shorter[p : p + n]:
                 return i * 16 + shift + edits
     return -1

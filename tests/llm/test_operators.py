@@ -620,3 +620,12 @@ def test_embeddings_audit(spark, monkeypatch):
     monkeypatch.setattr(vectors, "audit", lambda *a: (0.5, 140))
     with pytest.raises(RuntimeError, match="recall 0.5000 of 140"):
         vectors.near_duplicates(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vec)], "vec_id long, embedding array<double>"), tables=1)
+
+
+def test_line_runs_of_one_character(spark):
+    """Lines of one length that meet in a run of one character count their links once."""
+    texts = [x + "b" * 23 for x in "XYZ"] + ["Chapter " + str(k) + "." * 30 + str(k) for k in range(4)] + ["=" * 40, "=" * 39 + "x", "y" + "=" * 39, "=" * 42]
+    want, links = line_truth(list(enumerate(texts)))
+    assert want[0][1] == 2 and len(links) > 8
+    got = {r.doc_id: (r.n_lines, r.n_links, r.n_again, r.kept_chars) for r in lines.line_report(table(spark, texts)).collect()}
+    assert got == want
