@@ -218,8 +218,8 @@ def match_key_cross_file(spark, d):
 
 @query()
 def match_ranked(spark, d):
-    q = D.read(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.substring("text", 1, 55).alias("text"))
-    return M.match(q, D.entries(spark, d), 0.7)
+    q = D.read(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+    return M.match(q, D.entries(spark, d, whole=True), 0.7)
 
 
 @query("SELECT doc_id, CASE WHEN regexp_matches(text, '[A-Za-z]') THEN 'latin' ELSE 'unknown' END AS script FROM documents")
