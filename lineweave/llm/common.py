@@ -79,6 +79,13 @@ def drop(*tables: DataFrame) -> None:
             p.getFileSystem(t.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def settled(df: DataFrame, *tables: DataFrame) -> DataFrame:
+    """The rows as a table of their own; removes the tables of cut() that they were made from."""
+    out = cut(df)
+    drop(*tables)
+    return out
+
+
 def partitions(df: DataFrame, per: int = 1) -> int:
     """How many partitions to deal rows to: what the session sets for shuffles, which a user sizes to the input."""
     return max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))) * per

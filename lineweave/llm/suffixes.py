@@ -1,16 +1,22 @@
-"""Passages that occur more than once: sparse suffixes at minimisers, sorted, compared with neighbours, extended both ways."""
+"""Passages that occur more than once: sparse suffixes at minimisers, sorted by words, compared with neighbours, extended both ways."""
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lineweave.llm.common import by_group, byte_values, partitions, pieces, prefix_hash, span_hash, utf8, words
+from lineweave.llm.common import by_group, byte_values, cut, drop, partitions, pieces, prefix_hash, settled, span_hash, utf8, words
 
-#: Words of the shortest passage that counts, and words by which retained suffixes are compared first.
+#: Words of the shortest passage that counts, and words that two retained suffixes must share to be compared.
 PASSAGE, LEADING = 50, 25
+#: Bytes beyond which a suffix holds a word's SHA-256 instead (after a byte that no word has), and keys that a task remembers.
+LONG, REMEMBER = 64, 1 << 20
 
 
 def word_hashes(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -19,136 +25,265 @@ def word_hashes(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return span_hash(prefix_hash(byte_values(data)), s, e), at
 
 
-def minimisers(hashes: np.ndarray, at: np.ndarray, passage: int, leading: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(start, anchor, hash of the leading words from each word on): for each start of `passage` words within one text, the
-    anchor is the position, among those whose leading words lie within the passage, with the least hash, the first of
-    equals. Equal passages have equal anchors."""
+def minimisers(hashes: np.ndarray, at: np.ndarray, passage: int, leading: int) -> tuple[np.ndarray, np.ndarray]:
+    """(anchor, hash of the leading words from there on). Each stretch of `passage` words within one text has one anchor: the
+    position, among those whose leading words lie within it, with the least hash, the first of equals. Equal stretches have
+    equal anchors, wherever they are."""
     n = len(hashes)
     if n < passage:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    c = prefix_hash(hashes)
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
     first = np.arange(n - leading + 1)
-    lead = span_hash(c, first, first + leading)
+    lead = span_hash(prefix_hash(hashes), first, first + leading)
+    rank = np.unique(lead, return_inverse=True)[1]
     width = passage - leading + 1
-    bits = np.uint64(max(1, int(n).bit_length()))
-    key = (lead >> bits << bits) | first.astype(np.uint64)
-    pad = np.full(-(-(len(key) + width) // width) * width, np.iinfo(np.uint64).max)
-    pad[: len(key)] = key
+    pad = np.full(-(-(len(lead) + width) // width) * width, np.iinfo(np.int64).max)
+    pad[: len(lead)] = (rank.astype(np.int64) << 32) | first
     block = pad.reshape(-1, width)
     pre = np.minimum.accumulate(block, axis=1).ravel()
     suf = np.minimum.accumulate(block[:, ::-1], axis=1)[:, ::-1].ravel()
     start = np.arange(n - passage + 1)
     text = np.searchsorted(at, start, side="right") - 1
     start = start[start + passage <= at[1:][text]]
-    anchor = np.minimum(suf[start], pre[start + width - 1]) & ((np.uint64(1) << bits) - np.uint64(1))
-    return start, anchor.astype(np.int64), lead
-
+    anchor = np.unique(np.minimum(suf[start], pre[start + width - 1]) & 0xFFFFFFFF)
+    return anchor, lead[anchor]
 
-def _asked(key: np.ndarray, doc: np.ndarray, pos: np.ndarray) -> pa.RecordBatch:
-    """Rows to sort by key. Of equal keys in one batch only one is sent to its key, the others are known to repeat and go
-    anywhere: so a passage that is in a third of all texts sends one row from each batch."""
-    order = np.lexsort((pos, doc, key))
-    key, doc, pos = key[order], doc[order], pos[order]
-    new = np.ones(len(key), bool)
-    new[1:] = key[1:] != key[:-1]
-    group = np.cumsum(new) - 1
-    size = np.bincount(group) if len(key) else np.zeros(0, int)
-    at = np.flatnonzero(new)
-    partner = doc[at][group]  # the smallest doc_id of the batch with this key, for that itself the next
-    after = np.minimum(at + 1, len(key) - 1)
-    partner = np.where(new, doc[after][group], partner) if len(key) else partner
-    known = size[group] > 1
-    sent = np.where(new, key.view(np.int64), (key ^ (np.arange(len(key), dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))).view(np.int64))
-    return pa.RecordBatch.from_arrays([pa.array(sent), pa.array(~new), pa.array(known), pa.array(doc), pa.array(pos.astype(np.int32)), pa.array(np.where(known, partner, -1))], ["key", "other", "known", "doc_id", "pos", "partner"])
 
+class Met:
+    """How often a task has met a key, up to two, in a table of fixed size: a key that lost its place counts anew."""
 
-_ASKED = "key long, other boolean, known boolean, doc_id long, pos int, partner long"
+    def __init__(self, size: int = REMEMBER):
+        self.keys, self.count = np.zeros(size, np.uint64), np.zeros(size, np.uint8)
 
+    def again(self, key: np.ndarray) -> np.ndarray:
+        """Whether each key has come at least twice before."""
+        order = np.argsort(key, kind="stable")
+        k = key[order]
+        new = np.ones(len(k), bool)
+        new[1:] = k[1:] != k[:-1]
+        at = np.flatnonzero(new)
+        nth = np.arange(len(k)) - np.repeat(at, np.diff(np.append(at, len(k))))
+        slot = (k & np.uint64(len(self.keys) - 1)).astype(np.int64)
+        before = np.where(self.keys[slot] == k, self.count[slot], 0)
+        out = np.zeros(len(k), bool)
+        out[order] = before + nth >= 2
+        last = np.append(at[1:], len(k)) - 1
+        if len(k):
+            self.keys[slot[last]] = k[last]
+            self.count[slot[last]] = np.minimum(before[last] + nth[last] + 1, 2)
+        return out
 
-def repeated(rows: DataFrame) -> DataFrame:
-    """(doc_id, pos, partner) of the rows of _asked() whose key a neighbour in the order of keys has too. partner: the
-    smallest doc_id of the others with this key, as far as seen."""
-
-    def run(batches):
-        for t, at in by_group(batches, ["key", "other"]):
-            size = np.diff(at)
-            doc, known, partner = t["doc_id"].to_numpy(), t["known"].to_numpy(), t["partner"].to_numpy()
-            asked = ~t["other"].to_numpy()
-            group = np.repeat(np.arange(len(size)), size)
-            least = doc[at[:-1]]
-            second = np.where(size > 1, doc[np.minimum(at[:-1] + 1, len(doc) - 1)], -1)
-            head = np.zeros(len(doc), bool)
-            head[at[:-1]] = True
-            near = np.where(head, second[group], least[group])
-            near = np.where(size[group] > 1, near, -1)
-            keep = known | (asked & (size[group] > 1))
-            mate = np.where(asked & (near >= 0) & known, np.minimum(near, partner), np.where(asked & (near >= 0), near, partner))
-            yield pa.RecordBatch.from_arrays([pa.array(doc[keep]), pa.array(t["pos"].to_numpy()[keep]), pa.array(mate[keep])], ["doc_id", "pos", "partner"])
-
-    dealt = rows.repartition(partitions(rows), "key").sortWithinPartitions("key", "other", "doc_id")
-    return dealt.mapInArrow(run, "doc_id long, pos int, partner long")
 
-
-def repeated_passages(docs: DataFrame, passage: int = PASSAGE, leading: int = LEADING) -> DataFrame:
-    """(doc_id, start_word, end_word, n_words, partner_id): maximal runs of words of each whole text in which every stretch
-    of `passage` words occurs at least twice in the table, within one text or in several.
-
-    Words are [^\\x20\\x09-\\x0D]+ and compare by their bytes (64-bit hashes). Suffixes are retained at the minimisers of all
-    stretches, sorted by their leading words and compared with their neighbours; where those agree, each stretch that lies
-    over the retained position, that is each way to extend the match left and right to `passage` words, is sorted and
-    compared in turn. partner_id: a document that shares words of the run, the own one if only it does. Null, empty and
-    shorter texts have none, nor have rows without a doc_id; rows that repeat a doc_id count as one text that repeats
-    if their texts are equal. No other column is looked at.
-    """
+def shared_anchors(docs: DataFrame, passage: int, leading: int) -> DataFrame:
+    """(row, anchors): positions of retained suffixes whose leading words come at least twice, judged by 64-bit hash, so at most
+    too many. A task sends two rows of a key to where the key is looked up; its further ones repeat for sure and go anywhere."""
 
     def anchors(batches):
+        met = Met()
         for b in batches:
             data, off = utf8(b.column("text"))
-            ids = b.column("doc_id").to_numpy()
+            row = b.column("row").to_numpy()
             for i, j in pieces(off):
                 h, at = word_hashes(data[off[i] : off[j]], off[i : j + 1] - off[i])
-                _, anchor, lead = minimisers(h, at, passage, leading)
-                anchor = np.unique(anchor)
+                anchor, lead = minimisers(h, at, passage, leading)
                 text = np.searchsorted(at, anchor, side="right") - 1
-                yield _asked(lead[anchor], ids[i:j][text], anchor - at[text])
+                known = met.again(lead)
+                sent = np.where(known, lead ^ np.arange(1, len(lead) + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15), lead)
+                yield pa.RecordBatch.from_arrays([pa.array(sent.view(np.int64)), pa.array(known), pa.array(row[i:j][text]), pa.array((anchor - at[text]).astype(np.int32))], ["key", "known", "row", "pos"])
+
+    def repeated(batches):
+        for t, at in by_group(batches, ["key"]):
+            known = t["known"].to_numpy()
+            asked = np.add.reduceat((~known).astype(np.int64), at[:-1])
+            keep = known | np.repeat(asked > 1, np.diff(at))
+            yield pa.RecordBatch.from_arrays([pa.array(t[c].to_numpy()[keep]) for c in ("row", "pos")], ["row", "pos"])
+
+    rows = docs.select("row", "text").mapInArrow(anchors, "key long, known boolean, row long, pos int")
+    found = rows.repartition(partitions(rows), "key").sortWithinPartitions("key").mapInArrow(repeated, "row long, pos int")
+    return found.groupBy("row").agg(F.collect_set("pos").alias("anchors"))
 
-    docs = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    shared = repeated(docs.mapInArrow(anchors, _ASKED))
-    by_doc = shared.groupBy("doc_id").agg(F.collect_set("pos").alias("anchors"))
 
-    def extended(batches):
+def suffixes(docs: DataFrame, shared: DataFrame, passage: int, leading: int) -> DataFrame:
+    """(lead, class, suffix, before, doc_id, row, pos) of each retained suffix of shared: its first `passage` words, and the
+    `passage - leading` words before it, the nearest first, each with a space after it. class: 128-bit hash of both."""
+    left = passage - leading
+
+    def run(batches):
         for b in batches:
-            data, off = utf8(b.column("text"))
-            ids = b.column("doc_id").to_numpy()
-            held = b.column("anchors")
-            flat, size = held.flatten().to_numpy(), held.value_lengths().to_numpy()
-            upto = np.concatenate([[0], np.cumsum(size)])
-            for i, j in pieces(off):
-                h, at = word_hashes(data[off[i] : off[j]], off[i : j + 1] - off[i])
-                start, anchor, _ = minimisers(h, at, passage, leading)
-                mark = np.zeros(len(h) + 1, bool)
-                mark[flat[upto[i] : upto[j]] + np.repeat(at[:-1], size[i:j])] = True
-                start = start[mark[anchor]]
-                text = np.searchsorted(at, start, side="right") - 1
-                yield _asked(span_hash(prefix_hash(h), start, start + passage), ids[i:j][text], start - at[text])
+            out: tuple[list, ...] = ([], [], [], [], [], [], [])
+            for text, row, doc, anchors in zip(*(b.column(c).to_pylist() for c in ("text", "row", "doc_id", "anchors"))):
+                ws = text.encode().split()  # at the bytes 09-0D and 20
+                ws = [w if len(w) <= LONG else b"\x0b" + hashlib.sha256(w).hexdigest().encode() for w in ws]
+                for p in anchors:
+                    if p + leading > len(ws):
+                        continue  # rows of one 64-bit hash
+                    suffix = b" ".join([*ws[p : p + passage], b""])
+                    before = b" ".join([*ws[max(0, p - left) : p][::-1], b""])
+                    lead = xxhash.xxh3_64_intdigest(b" ".join(ws[p : p + leading]))
+                    for o, v in zip(out, (lead - (1 << 64) if lead >> 63 else lead, xxhash.xxh3_128_digest(suffix + b"\x0b" + before), suffix, before, doc, row, p)):
+                        o.append(v)
+            kinds = (pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.int32())
+            yield pa.RecordBatch.from_arrays([pa.array(o, k) for o, k in zip(out, kinds)], ["lead", "class", "suffix", "before", "doc_id", "row", "pos"])
+
+    rows = docs.join(shared.withColumnRenamed("row", "r"), F.col("row") == F.col("r")).select("text", "row", "doc_id", "anchors")
+    return rows.mapInArrow(run, "lead long, class binary, suffix binary, before binary, doc_id long, row long, pos int")
+
+
+def word_codes(column: pa.ChunkedArray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers that are equal for equal words, one line a row, and the words of each row. Places after the last equal nothing."""
+    lists = pc.split_pattern(column.combine_chunks(), " ")
+    size = lists.value_lengths().to_numpy(zero_copy_only=False) - 1  # nothing comes after the last space
+    codes = lists.flatten().dictionary_encode().indices.to_numpy()
+    out = np.repeat(-1 - np.arange(len(size), dtype=np.int64)[:, None], width, axis=1)
+    row = np.repeat(np.arange(len(size)), size + 1)
+    col = np.arange(len(row)) - np.repeat(np.cumsum(size + 1) - size - 1, size + 1)
+    inside = col < np.repeat(size, size + 1)
+    out[row[inside], col[inside]] = codes[inside]
+    return out, size
+
+
+def extended(t: pa.Table, at: np.ndarray, passage: int, leading: int) -> pa.Table:
+    """(class, low, high, least, most) of the rows of t that repeat: how many words before the suffix the shortest and the longest
+    of their repeated stretches reach, and the least and greatest doc_id that have one of these stretches.
+
+    Rows come in groups of common leading words, sorted by their words. Neighbours are compared word by word; a stretch that
+    reaches l words back repeats where the suffixes agree in passage - l words and what comes before them in l words.
+    """
+    n, least, most = (t[c].to_numpy() for c in ("n", "least", "most"))
+    after, size = word_codes(t["suffix"], passage)
+    back, reach = word_codes(t["before"], passage - leading)
+    rows = len(n)
+    common = np.zeros(rows, np.int64)  # words shared with the row above
+    if rows > 1:
+        differ = np.concatenate([after[1:] != after[:-1], np.ones((rows - 1, 1), bool)], axis=1)
+        common[1:] = differ.argmax(axis=1)
+    common[at[:-1]] = 0
+    low, high = np.full(rows, passage, np.int64), np.full(rows, -1, np.int64)
+    own_least, own_most = np.full(rows, np.iinfo(np.int64).max), np.full(rows, np.iinfo(np.int64).min)
+    same = np.zeros(rows, np.int64)
+    for l in range(passage - leading + 1):
+        if l:
+            same = np.unique(same * np.int64(2 * rows + 1 + back.max(initial=0)) + back[:, l - 1] + rows, return_inverse=True)[1]
+        ok = np.flatnonzero((reach >= l) & (size >= passage - l))
+        if not len(ok):
+            continue
+        key = np.cumsum(common < passage - l)[ok] * np.int64(rows + 1) + same[ok]
+        order = np.argsort(key, kind="stable")
+        new = np.ones(len(ok), bool)
+        new[1:] = key[order][1:] != key[order][:-1]
+        begin = np.flatnonzero(new)
+        group = np.cumsum(new) - 1
+        r = ok[order]
+        total = np.add.reduceat(n[r], begin)[group] > 1
+        a, b = np.minimum.reduceat(least[r], begin)[group], np.maximum.reduceat(most[r], begin)[group]
+        r, a, b = r[total], a[total], b[total]
+        low[r], high[r] = np.minimum(low[r], l), np.maximum(high[r], l)
+        own_least[r], own_most[r] = np.minimum(own_least[r], a), np.maximum(own_most[r], b)
+    hit = np.flatnonzero(high >= 0)
+    return pa.table({"class": t["class"].combine_chunks().take(pa.array(hit)), "low": low[hit], "high": high[hit], "least": own_least[hit], "most": own_most[hit]})
 
-    found = repeated(docs.join(by_doc, "doc_id").mapInArrow(extended, _ASKED))
+
+def stretches(t: pa.Table, passage: int, leading: int) -> pa.RecordBatch:
+    """Each stretch over each suffix of t by 128-bit hash, which also says where in the stretch the suffix begins: what groups that
+    go on in another task are compared by."""
+    out: tuple[list, ...] = ([], [], [], [], [], [])
+    for cls, suffix, before, n, least, most in zip(*(t[c].to_pylist() for c in ("class", "suffix", "before", "n", "least", "most"))):
+        a, b = suffix.split(), before.split()
+        for l in range(min(len(b), passage - leading) + 1):
+            if len(a) >= passage - l:
+                key = xxhash.xxh3_128_digest(b" ".join([*b[:l][::-1], b"\x0b", *a[: passage - l]]))
+                for o, v in zip(out, (cls, key, l, n, least, most)):
+                    o.append(v)
+    return _found(*out)
+
+
+_FOUND = "class binary, key binary, low int, high int, n long, least long, most long"
+
+
+def _found(cls, key, low, n, least, most, high=None) -> pa.RecordBatch:
+    kinds = (pa.binary(), pa.binary(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
+    return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip((cls, key, low, low if high is None else high, n, least, most), kinds)], [x.split()[0] for x in _FOUND.split(", ")])
+
+
+def compared(classes: DataFrame, passage: int, leading: int) -> DataFrame:
+    """extended() of all classes, sorted by the words of their suffixes over the whole cluster.
+
+    Ranges are cut by the words and what is before them, so a group of very many suffixes with common leading words is dealt
+    over several tasks. The first and the last group of a task may go on in another: their stretches are counted by key,
+    pre-aggregated, instead.
+    """
+
+    def run(batches):
+        held = None
+        for t, at in by_group(batches, ["lead"]):
+            if held is None:
+                yield stretches(t.slice(0, at[1]), passage, leading)
+                t, at = t.slice(at[1]), at[1:] - at[1]
+                held = t.slice(0, 0)
+            if len(at) < 2:
+                continue
+            yield from closed(held)
+            last = at[-2]
+            yield from closed(t.slice(0, last))
+            held = t.slice(last)
+        if held is not None:
+            yield stretches(held, passage, leading)
+
+    def closed(t):
+        if not t.num_rows:
+            return
+        lead = t["lead"].to_numpy()
+        new = np.ones(len(lead), bool)
+        new[1:] = lead[1:] != lead[:-1]
+        size = np.diff(np.append(np.flatnonzero(new), len(lead)))
+        some = np.repeat(size > 1, size) | (t["n"].to_numpy() > 1)
+        t, new = t.filter(pa.array(some)), new[some]
+        if t.num_rows:
+            got = extended(t, np.append(np.flatnonzero(new), t.num_rows), passage, leading)
+            none = [None] * got.num_rows
+            yield _found(got["class"].combine_chunks(), none, got["low"].combine_chunks().cast(pa.int32()), none, got["least"].combine_chunks(), got["most"].combine_chunks(), got["high"].combine_chunks().cast(pa.int32()))
+
+    dealt = classes.repartitionByRange(partitions(classes), "suffix", "before").sortWithinPartitions("suffix", "before")
+    return dealt.mapInArrow(run, _FOUND)
+
+
+def repeated_passages(docs: DataFrame, passage: int = PASSAGE, leading: int = LEADING) -> DataFrame:
+    """(doc_id, start_word, end_word, n_words, partner_id): maximal runs of words of each whole text in which every stretch
+    of `passage` words occurs at least twice in the table, within one text or in several.
+
+    Words are [^\\x20\\x09-\\x0D]+ and compare by their bytes. Suffixes are retained at the minimisers of all stretches; those whose
+    leading words come once in the table are left out, the others sorted by their words and compared with their neighbours,
+    and matches are extended left and right to `passage` words and more. Equal suffixes after equal words are one before
+    they are sorted. partner_id: the smallest doc_id that has a stretch of the run, if that is the own one the greatest.
+    Null, empty and shorter texts have none, nor have rows without a doc_id. Rows that repeat a doc_id are texts of their
+    own if they differ; equal ones are one text that repeats. No other column is looked at.
+    """
+    docs = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    docs = docs.withColumn("row", F.xxhash64("doc_id", "text"))
+    held = cut(suffixes(docs, shared_anchors(docs, passage, leading), passage, leading))
+    classes = cut(held.groupBy("lead", "class", "suffix", "before").agg(F.count("*").alias("n"), F.min("doc_id").alias("least"), F.max("doc_id").alias("most")))
+    found = cut(compared(classes, passage, leading))
+    drop(classes)
+    spans = found.where("key is null").select("class", "low", "high", "least", "most")
+    opened = found.where("key is not null")
+    again = opened.groupBy("key").agg(F.sum("n").alias("all"), F.min("least").alias("a"), F.max("most").alias("b")).where("`all` > 1").withColumnRenamed("key", "k")
+    opened = opened.join(again, F.col("key") == F.col("k")).groupBy("class").agg(*(f(x).alias(y) for f, x, y in ((F.min, "low", "low"), (F.max, "high", "high"), (F.min, "a", "least"), (F.max, "b", "most"))))
+    spans = spans.unionByName(opened).withColumnRenamed("class", "c")
+    rows = held.select("class", "doc_id", "row", "pos").dropDuplicates(["doc_id", "row", "pos"]).join(spans, F.col("class") == F.col("c"))
+    rows = rows.select("doc_id", "row", (F.col("pos") - F.col("high")).cast("long").alias("a"), (F.col("pos") + passage - F.col("low")).cast("long").alias("b"), "least", "most")
 
     def runs(batches):
-        for t, at in by_group(batches, ["doc_id"]):
-            doc, pos, mate = t["doc_id"].to_numpy(), t["pos"].to_numpy().astype(np.int64), t["partner"].to_numpy()
+        for t, at in by_group(batches, ["doc_id", "row"]):
+            doc, a, b, least, most = (t[c].to_numpy() for c in ("doc_id", "a", "b", "least", "most"))
+            group = np.repeat(np.arange(len(at) - 1), np.diff(at))
+            far = int(b.max()) + 2
+            reach = np.maximum.accumulate(group * far + b) - group * far  # end of what came before in the text
             new = np.zeros(len(doc), bool)
             new[at[:-1]] = True
-            new[1:] |= pos[1:] > pos[:-1] + passage
+            new[1:] |= a[1:] > reach[:-1]
             first = np.flatnonzero(new)
-            if not len(first):
-                continue
-            last = np.append(first[1:], len(doc)) - 1
-            own = doc[first]
-            other = np.minimum.reduceat(np.where(mate == doc, np.iinfo(np.int64).max, mate), first)
-            other = np.where(other == np.iinfo(np.int64).max, own, other)
-            a, b = pos[first], pos[last] + passage
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (own, a, b, b - a, other)], ["doc_id", "start_word", "end_word", "n_words", "partner_id"])
-
-    dealt = found.repartition(partitions(found), "doc_id").sortWithinPartitions("doc_id", "pos")
-    return dealt.mapInArrow(runs, "doc_id long, start_word long, end_word long, n_words long, partner_id long")
+            own, start, end = doc[first], a[first], np.maximum.reduceat(b, first)
+            low, high = np.minimum.reduceat(least, first), np.maximum.reduceat(most, first)
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (own, start, end, end - start, np.where(low != own, low, high))], ["doc_id", "start_word", "end_word", "n_words", "partner_id"])
+
+    dealt = rows.repartition(partitions(rows), "doc_id", "row").sortWithinPartitions("doc_id", "row", "a", "b")
+    return settled(dealt.mapInArrow(runs, "doc_id long, start_word long, end_word long, n_words long, partner_id long"), held, found)
