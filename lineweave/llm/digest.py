@@ -46,40 +46,40 @@ def entropy_sums(data: np.ndarray) -> np.ndarray:
 def features(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(text, hash) of the features of all texts, in order, each once a text.
 
-    Among RIVALS neighbouring windows the rarest by entropy wins, the first of equals; windows of one repeated byte never
-    do. A window that wins WINS times is a feature. A text with too few windows for that has its rarest window, one
-    shorter than a window has itself.
+    Among RIVALS neighbouring windows the rarest by entropy wins, the first of equals; a window that wins WINS times is a
+    feature. Neighbourhoods reach beyond the text's ends, where there are no windows, so the rarest window of a text, the only
+    one too, is always a feature. Windows of one repeated byte win against their like only. A text shorter than a window has
+    itself as its only one.
     """
     size = np.diff(off)
     c = prefix_hash(byte_values(data))
     short = np.flatnonzero((size > 0) & (size < WINDOW))
     rows, hashes, places = [short], [span_hash(c, off[short], off[short + 1])], [off[short]]
-    if len(data) >= WINDOW:
+    some = np.flatnonzero(size >= WINDOW)
+    if len(some):
         sums = entropy_sums(data)
-        far = np.abs(sums - _USUAL)
-        far[sums == _SUM[WINDOW]] = 0
-        m = len(sums)
-        key = ((1 << 22) - far) * (1 << 33) + np.arange(m)
-        pad = np.full(-(-(m + RIVALS) // RIVALS) * RIVALS, np.iinfo(np.int64).max)
-        pad[:m] = key
+        n = size[some] - WINDOW + 1
+        base = np.cumsum(n + RIVALS - 1) - n  # place of a text's first window, RIVALS - 1 places after the last of the text before
+        upto = np.cumsum(n)
+        window = np.arange(upto[-1]) - np.repeat(upto - n, n)
+        text, window = np.repeat(some, n), window + np.repeat(off[some], n)
+        place = window + np.repeat(base - off[some], n)
+        far = np.abs(sums[window] - _USUAL)
+        far[sums[window] == _SUM[WINDOW]] = 0
+        total = int(base[-1] + n[-1]) + RIVALS - 1
+        none = np.iinfo(np.int64).max
+        pad = np.full(-(-(total + RIVALS) // RIVALS) * RIVALS, none)
+        pad[place] = ((1 << 22) - far) * (1 << 33) + np.arange(len(window))
         block = pad.reshape(-1, RIVALS)
         pre = np.minimum.accumulate(block, axis=1).ravel()
         suf = np.minimum.accumulate(block[:, ::-1], axis=1)[:, ::-1].ravel()
-        full = np.flatnonzero(size >= WINDOW + RIVALS - 1)
-        valid = np.zeros(m + 1, np.int32)
-        np.add.at(valid, off[full], 1)
-        np.add.at(valid, off[full + 1] - WINDOW - RIVALS + 2, -1)
-        w = np.flatnonzero(np.cumsum(valid[:m]) > 0)
-        best = np.minimum(suf[w], pre[w + RIVALS - 1]) & ((1 << 33) - 1)
-        chosen = np.flatnonzero(np.bincount(best, minlength=1) >= WINS)
-        some = np.flatnonzero((size >= WINDOW) & (size < WINDOW + RIVALS - 1))
-        if len(some):
-            cuts = np.stack([off[some], off[some + 1] - WINDOW + 1], axis=1).ravel()
-            least = np.minimum.reduceat(np.append(key, np.iinfo(np.int64).max), cuts)[::2] & ((1 << 33) - 1)
-            chosen = np.concatenate([chosen, least])
-        rows.append(np.searchsorted(off, chosen, side="right") - 1)
-        hashes.append(span_hash(c, chosen, chosen + WINDOW))
-        places.append(chosen)
+        w = np.arange(total - RIVALS + 1)
+        best = np.minimum(suf[w], pre[w + RIVALS - 1])
+        wins = np.bincount(best[best < none] & ((1 << 33) - 1), minlength=len(window))
+        chosen = np.flatnonzero(wins >= WINS)
+        rows.append(text[chosen])
+        hashes.append(span_hash(c, window[chosen], window[chosen] + WINDOW))
+        places.append(window[chosen])
     row, h, at = map(np.concatenate, (rows, hashes, places))
     order = np.lexsort((at, h, row))
     row, h, at = row[order], h[order], at[order]
