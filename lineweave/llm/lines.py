@@ -8,7 +8,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lineweave.llm.common import by_group, cut, drop, mix64, partitions, pieces, prefix_hash, release, span_hash, spread
+from lineweave.llm.common import by_group, cut, drop, mix64, partitions, pieces, prefix_hash, release, settled, span_hash, spread
 from lineweave.llm.components import components
 
 #: Edits at which two lines still are one, and code points below which only equal lines are.
@@ -31,18 +31,19 @@ def line_id(line: str) -> int:
 
 
 def occurrences(docs: DataFrame) -> DataFrame:
-    """(id, doc_id, line, size) of every line that isn't blank. Rows without a doc_id have none."""
+    """(id, doc_id, row, line, size) of every line that isn't blank. row: a hash that tells apart texts under one doc_id. Rows
+    without a doc_id have none."""
 
     def run(batches):
         for b in batches:
-            out: tuple[list, ...] = ([], [], [], [])
-            for doc, text in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist()):
+            out: tuple[list, ...] = ([], [], [], [], [])
+            for doc, row, text in zip(*(b.column(c).to_pylist() for c in ("doc_id", "row", "text"))):
                 for i, x in split_lines(text):
-                    for o, v in zip(out, (line_id(x), doc, i, len(x))):
+                    for o, v in zip(out, (line_id(x), doc, row, i, len(x))):
                         o.append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(o, k) for o, k in zip(out, (pa.int64(), pa.int64(), pa.int32(), pa.int32()))], ["id", "doc_id", "line", "size"])
+            yield pa.RecordBatch.from_arrays([pa.array(o, k) for o, k in zip(out, (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32()))], ["id", "doc_id", "row", "line", "size"])
 
-    return docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "id long, doc_id long, line int, size int")
+    return docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("row"), "text").mapInArrow(run, "id long, doc_id long, row long, line int, size int")
 
 
 def distinct_lines(batches, least: int):
@@ -283,12 +284,12 @@ def line_links(docs: DataFrame, edits: int = EDITS, least: int = SHORTEST) -> Da
 
 def line_classes(docs: DataFrame, edits: int = EDITS, least: int = SHORTEST) -> tuple[DataFrame, DataFrame]:
     """All line occurrences, and for each distinct line (id, n_links, first): the lines that edits connect are one class, and
-    first is the (doc_id, line) at which the class occurs first."""
+    first is the (doc_id, row, line) at which the class occurs first."""
     found = line_links(docs, edits, least)
     label = components(found.where("kind = 1").select("u", "v"))
     counts = found.where("kind = 0").groupBy(F.col("u").alias("id")).agg(F.sum("v").alias("n_links"))
     occ = cut(occurrences(docs))
-    lines = occ.groupBy("id").agg(F.min(F.struct("doc_id", "line")).alias("own_first"))
+    lines = occ.groupBy("id").agg(F.min(F.struct("doc_id", "row", "line")).alias("own_first"))
     lines = cut(lines.join(counts, "id", "left").join(label.withColumnRenamed("node", "id"), "id", "left").select("id", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("component", "id").alias("class"), "own_first"))
     first = lines.groupBy("class").agg(F.min("own_first").alias("first"))
     lines = cut(lines.join(first, "class").select("id", "class", "n_links", "first"))
@@ -297,32 +298,49 @@ def line_classes(docs: DataFrame, edits: int = EDITS, least: int = SHORTEST) ->
     return occ, lines
 
 
-def marked(docs: DataFrame, edits: int = EDITS, least: int = SHORTEST) -> DataFrame:
-    """(doc_id, line, size, n_links, again): each line that isn't blank, and whether its class occurs before it."""
+def marked(docs: DataFrame, edits: int = EDITS, least: int = SHORTEST) -> tuple[DataFrame, list[DataFrame]]:
+    """(doc_id, row, line, size, n_links, again): each line that isn't blank of rows with a doc_id, and whether its class occurs
+    before it; the lines of equal rows come as often as these. Also the tables that it reads."""
     occ, lines = line_classes(docs, edits, least)
-    return occ.join(lines, "id").select("doc_id", "line", "size", "n_links", (F.struct("doc_id", "line") != F.col("first")).alias("again"))
+    rows = occ.join(lines, "id").select("doc_id", "row", "line", "size", "n_links", (F.struct("doc_id", "row", "line") != F.col("first")).alias("again"))
+    return rows, [occ, lines]
+
+
+def _beside(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """docs with what was found for each (doc_id, row); docs' own columns may have any name."""
+    found = found.withColumnsRenamed({c: f"_lineweave_{c}" for c in found.columns})
+    same = (docs["doc_id"].cast("long") == found["_lineweave_doc_id"]) & (F.xxhash64(docs["text"]) == found["_lineweave_row"])
+    return docs.join(found, same, "left")
 
 
 def dedup_lines(docs: DataFrame, edits: int = EDITS, least: int = SHORTEST) -> DataFrame:
-    """docs whose texts have lost the lines that are, but for `edits` edits, lines of a smaller (doc_id, line); n_chars, where
-    there is one, is counted anew.
+    """docs whose texts have lost the lines that are, but for `edits` edits, lines that come before; n_chars, where there is one,
+    is counted anew. What comes before: a smaller doc_id, under one doc_id the text with the smaller hash, in one text the
+    line above.
 
     Lines compare without the white space around them; blank lines stay, and lines shorter than `least` are lost only where an
     equal line occurs before. Null texts and rows without a doc_id stay as they are; a text whose lines all occur before
-    becomes empty; rows that repeat a doc_id count as one document and lose the same lines. All columns stay.
+    becomes empty; equal rows of one doc_id are one document and stay alike. All columns stay, whatever their names.
     """
-    again = marked(docs, edits, least).where("again").groupBy("doc_id").agg(F.collect_set("line").alias("_lost"))
-    rows = docs.join(again.withColumnRenamed("doc_id", "_doc"), F.col("doc_id") == F.col("_doc"), "left").drop("_doc")
-    left = F.filter(F.split("text", "\n", -1), lambda x, i: ~F.array_contains("_lost", i))
-    rows = rows.withColumn("text", F.when(F.col("_lost").isNull(), F.col("text")).otherwise(F.array_join(left, "\n"))).drop("_lost")
+    found, tables = marked(docs, edits, least)
+    rows = _beside(docs, found.where("again").groupBy("doc_id", "row").agg(F.collect_set("line").alias("lost")))
+    lost = F.col("_lineweave_lost")
+    left = F.filter(F.split("text", "\n", -1), lambda x, i: ~F.array_contains(lost, i))
+    text = F.when(lost.isNull(), F.col("text")).otherwise(F.array_join(left, "\n"))
+    out = {"text": text}
     if "n_chars" in docs.columns:
-        rows = rows.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return rows.select(docs.columns)
+        out["n_chars"] = F.length(text).cast(docs.schema["n_chars"].dataType)
+    return settled(rows.select(*(out.get(c, docs[c]).alias(c) for c in docs.columns)), *tables)
 
 
 def line_report(docs: DataFrame, edits: int = EDITS, least: int = SHORTEST) -> DataFrame:
     """(doc_id, n_lines, n_links, n_again, kept_chars) of each row of docs: its lines that aren't blank, how many other distinct
-    lines they link with, how many occur before, and the code points of the others."""
-    found = marked(docs, edits, least).groupBy("doc_id").agg(F.count("*").alias("n_lines"), F.sum("n_links").alias("n_links"), F.count_if("again").alias("n_again"), F.sum(F.when(~F.col("again"), F.col("size")).otherwise(0)).alias("kept_chars"))
-    rows = docs.select("doc_id").join(found.withColumnRenamed("doc_id", "_doc"), F.col("doc_id") == F.col("_doc"), "left")
-    return rows.select("doc_id", *(F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("n_lines", "n_links", "n_again", "kept_chars")))
+    lines they link with, how many occur before (as in dedup_lines()), and the code points of the others.
+
+    Rows without a doc_id, and null, empty and blank texts, have zeros. Other columns are not looked at.
+    """
+    found, tables = marked(docs, edits, least)
+    found = found.repartition(partitions(docs), "doc_id", "row").dropDuplicates(["doc_id", "row", "line"])  # equal rows count once
+    found = found.groupBy("doc_id", "row").agg(F.count("*").alias("n_lines"), F.sum("n_links").alias("n_links"), F.count_if("again").alias("n_again"), F.sum(F.when(~F.col("again"), F.col("size")).otherwise(0)).alias("kept_chars"))
+    docs = docs.select("doc_id", "text")
+    return settled(_beside(docs, found).select("doc_id", *(F.coalesce(f"_lineweave_{c}", F.lit(0)).cast("long").alias(c) for c in ("n_lines", "n_links", "n_again", "kept_chars"))), *tables)
