@@ -5,7 +5,8 @@ A shard holds, in order:
     one zstandard frame for each document: its ids as little-endian unsigned integers of WIDTH bytes
     index: for each document its doc_id (int64), offset of its frame (uint64), number of ids (uint32); the arrays follow
     each other, offsets have one more entry, the end of the last frame
-    footer of 32 bytes: offset of the index (uint64), documents (uint64), WIDTH (uint32), 0 (uint32), magic
+    footer of 32 bytes: offset of the index (uint64), documents (uint64), WIDTH (uint32), how many of the first documents have
+    no doc_id (uint32; the index has 0 for them), magic
 A short document is read by its index entry alone. dictionary.zdict beside the shards is what the hash names.
 """
 
@@ -29,8 +30,8 @@ from lineweave.llm.chunks import SegmentEncoder
 from lineweave.llm.common import bounds_of, filesystem, partitions, pieces, range_of, shared_dir, utf8, words
 
 MAGIC = b"LWTOKEN1"
-#: Bytes of the dictionary; documents, and ids of each, that it is trained on at most.
-DICTIONARY_BYTES, SAMPLE_DOCS, SAMPLE_IDS = 64 << 10, 2_000, 8_192
+#: Bytes of the dictionary; documents that it is trained on, about, and the blocks of so many ids of their whole texts, at most.
+DICTIONARY_BYTES, SAMPLE_DOCS, SAMPLE_BLOCKS, BLOCK_IDS = 64 << 10, 2_000, 4_000, 2_048
 LEVEL = 3
 
 _encoders: dict[str, TextEncoder] = {}
@@ -125,15 +126,22 @@ def _dictionary(data: bytes) -> zstandard.ZstdCompressionDict:
     return zstandard.ZstdCompressionDict(data)
 
 
-def write_shard(fs, path: str, dictionary: bytes, docs: Iterable[tuple[int, np.ndarray]], width: int) -> tuple[int, int]:
-    """Writes (doc_id, ids) pairs; returns how many documents and ids. A second attempt replaces the same file whole."""
+def write_shard(fs, path: str, dictionary: bytes, docs: Iterable[tuple[int | None, np.ndarray]], width: int) -> tuple[int, int]:
+    """Writes (doc_id, ids) pairs, those without a doc_id first; returns how many documents and ids. A second attempt replaces
+    the same file whole. Ids that don't fit the width are refused."""
     press = zstandard.ZstdCompressor(level=LEVEL, dict_data=_dictionary(dictionary), write_content_size=True, write_checksum=False, write_dict_id=False)
-    keys, offsets, counts = [], [], []
+    keys, offsets, counts, unnamed = [], [], [], 0
     part = f"{path}.{uuid.uuid4().hex}"
     with fs.open_output_stream(part) as f:
         at = f.write(MAGIC + hashlib.sha256(dictionary).digest())
         at = len(MAGIC) + 32
         for key, ids in docs:
+            if len(ids) and int(ids.max()) >> 8 * width:
+                raise ValueError(f"id {ids.max()} needs more than {width} bytes")
+            if key is None:
+                if unnamed < len(keys):
+                    raise ValueError("documents without a doc_id come first")
+                unnamed, key = unnamed + 1, 0
             blob = press.compress(ids.astype(f"<u{width}").tobytes())
             f.write(blob)
             keys.append(key)
@@ -142,7 +150,7 @@ def write_shard(fs, path: str, dictionary: bytes, docs: Iterable[tuple[int, np.n
             at += len(blob)
         offsets.append(at)
         f.write(np.array(keys, "<i8").tobytes() + np.array(offsets, "<u8").tobytes() + np.array(counts, "<u4").tobytes())
-        f.write(struct.pack("<QQII", at, len(keys), width, 0) + MAGIC)
+        f.write(struct.pack("<QQII", at, len(keys), width, unnamed) + MAGIC)
     fs.move(part, path)
     return len(keys), int(np.sum(counts, dtype=np.int64))
 
@@ -153,7 +161,7 @@ class Shard:
     def __init__(self, fs, path: str, dictionary: bytes):
         self.file = fs.open_input_file(path)
         size = self.file.size()
-        at, n, self.width, _, magic = struct.unpack("<QQII8s", self.file.read_at(32, size - 32))
+        at, n, self.width, self.unnamed, magic = struct.unpack("<QQII8s", self.file.read_at(32, size - 32))
         head = self.file.read_at(40, 0)
         if magic != MAGIC or head[:8] != MAGIC:
             raise ValueError(f"{path} is no token shard")
@@ -169,31 +177,47 @@ class Shard:
         a, b = int(self.offsets[i]), int(self.offsets[i + 1])
         return np.frombuffer(self.open.decompress(self.file.read_at(b - a, a)), f"<u{self.width}")
 
-    def __iter__(self) -> Iterator[tuple[int, np.ndarray]]:
+    def __iter__(self) -> Iterator[tuple[int | None, np.ndarray]]:
         for i in range(len(self.keys)):
-            yield int(self.keys[i]), self.ids(i)
+            yield None if i < self.unnamed else int(self.keys[i]), self.ids(i)
 
 
-def write(docs: DataFrame, path: str, end_id: int, out: str | None = None, width: int = 2) -> tuple[str, list[tuple]]:
+def id_bytes(path: str, end_id: int) -> int:
+    """Bytes that hold every id of a tokenizers file, 2 or 4."""
+    from tokenizers import Tokenizer
+
+    return 2 if max(end_id, *Tokenizer.from_file(path).get_vocab().values()) < 1 << 16 else 4
+
+
+def write(docs: DataFrame, path: str, end_id: int, out: str | None = None, width: int | None = None) -> tuple[str, list[tuple]]:
     """Writes the ids of all documents to a new folder of the shared folder, in ascending doc_id order over its shards.
 
-    docs: (doc_id long, text). A null text is an empty one, so its ids are the end id alone; a null doc_id isn't allowed;
-    rows that repeat a doc_id are written in the order of their texts. Returns the folder and (shard, file, documents, ids) of
-    each shard, one small row for each partition. width: bytes of an id, 2 for vocabularies of at most 65,536.
+    docs: (doc_id long, text), other columns are not looked at. A null text is an empty one, so its ids are the end id alone;
+    rows without a doc_id come first; rows that repeat a doc_id are written in the order of their texts. Returns the folder
+    and (shard, file, documents, ids) of each shard, one small row for each partition; an empty table gives empty shards.
+    width: bytes of an id, by default as many as the vocabulary needs. The dictionary is trained on blocks, drawn by hash, of the
+    whole texts of documents drawn by hash of their doc_id.
     """
     spark = docs.sparkSession
     out = out or f"{shared_dir(spark)}/tokens-{uuid.uuid4().hex}"
+    width = width or id_bytes(path, end_id)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     total = docs.count()
     share = min(1.0, SAMPLE_DOCS / total) if total else 1.0
-    sample = docs.where(F.col("text").isNotNull()).where(F.shiftrightunsigned(F.xxhash64("doc_id"), 11) < F.lit(int(share * (1 << 53)))).limit(2 * SAMPLE_DOCS)
+    drawn = docs.where(F.col("text").isNotNull()).where(F.shiftrightunsigned(F.xxhash64("doc_id"), 11) < F.lit(int(share * (1 << 53))))
+    drawn = drawn.groupBy("doc_id").agg(F.min("text").alias("text"))
 
-    def first_ids(batches):
+    def blocks(batches):
         for b in batches:
-            ids = encode_texts(path, b.column("text"), end_id)
-            yield pa.RecordBatch.from_arrays([pa.array([x[:SAMPLE_IDS].astype(f"<u{width}").tobytes() for x in ids], pa.binary())], ["ids"])
-
-    dictionary = train_dictionary([bytes(r[0]) for r in sample.select("text").mapInArrow(first_ids, "ids binary").collect()])
+            where, held = [], []
+            for doc, ids in zip(b.column("doc_id").to_pylist(), encode_texts(path, b.column("text"), end_id)):
+                for i in range(0, len(ids), BLOCK_IDS):
+                    where.append(zlib.crc32(f"{doc} {i}".encode()))
+                    held.append(ids[i : i + BLOCK_IDS].astype(f"<u{width}").tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(where, pa.int64()), pa.array(held, pa.binary())], ["place", "ids"])
+
+    sample = drawn.mapInArrow(blocks, "place long, ids binary").orderBy("place", "ids").limit(SAMPLE_BLOCKS)
+    dictionary = train_dictionary([bytes(r[1]) for r in sample.collect()])
     fs, folder = filesystem(out)
     fs.create_dir(folder, recursive=True)
     with fs.open_output_stream(f"{folder}/dictionary.zdict") as f:
@@ -221,7 +245,8 @@ def write(docs: DataFrame, path: str, end_id: int, out: str | None = None, width
 
 
 def read(spark, folder: str, shards: list[tuple]) -> DataFrame:
-    """(doc_id, start, n_tokens, ids_crc32) of each document of the shards, from the files. start: ids before it."""
+    """(doc_id, start, n_tokens, ids_crc32) of each document of the shards, from the files. start: ids before it; doc_id is null
+    where the document had none."""
     rows, start = [], 0
     for _, file, docs, ids in shards:
         if docs:
@@ -240,7 +265,7 @@ def read(spark, folder: str, shards: list[tuple]) -> DataFrame:
                 for _, ids in shard:
                     crc.append(zlib.crc32(ids.astype("<u4").tobytes()))
                     n.append(len(ids))
-                yield pa.RecordBatch.from_arrays([pa.array(shard.keys.astype(np.int64)), pa.array(first.astype(np.int64)), pa.array(n, pa.int64()), pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
+                yield pa.RecordBatch.from_arrays([pa.array(shard.keys.astype(np.int64), mask=np.arange(len(shard.keys)) < shard.unnamed), pa.array(first.astype(np.int64)), pa.array(n, pa.int64()), pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
     table = spark.createDataFrame(rows, "file string, start long").repartition(max(1, len(rows)))
     return table.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
