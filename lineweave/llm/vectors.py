@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lineweave.llm.common import cut, drop, partitions, release, spread
+from lineweave.llm.common import cut, drop, partitions, release, settled, spread
 from lineweave.llm.components import components
 from lineweave.llm.simhash import paired
 
@@ -213,8 +213,9 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.95, seed: int = 11,
 
     Vectors with a cosine of at least the threshold, in double precision, link. Null, empty and zero vectors and such with
     null or non-finite components link with nothing, nor do vectors of different lengths; equal vectors are one node of the
-    graph and link with each other. A vec_id that repeats with one vector counts as often as it occurs; with several vectors
-    one of them links. Fails when the audited recall stays below RECALL. tables: hash tables, by default as many as table_count() says. Other columns are not looked at.
+    graph and link with each other. Rows that repeat a vec_id each link by their own vector; an empty table gives an empty one.
+    Fails when the audited recall stays below RECALL. tables: hash tables, by default as many as table_count() says. Other
+    columns are not looked at.
     """
     kind = "<f8" if "double" in dict(vectors.dtypes)["embedding"] else "<f4"
     spark = vectors.sparkSession
@@ -228,8 +229,8 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.95, seed: int = 11,
             yield pa.RecordBatch.from_arrays([b.column("vec_id"), pa.array([data[i:j].tobytes() for i, j in zip(at[:-1], at[1:])], pa.binary()), pa.array(np.diff(at), pa.int32())], ["vec_id", "vec", "dim"])
 
     members = cut(vectors.where(F.col("vec_id").isNotNull() & fine).select(F.col("vec_id").cast("long").alias("vec_id"), "embedding").mapInArrow(pack, "vec_id long, vec binary, dim int"))
-    classes = members.groupBy("vec", "dim").agg(F.min("vec_id").alias("id"), F.count("*").alias("n"))
-    nodes = cut(classes.groupBy("id").agg(F.min_by(F.struct("vec", "dim", "n"), "vec").alias("x")).select("id", "x.*"))
+    classes = members.groupBy("vec", "dim").agg(F.min("vec_id").alias("least"), F.count("*").alias("n"))
+    nodes = cut(classes.withColumn("id", F.monotonically_increasing_id()))  # written, so it stays the same
 
     size = nodes.count()
     bits = plane_bits(size)
@@ -271,7 +272,9 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.95, seed: int = 11,
 
     counts, links = exact_links(nodes, label, kind, threshold)
     found = components(links)
-    per = cut(nodes.join(counts, "id", "left").join(found, nodes.id == found.node, "left").select("vec", F.col("id"), (F.coalesce("others", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("component", "id").alias("component_id")))
-    linked = members.join(per, "vec").select("vec_id", "n_links", "component_id").withColumn("kept", F.col("vec_id") == F.col("component_id"))
+    per = nodes.join(counts, "id", "left").join(found, nodes.id == found.node, "left").select("vec", "dim", "least", (F.coalesce("others", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("component", "id").alias("c"))
+    named = per.groupBy("c").agg(F.min("least").alias("component_id")).withColumnRenamed("c", "r")
+    per = cut(per.join(named, F.col("c") == F.col("r")).select("vec", "dim", "n_links", "component_id"))
+    linked = members.join(per, ["vec", "dim"]).select("vec_id", "n_links", "component_id").withColumn("kept", F.col("vec_id") == F.col("component_id"))
     rest = vectors.where(F.col("vec_id").isNull() | ~F.coalesce(fine, F.lit(False))).select(F.col("vec_id").cast("long").alias("vec_id"), F.lit(0).cast("long").alias("n_links"), F.col("vec_id").cast("long").alias("component_id"), F.lit(True).alias("kept"))
-    return linked.unionByName(rest)
+    return settled(linked.unionByName(rest), members, nodes, per, graph, label)
