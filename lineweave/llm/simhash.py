@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from itertools import combinations
+
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lineweave.llm.common import _SPACE, cut, drop, mix64, partitions, pieces, spread, utf8, words
+from lineweave.llm.common import _SPACE, cut, drop, mix64, partitions, pieces, settled, spread, utf8, words
 from lineweave.llm.components import components
 
 #: Share of shingles at which two texts are near copies; hash bands that propose pairs and minima of a band: a pair at 0.8 shares
@@ -16,6 +18,8 @@ from lineweave.llm.components import components
 ALIKE, BANDS, BAND = 0.8, 20, 4
 #: Fingerprint bits in which such a pair may differ to be compared (10 are expected at 0.8, with a deviation of 3), and sets of a tile.
 WIDE, TILE = 22, 256
+#: Distinct fingerprints that share a root of the tries on average, at most, and blocks at which a root is taken at most.
+ROOTED, MOST_BLOCKS = 4096, 5
 #: Pairs of trie nodes that one step of the traversal holds.
 FRONTIER = 400_000
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -138,18 +142,28 @@ def forest(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
 def fingerprint_links(nodes: DataFrame, budget: int = 4, bits: int = 64) -> DataFrame:
     """Links (u, v) that join the same fingerprints as all pairs within budget differing bits do.
 
-    nodes: (fp long, node long), one row for each distinct fingerprint. Fingerprints within the budget agree in one of
-    budget + 1 blocks of bits at least, so for each block the trie is rooted at that block with nothing to spare there:
-    the block's value deals the fingerprints out, and the trie of each value is joined with itself. A value that is much
-    more frequent than the mean is dealt out as pairs of parts, so that no task grows with it. Within a task linked
-    fingerprints form trees, so a group of copies gives as many links as it has members, not its square.
+    nodes: (fp long, node long), one row for each distinct fingerprint. Fingerprints within the budget agree in r of
+    budget + r blocks of bits at least, so for each choice of r blocks the trie is rooted at these with nothing to spare there:
+    their value deals the fingerprints out, and the trie of each value is joined with itself. r grows with the number of
+    fingerprints, so that about ROOTED share a root. A value that is much more frequent is dealt out as pairs of parts, so that no
+    task grows with it. Within a task linked fingerprints form trees, so a group of copies gives as many links as it has
+    members, not its square.
     """
     n = nodes.count()
-    blocks = budget + 1
+    r = next((r for r in range(1, MOST_BLOCKS) if n >> r * (bits // (budget + r)) <= ROOTED), MOST_BLOCKS)
+    blocks = budget + r
     width = [bits // blocks + (k < bits % blocks) for k in range(blocks)]
     shift = [bits - sum(width[: k + 1]) for k in range(blocks)]
-    most = max(512, 8 * n >> min(width))
-    key = F.array(*(F.struct(F.lit(k).alias("block"), F.shiftrightunsigned("fp", shift[k]).bitwiseAND((1 << width[k]) - 1).alias("value")) for k in range(blocks)))
+    roots = list(combinations(range(blocks), r))
+    most = max(512, 8 * n >> r * min(width))
+
+    def value(chosen: tuple[int, ...]):
+        out = F.lit(0).cast("long")
+        for k in chosen:
+            out = F.shiftleft(out, width[k]).bitwiseOR(F.shiftrightunsigned("fp", shift[k]).bitwiseAND((1 << width[k]) - 1))
+        return out
+
+    key = F.array(*(F.struct(F.lit(x).alias("block"), value(chosen).alias("value")) for x, chosen in enumerate(roots)))
     rows = nodes.select("fp", "node", F.explode(key).alias("k")).select("fp", "node", "k.block", "k.value")
     hot = rows.groupBy("block", "value").count().where(F.col("count") > most).withColumn("parts", F.ceil(F.col("count") / most).cast("int")).drop("count")
     rows = rows.join(hot, ["block", "value"], "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
@@ -160,9 +174,13 @@ def fingerprint_links(nodes: DataFrame, budget: int = 4, bits: int = 64) -> Data
         fp = t["fp"].to_numpy().view(np.uint64)
         node = t["node"].to_numpy()
         block = t["block"].to_numpy()[at[:-1]]
-        turn = np.array([shift[k] + width[k] for k in block], np.uint64)
-        turn = np.repeat(turn, np.diff(at)) % np.uint64(64)
-        fp = np.where(turn == 0, fp, (fp << (np.uint64(64) - turn)) | (fp >> turn))  # the block comes first
+        block = np.repeat(block, np.diff(at))
+        for x in np.unique(block):  # the chosen blocks come first
+            own, out = block == x, np.zeros(np.count_nonzero(block == x), np.uint64)
+            for k in (*roots[x], *(k for k in range(blocks) if k not in roots[x])):
+                out = (out << np.uint64(width[k])) | ((fp[own] >> np.uint64(shift[k])) & np.uint64((1 << width[k]) - 1))
+            fp = fp.copy()
+            fp[own] = out << np.uint64(64 - bits)
         order = np.lexsort((fp, np.repeat(np.arange(len(at) - 1), np.diff(at))))
         fp, node = fp[order], node[order]
         i, j = trie_links(fp, at, budget)
@@ -178,7 +196,8 @@ def near_duplicates(docs: DataFrame, width: int = 4, budget: int = 4, seed: int
 
     Fingerprints link at budget or fewer differing bits; component_id is the smallest doc_id reachable. Null and
     wordless texts have fingerprint zero and link like others; rows that repeat a doc_id each give a row; a null doc_id
-    gives a row whose component is that of its fingerprint. Columns besides doc_id and text are not looked at.
+    gives a row whose component is that of its fingerprint; an empty table gives an empty one. Rows of one doc_id link what any
+    of them links. Columns besides doc_id and text are not looked at.
     """
     fps = cut(fingerprints(docs, width, seed))
     nodes = cut(fps.groupBy("fp").agg(F.min("doc_id").alias("node")))
@@ -186,7 +205,7 @@ def near_duplicates(docs: DataFrame, width: int = 4, budget: int = 4, seed: int
     found = cut(components(fingerprint_links(named, budget)))
     label = cut(nodes.join(found, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id")))
     drop(nodes, found)
-    return fps.join(label, "fp", "left").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return settled(fps.join(label, "fp", "left").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"), fps, label)
 
 
 def shingle_sets(docs: DataFrame, width: int, seed: int, whole: bool) -> DataFrame:
@@ -305,10 +324,11 @@ def similar(docs: DataFrame, width: int = 5, seed: int = 42, least: float = ALIK
     found = cut(components(alike_links(docs, nodes.where("node is not null"), width, seed, least)))
     label = cut(nodes.join(found, "node", "left").select("mark", F.coalesce("component", "node").alias("component_id")))
     drop(nodes, found)
-    return sets.join(label, "mark").select("doc_id", "component_id")
+    return settled(sets.join(label, "mark").select("doc_id", "component_id"), sets, label)
 
 
 def keep_one(docs: DataFrame, **options) -> DataFrame:
-    """The rows of docs without all but the smallest doc_id of each group of similar() texts. Rows without a doc_id stay."""
+    """The rows of docs without all but the smallest doc_id of each group of similar() texts. Rows without a doc_id stay, as do all
+    rows of a doc_id that stays; null, empty and wordless texts are one group. All columns stay."""
     kept = similar(docs, **options).where("doc_id = component_id").select("doc_id").distinct()
     return docs.where("doc_id is null").unionByName(docs.join(kept, "doc_id", "left_semi").select(docs.columns))
