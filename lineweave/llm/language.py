@@ -8,7 +8,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lineweave.llm.common import cut
+from lineweave.llm.common import cut, drop
 from lineweave.llm.ftrl import Ftrl
 from lineweave.llm.toxicity import remainder
 
@@ -16,6 +16,8 @@ from lineweave.llm.toxicity import remainder
 #: chosen by hash), share of them that calibrates, passes over the others.
 BITS, LONGEST, SAMPLE, CALIBRATE, PASSES = 15, 3, 1_200, 0.2, 3
 RATE, L1, L2, SCALE = 0.5, 0.002, 0.01, 10.0
+#: Languages that a model may have: the weights sent to each executor are 2^BITS x languages x 4 bytes.
+MOST_LANGUAGES = 500
 #: Code points, and texts, that a kernel takes in one go.
 _POINTS, _TEXTS = 1 << 20, 256
 NONE = "und"
@@ -144,29 +146,35 @@ def train(examples: DataFrame, langs: list[str], idf: np.ndarray) -> Model:
     one = rows.mapInArrow(featurize, "order long, want int, keys binary, counts binary").repartition(1).mapInArrow(fit, "weights binary, bias binary, temperature double").first()
     if one is None:
         return Model(langs, np.zeros((1 << BITS, max(2, len(langs)))), np.zeros(max(2, len(langs))), 1.0)
-    w = np.frombuffer(one[0], "<f4").reshape(1 << BITS, -1) * factor[:, None]
+    w = (np.frombuffer(one[0], "<f4").reshape(1 << BITS, -1) * factor[:, None]).astype(np.float32)
     return Model(langs, w, np.frombuffer(one[1], "<f8"), one[2])
 
 
 def fitted(docs: DataFrame, sample: int = SAMPLE, folds: int = 3, held: int = 1) -> Model:
     """A model from the text and lang of docs outside the held fold. Document frequencies are those of all these texts;
-    weights come from about `sample` texts of each language, chosen by a hash of doc_id."""
+    weights come from about `sample` texts of each language, chosen by a hash of doc_id, of rows that repeat a doc_id the
+    least. More than MOST_LANGUAGES languages are refused."""
     known = docs.where("lang is not null and doc_id is not null and text is not null").where(remainder("doc_id", folds) != held).select("doc_id", "text", "lang")
     count = {r[0]: r[1] for r in known.groupBy("lang").count().collect()}
     langs = sorted(count)
+    if len(langs) > MOST_LANGUAGES:
+        raise ValueError(f"{len(langs)} languages, at most {MOST_LANGUAGES} are possible")
     if not langs:
         return Model([NONE], np.zeros((1 << BITS, 2)), np.zeros(2), 1.0)
     df, n = document_counts(known)
     idf = np.log((1 + n) / (1 + df)) + 1
     chance = F.shiftrightunsigned(F.xxhash64("doc_id", F.lit(7)), 11)
     limit = F.coalesce(*[F.when(F.col("lang") == x, F.lit(int(min(1.0, sample / k) * (1 << 53)))) for x, k in count.items()])
-    examples = cut(known.where(chance < limit).limit(2 * sample * len(langs)))
-    return train(examples, langs, idf)
+    examples = known.where(chance < limit).groupBy("doc_id").agg(F.min(F.struct("lang", "text")).alias("x")).select("doc_id", "x.*")
+    examples = cut(examples)
+    model = train(examples, langs, idf)
+    drop(examples)
+    return model
 
 
 def predicted(docs: DataFrame, model: Model, keep: list[str] = ()) -> DataFrame:
     """The columns `keep` of docs with lang_pred and score. Null texts and texts without a letter are `und` with score 0."""
-    sent = docs.sparkSession.sparkContext.broadcast(model)  # 2^15 buckets x languages
+    sent = docs.sparkSession.sparkContext.broadcast(model)  # 2^15 buckets x MOST_LANGUAGES at most
 
     def run(batches):
         m = sent.value
@@ -187,6 +195,14 @@ def predicted(docs: DataFrame, model: Model, keep: list[str] = ()) -> DataFrame:
     return docs.select(*columns).mapInArrow(run, schema)
 
 
+def identified(docs: DataFrame, model: Model, least: float) -> DataFrame:
+    """The rows of docs whose language is told with a score of `least` or more, with lang set to it. Null texts and texts without
+    a letter go; all columns stay, whatever their names; an empty table gives an empty one."""
+    whole = docs.select(F.struct(*docs.columns).alias("row"), "text")
+    found = predicted(whole, model, ["row"]).where((F.col("lang_pred") != NONE) & (F.col("score") >= least))
+    return found.select(*(F.col("lang_pred").alias(c) if c == "lang" else F.col("row")[c].alias(c) for c in docs.columns))
+
+
 def languages(docs: DataFrame, folds: int = 3, held: int = 1, **options) -> DataFrame:
     """(doc_id, held_out, lang_pred, score) of each row of docs.
 

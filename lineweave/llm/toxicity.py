@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lineweave.llm.common import byte_values, cut, mix64, pieces, prefix_hash, span_hash, utf8
+from lineweave.llm.common import byte_values, cut, drop, mix64, pieces, prefix_hash, span_hash, utf8
 from lineweave.llm.ftrl import Ftrl
 
 #: Bits of the feature space, labelled rows that are learned from at most (about: they are chosen by hash), passes over them.
@@ -88,7 +88,7 @@ def train(examples: DataFrame) -> np.ndarray:
 
 def scored(docs: DataFrame, weights: np.ndarray) -> DataFrame:
     """(doc_id, score) of each row: the model's probability that the whole text is toxic. Null and empty texts get the
-    bias alone."""
+    bias alone; doc_id may be null or repeat; other columns are not looked at."""
     keep = np.flatnonzero(weights[:-1])
     sent = docs.sparkSession.sparkContext.broadcast((keep, weights[keep], float(weights[-1])))  # at most 2^20 weights, few of them not zero
 
@@ -119,13 +119,16 @@ def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, sample:
 
     Learns from about `sample` labelled rows at most, chosen by a hash of doc_id among those whose crc32 fold isn't the
     held one. Null texts and empty ones get the bias; rows with a null doc_id are scored and not held out; labels that
-    are null are left out; a doc_id labelled twice counts by its largest label. Other columns of docs are not looked at.
+    are null are left out; a doc_id labelled twice counts by its largest label, one with several texts learns from the least.
+    Other columns of docs are not looked at.
     """
     known = labels.where("doc_id is not null and toxic is not null").where(remainder("doc_id", folds) != held).groupBy("doc_id").agg(F.max("toxic").alias("label"))
     n = known.count()
     share = min(1.0, sample / n) if n else 1.0
-    chosen = known.where(F.shiftrightunsigned(F.xxhash64("doc_id", F.lit(7)), 11) < F.lit(int(share * (1 << 53)))).limit(2 * sample)
-    examples = cut(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id"))  # at most 2 x sample small rows
+    chosen = known.where(F.shiftrightunsigned(F.xxhash64("doc_id", F.lit(7)), 11) < F.lit(int(share * (1 << 53))))
+    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # about `sample` small rows, each doc_id once
+    examples = cut(rows.groupBy("doc_id").agg(F.min("text").alias("text"), F.first("label").alias("label")))
     weights = train(examples)
+    drop(examples)
     out = scored(docs, weights)
     return out.select("doc_id", F.coalesce(remainder("doc_id", folds) == held, F.lit(False)).alias("held_out"), "score", F.when(F.col("score") >= threshold, 1).otherwise(0).alias("predicted"))
