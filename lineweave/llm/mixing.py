@@ -11,12 +11,15 @@ from lineweave.llm.common import cut, drop
 WORDS = r"[^\x20\x09-\x0D]+"
 #: Bits of the hash of a document, and how many of them one histogram resolves.
 HASH_BITS, STEP_BITS = 60, 10
+#: Sources that a mix may have: each is one row at the driver and of a table sent to each executor.
+MOST_SOURCES = 100_000
 
 
 def hashed(docs: DataFrame) -> DataFrame:
-    """docs with two more columns: _size, its words, and _hash, 60 bits that depend on doc_id alone."""
+    """(row, source, _size, _hash): each row of docs as a struct, its words, and 60 bits that depend on doc_id alone."""
     h = F.conv(F.substring(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), 1, HASH_BITS // 4), 16, 10).cast("long")
-    return docs.withColumns({"_size": F.coalesce(F.regexp_count("text", F.lit(WORDS)), F.lit(0)).cast("long"), "_hash": h})
+    size = F.coalesce(F.regexp_count("text", F.lit(WORDS)), F.lit(0)).cast("long")
+    return docs.select(F.struct(*docs.columns).alias("row"), "source", size.alias("_size"), h.alias("_hash"))
 
 
 def targets(sizes: dict[str | None, int], weights: tuple[float, ...], share: float, most: float) -> dict[str | None, float]:
@@ -50,7 +53,10 @@ def thresholds(sized: DataFrame, weights=(3, 1, 2), share: float = 1.5, most: fl
     sum for each source comes to the driver.
     """
     spark = sized.sparkSession
-    sizes = {r[0]: int(r[1] or 0) for r in sized.groupBy("source").agg(F.sum("_size")).collect()}
+    sums = sized.groupBy("source").agg(F.sum("_size")).limit(MOST_SOURCES + 1).collect()
+    if len(sums) > MOST_SOURCES:
+        raise ValueError(f"more than {MOST_SOURCES} sources")
+    sizes = {r[0]: int(r[1] or 0) for r in sums}
     goal = targets(sizes, weights, share, most)
     rows = []
     for s, t in goal.items():
@@ -79,7 +85,8 @@ def thresholds(sized: DataFrame, weights=(3, 1, 2), share: float = 1.5, most: fl
 
 
 def mixed(docs: DataFrame, **options) -> DataFrame:
-    """docs with _size, _source_size, _target and _copies, how often the mix takes each document.
+    """(row, size, source_size, target, copies): each row of docs as a struct, whatever its columns are called, and how often the
+    mix takes it.
 
     Each source's share is its target, met by whole passes over it and a last partial pass of the documents whose hash
     lies below the source's threshold, so a larger budget takes a superset and reruns agree. Null texts have size zero;
@@ -90,11 +97,13 @@ def mixed(docs: DataFrame, **options) -> DataFrame:
     plan = cut(thresholds(sized, **options))
     drop(sized)
     rows = hashed(docs)
-    rows = rows.join(plan, rows.source.eqNullSafe(plan._source), "left").drop("_source")
-    return rows.withColumn("_copies", F.col("_times") + F.when(F.col("_hash") < F.col("_cut"), 1).otherwise(0)).drop("_hash", "_times", "_cut")
+    rows = rows.join(F.broadcast(plan), rows.source.eqNullSafe(plan._source), "left")  # MOST_SOURCES small rows at most
+    copies = F.col("_times") + F.when(F.col("_hash") < F.col("_cut"), 1).otherwise(0)
+    return rows.select("row", F.col("_size").alias("size"), F.col("_source_size").alias("source_size"), F.col("_target").alias("target"), copies.alias("copies"))
 
 
 def mix(docs: DataFrame, **options) -> DataFrame:
-    """The rows of the mix: those of docs, repeated as often as the mix takes them."""
-    rows = mixed(docs, **options).where("_copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
-    return rows.select(docs.columns)
+    """The rows of the mix: those of docs, repeated as often as mixed() takes them; nulls, empty texts and repeated rows as
+    there. All columns stay, whatever their names."""
+    rows = mixed(docs, **options).where("copies > 0").select("row", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy"))
+    return rows.select(*(F.col("row")[c].alias(c) for c in docs.columns))

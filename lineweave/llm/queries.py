@@ -48,7 +48,7 @@ def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = mixing.mixed(documents(spark, sf_dir))
-    return rows.select("doc_id", F.col("_size").alias("size"), F.col("_source_size").alias("source_size"), F.col("_target").alias("target"), (F.col("_copies") * F.col("_size")).alias("taken"))
+    return rows.select("row.doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
 
 
 def op8_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -97,5 +97,40 @@ FROM d JOIN n ON d.source IS NOT DISTINCT FROM n.source LEFT JOIN e ON d.source
 """
 
 
+#: Every stretch of 50 words as one string, where the operator sorts suffixes at minimisers only.
+_OP1 = r"""
+WITH w AS (
+  SELECT doc_id, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS ws FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL),
+p AS (SELECT doc_id, ws, unnest(range(0, len(ws) - 49)) AS pos FROM w WHERE len(ws) >= 50),
+s AS (SELECT doc_id, pos, array_to_string(ws[pos + 1:pos + 50], ' ') AS stretch FROM p),
+r AS (SELECT doc_id, pos, min(doc_id) OVER (PARTITION BY stretch) AS least, max(doc_id) OVER (PARTITION BY stretch) AS most, count(*) OVER (PARTITION BY stretch) AS n FROM s),
+b AS (SELECT *, CASE WHEN pos > lag(pos) OVER d + 50 OR lag(pos) OVER d IS NULL THEN 1 ELSE 0 END AS fresh FROM r WHERE n > 1 WINDOW d AS (PARTITION BY doc_id ORDER BY pos)),
+g AS (SELECT *, sum(fresh) OVER (PARTITION BY doc_id ORDER BY pos) AS run FROM b)
+SELECT doc_id, min(pos)::BIGINT AS start_word, (max(pos) + 50)::BIGINT AS end_word, (max(pos) + 50 - min(pos))::BIGINT AS n_words,
+       CASE WHEN min(least) <> doc_id THEN min(least) ELSE max(most) END AS partner_id
+FROM g GROUP BY doc_id, run
+"""
+
+#: All pairs of vectors, then as many rounds of smallest reachable ids as there are.
+_OP8 = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings),
+f AS (
+  SELECT vec_id, e, sqrt(list_sum(list_transform(e, lambda x: x * x))) AS norm FROM v
+  WHERE e IS NOT NULL AND len(e) = len(list_filter(e, lambda x: x IS NOT NULL AND isfinite(x))) AND len(list_filter(e, lambda x: x <> 0)) > 0),
+l AS (
+  SELECT a.vec_id AS u, b.vec_id AS v FROM f AS a JOIN f AS b
+    ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e) AND list_dot_product(a.e, b.e) / a.norm / b.norm >= 0.95),
+c AS (
+  SELECT vec_id AS node, vec_id AS root FROM f
+  UNION
+  SELECT l.v, c.root FROM c JOIN l ON l.u = c.node WHERE c.root < l.v),
+m AS (SELECT node, min(root) AS component_id FROM c GROUP BY node),
+n AS (SELECT u, count(*) AS n_links FROM l GROUP BY u)
+SELECT v.vec_id, coalesce(n.n_links, 0)::BIGINT AS n_links, coalesce(m.component_id, v.vec_id) AS component_id, coalesce(m.component_id, v.vec_id) = v.vec_id AS kept
+FROM v LEFT JOIN m ON m.node = v.vec_id LEFT JOIN n ON n.u = v.vec_id
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op7_mixing": _OP7}
+    return {"op1_suffix_dedup": _OP1, "op7_mixing": _OP7, "op8_embeddings": _OP8}
