@@ -97,8 +97,11 @@ def test_trie_links():
         assert len(got) == len(set(got)) and set(got) == want
 
 
-@pytest.mark.parametrize("width,budget", [(4, 4), (5, 7)])
-def test_simhash(docs, rows, width, budget):
+@pytest.mark.parametrize("width,budget,rooted", [(4, 4, 4096), (5, 7, 4096), (4, 4, 0), (4, 3, 1)])
+def test_simhash(docs, rows, width, budget, rooted, monkeypatch):
+    """Tries rooted at one block of bits, and at several where very many fingerprints would share a root."""
+    monkeypatch.setattr(simhash, "ROOTED", rooted)
+    monkeypatch.setattr(simhash, "MOST_BLOCKS", 3)
     fp = {d: fingerprint(t, width) for d, t in rows}
     ids = sorted(fp)
     links = [(a, b) for k, a in enumerate(ids) for b in ids[k + 1 :] if (fp[a] ^ fp[b]).bit_count() <= budget]
@@ -183,6 +186,33 @@ def test_passages_random(spark):
             assert {tuple(mine[i : i + 16]) for i in range(len(mine) - 15)} & {tuple(other[i : i + 16]) for i in range(len(other) - 15)}
 
 
+def test_passages_share_a_row_key_only_if_equal(spark):
+    """Rows of one doc_id with different texts are texts of their own."""
+    rng = random.Random(5)
+    one = [f"w{rng.randrange(900)}" for _ in range(120)]
+    two = [f"v{rng.randrange(900)}" for _ in range(70)]
+    rows = [(5, " ".join(one)), (5, "short text"), (5, " ".join(two)), (6, "x " + " ".join(one[10:80])), (7, "unique " * 10)]
+    got = suffixes.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.start_word, r.end_word, r.partner_id) for r in got) == [(5, 10, 80, 6), (6, 1, 71, 5)]
+
+
+def test_passages_hot(spark, monkeypatch):
+    """One passage in most texts, each time between other words, is dealt over tasks without losing a stretch; words of any
+    length compare whole."""
+    monkeypatch.setattr(suffixes, "REMEMBER", 16)
+    rng = random.Random(12)
+    passage = [f"p{k}" for k in range(30)] + ["q" * 5000] + [f"p{k}" for k in range(40)]
+    texts = []
+    for k in range(300):
+        w = [f"w{rng.randrange(10**6)}" for _ in range(rng.randint(0, 30))]
+        a, b = rng.choice(((0, 71), (0, 71), (3, 60), (10, 59), (30, 71)))
+        texts.append(" ".join(w + passage[a:b] + [f"w{rng.randrange(3)}" for _ in range(rng.randint(0, 9))]))
+    got = suffixes.repeated_passages(table(spark, texts).repartition(40)).collect()
+    assert {(r.doc_id, r.start_word, r.end_word) for r in got} == repeated(list(enumerate(texts)), 50)
+    alone = ["q" * 4999 + "r" if w == "q" * 5000 else w for w in passage]
+    assert suffixes.repeated_passages(table(spark, [" ".join(passage[:60]), " ".join(alone[:60])])).count() == 0
+
+
 def test_passages_odd(spark, odd):
     got = suffixes.repeated_passages(odd).collect()
     assert [(r.doc_id, r.start_word, r.end_word, r.partner_id) for r in got] == [(7, 0, 3000, 7)]
@@ -307,6 +337,17 @@ def test_lines_odd(spark, odd):
     assert lines.line_report(table(spark, [])).count() == 0
 
 
+def test_lines_of_one_doc_id(spark):
+    """Texts under one doc_id lose their own lines only; equal rows stay alike; a user's columns may have any name."""
+    first, other = "a line that comes in two documents", "a line that is nowhere else at all"
+    rows = [(1, first, 0, 0), (5, first, 0, 0), (5, other, 0, 0), (5, other, 0, 0), (6, f"{other}!\nlast", 0, 0)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, row int, _lost int")
+    out = lines.dedup_lines(df)
+    assert out.columns == df.columns and sorted((r.doc_id, r.text) for r in out.collect()) == [(1, first), (5, ""), (5, other), (5, other), (6, "last")]
+    got = sorted((r.doc_id, r.n_lines, r.n_again) for r in lines.line_report(df).collect())
+    assert got == [(1, 1, 0), (5, 1, 0), (5, 1, 0), (5, 1, 1), (6, 2, 1)]
+
+
 # ------------------------------------------------------------------ token files and SentencePiece
 
 
@@ -335,9 +376,9 @@ def test_token_files(spark, docs, rows):
 
 
 def test_token_files_odd(spark, odd, tmp_path):
-    some = odd.where("doc_id is not null")
-    got = sorted(tuple(r) for r in tokenfile.read(spark, *tokenfile.write(some, tokenizer_path(WORD_BPE), 1)).collect())
-    assert [g[0] for g in got] == sorted([*range(len(ODD)), 8]) and got[0][2] == 1 and got[-1][1] + got[-1][2] == sum(g[2] for g in got)
+    got = sorted((tuple(r) for r in tokenfile.read(spark, *tokenfile.write(odd, tokenizer_path(WORD_BPE), 1)).collect()), key=lambda r: r[1])
+    assert [g[0] for g in got] == [None, None, *sorted([*range(len(ODD)), 8])] and got[0][2] == 1 and got[-1][1] + got[-1][2] == sum(g[2] for g in got)
+    assert all(a[1] + a[2] == b[1] for a, b in zip(got, got[1:]))
     folder, shards = tokenfile.write(table(spark, []), tokenizer_path(WORD_BPE), 1)
     assert tokenfile.read(spark, folder, shards).count() == 0
 
@@ -353,6 +394,11 @@ def test_shard(tmp_path):
     assert shard.ids(20).tolist() == list(range(60)) and [k for k, _ in shard] == list(range(50))
     with pytest.raises(ValueError):
         tokenfile.Shard(own, str(tmp_path / "a.tok"), d + b"x")
+    with pytest.raises(ValueError, match="70000 needs more than 2 bytes"):
+        tokenfile.write_shard(own, str(tmp_path / "b.tok"), d, [(1, np.array([70000], np.uint32))], 2)
+    tokenfile.write_shard(own, str(tmp_path / "c.tok"), d, [(None, np.array([7])), (0, np.array([70000], np.uint32))], 4)
+    assert [(k, x.tolist()) for k, x in tokenfile.Shard(own, str(tmp_path / "c.tok"), d)] == [(None, [7]), (0, [70000])]
+    assert tokenfile.id_bytes(tokenizer_path(WORD_BPE), 1) == 2 and tokenfile.id_bytes(tokenizer_path(WORD_BPE), 1 << 16) == 4
 
 
 def test_sentencepiece(spark, docs, rows):
@@ -467,18 +513,18 @@ def test_mix(docs, rows):
     got = mixing.mixed(docs).collect()
     by, longest = defaultdict(int), defaultdict(int)
     for r in got:
-        assert r._size == len(words(r.text)) and 0 <= r._copies <= 2
-        by[r.source, r._target] += r._copies * r._size
-        longest[r.source] = max(longest[r.source], r._size)
+        assert r.size == len(words(r.row.text)) and 0 <= r.copies <= 2
+        by[r.row.source, r.target] += r.copies * r.size
+        longest[r.row.source] = max(longest[r.row.source], r.size)
     assert all(abs(taken - target) <= longest[s] / 2 + 1 for (s, target), taken in by.items())
-    again = {r.doc_id: r._copies for r in mixing.mixed(docs).collect()}
-    assert again == {r.doc_id: r._copies for r in got}
+    again = {r.row.doc_id: r.copies for r in mixing.mixed(docs).collect()}
+    assert again == {r.row.doc_id: r.copies for r in got}
     assert mixing.mix(docs).count() == sum(again.values()) and mixing.mix(docs).columns == docs.columns
 
 
 def test_mix_odd(spark, odd):
     got = mixing.mixed(odd).collect()
-    assert len(got) == len(ODD) + 3 and all(r._copies is not None and r._target is not None for r in got)
+    assert len(got) == len(ODD) + 3 and all(r.copies is not None and r.target is not None for r in got)
     assert mixing.mix(odd).columns == odd.columns
     assert mixing.mixed(table(spark, [])).count() == 0
 
@@ -498,10 +544,28 @@ def cosine_truth(rows, threshold=0.95):
 
 
 def test_embeddings(spark):
-    df = spark.read.parquet("/root/testdata/check_s/embeddings.parquet").where("vec_id < 3000")
-    want = cosine_truth([(r.vec_id, list(r.embedding)) for r in df.collect()])
-    got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in vectors.near_duplicates(df).collect()}
-    assert got == want and any(v[0] for v in want.values())
+    """Groups of near copies from two to hundreds, at cosines about the threshold, hubs that join groups, exact copies."""
+    rng = np.random.default_rng(3)
+    vec = list(rng.standard_normal((600, 32)))
+    for k in range(120):
+        centre = vec[k]
+        vec += near_copies(rng, centre / np.linalg.norm(centre), rng.integers(1, 4), rng.choice((0.15, 0.22, 0.3, 0.38)))
+    hub = rng.standard_normal(32)
+    hub /= np.linalg.norm(hub)
+    vec += [hub, *near_copies(rng, hub, 250, 0.3)] + [hub * 3] * 20
+    rows = [(int(i), v.astype(np.float32).tolist()) for i, v in zip(rng.permutation(len(vec)), vec)]
+    want = cosine_truth(rows)
+    assert sum(1 for v in want.values() if v[0]) > 300 and len({v[1] for v in want.values()}) > 600
+    got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in vectors.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).collect()}
+    assert got == want
+
+
+def test_embeddings_repeated_ids(spark):
+    """Every row comes back, also where a vec_id has several vectors."""
+    a, b = [1.0, 0.0, 0.2], [0.0, 1.0, 0.0]
+    df = spark.createDataFrame([(1, a), (1, b), (2, a), (2, b), (3, a), (4, [1.0, 0.0, 0.25])], "vec_id long, embedding array<double>")
+    got = sorted((r.vec_id, r.n_links, r.component_id, r.kept) for r in vectors.near_duplicates(df).collect())
+    assert got == [(1, 1, 1, True), (1, 3, 1, True), (2, 1, 1, False), (2, 3, 1, False), (3, 3, 1, False), (4, 3, 1, False)]
 
 
 def test_embeddings_odd(spark):
@@ -552,6 +616,79 @@ def test_fingerprints(docs, rows):
     assert all(len(x) == 1 for x in by.values())
 
 
+def plain_features(text):
+    """Windows of a text's bytes that win among RIVALS neighbours at least WINS times, by the definition."""
+    data = text.encode()
+    if len(data) < digest.WINDOW:
+        return [data] if data else []
+    windows = [data[i : i + digest.WINDOW] for i in range(len(data) - digest.WINDOW + 1)]
+
+    def rarity(w):
+        counts = Counter(w)
+        if len(counts) == 1:
+            return 0
+        return abs(sum(int(digest._SUM[n]) for n in counts.values()) - digest._USUAL)
+
+    rank = [rarity(w) for w in windows]
+    wins = Counter()
+    for a in range(-digest.RIVALS + 1, len(windows)):
+        held = range(max(a, 0), min(a + digest.RIVALS, len(windows)))
+        wins[max(held, key=lambda i: (rank[i], -i))] += 1
+    return list(dict.fromkeys(windows[i] for i in sorted(wins) if wins[i] >= digest.WINS))
+
+
+def test_features_by_definition(rows):
+    texts = [t or "" for _, t in rows[:25]] + ["", "a", "b" * 31, "c" * 32, "d" * 500, "one two three four five six seven eight nine", *(("word %d and " % k) * 9 for k in range(5))]
+    texts += [t[: 90 + k] for k, t in enumerate(t for _, t in rows if t and len(t) > 400) if k < 25]
+    off = np.concatenate([[0], np.cumsum([len(t.encode()) for t in texts])])
+    data = np.frombuffer("".join(texts).encode(), np.uint8)
+    row, h = digest.features(data, off)
+    from lineweave.llm.common import byte_values, prefix_hash, span_hash
+
+    for k, t in enumerate(texts):
+        want = []
+        for w in plain_features(t):
+            b = np.frombuffer(w, np.uint8)
+            want.append(int(span_hash(prefix_hash(byte_values(b)), np.array([0]), np.array([len(b)]))[0]))
+        assert h[row == k].tolist() == want, t
+        assert not t or want
+
+
+def plain_likeness(a, b):
+    """Overlap of two printed digests by sets of bits."""
+    if a == b:
+        return 1.0
+    x, y = ([{i for i in range(digest.FILTER_BITS) if f[i // 8] >> i % 8 & 1} for f in (bytes.fromhex(s.split(":")[1])[k : k + digest.FILTER_BITS // 8] for k in range(0, len(s.split(":")[1]) // 2, digest.FILTER_BITS // 8))] for s in (a, b))
+    if not x or not y:
+        return 0.0
+    x, y = sorted((x, y), key=len) if len(x) != len(y) else (x, y)
+    best = []
+    for f in x:
+        scores = []
+        for g in y:
+            low, top = len(f) * len(g) / digest.FILTER_BITS, min(len(f), len(g))
+            low += digest.CHANCE * (top - low)
+            scores.append(min(1.0, max(0.0, (len(f & g) - low) / max(top - low, 1e-9))))
+        best.append(max(scores))
+    return sum(best) / len(best)
+
+
+def test_likeness_by_definition(docs):
+    got = digest.edited_likeness(docs).orderBy("doc_id").collect()
+    for k, r in enumerate(got):
+        after = got[(k + 1) % len(got)]
+        assert r.near_edited == pytest.approx(plain_likeness(r.fingerprint, r.edited_fingerprint))
+        assert r.near_next == pytest.approx(plain_likeness(r.fingerprint, after.fingerprint))
+
+
+def test_short_texts_have_features(spark):
+    """No text that isn't empty has the empty text's fingerprint."""
+    rng = random.Random(3)
+    texts = ["".join(rng.choice("etaoin shrdlu.,") for _ in range(n)) for n in range(1, 260)] + ["", None, "A plain sentence of just about ninety-eight characters, which is a length between two cases, yes"]
+    got = {r.doc_id: r for r in digest.edited_likeness(table(spark, texts)).collect()}
+    assert [d for d, t in enumerate(texts) if got[d].fingerprint == "0:"] == [259, 260] and got[258].near_next == 0 and got[260].near_next == 0
+
+
 def test_fingerprints_odd(spark, odd):
     got = digest.edited_likeness(odd).collect()
     assert len(got) == len(ODD) + 3
@@ -563,13 +700,14 @@ def test_fingerprints_odd(spark, odd):
     assert digest.edited_likeness(table(spark, [])).count() == 0
 
 
-def test_mix_sql(spark):
+@pytest.mark.parametrize("name", ["op1_suffix_dedup", "op7_mixing", "op8_embeddings"])
+def test_sql(spark, name):
     from oracle import connect, differ
 
     from lineweave.llm import queries
 
     sf = "/root/testdata/sf0.01"
-    assert differ(spark, connect(sf), queries.op7_mixing, queries.oracle_sql()["op7_mixing"], sf) == ""
+    assert differ(spark, connect(sf), queries.queries()[name], queries.oracle_sql()[name], sf) == ""
 
 
 def near_copies(rng, centre, n, spread):

@@ -53,7 +53,7 @@ def test_one_of_each_group_stays(stages):
 
 
 def test_mix(stages):
-    want = Counter({r.doc_id: r._copies for r in mixing.mixed(stages[3]).collect() if r._copies})
+    want = Counter({r.row.doc_id: r.copies for r in mixing.mixed(stages[3]).collect() if r.copies})
     assert Counter(r.doc_id for r in stages[4].collect()) == want
 
 
@@ -82,3 +82,18 @@ def test_near_copies_at_a_jaccard_of_four_fifths(spark):
     assert far >= 20  # pairs that four bits miss
     kept = corpus_pipeline.simhash_dedup(spark, spark.createDataFrame(rows, "doc_id long, text string"), SF)
     assert sorted(r.doc_id for r in kept.collect()) == [d for d in ids if root[d] == d]
+
+
+def test_odd_tables(spark):
+    """Nulls, empty and repeated rows, columns whose names the stages use themselves, and an empty table through all stages."""
+    schema = "doc_id long, text string, lang string, source string, n_chars long, score string, lang_pred int, _size int, _target string, `row` int, copies int, _lost int, id int, `key` int"
+    rest = ("x", 1, 2, "t", 3, 4, 5, 6, 7)
+    base = [(k, t, "en" if k % 2 else None, "s" if k % 3 else None, None) for k, t in enumerate((None, "", "plain words of a text that says little", "plain words of a text that says little", "12 34", "une phrase dans une autre langue ici"))]
+    base += [base[2], (None, "a text without an id but with some words", "en", "s", 3), (None, None, None, None, None), (2, "another text under an id that repeats", "en", "s", 9)]
+    docs = spark.createDataFrame([r + rest for r in base], schema)
+    for df, least in ((docs, 3), (docs.limit(0), 0)):
+        now = df
+        for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+            now = cut(stage(spark, now, SF))
+            assert k == 4 or now.columns == docs.columns
+        assert now.count() >= least if least else now.count() == 0
