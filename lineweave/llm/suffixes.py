@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+from bisect import bisect_right
 
 import numpy as np
 import pyarrow as pa
@@ -17,6 +18,8 @@ from lineweave.llm.common import by_group, byte_values, cut, drop, partitions, p
 PASSAGE, LEADING = 50, 25
 #: Bytes beyond which a suffix holds a word's SHA-256 instead (after a byte that no word has), and keys that a task remembers.
 LONG, REMEMBER = 64, 1 << 20
+#: Suffixes drawn for each range into which they are cut.
+PER_RANGE = 20
 
 
 def word_hashes(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -102,14 +105,18 @@ def shared_anchors(docs: DataFrame, passage: int, leading: int) -> DataFrame:
     return found.groupBy("row").agg(F.collect_set("pos").alias("anchors"))
 
 
-def suffixes(docs: DataFrame, shared: DataFrame, passage: int, leading: int) -> DataFrame:
-    """(lead, class, suffix, before, doc_id, row, pos) of each retained suffix of shared: its first `passage` words, and the
-    `passage - leading` words before it, the nearest first, each with a space after it. class: 128-bit hash of both."""
+def suffixes(docs: DataFrame, shared: DataFrame, passage: int, leading: int, bounds: list[tuple] | None = None) -> DataFrame:
+    """(range, lead, c1, c2, suffix, before, doc_id, row, pos) of each retained suffix of shared: its first `passage` words, and the
+    `passage - leading` words before it, the nearest first, each with a space after it. c1, c2: 128-bit hash of both. range: how
+    many of the bounds (suffix, before, row, pos) are at most the row's."""
     left = passage - leading
+    sent = docs.sparkSession.sparkContext.broadcast(bounds or [])  # one a partition
 
     def run(batches):
+        cuts = sent.value
         for b in batches:
-            out: tuple[list, ...] = ([], [], [], [], [], [], [])
+            out: tuple[list, ...] = ([], [], [], [], [], [], [], [])
+            digests = []
             for text, row, doc, anchors in zip(*(b.column(c).to_pylist() for c in ("text", "row", "doc_id", "anchors"))):
                 ws = text.encode().split()  # at the bytes 09-0D and 20
                 ws = [w if len(w) <= LONG else b"\x0b" + hashlib.sha256(w).hexdigest().encode() for w in ws]
@@ -119,13 +126,29 @@ def suffixes(docs: DataFrame, shared: DataFrame, passage: int, leading: int) ->
                     suffix = b" ".join([*ws[p : p + passage], b""])
                     before = b" ".join([*ws[max(0, p - left) : p][::-1], b""])
                     lead = xxhash.xxh3_64_intdigest(b" ".join(ws[p : p + leading]))
-                    for o, v in zip(out, (lead - (1 << 64) if lead >> 63 else lead, xxhash.xxh3_128_digest(suffix + b"\x0b" + before), suffix, before, doc, row, p)):
+                    digests.append(xxhash.xxh3_128_digest(suffix + b"\x0b" + before))
+                    for o, v in zip(out, (bisect_right(cuts, (suffix, before, row, p)), lead - (1 << 64) if lead >> 63 else lead, suffix, before, doc, row, p)):
                         o.append(v)
-            kinds = (pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.int32())
-            yield pa.RecordBatch.from_arrays([pa.array(o, k) for o, k in zip(out, kinds)], ["lead", "class", "suffix", "before", "doc_id", "row", "pos"])
+            both = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
+            kinds = (pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.int32())
+            where, lead, suffix, before, doc, row, pos = (pa.array(o, k) for o, k in zip(out, kinds))
+            yield pa.RecordBatch.from_arrays([where, lead, pa.array(both[:, 0]), pa.array(both[:, 1]), suffix, before, doc, row, pos], ["range", "lead", "c1", "c2", "suffix", "before", "doc_id", "row", "pos"])
 
     rows = docs.join(shared.withColumnRenamed("row", "r"), F.col("row") == F.col("r")).select("text", "row", "doc_id", "anchors")
-    return rows.mapInArrow(run, "lead long, class binary, suffix binary, before binary, doc_id long, row long, pos int")
+    return rows.mapInArrow(run, "range int, lead long, c1 long, c2 long, suffix binary, before binary, doc_id long, row long, pos int")
+
+
+def range_bounds(docs: DataFrame, shared: DataFrame, passage: int, leading: int, n: int) -> list[tuple]:
+    """n - 1 retained suffixes at most, in order, that cut all of them into ranges of about equal size: quantiles of PER_RANGE
+    for each range, drawn by hash from the suffixes of texts drawn by hash."""
+    texts = shared.count()
+    if n < 2 or not texts:
+        return []
+    some = F.shiftrightunsigned(F.xxhash64("row", F.lit(5)), 11) < F.lit(int(min(1.0, PER_RANGE * n / texts) * (1 << 53)))
+    drawn = suffixes(docs.where(some), shared.where(some), passage, leading).select("suffix", "before", "row", "pos")
+    rows = drawn.orderBy(F.xxhash64("row", "pos")).limit(PER_RANGE * n).collect()
+    rows = sorted((bytes(r[0]), bytes(r[1]), r[2], r[3]) for r in rows)
+    return sorted({rows[len(rows) * k // n] for k in range(1, n)}) if rows else []
 
 
 def word_codes(column: pa.ChunkedArray, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -141,14 +164,14 @@ def word_codes(column: pa.ChunkedArray, width: int) -> tuple[np.ndarray, np.ndar
     return out, size
 
 
-def extended(t: pa.Table, at: np.ndarray, passage: int, leading: int) -> pa.Table:
-    """(class, low, high, least, most) of the rows of t that repeat: how many words before the suffix the shortest and the longest
-    of their repeated stretches reach, and the least and greatest doc_id that have one of these stretches.
+def extended(t: pa.Table, at: np.ndarray, n: np.ndarray, least: np.ndarray, most: np.ndarray, passage: int, leading: int) -> tuple[np.ndarray, ...]:
+    """(low, high, least, most) of each row of t: how many words before the suffix the shortest and the longest of its repeated
+    stretches reach (high -1: there is none), and the least and greatest doc_id that have one of these stretches.
 
-    Rows come in groups of common leading words, sorted by their words. Neighbours are compared word by word; a stretch that
-    reaches l words back repeats where the suffixes agree in passage - l words and what comes before them in l words.
+    Rows come in groups of common leading words, sorted by their words; n of them are equal, in documents from `least` to `most`.
+    Neighbours are compared word by word; a stretch that reaches l words back repeats where the suffixes agree in passage - l
+    words and what comes before them in l words.
     """
-    n, least, most = (t[c].to_numpy() for c in ("n", "least", "most"))
     after, size = word_codes(t["suffix"], passage)
     back, reach = word_codes(t["before"], passage - leading)
     rows = len(n)
@@ -178,55 +201,70 @@ def extended(t: pa.Table, at: np.ndarray, passage: int, leading: int) -> pa.Tabl
         r, a, b = r[total], a[total], b[total]
         low[r], high[r] = np.minimum(low[r], l), np.maximum(high[r], l)
         own_least[r], own_most[r] = np.minimum(own_least[r], a), np.maximum(own_most[r], b)
-    hit = np.flatnonzero(high >= 0)
-    return pa.table({"class": t["class"].combine_chunks().take(pa.array(hit)), "low": low[hit], "high": high[hit], "least": own_least[hit], "most": own_most[hit]})
+    return low, high, own_least, own_most
+
+
+_FOUND = "c1 long, c2 long, key binary, low int, n long, doc_id long, row long, a long, b long, least long, most long"
+
 
+def _found(size: int, **columns) -> pa.RecordBatch:
+    kinds = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary()}
+    fields = [x.split() for x in _FOUND.split(", ")]
+    return pa.RecordBatch.from_arrays([pa.array(columns[c], kinds[k]) if c in columns else pa.nulls(size, kinds[k]) for c, k in fields], [c for c, _ in fields])
 
-def stretches(t: pa.Table, passage: int, leading: int) -> pa.RecordBatch:
-    """Each stretch over each suffix of t by 128-bit hash, which also says where in the stretch the suffix begins: what groups that
-    go on in another task are compared by."""
-    out: tuple[list, ...] = ([], [], [], [], [], [])
-    for cls, suffix, before, n, least, most in zip(*(t[c].to_pylist() for c in ("class", "suffix", "before", "n", "least", "most"))):
+
+def stretches(t: pa.Table, at: np.ndarray, n: np.ndarray, least: np.ndarray, most: np.ndarray, passage: int, leading: int) -> pa.RecordBatch:
+    """Each stretch over each class of equal rows of t by 128-bit hash, which also says where in the stretch the suffix begins: what
+    groups that go on in another task are compared by."""
+    picked = t.take(pa.array(at[:-1]))
+    found: tuple[list, ...] = ([], [], [])
+    for k, (suffix, before) in enumerate(zip(picked["suffix"].to_pylist(), picked["before"].to_pylist())):
         a, b = suffix.split(), before.split()
         for l in range(min(len(b), passage - leading) + 1):
             if len(a) >= passage - l:
                 key = xxhash.xxh3_128_digest(b" ".join([*b[:l][::-1], b"\x0b", *a[: passage - l]]))
-                for o, v in zip(out, (cls, key, l, n, least, most)):
+                for o, v in zip(found, (k, key, l)):
                     o.append(v)
-    return _found(*out)
-
-
-_FOUND = "class binary, key binary, low int, high int, n long, least long, most long"
-
+    k = np.array(found[0], np.int64)
+    c1, c2 = picked["c1"].to_numpy()[k], picked["c2"].to_numpy()[k]
+    return _found(len(k), c1=c1, c2=c2, key=found[1], low=found[2], n=n[k], least=least[k], most=most[k])
 
-def _found(cls, key, low, n, least, most, high=None) -> pa.RecordBatch:
-    kinds = (pa.binary(), pa.binary(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
-    return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip((cls, key, low, low if high is None else high, n, least, most), kinds)], [x.split()[0] for x in _FOUND.split(", ")])
 
+def compared(rows: DataFrame, n: int, passage: int, leading: int) -> DataFrame:
+    """What extended() finds for suffixes() that are dealt out by range and sorted by their words, equal ones as one.
 
-def compared(classes: DataFrame, passage: int, leading: int) -> DataFrame:
-    """extended() of all classes, sorted by the words of their suffixes over the whole cluster.
-
-    Ranges are cut by the words and what is before them, so a group of very many suffixes with common leading words is dealt
-    over several tasks. The first and the last group of a task may go on in another: their stretches are counted by key,
-    pre-aggregated, instead.
+    Rows with a: the words from a to b repeat. Ranges are cut by the words, what is before them and the row, so very many
+    suffixes with common leading words, and very many equal ones, lie in several tasks. The first and the last group of a task may
+    go on in another: rows with a key are their stretches, rows without either their members, to be settled by key.
     """
 
     def run(batches):
         held = None
         for t, at in by_group(batches, ["lead"]):
             if held is None:
-                yield stretches(t.slice(0, at[1]), passage, leading)
+                yield from opened(t.slice(0, at[1]))
                 t, at = t.slice(at[1]), at[1:] - at[1]
                 held = t.slice(0, 0)
             if len(at) < 2:
                 continue
             yield from closed(held)
-            last = at[-2]
-            yield from closed(t.slice(0, last))
-            held = t.slice(last)
+            yield from closed(t.slice(0, at[-2]))
+            held = t.slice(at[-2])
         if held is not None:
-            yield stretches(held, passage, leading)
+            yield from opened(held)
+
+    def equal(t):
+        """Where classes of equal rows begin, their sizes, least and greatest doc_id."""
+        c1, c2, doc = (t[c].to_numpy() for c in ("c1", "c2", "doc_id"))
+        new = np.ones(len(c1), bool)
+        new[1:] = (c1[1:] != c1[:-1]) | (c2[1:] != c2[:-1])
+        at = np.flatnonzero(new)
+        return np.append(at, len(c1)), np.diff(np.append(at, len(c1))), np.minimum.reduceat(doc, at), np.maximum.reduceat(doc, at)
+
+    def opened(t):
+        if t.num_rows:
+            yield stretches(t, *equal(t), passage, leading)
+            yield _found(t.num_rows, b=t["pos"].to_numpy().astype(np.int64), **{c: t[c].to_numpy() for c in ("c1", "c2", "doc_id", "row")})
 
     def closed(t):
         if not t.num_rows:
@@ -235,15 +273,19 @@ def compared(classes: DataFrame, passage: int, leading: int) -> DataFrame:
         new = np.ones(len(lead), bool)
         new[1:] = lead[1:] != lead[:-1]
         size = np.diff(np.append(np.flatnonzero(new), len(lead)))
-        some = np.repeat(size > 1, size) | (t["n"].to_numpy() > 1)
+        some = np.repeat(size > 1, size)
         t, new = t.filter(pa.array(some)), new[some]
-        if t.num_rows:
-            got = extended(t, np.append(np.flatnonzero(new), t.num_rows), passage, leading)
-            none = [None] * got.num_rows
-            yield _found(got["class"].combine_chunks(), none, got["low"].combine_chunks().cast(pa.int32()), none, got["least"].combine_chunks(), got["most"].combine_chunks(), got["high"].combine_chunks().cast(pa.int32()))
+        if not t.num_rows:
+            return
+        at, n, least, most = equal(t)
+        groups = np.append(np.flatnonzero(new[at[:-1]]), len(n))
+        low, high, least, most = (np.repeat(x, n) for x in extended(t.take(pa.array(at[:-1])), groups, n, least, most, passage, leading))
+        hit = np.flatnonzero(high >= 0)
+        pos = t["pos"].to_numpy()[hit]
+        yield _found(len(hit), a=pos - high[hit], b=pos + passage - low[hit], least=least[hit], most=most[hit], doc_id=t["doc_id"].to_numpy()[hit], row=t["row"].to_numpy()[hit])
 
-    dealt = classes.repartitionByRange(partitions(classes), "suffix", "before").sortWithinPartitions("suffix", "before")
-    return dealt.mapInArrow(run, _FOUND)
+    dealt = rows.repartitionById(n, F.col("range")).sortWithinPartitions("suffix", "before", "row", "pos")
+    return dealt.drop("range").mapInArrow(run, _FOUND)
 
 
 def repeated_passages(docs: DataFrame, passage: int = PASSAGE, leading: int = LEADING) -> DataFrame:
@@ -252,24 +294,24 @@ def repeated_passages(docs: DataFrame, passage: int = PASSAGE, leading: int = LE
 
     Words are [^\\x20\\x09-\\x0D]+ and compare by their bytes. Suffixes are retained at the minimisers of all stretches; those whose
     leading words come once in the table are left out, the others sorted by their words and compared with their neighbours,
-    and matches are extended left and right to `passage` words and more. Equal suffixes after equal words are one before
-    they are sorted. partner_id: the smallest doc_id that has a stretch of the run, if that is the own one the greatest.
-    Null, empty and shorter texts have none, nor have rows without a doc_id. Rows that repeat a doc_id are texts of their
-    own if they differ; equal ones are one text that repeats. No other column is looked at.
+    and matches are extended left and right to `passage` words and more. partner_id: the smallest doc_id that has a stretch of
+    the run, if that is the own one the greatest. Null, empty and shorter texts have none, nor have rows without a doc_id. Rows
+    that repeat a doc_id are texts of their own if they differ; equal ones are one text that repeats. No other column is
+    looked at.
     """
     docs = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     docs = docs.withColumn("row", F.xxhash64("doc_id", "text"))
-    held = cut(suffixes(docs, shared_anchors(docs, passage, leading), passage, leading))
-    classes = cut(held.groupBy("lead", "class", "suffix", "before").agg(F.count("*").alias("n"), F.min("doc_id").alias("least"), F.max("doc_id").alias("most")))
-    found = cut(compared(classes, passage, leading))
-    drop(classes)
-    spans = found.where("key is null").select("class", "low", "high", "least", "most")
-    opened = found.where("key is not null")
-    again = opened.groupBy("key").agg(F.sum("n").alias("all"), F.min("least").alias("a"), F.max("most").alias("b")).where("`all` > 1").withColumnRenamed("key", "k")
-    opened = opened.join(again, F.col("key") == F.col("k")).groupBy("class").agg(*(f(x).alias(y) for f, x, y in ((F.min, "low", "low"), (F.max, "high", "high"), (F.min, "a", "least"), (F.max, "b", "most"))))
-    spans = spans.unionByName(opened).withColumnRenamed("class", "c")
-    rows = held.select("class", "doc_id", "row", "pos").dropDuplicates(["doc_id", "row", "pos"]).join(spans, F.col("class") == F.col("c"))
-    rows = rows.select("doc_id", "row", (F.col("pos") - F.col("high")).cast("long").alias("a"), (F.col("pos") + passage - F.col("low")).cast("long").alias("b"), "least", "most")
+    shared = cut(shared_anchors(docs, passage, leading))
+    n = partitions(docs)
+    bounds = range_bounds(docs, shared, passage, leading, n)
+    found = cut(compared(suffixes(docs, shared, passage, leading, bounds), max(n, len(bounds) + 1), passage, leading))
+    drop(shared)
+    keyed, members = found.where("key is not null"), found.where("key is null and a is null")
+    again = keyed.groupBy("key").agg(F.sum("n").alias("all"), F.min("least").alias("x"), F.max("most").alias("y")).where("`all` > 1").withColumnRenamed("key", "k")
+    spans = keyed.join(again, F.col("key") == F.col("k")).groupBy("c1", "c2").agg(F.min("low").alias("low"), F.max("low").alias("high"), F.min("x").alias("least"), F.max("y").alias("most"))
+    late = members.select("c1", "c2", "doc_id", "row", F.col("b").alias("pos")).join(spans, ["c1", "c2"])
+    late = late.select("doc_id", "row", (F.col("pos") - F.col("high")).alias("a"), (F.col("pos") + passage - F.col("low")).alias("b"), "least", "most")
+    rows = found.where("a is not null").select("doc_id", "row", "a", "b", "least", "most").unionByName(late)
 
     def runs(batches):
         for t, at in by_group(batches, ["doc_id", "row"]):
@@ -285,5 +327,5 @@ def repeated_passages(docs: DataFrame, passage: int = PASSAGE, leading: int = LE
             low, high = np.minimum.reduceat(least, first), np.maximum.reduceat(most, first)
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in (own, start, end, end - start, np.where(low != own, low, high))], ["doc_id", "start_word", "end_word", "n_words", "partner_id"])
 
-    dealt = rows.repartition(partitions(rows), "doc_id", "row").sortWithinPartitions("doc_id", "row", "a", "b")
-    return settled(dealt.mapInArrow(runs, "doc_id long, start_word long, end_word long, n_words long, partner_id long"), held, found)
+    dealt = rows.repartition(n, "doc_id", "row").dropDuplicates().sortWithinPartitions("doc_id", "row", "a", "b")  # equal rows once
+    return settled(dealt.mapInArrow(runs, "doc_id long, start_word long, end_word long, n_words long, partner_id long"), found)
