@@ -204,30 +204,35 @@ def extended(t: pa.Table, at: np.ndarray, n: np.ndarray, least: np.ndarray, most
     return low, high, own_least, own_most
 
 
-_FOUND = "c1 long, c2 long, key binary, low int, n long, doc_id long, row long, a long, b long, least long, most long"
+_PAIRS = "array<struct<x:int,y:int>>"
+_FOUND = f"part int, key binary, low int, n long, classes {_PAIRS}, class int, doc_id long, row long, a long, b long, least long, most long"
+_KINDS = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary(), _PAIRS: pa.list_(pa.struct([("x", pa.int32()), ("y", pa.int32())]))}
 
 
 def _found(size: int, **columns) -> pa.RecordBatch:
-    kinds = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary()}
     fields = [x.split() for x in _FOUND.split(", ")]
-    return pa.RecordBatch.from_arrays([pa.array(columns[c], kinds[k]) if c in columns else pa.nulls(size, kinds[k]) for c, k in fields], [c for c, _ in fields])
+    return pa.RecordBatch.from_arrays([pa.array(columns[c], _KINDS[k]) if c in columns else pa.nulls(size, _KINDS[k]) for c, k in fields], [c for c, _ in fields])
 
 
-def stretches(t: pa.Table, at: np.ndarray, n: np.ndarray, least: np.ndarray, most: np.ndarray, passage: int, leading: int) -> pa.RecordBatch:
-    """Each stretch over each class of equal rows of t by 128-bit hash, which also says where in the stretch the suffix begins: what
-    groups that go on in another task are compared by."""
+def stretches(t: pa.Table, at: np.ndarray, n: np.ndarray, least: np.ndarray, most: np.ndarray, part: int, passage: int, leading: int) -> pa.RecordBatch:
+    """Each stretch over the classes of equal rows of t by 128-bit hash, which also says where in the stretch the suffix begins, once
+    with all its classes: what groups that go on in another task are compared by."""
     picked = t.take(pa.array(at[:-1]))
-    found: tuple[list, ...] = ([], [], [])
+    held: dict[tuple[bytes, int], list[int]] = {}
     for k, (suffix, before) in enumerate(zip(picked["suffix"].to_pylist(), picked["before"].to_pylist())):
         a, b = suffix.split(), before.split()
         for l in range(min(len(b), passage - leading) + 1):
             if len(a) >= passage - l:
                 key = xxhash.xxh3_128_digest(b" ".join([*b[:l][::-1], b"\x0b", *a[: passage - l]]))
-                for o, v in zip(found, (k, key, l)):
-                    o.append(v)
-    k = np.array(found[0], np.int64)
-    c1, c2 = picked["c1"].to_numpy()[k], picked["c2"].to_numpy()[k]
-    return _found(len(k), c1=c1, c2=c2, key=found[1], low=found[2], n=n[k], least=least[k], most=most[k])
+                held.setdefault((key, l), []).append(k)
+    runs = []
+    for ks in held.values():  # neighbours come as ranges from x to y
+        k = np.array(ks)
+        begin = np.flatnonzero(np.append(True, np.diff(k) > 1))
+        end = np.append(begin[1:], len(k)) - 1
+        runs.append([{"x": x, "y": y} for x, y in zip(k[begin].tolist(), k[end].tolist())])
+    keys, low = [x for x, _ in held], [l for _, l in held]
+    return _found(len(held), part=[part] * len(held), key=keys, low=low, n=[int(n[k].sum()) for k in held.values()], classes=runs, least=[int(least[k].min()) for k in held.values()], most=[int(most[k].max()) for k in held.values()])
 
 
 def compared(rows: DataFrame, n: int, passage: int, leading: int) -> DataFrame:
@@ -235,23 +240,26 @@ def compared(rows: DataFrame, n: int, passage: int, leading: int) -> DataFrame:
 
     Rows with a: the words from a to b repeat. Ranges are cut by the words, what is before them and the row, so very many
     suffixes with common leading words, and very many equal ones, lie in several tasks. The first and the last group of a task may
-    go on in another: rows with a key are their stretches, rows without either their members, to be settled by key.
+    go on in another: rows with a key are their stretches, rows with a class their members (a: the position), both of one part,
+    to be settled by key.
     """
 
     def run(batches):
-        held = None
+        from pyspark import TaskContext
+
+        held, part = None, 2 * TaskContext.get().partitionId()
         for t, at in by_group(batches, ["lead"]):
             if held is None:
-                yield from opened(t.slice(0, at[1]))
+                yield from opened(t.slice(0, at[1]), part)
                 t, at = t.slice(at[1]), at[1:] - at[1]
                 held = t.slice(0, 0)
             if len(at) < 2:
                 continue
-            yield from closed(held)
-            yield from closed(t.slice(0, at[-2]))
+            yield from closed(held, part)
+            yield from closed(t.slice(0, at[-2]), part)
             held = t.slice(at[-2])
         if held is not None:
-            yield from opened(held)
+            yield from opened(held, part + 1)
 
     def equal(t):
         """Where classes of equal rows begin, their sizes, least and greatest doc_id."""
@@ -261,12 +269,14 @@ def compared(rows: DataFrame, n: int, passage: int, leading: int) -> DataFrame:
         at = np.flatnonzero(new)
         return np.append(at, len(c1)), np.diff(np.append(at, len(c1))), np.minimum.reduceat(doc, at), np.maximum.reduceat(doc, at)
 
-    def opened(t):
+    def opened(t, part):
         if t.num_rows:
-            yield stretches(t, *equal(t), passage, leading)
-            yield _found(t.num_rows, b=t["pos"].to_numpy().astype(np.int64), **{c: t[c].to_numpy() for c in ("c1", "c2", "doc_id", "row")})
+            at, *counted = equal(t)
+            yield stretches(t, at, *counted, part, passage, leading)
+            own = np.repeat(np.arange(len(at) - 1), np.diff(at))
+            yield _found(t.num_rows, part=np.full(t.num_rows, part), **{"class": own}, a=t["pos"].to_numpy().astype(np.int64), **{c: t[c].to_numpy() for c in ("doc_id", "row")})
 
-    def closed(t):
+    def closed(t, part):
         if not t.num_rows:
             return
         lead = t["lead"].to_numpy()
@@ -282,12 +292,49 @@ def compared(rows: DataFrame, n: int, passage: int, leading: int) -> DataFrame:
         low, high, least, most = (np.repeat(x, n) for x in extended(t.take(pa.array(at[:-1])), groups, n, least, most, passage, leading))
         hit = np.flatnonzero(high >= 0)
         pos = t["pos"].to_numpy()[hit]
-        yield _found(len(hit), a=pos - high[hit], b=pos + passage - low[hit], least=least[hit], most=most[hit], doc_id=t["doc_id"].to_numpy()[hit], row=t["row"].to_numpy()[hit])
+        yield _found(len(hit), part=np.full(len(hit), part), a=pos - high[hit], b=pos + passage - low[hit], least=least[hit], most=most[hit], doc_id=t["doc_id"].to_numpy()[hit], row=t["row"].to_numpy()[hit])
 
     dealt = rows.repartitionById(n, F.col("range")).sortWithinPartitions("suffix", "before", "row", "pos")
     return dealt.drop("range").mapInArrow(run, _FOUND)
 
 
+def settled_groups(found: DataFrame, n: int, passage: int) -> DataFrame:
+    """(doc_id, row, a, b, least, most) of all suffixes in found whose stretches repeat: what is known already, and members of classes
+    that keys of other parts settle. Each part has sent a stretch once, so a stretch that very many suffixes have is as many
+    rows as there are parts that have it."""
+    keyed = found.where("key is not null").select("part", "key", "low", "n", "classes", "least", "most")
+    again = keyed.groupBy("key").agg(F.sum("n").alias("n"), F.min("least").alias("least"), F.max("most").alias("most")).where("n > 1").withColumnRenamed("key", "k")
+    hits = keyed.drop("n", "least", "most").join(again, F.col("key") == F.col("k")).select("part", "low", "classes", "least", "most")
+    members = found.where("key is null").select("part", "class", "doc_id", "row", "a", "b", "least", "most")
+    kind = F.when(F.col("classes").isNotNull(), 0).when(F.col("class").isNotNull(), 1).otherwise(2).alias("kind")
+    rows = hits.unionByName(members, allowMissingColumns=True).select("*", kind).repartition(n, "part").sortWithinPartitions("part", "kind")
+
+    def run(batches):
+        for t, at in by_group(batches, ["part"]):
+            for i, j in zip(at[:-1].tolist(), at[1:].tolist()):
+                yield one(t.slice(i, j - i))
+
+    def one(t):
+        kind = t["kind"].to_numpy()
+        m, end = np.searchsorted(kind, [1, 2]).tolist()  # stretches, then members, then what is known
+        own = t["class"].slice(m, end - m).to_numpy()
+        size = int(own.max(initial=-1)) + 1
+        low, high = np.full(size, passage, np.int64), np.full(size, -1, np.int64)
+        least, most = np.full(size, np.iinfo(np.int64).max), np.full(size, np.iinfo(np.int64).min)
+        for l, runs, x, y in zip(*(t[c].slice(0, m).to_pylist() for c in ("low", "classes", "least", "most"))):
+            for r in runs:
+                k = slice(r["x"], r["y"] + 1)
+                low[k], high[k] = np.minimum(low[k], l), np.maximum(high[k], l)
+                least[k], most[k] = np.minimum(least[k], x), np.maximum(most[k], y)
+        hit = high[own] >= 0
+        own, (doc, row, pos) = own[hit], (t[c].slice(m, end - m).to_numpy()[hit] for c in ("doc_id", "row", "a"))
+        late = (doc, row, pos - high[own], pos + passage - low[own], least[own], most[own])
+        names = ["doc_id", "row", "a", "b", "least", "most"]
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate([t[c].slice(end).to_numpy(), x])) for c, x in zip(names, late)], names)
+
+    return rows.mapInArrow(run, "doc_id long, row long, a long, b long, least long, most long")
+
+
 def repeated_passages(docs: DataFrame, passage: int = PASSAGE, leading: int = LEADING) -> DataFrame:
     """(doc_id, start_word, end_word, n_words, partner_id): maximal runs of words of each whole text in which every stretch
     of `passage` words occurs at least twice in the table, within one text or in several.
@@ -306,12 +353,7 @@ def repeated_passages(docs: DataFrame, passage: int = PASSAGE, leading: int = LE
     bounds = range_bounds(docs, shared, passage, leading, n)
     found = cut(compared(suffixes(docs, shared, passage, leading, bounds), max(n, len(bounds) + 1), passage, leading))
     drop(shared)
-    keyed, members = found.where("key is not null"), found.where("key is null and a is null")
-    again = keyed.groupBy("key").agg(F.sum("n").alias("all"), F.min("least").alias("x"), F.max("most").alias("y")).where("`all` > 1").withColumnRenamed("key", "k")
-    spans = keyed.join(again, F.col("key") == F.col("k")).groupBy("c1", "c2").agg(F.min("low").alias("low"), F.max("low").alias("high"), F.min("x").alias("least"), F.max("y").alias("most"))
-    late = members.select("c1", "c2", "doc_id", "row", F.col("b").alias("pos")).join(spans, ["c1", "c2"])
-    late = late.select("doc_id", "row", (F.col("pos") - F.col("high")).alias("a"), (F.col("pos") + passage - F.col("low")).alias("b"), "least", "most")
-    rows = found.where("a is not null").select("doc_id", "row", "a", "b", "least", "most").unionByName(late)
+    rows = settled_groups(found, n, passage)
 
     def runs(batches):
         for t, at in by_group(batches, ["doc_id", "row"]):
