@@ -31,19 +31,20 @@ def line_id(line: str) -> int:
 
 
 def occurrences(docs: DataFrame) -> DataFrame:
-    """(id, doc_id, row, line, size) of every line that isn't blank. row: a hash that tells apart texts under one doc_id. Rows
-    without a doc_id have none."""
+    """(id, doc_id, row, line, size, head) of every line that isn't blank. row: a hash that tells apart texts under one doc_id;
+    head: whether it is the first of its text. Rows without a doc_id have none."""
 
     def run(batches):
         for b in batches:
-            out: tuple[list, ...] = ([], [], [], [], [])
+            out: tuple[list, ...] = ([], [], [], [], [], [])
             for doc, row, text in zip(*(b.column(c).to_pylist() for c in ("doc_id", "row", "text"))):
-                for i, x in split_lines(text):
-                    for o, v in zip(out, (line_id(x), doc, row, i, len(x))):
+                for k, (i, x) in enumerate(split_lines(text)):
+                    for o, v in zip(out, (line_id(x), doc, row, i, len(x), not k)):
                         o.append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(o, k) for o, k in zip(out, (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32()))], ["id", "doc_id", "row", "line", "size"])
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.bool_())
+            yield pa.RecordBatch.from_arrays([pa.array(o, k) for o, k in zip(out, kinds)], ["id", "doc_id", "row", "line", "size", "head"])
 
-    return docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("row"), "text").mapInArrow(run, "id long, doc_id long, row long, line int, size int")
+    return docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("row"), "text").mapInArrow(run, "id long, doc_id long, row long, line int, size int, head boolean")
 
 
 def distinct_lines(batches, least: int):
@@ -299,18 +300,17 @@ def line_classes(docs: DataFrame, edits: int = EDITS, least: int = SHORTEST) ->
 
 
 def marked(docs: DataFrame, edits: int = EDITS, least: int = SHORTEST) -> tuple[DataFrame, list[DataFrame]]:
-    """(doc_id, row, line, size, n_links, again): each line that isn't blank of rows with a doc_id, and whether its class occurs
+    """(doc_id, row, line, size, head, n_links, again): each line that isn't blank of rows with a doc_id, and whether its class occurs
     before it; the lines of equal rows come as often as these. Also the tables that it reads."""
     occ, lines = line_classes(docs, edits, least)
-    rows = occ.join(lines, "id").select("doc_id", "row", "line", "size", "n_links", (F.struct("doc_id", "row", "line") != F.col("first")).alias("again"))
+    rows = occ.join(lines, "id").select("doc_id", "row", "line", "size", "head", "n_links", (F.struct("doc_id", "row", "line") != F.col("first")).alias("again"))
     return rows, [occ, lines]
 
 
-def _beside(docs: DataFrame, found: DataFrame) -> DataFrame:
-    """docs with what was found for each (doc_id, row); docs' own columns may have any name."""
-    found = found.withColumnsRenamed({c: f"_lineweave_{c}" for c in found.columns})
-    same = (docs["doc_id"].cast("long") == found["_lineweave_doc_id"]) & (F.xxhash64(docs["text"]) == found["_lineweave_row"])
-    return docs.join(found, same, "left")
+def _beside(docs: DataFrame, found: DataFrame, *columns: str) -> DataFrame:
+    """The columns of docs as a struct `own`, whatever their names, with what was found for each (doc_id, row)."""
+    own = docs.select(F.struct(*columns).alias("own"), F.col("doc_id").cast("long").alias("d"), F.xxhash64("text").alias("r"))
+    return own.join(found, (F.col("d") == F.col("doc_id")) & (F.col("r") == F.col("row")), "left")
 
 
 def dedup_lines(docs: DataFrame, edits: int = EDITS, least: int = SHORTEST) -> DataFrame:
@@ -323,14 +323,13 @@ def dedup_lines(docs: DataFrame, edits: int = EDITS, least: int = SHORTEST) -> D
     becomes empty; equal rows of one doc_id are one document and stay alike. All columns stay, whatever their names.
     """
     found, tables = marked(docs, edits, least)
-    rows = _beside(docs, found.where("again").groupBy("doc_id", "row").agg(F.collect_set("line").alias("lost")))
-    lost = F.col("_lineweave_lost")
-    left = F.filter(F.split("text", "\n", -1), lambda x, i: ~F.array_contains(lost, i))
-    text = F.when(lost.isNull(), F.col("text")).otherwise(F.array_join(left, "\n"))
+    rows = _beside(docs, found.where("again").groupBy("doc_id", "row").agg(F.collect_set("line").alias("lost")), *docs.columns)
+    left = F.filter(F.split("own.text", "\n", -1), lambda x, i: ~F.array_contains("lost", i))
+    text = F.when(F.col("lost").isNull(), F.col("own.text")).otherwise(F.array_join(left, "\n"))
     out = {"text": text}
     if "n_chars" in docs.columns:
         out["n_chars"] = F.length(text).cast(docs.schema["n_chars"].dataType)
-    return settled(rows.select(*(out.get(c, docs[c]).alias(c) for c in docs.columns)), *tables)
+    return settled(rows.select(*(out.get(c, F.col("own")[c]).alias(c) for c in docs.columns)), *tables)
 
 
 def line_report(docs: DataFrame, edits: int = EDITS, least: int = SHORTEST) -> DataFrame:
@@ -340,7 +339,6 @@ def line_report(docs: DataFrame, edits: int = EDITS, least: int = SHORTEST) -> D
     Rows without a doc_id, and null, empty and blank texts, have zeros. Other columns are not looked at.
     """
     found, tables = marked(docs, edits, least)
-    found = found.repartition(partitions(docs), "doc_id", "row").dropDuplicates(["doc_id", "row", "line"])  # equal rows count once
-    found = found.groupBy("doc_id", "row").agg(F.count("*").alias("n_lines"), F.sum("n_links").alias("n_links"), F.count_if("again").alias("n_again"), F.sum(F.when(~F.col("again"), F.col("size")).otherwise(0)).alias("kept_chars"))
-    docs = docs.select("doc_id", "text")
-    return settled(_beside(docs, found).select("doc_id", *(F.coalesce(f"_lineweave_{c}", F.lit(0)).cast("long").alias(c) for c in ("n_lines", "n_links", "n_again", "kept_chars"))), *tables)
+    found = found.groupBy("doc_id", "row").agg(F.count("*").alias("n_lines"), F.sum("n_links").alias("n_links"), F.count_if("again").alias("n_again"), F.sum(F.when(~F.col("again"), F.col("size")).otherwise(0)).alias("kept_chars"), F.count_if("head").alias("copies"))
+    found = found.select("doc_id", "row", *((F.col(c) / F.col("copies")).cast("long").alias(c) for c in ("n_lines", "n_links", "n_again", "kept_chars")))  # of one of the equal rows
+    return settled(_beside(docs, found, "doc_id").select("own.doc_id", *(F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("n_lines", "n_links", "n_again", "kept_chars"))), *tables)
