@@ -10,11 +10,10 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from lineweave.functions.tags import arguments, tidied
 from lineweave.functions.text import BLOCK
 
 _PIECE = re.compile(r"\{([^}]*)\}|([^{]+|\{)")
-_TIMING = re.compile(r"\\[kK][fo]?\d+")
-_BLANK = " \t\n\r\f\v"
 
 
 def _each(c: Column | str, f: Callable, kind: str) -> Column:
@@ -31,23 +30,7 @@ def _each(c: Column | str, f: Callable, kind: str) -> Column:
 def parameters(c: Column | str) -> Column:
     """What follows a tag's name, as a list: one value, or the parts between parentheses cut at their own commas, with any
     text after the closing one as a last part. Null stays null."""
-
-    def one(text: str) -> list[str]:
-        if not text.startswith("("):
-            return [text.strip(_BLANK)] if text else []
-        found, depth, rest = [""], 0, ""
-        for k, ch in enumerate(text):
-            depth += (ch == "(") - (ch == ")")
-            if not depth:
-                rest = text[k + 1 :]
-                break
-            if ch == "," and depth == 1:
-                found.append("")
-            elif k:
-                found[-1] += ch
-        return [x.strip(_BLANK) for x in found] + [rest] * bool(rest)
-
-    return _each(c, one, "array<string>")
+    return _each(c, arguments, "array<string>")
 
 
 def write_tag(name: Column, values: Column) -> Column:
@@ -130,40 +113,9 @@ def fullwidth(c: Column | str) -> Column:
     return in_blocks(c, lambda p: F.translate(p, "".join(signs), "".join(wide)), plain=True)
 
 
-#: Tags that hold for a whole line, in the order in which they come to its front; of a group the first to stand in the text wins.
-_LINE_TAGS = [[r"\\an?\d+"], [r"\\org\([^,)]*,[^,)]*\)"], [r"\\move\((?:[^,)]*,){3}[^,)]*\)", r"\\pos\([^,)]*,[^,)]*\)"], [r"\\fade\((?:[^,)]*,){6}[^,)]*\)", r"\\fad\([^,)]*,[^,)]*\)"]]
-
-
-def _clean(text: str) -> str:
-    out: list[list] = []
-    for m in _PIECE.finditer(text):
-        block = m[1] is not None
-        if block and out and out[-1][0] and not (_TIMING.search(out[-1][1]) and _TIMING.search(m[1])):
-            out[-1][1] += m[1]
-        else:
-            out.append([block, m[1] if block else m[2]])
-    text = "".join("{" + "".join(_TIMING.findall(t)) + _TIMING.sub("", t) + "}" if block else t for block, t in out)
-    front = ""
-    for group in _LINE_TAGS:
-        either = re.compile("|".join(group))
-        if first := either.search(text):
-            front += first[0]
-            text = either.sub("", text)
-    if front:
-        text = "{" + front + (text[1:] if text.startswith("{") else "}" + text)
-
-    def tight(m: re.Match) -> str:
-        inner = re.sub(r"\s*([(),])\s*", r"\1", m[2].strip())
-        return f"{m[1]}({re.sub(chr(92) + 's+', ' ' if m[1] in (chr(92) + 'clip', chr(92) + 'iclip') else '', inner)})"
-
-    text = re.sub(r"\{[^}]*\}", lambda b: re.sub(r"(\\[A-Za-z0-9]+)\s*\(([^()]*)\)", tight, b[0]), text)
-    return re.sub(r"\{\s*\}", "", text)
-
-
 def clean_tags(c: Column | str) -> Column:
-    """Neighbouring blocks become one unless both time a syllable, timing tags come first in theirs, tags of the whole line
-    go to the front, spaces in parameters and empty blocks go."""
-    return _each(c, _clean, "string")
+    """tags.tidied(): neighbouring blocks joined, timing tags and tags of the whole line in front, no empty blocks."""
+    return tidied(c)
 
 
 # ---------------------------------------------------------------- words and wrapping
@@ -192,14 +144,6 @@ def _balanced(widths: list[int], most: int) -> list[int]:
 def _wrap(widths: list[int], most: int, mode: str) -> list[int]:
     if mode == "none" or len(widths) < 2 or sum(widths) <= most:
         return []
-    if mode == "greedy":
-        found, line = [], 0
-        for k, w in enumerate(widths):
-            if 0 < line and line + w > most:
-                found.append(k)
-                line = 0
-            line += w
-        return found
     found = _balanced(widths, most)
     if mode == "balanced":
         return found
@@ -216,9 +160,22 @@ def _wrap(widths: list[int], most: int, mode: str) -> list[int]:
     return found
 
 
+def _greedy(widths: Column, most: int) -> Column:
+    """Numbers of the words before which greedy lines break, as one fold over the array."""
+    start = F.struct(F.lit(0).alias("line"), F.lit(0).alias("k"), F.array().cast("array<int>").alias("found"))
+
+    def step(s: Column, w: Column) -> Column:
+        over = (s["line"] > 0) & (s["line"] + w > most)
+        return F.struct(F.when(over, w).otherwise(s["line"] + w).alias("line"), (s["k"] + 1).alias("k"), F.when(over, F.concat(s["found"], F.array(s["k"]))).otherwise(s["found"]).alias("found"))
+
+    return F.aggregate(F.transform(widths, lambda w: w.cast("int")), start, step, lambda s: s["found"])
+
+
 def wrap_points(widths: Column | str, most: int, mode: str = "first_longer") -> Column:
     """Numbers of the words before which lines of at most a width break: greedy, balanced, first_longer, last_longer or
     none. A single word may be wider. Nothing breaks where all words fit."""
+    if mode == "greedy":
+        return _greedy(F.col(widths) if isinstance(widths, str) else widths, most)
     return _each(widths, lambda w: _wrap([int(x) for x in w], most, mode), "array<int>")
 
 
