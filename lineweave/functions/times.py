@@ -42,24 +42,38 @@ def format_srt(ms: Column | str) -> Column:
     return F.format_string("%02d:%02d:%02d,%03d", _div(c, 3600000), _div(c, 60000) % 60, _div(c, 1000) % 60, c % 1000)
 
 
+def _whole(a: Column, b: int) -> Column:
+    """Whole quotient of two integers, towards zero."""
+    return F.call_function("div", a, F.lit(b).cast("bigint"))
+
+
 def frame_at(ms: Column | str, num: int, den: int, mode: str = "exact") -> Column:
-    """Frame shown at a time at num / den frames a second; start: first frame that begins at or after it, end: last that
-    begins before it."""
+    """Frame shown at a time at num / den frames a second, by the times in whole ms at which frames begin; start: first frame that
+    begins at or after it, end: last that begins before it. Negative times have negative frames."""
     c = F.col(ms) if isinstance(ms, str) else ms
+
+    def exact(t: Column) -> Column:
+        later = _whole(t * F.lit(num).cast("bigint") + ((num + 1) // 2 - 1), den * 1000)
+        return F.when(t < 0, _whole(_whole(t * F.lit(num).cast("bigint"), den) - 999, 1000)).otherwise(later)
+
     t = c.cast("bigint")
     if mode == "exact":
-        return F.floor(t * F.lit(num) / F.lit(den * 1000)).cast("int")
-    return (F.floor((t - 1) * F.lit(num) / F.lit(den * 1000)) + (1 if mode == "start" else 0)).cast("int")
+        return exact(t).cast("int")
+    return (exact(t - 1) + (1 if mode == "start" else 0)).cast("int")
 
 
 def time_at(frame: Column | str, num: int, den: int, mode: str = "exact") -> Column:
     """Time in ms at which a frame begins; start and end: midway to the frame before or after, rounded up."""
     f = F.col(frame) if isinstance(frame, str) else frame
-    exact = lambda k: F.floor((k.cast("bigint") * F.lit(den * 1000) + F.lit(num // 2)) / F.lit(num)).cast("int")
+
+    def exact(k: Column) -> Column:
+        t = k.cast("bigint") * F.lit(den * 1000).cast("bigint")
+        return _whole(F.when(k < 0, t).otherwise(t + num // 2), num).cast("int")
+
     if mode == "exact":
         return exact(f)
     a, b = (exact(f - 1), exact(f)) if mode == "start" else (exact(f), exact(f + 1))
-    return (a + F.floor((b - a + 1) / 2)).cast("int")
+    return (a + _whole((b - a + 1).cast("bigint"), 2)).cast("int")
 
 
 def smpte(frame: Column | str, rate: int = 30, drop: bool = False) -> Column:
@@ -73,3 +87,18 @@ def smpte(frame: Column | str, rate: int = 30, drop: bool = False) -> Column:
         f = f + tens * 9 * lost + F.when(rest >= lost, lost * F.floor((rest - lost) / minute)).otherwise(0)
     s = F.floor(f / rate)
     return F.format_string(f"%02d:%02d:%02d{sep}%02d", F.floor(s / 3600).cast("int"), (F.floor(s / 60) % 60).cast("int"), (s % 60).cast("int"), (f % rate).cast("int"))
+
+
+def frame_of_smpte(code: Column | str, rate: int = 30, drop: bool = False) -> Column:
+    """Frame number of hh:mm:ss:ff. With drop frames a number that is left out stands for the next there is. What isn't four
+    numbers gives 0."""
+    c = F.col(code) if isinstance(code, str) else code
+    parts = F.transform(F.split(c, "[:;]"), lambda x: x.try_cast("int"))
+    h, m, s, f = (F.get(parts, F.lit(k)) for k in range(4))
+    plain = ((h * 60 + m) * 60 + s) * rate + f
+    if drop:
+        lost = rate // 15
+        minute, ten = rate * 60 - lost, rate * 600 - 9 * lost
+        f = F.when((m % 10 != 0) & (s == 0) & (f < lost), lost).otherwise(f)
+        plain = h * ten * 6 + F.floor(m / 10) * ten + m % 10 * minute + s * rate + f
+    return F.when((F.size(parts) == 4) & plain.isNotNull(), plain).otherwise(0).cast("int")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lineweave.functions.tags import retimed
 from lineweave.functions.times import clamp, frame_at, time_at
 from lineweave.operators.windows import asof, by_file
 
@@ -67,9 +68,9 @@ def snap(lines: DataFrame, keyframes: DataFrame, column: str, before: int, after
 
 
 def post_process(lines: DataFrame, lead_before: int = 0, lead_after: int = 0, gap: int = 0, overlap: int = 0, bias: float = 0.5, keyframes: DataFrame | None = None, thresholds: tuple[int, int, int, int] = (0, 0, 0, 0)) -> DataFrame:
-    """Lead-in, lead-out, adjacency and snapping, each on what the one before gives. Comments are left out; a negative
-    duration is an error."""
-    lines = lines.where(~F.col("comment"))
+    """Lead-in, lead-out, adjacency and snapping, each on what the one before gives. Comments stay as they are; a negative
+    duration of another line is an error."""
+    comments, lines = lines.where("comment"), lines.where(~F.col("comment"))
     if lines.where("end_ms < start_ms").limit(1).count():
         raise ValueError("a line ends before it begins")
     out = lead_in(lines, lead_before) if lead_before else lines
@@ -77,7 +78,52 @@ def post_process(lines: DataFrame, lead_before: int = 0, lead_after: int = 0, ga
     out = make_adjacent(out, gap, overlap, bias) if gap or overlap else out
     if keyframes is not None:
         out = snap(snap(out, keyframes, "start_ms", *thresholds[:2]), keyframes, "end_ms", *thresholds[2:])
-    return out
+    return out.select(lines.columns).unionByName(comments)
+
+
+def snap_to_keyframes(lines: DataFrame, keyframes: DataFrame, rate: tuple[int, int], thresholds: tuple[int, int, int, int]) -> DataFrame:
+    """Starts go to the nearest key frame (file_id, frame), the earlier of two equally near, ends to the end of the frame before the
+    nearest; if the new time lies within the thresholds in ms: of starts before and after, of ends before and after."""
+    keys = F.sort_array(F.collect_set("frame"))
+    k = keyframes.groupBy("file_id").agg(keys.alias("_keys"))
+    out = lines.join(k, "file_id", "left")
+    for column, mode, (before, after) in (("start_ms", "start", thresholds[:2]), ("end_ms", "end", thresholds[2:])):
+        frame = frame_at(column, *rate, mode)
+        out = out.withColumn("_f", frame)
+        low = F.array_max(F.filter("_keys", lambda x: x <= F.col("_f")))
+        high = F.array_min(F.filter("_keys", lambda x: x > F.col("_f")))
+        near = F.when(low.isNull() | (high - F.col("_f") < F.col("_f") - low), high).otherwise(low) - (1 if mode == "end" else 0)
+        time, c = time_at(near, *rate, mode), F.col(column)
+        ok = ((near > F.col("_f")) & (time - c <= before)) | ((near < F.col("_f")) & (c - time <= after))
+        out = out.withColumn(column, F.when(ok, clamp(time)).otherwise(c).cast("int"))
+    return out.select(lines.columns)
+
+
+def snap_to_frame(lines: DataFrame, selected: Column, frame: int, rate: tuple[int, int], start: bool = True) -> DataFrame:
+    """Starts (or ends) of selected lines go to where a frame begins (or ends); the other end follows where it would lie beyond."""
+    a, b = (clamp(time_at(F.lit(frame), *rate, mode)).cast("int") for mode in ("start", "end"))
+    new_start = a if start else F.least("start_ms", a)
+    new_end = F.greatest("end_ms", b) if start else b
+    return lines.withColumns({"start_ms": F.when(selected, new_start).otherwise(F.col("start_ms")), "end_ms": F.when(selected, new_end).otherwise(F.col("end_ms"))})
+
+
+def snap_to_scene(lines: DataFrame, keyframes: DataFrame, selected: Column, frame: int, rate: tuple[int, int], frames: int) -> DataFrame:
+    """Selected lines take the time between the key frames (file_id, frame) about a frame: the last one up to it (else 0), and the
+    first after it, else the number of frames of the video. Files without key frames stay."""
+    k = keyframes.groupBy("file_id").agg(F.max(F.when(F.col("frame") <= frame, F.col("frame"))).alias("_a"), F.min(F.when(F.col("frame") > frame, F.col("frame"))).alias("_b"), F.lit(True).alias("_has"))
+    out = lines.join(k, "file_id", "left")
+    start = clamp(time_at(F.coalesce("_a", F.lit(0)), *rate, "start")).cast("int")
+    end = clamp(time_at(F.coalesce("_b", F.lit(frames)) - 1, *rate, "end")).cast("int")
+    hit = selected & F.coalesce("_has", F.lit(False))
+    return out.withColumns({"start_ms": F.when(hit, start).otherwise(F.col("start_ms")), "end_ms": F.when(hit, end).otherwise(F.col("end_ms"))}).select(lines.columns)
+
+
+def align_to(lines: DataFrame, selected: Column, active: DataFrame, frame: int, rate: tuple[int, int]) -> DataFrame:
+    """Shifts the selected lines of each file so that its active line (file_id, id) begins where a frame does."""
+    a = active.join(lines, ["file_id", "id"]).select("file_id", (clamp(time_at(F.lit(frame), *rate, "start")) - F.col("start_ms")).alias("_by"))
+    out = lines.join(a, "file_id", "left")
+    by = F.when(selected, F.coalesce("_by", F.lit(0))).otherwise(0)
+    return out.withColumns({c: clamp(F.col(c) + by).cast("int") for c in ("start_ms", "end_ms")}).select(lines.columns)
 
 
 def make_continuous(lines: DataFrame, end: bool = True) -> DataFrame:
@@ -115,10 +161,26 @@ def times_of(frames: DataFrame, timecodes: DataFrame) -> DataFrame:
     return out.withColumn("ms", F.coalesce("_ms", beyond.cast("int"))).drop("_last", "_end", "_first", "_ms")
 
 
-def transform_rate(lines: DataFrame, source: tuple[int, int], target: tuple[int, int]) -> DataFrame:
-    """Lines keep their frames while the frame rate changes; a time that wasn't zero doesn't become zero."""
-    out = lines
-    for c, mode in (("start_ms", "start"), ("end_ms", "end")):
-        new = time_at(frame_at(c, *source, mode), *target, mode)
-        out = out.withColumn(c, F.when((F.col(c) > 0) & (new <= 0), 1).otherwise(clamp(new)).cast("int"))
-    return out
+def _moved(c: Column, source: tuple[int, int], target: tuple[int, int]) -> Column:
+    f = frame_at(c, *source)
+    old, new = ((time_at(f, *r), time_at(f + 1, *r)) for r in (source, target))
+    return (new[0] + (new[1] - new[0]) * ((c - old[0]) / (old[1] - old[0]).cast("double"))).cast("int")
+
+
+def _moved_int(ms: int, source: tuple[int, int], target: tuple[int, int]) -> int:
+    """_moved() of one time that isn't negative."""
+    begins = lambda f, r: (f * 1000 * r[1] + r[0] // 2) // r[0]
+    f = (ms * source[0] + (source[0] + 1) // 2 - 1) // (1000 * source[1])
+    old, new = ((begins(f, r), begins(f + 1, r)) for r in (source, target))
+    return int(new[0] + (new[1] - new[0]) * ((ms - old[0]) / (old[1] - old[0])))
+
+
+def transform_rate(lines: DataFrame, source: tuple[int, int], target: tuple[int, int], tags: bool = False) -> DataFrame:
+    """Lines keep their frames, and their places within them, while the frame rate changes from source to target. Starts are
+    cut and ends rounded up to 10 ms. With tags the times in override tags change likewise."""
+    start = F.floor(_moved(F.col("start_ms"), source, target) / 10) * 10
+    end = F.floor((_moved(F.col("end_ms"), source, target) + 9) / 10) * 10
+    out = lines.withColumns({"_s": start.cast("int"), "_e": end.cast("int")})
+    if tags:
+        out = out.withColumn("text", retimed("text", "start_ms", "end_ms", "_s", "_e", lambda ms: _moved_int(ms, source, target)))
+    return out.withColumns({"start_ms": clamp(F.col("_s")), "end_ms": clamp(F.col("_e"))}).select(lines.columns)
