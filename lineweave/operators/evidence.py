@@ -15,10 +15,10 @@ def scan_window():
 
 
 def presence(frames: DataFrame, enter: float, leave: float) -> DataFrame:
-    """Hysteresis over (scan_id, frame, coverage, ocr_box): on from `enter`, off below `leave`, between them as before unless
-    the box says no; negative coverage holds. The state is off at first."""
+    """Hysteresis over (scan_id, frame, coverage, ocr_box): on from `enter`, off below `leave`, between them as before; without a
+    box it is off whatever the coverage; negative coverage holds. A null box doesn't veto. The state is off at first."""
     c = F.col("coverage")
-    state = F.when(c < 0, F.lit(None).cast("boolean")).when(c >= enter, True).when(c < leave, False).when(~F.col("ocr_box"), False)
+    state = F.when(c < 0, F.lit(None).cast("boolean")).when(~F.col("ocr_box"), False).when(c >= enter, True).when(c < leave, False)
     w = scan_window().rowsBetween(Window.unboundedPreceding, 0)
     return frames.withColumn("_s", state).withColumn("present", F.coalesce(F.last("_s", ignorenulls=True).over(w), F.lit(False))).drop("_s")
 
@@ -43,9 +43,11 @@ def run_at(frames: DataFrame, anchor: int) -> DataFrame:
 
 
 def merge_same_interval(events: DataFrame) -> DataFrame:
-    """Events of one scan with equal bounds become one, their texts joined top down, with the mean confidence."""
+    """Events of one scan with equal bounds become one, their texts joined top down, with the mean confidence and, of the edges
+    that the events have, the box around all."""
     one = F.transform(F.sort_array(F.collect_list(F.struct("top", "text"))), lambda x: x["text"])
-    return events.groupBy("scan_id", "first_frame", "last_frame").agg(F.array_join(one, "\n").alias("text"), F.avg("confidence").alias("confidence"))
+    box = [f(c).alias(c) for c, f in (("left", F.min), ("top", F.min), ("right", F.max), ("bottom", F.max)) if c in events.columns]
+    return events.groupBy("scan_id", "first_frame", "last_frame").agg(F.array_join(one, "\n").alias("text"), F.avg("confidence").alias("confidence"), *box)
 
 
 def mean_abs_diff(a: Column | str, b: Column | str) -> Column:
@@ -96,24 +98,30 @@ def last_writer(samples: DataFrame) -> DataFrame:
     return samples.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
 
 
-def repair_spikes(samples: DataFrame, column: str, limit: float) -> DataFrame:
-    """A value off both neighbours by more than the limit, while they agree, becomes their mean."""
+def repair_spikes(samples: DataFrame, columns: list[str], limit: float) -> DataFrame:
+    """A point that is further than the limit from both neighbours and from where the line between them puts its frame goes
+    there. columns: the coordinates of a point, or one scalar. A track's first and last frames stay."""
     w = Window.partitionBy("track_id").orderBy("frame")
-    a, x, b = F.lag(column).over(w), F.col(column), F.lead(column).over(w)
-    spike = (F.abs(x - a) > limit) & (F.abs(x - b) > limit) & (F.abs(a - b) <= limit)
-    return samples.withColumn(column, F.when(spike, (a + b) / 2).otherwise(x))
+    f, before, after = F.col("frame"), F.lag("frame").over(w), F.lead("frame").over(w)
+    share = (f - before) / F.greatest(after - before, F.lit(1))
+    old = {c: (F.lag(c).over(w), F.col(c), F.lead(c).over(w)) for c in columns}
+    between = {c: a + (b - a) * share for c, (a, _, b) in old.items()}
+    far = lambda d: F.sqrt(sum((d(c) * d(c) for c in columns), F.lit(0.0))) > limit
+    spike = far(lambda c: old[c][1] - between[c]) & far(lambda c: old[c][1] - old[c][0]) & far(lambda c: old[c][1] - old[c][2])
+    return samples.withColumns({c: F.when(spike, between[c]).otherwise(old[c][1]) for c in columns})
 
 
-def hold_jitter(samples: DataFrame, column: str, limit: float) -> DataFrame:
-    """A value within the limit of the one held stays that one. Depends on all values before, so each track is a fold."""
+def hold_jitter(samples: DataFrame, columns: list[str], limit: float) -> DataFrame:
+    """A point nearer than the limit to the one held stays there. Depends on all points before, so each track is a fold; its
+    first and last frames stay."""
 
     def run(p: pd.DataFrame) -> pd.DataFrame:
         p = p.sort_values("frame")
-        held, out = None, []
-        for x in p[column]:
-            held = x if held is None or abs(x - held) > limit else held
-            out.append(held)
-        return p.assign(**{column: out})
+        at = p[columns].to_numpy(float)
+        for k in range(1, len(at) - 1):
+            if np.sqrt(((at[k] - at[k - 1]) ** 2).sum()) < limit:
+                at[k] = at[k - 1]
+        return p.assign(**{c: at[:, k] for k, c in enumerate(columns)})
 
     return samples.groupBy("track_id").applyInPandas(run, samples.schema)
 
@@ -149,12 +157,18 @@ def double_rate(samples: DataFrame) -> DataFrame:
     return samples.withColumn("_h", half).select("track_id", F.explode(F.array(F.struct((F.col("idx") * 2).alias("idx"), F.col("value").cast("int").alias("value")), F.struct((F.col("idx") * 2 + 1).alias("idx"), F.col("_h").alias("value")))).alias("s")).select("track_id", "s.idx", "s.value")
 
 
-def spectrum(block: Column | str) -> Column:
-    """Log magnitudes of the lower half of a block's Fourier transform."""
+def spectrum(block: Column | str, user_size: int | None = None) -> Column:
+    """Log magnitudes of the lower half of the Fourier transform of a block of 16-bit samples: log10(9 m + 1) of magnitudes m that
+    are relative to the root of twice its length. user_size: the length for which levels are wanted, where a higher sampling
+    rate has made the block longer."""
+
+    def one(x) -> list[float]:
+        level = 9 / np.sqrt(2 * len(x)) / np.sqrt(len(x) / (user_size or len(x)))
+        return np.log10(1 + level * np.abs(np.fft.rfft(np.asarray(x, float) / 32768))[: max(1, len(x) // 2)]).tolist()
 
     @F.pandas_udf("array<double>")
     def run(s: pd.Series) -> pd.Series:
-        return s.map(lambda x: None if x is None else np.log10(1 + np.abs(np.fft.rfft(np.asarray(x, float)))[: max(1, len(x) // 2)]).tolist())
+        return s.map(lambda x: None if x is None else one(x) if len(x) else [])
 
     return run(block)
 
@@ -221,3 +235,77 @@ def ambiguous(frames: DataFrame, bounds: DataFrame, leave: float, start: bool =
         bad = bad | (f.isNotNull() & ((f != F.col("frame") + side * k) | (outer("coverage", k).over(w) >= leave)))
     seen = frames.withColumn("_bad", bad).select("scan_id", "frame", "_bad")
     return bounds.join(seen, ["scan_id", "frame"], "left").withColumn("ambiguous", F.coalesce("_bad", F.lit(True))).drop("_bad")
+
+
+# ---------------------------------------------------------------- regions of frames
+
+
+def crop(pixels: Column | str, width: Column | str, left: int, top: int, across: int, down: int, channels: int = 3) -> Column:
+    """A rectangle of an image of interleaved channels, as such an image. Null where it isn't within the image."""
+    c, w = (F.col(x) if isinstance(x, str) else x for x in (pixels, width))
+    inside = (left + across <= w) & ((top + down) * w * channels <= F.size(c)) & F.lit(left >= 0 and top >= 0 and across > 0 and down > 0)
+    rows = F.transform(F.sequence(F.lit(0), F.lit(max(down, 1) - 1)), lambda y: F.slice(c, ((y + top) * w + left) * channels + 1, across * channels))
+    return F.when(inside, F.flatten(rows))
+
+
+def histogram_mode(values: Column | str, bins: int = 32) -> Column:
+    """The bin, of 256 values in equal bins, that most values lie in, the lowest of equally full ones; null without values."""
+    c = F.col(values) if isinstance(values, str) else values
+    place = F.transform(c, lambda x: F.floor(x * bins / 256).cast("int"))
+    count = lambda k: F.size(F.filter(place, lambda x: x == k))
+    found = F.transform(F.sequence(F.lit(0), F.lit(bins - 1)), lambda k: F.struct(count(k).alias("n"), (-k).alias("k")))
+    return F.when(F.size(c) > 0, -F.array_max(found)["k"])
+
+
+def channel_means(pixels: Column | str, channels: int = 3) -> Column:
+    """Mean of each channel of an image of interleaved channels; an empty image has none."""
+    c = F.col(pixels) if isinstance(pixels, str) else pixels
+    of = lambda k: F.filter(c, lambda x, i: i % channels == k)
+    mean = lambda a: F.aggregate(a, F.lit(0.0), lambda s, x: s + x) / F.size(a)
+    return F.when(F.size(c) >= channels, F.array(*(mean(of(k)) for k in range(channels))))
+
+
+def changed_ratio(a: Column | str, b: Column | str, limit: int, channels: int = 3) -> Column:
+    """Share of pixels of two images of interleaved channels of which one channel differs by more than the limit; 1 where the
+    sizes differ, 0 where both are empty."""
+    a, b = (F.col(x) if isinstance(x, str) else x for x in (a, b))
+    far = F.zip_with(a, b, lambda x, y: F.abs(x - y) > limit)
+    pixels = F.sequence(F.lit(0), F.floor(F.size(a) / channels) - 1)
+    hit = F.filter(pixels, lambda p: F.exists(F.slice(far, (p * channels + 1).cast("int"), channels), lambda x: x))
+    return F.when(F.size(a) != F.size(b), 1.0).when(F.size(a) < channels, 0.0).otherwise(F.size(hit) / F.floor(F.size(a) / channels))
+
+
+def accumulated(samples: DataFrame, columns: list[str]) -> DataFrame:
+    """Offsets (track_id, segment, frame, ...) of segments that follow each other, each carried on from where the one before
+    ended: the last offset of all earlier segments is added."""
+    ends = samples.groupBy("track_id", "segment").agg(*(F.max_by(c, "frame").alias(f"_{c}") for c in columns))
+    w = Window.partitionBy("track_id").orderBy("segment").rowsBetween(Window.unboundedPreceding, -1)
+    base = ends.select("track_id", "segment", *(F.coalesce(F.sum(f"_{c}").over(w), F.lit(0.0)).alias(f"_{c}") for c in columns))
+    out = samples.join(base, ["track_id", "segment"])
+    return out.select(*((F.col(c) + F.col(f"_{c}")).alias(c) if c in columns else c for c in samples.columns))
+
+
+def nearest_track(detections: DataFrame, tracks: DataFrame, limit: float) -> DataFrame:
+    """Each detection (scan_id, det_id, signature) with the track (scan_id, track_id, signature) of its scan that is nearest by
+    signature_distance(), the first of equals; null where none is within the limit. A scan's tracks are few."""
+    t = tracks.select("scan_id", "track_id", F.col("signature").alias("_s"))
+    d = signature_distance("signature", "_s")
+    pairs = detections.join(t, "scan_id").select("scan_id", "det_id", "track_id", d.alias("distance")).where(F.col("distance") <= limit)
+    best = pairs.groupBy("scan_id", "det_id").agg(F.min(F.struct("distance", "track_id")).alias("b"))
+    return detections.select("scan_id", "det_id").join(best, ["scan_id", "det_id"], "left").select("scan_id", "det_id", "b.track_id", "b.distance")
+
+
+def region_hash(pixels: Column | str) -> Column:
+    """FNV-1a of an image's bytes in 64 bits, as 16 hexadecimal digits."""
+
+    def one(x) -> str:
+        h = 0xCBF29CE484222325
+        for v in x:
+            h = (h ^ (int(v) & 255)) * 0x100000001B3 & 0xFFFFFFFFFFFFFFFF
+        return f"{h:016x}"
+
+    @F.pandas_udf("string")
+    def run(s: pd.Series) -> pd.Series:
+        return s.map(lambda x: None if x is None else one(x))
+
+    return run(pixels)
