@@ -53,13 +53,16 @@ def timed(rows: DataFrame) -> DataFrame:
 def split_words(lines: DataFrame) -> DataFrame:
     """One syllable for each word, with the line's time in proportion to its bytes."""
     words = F.filter(F.split("text", " "), lambda x: x != "")
-    rows = lines.select("file_id", "id", "start_ms", "end_ms", F.posexplode(words).alias("idx", "text"))
-    w = Window.partitionBy("file_id", "id")
-    upto = F.sum(F.octet_length("text")).over(w.orderBy("idx").rowsBetween(Window.unboundedPreceding, 0))
-    total = F.sum(F.octet_length("text")).over(w)
+    none = F.array().cast("array<struct<text:string,upto:int>>")
+    upto = lambda s: F.coalesce(F.try_element_at(s, F.lit(-1))["upto"], F.lit(0))
+    marks = F.aggregate(words, none, lambda s, x: F.concat(s, F.array(F.struct(x.alias("text"), (upto(s) + F.octet_length(x)).alias("upto")))))
+    rows = lines.withColumn("_m", marks).withColumn("_total", upto(F.col("_m")))
+    rows = rows.select("file_id", "id", "start_ms", "end_ms", "_total", F.posexplode("_m").alias("idx", "x")).select("*", "x.text", "x.upto").drop("x")
     span = F.col("end_ms") - F.col("start_ms")
-    mark = lambda k: F.floor(span * k / total / 10).cast("int") * 10
-    return rows.withColumn("duration_ms", mark(upto) - mark(upto - F.octet_length("text"))).withColumn("syl_start_ms", F.col("start_ms") + mark(upto - F.octet_length("text")))
+    mark = lambda k: F.floor(span * k / F.col("_total") / 10).cast("int") * 10
+    before = F.col("upto") - F.octet_length("text")
+    out = rows.withColumns({"duration_ms": mark(F.col("upto")) - mark(before), "syl_start_ms": F.col("start_ms") + mark(before)})
+    return out.select("file_id", "id", "start_ms", "end_ms", "idx", "text", "duration_ms", "syl_start_ms")
 
 
 def fit_to_line(rows: DataFrame) -> DataFrame:
@@ -127,3 +130,48 @@ def auto_split(rows: DataFrame) -> DataFrame:
     out = rows.select("*", F.posexplode("_parts").alias("_k", "_t"))
     time = F.get("_left", F.col("_k")) - F.coalesce(F.get("_left", F.col("_k") + 1), F.lit(0))
     return timed(out.withColumns({"text": F.col("_t"), "idx": F.col("idx") + F.col("_k"), "duration_ms": time, "tags": F.when(F.col("_k") == 0, F.col("tags")).otherwise("")}).drop("_one", "_parts", "_left", "_k", "_t"))
+
+
+def split_syllable(rows: DataFrame, cuts: DataFrame, how: str = "bytes") -> DataFrame:
+    """Syllables with a cut (file_id, id, idx, pos: bytes of the text before it) become two. The time is divided by bytes to whole
+    10 ms (bytes), by characters so that the sum stays (characters), or the second has none (zero). The other tags stay with
+    the first. A cut at or beyond the end gives an empty second one."""
+    r = rows.join(cuts.select("file_id", "id", "idx", "pos"), ["file_id", "id", "idx"], "left")
+    raw = F.col("text").cast("binary")
+    left = F.when(F.col("pos") < F.octet_length("text"), F.substring(raw, F.lit(1), F.col("pos")).cast("string")).otherwise(F.col("text"))
+    right = F.when(F.col("pos") < F.octet_length("text"), F.substring(raw, F.col("pos") + 1, F.octet_length("text")).cast("string")).otherwise("")
+    d = F.col("duration_ms")
+    if how == "characters":
+        whole = F.floor((d + 5) / 10)
+        n = F.length(left) + F.length(right)
+        first = F.when(n > 0, F.floor((2 * whole * F.length(left) + n) / (2 * n)) * 10).otherwise(d)
+        second = F.when(n > 0, whole * 10 - first).otherwise(0)
+    elif how == "zero":
+        first, second = d, F.lit(0)
+    else:
+        a, b = F.octet_length(left), F.octet_length(right)
+        second = F.when(b == 0, 0).when(a == 0, d).otherwise(F.floor((F.floor(d * b / (a + b)) + 5) / 10) * 10)
+        first = d - second
+    one = lambda t, ms, tags: F.struct(t.alias("t"), ms.cast("int").alias("ms"), tags.alias("g"))
+    two = F.array(one(left, first, F.col("tags")), one(right, second, F.lit("")))
+    parts = F.when(F.col("pos").isNull(), F.array(one(F.col("text"), d, F.col("tags")))).otherwise(two)
+    out = r.select("*", F.posexplode(parts).alias("_k", "_p"))
+    place = F.row_number().over(Window.partitionBy("file_id", "id").orderBy("idx", "_k")) - 1
+    out = out.withColumn("_i", place).withColumns({"idx": F.col("_i"), "text": F.col("_p.t"), "duration_ms": F.col("_p.ms"), "tags": F.col("_p.g")})
+    return timed(out.select(*(c for c in rows.columns if c != "syl_start_ms"))).select(rows.columns)
+
+
+def insert_empty(rows: DataFrame, at: int) -> DataFrame:
+    """An empty syllable without time before syllable `at` of each line; beyond the last it comes after it."""
+    n = F.max("idx").over(Window.partitionBy("file_id", "id")) + 1
+    r = rows.withColumn("_n", F.least(F.lit(at), n))
+    new = r.groupBy("file_id", "id", "start_ms", "end_ms").agg(F.max("_n").alias("idx")).withColumns({"tag": F.lit("k"), "duration_ms": F.lit(0), "text": F.lit(""), "tags": F.lit("")})
+    old = r.withColumn("idx", F.when(F.col("idx") >= F.col("_n"), F.col("idx") + 1).otherwise(F.col("idx")))
+    names = ["file_id", "id", "start_ms", "end_ms", "idx", "tag", "duration_ms", "text", "tags"]
+    return timed(old.select(names).unionByName(new.select(names))).select(rows.columns)
+
+
+def pre_syllable(rows: DataFrame) -> DataFrame:
+    """Syllables numbered from 1, with an empty one of number 0 at the start of each line."""
+    first = rows.groupBy("file_id", "id", "start_ms", "end_ms").agg(F.lit(0).alias("idx")).withColumns({"tag": F.lit(""), "duration_ms": F.lit(0), "text": F.lit(""), "tags": F.lit(""), "syl_start_ms": F.col("start_ms")})
+    return rows.withColumn("idx", F.col("idx") + 1).unionByName(first.select(rows.columns))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -167,31 +169,69 @@ def join_lines(lines: DataFrame, group: list[str], how: str = "concatenate") ->
 
 
 def fit_new_line(lines: DataFrame, at: int, length: int) -> DataFrame:
-    """Times of a line to insert at a time in each file: it ends where the next begins and begins where the last before ends."""
-    before = F.max(F.when(F.col("end_ms") <= at, F.col("end_ms")))
+    """Times of a line to insert at a time in each file: it ends where the next line begins that doesn't begin before it."""
     after = F.min(F.when(F.col("start_ms") >= at, F.col("start_ms")))
-    return lines.groupBy("file_id").agg(F.greatest(F.lit(at), before).alias("start_ms"), F.least(F.lit(at + length), after).alias("end_ms"))
+    return lines.groupBy("file_id").agg(F.lit(at).alias("start_ms"), F.least(F.lit(at + length), after).alias("end_ms"))
+
+
+def insert_beside(lines: DataFrame, selected: DataFrame, length: int, before: bool = False) -> DataFrame:
+    """An empty line (id null) beside each selected one, with its style. After a line it is shown from its end on, before it until
+    its start, for `length` ms at most and not beyond the neighbour on that side."""
+    w = by_file()
+    rows = lines.withColumns({"_up": F.lag("end_ms").over(w), "_down": F.lead("start_ms").over(w)}).join(selected.select(KEY), KEY, "left_semi")
+    if before:
+        start = F.greatest(F.col("start_ms") - length, F.coalesce("_up", F.lit(0)), F.lit(0))
+        times = {"start_ms": F.least(start, F.col("start_ms")), "end_ms": F.col("start_ms")}
+    else:
+        end = F.least(F.col("end_ms") + length, F.coalesce("_down", F.col("end_ms") + length))
+        times = {"start_ms": F.col("end_ms"), "end_ms": F.greatest(end, F.col("end_ms"))}
+    new = rows.withColumns(times | {"text": F.lit(""), "comment": F.lit(False)}).drop("_up", "_down").withColumn("id", F.lit(None).cast("bigint"))
+    place = lambda d, k: d.withColumn("_at", F.struct(F.col("row_no").alias("a"), F.lit(k).alias("b")))
+    return renumber(place(lines, 0).unionByName(place(new, -1 if before else 1)), F.col("_at")).drop("_at")
+
+
+_EDGE = re.compile(r"^(?: |\t|\\[nNh])+|(?: |\t|\\[nNh])+$")
 
 
 def recombine(lines: DataFrame) -> DataFrame:
-    """Undoes splits: a line whose text is the end or beginning of its predecessor's, divided by a line end, takes that time
-    over."""
+    """Undoes splits and merges of neighbours: a text that begins or ends with another line's loses that part, and the other line
+    comes to be shown as long as both were. Line ends and spaces at the ends of texts go; of lines that come to have equal
+    texts one stays, and empty ones go, each while it is compared with those after it. Each file is a fold in order of starts.
+    """
+
+    def shed(long: dict, short: dict, front: bool) -> bool:
+        t, s = long["text"], short["text"]
+        if not (t.startswith(s) if front else t.endswith(s)):
+            return False
+        long["text"] = _EDGE.sub("", t[len(s) :] if front else t[: len(t) - len(s)])
+        cover(short, long)
+        return True
+
+    def cover(line: dict, other: dict) -> None:
+        line["start_ms"], line["end_ms"] = min(line["start_ms"], other["start_ms"]), max(line["end_ms"], other["end_ms"])
 
     def step(p):
-        out: list[dict] = []
-        for r in p.sort_values(["start_ms", "row_no"], kind="stable").to_dict("records"):
-            if out:
-                last = out[-1]
-                if last["text"] == r["text"] and last["end_ms"] >= r["start_ms"]:
-                    last["end_ms"] = max(last["end_ms"], r["end_ms"])
-                    continue
-                for a, b in ((last, r), (r, last)):
-                    for cut in (b["text"] + "\\N", "\\N" + b["text"]):
-                        if b["text"] and (a["text"].startswith(cut) or a["text"].endswith(cut)):
-                            b["start_ms"], b["end_ms"] = min(a["start_ms"], b["start_ms"]), max(a["end_ms"], b["end_ms"])
-                            a["text"] = a["text"].removeprefix(cut) if a["text"].startswith(cut) else a["text"].removesuffix(cut)
-                            break
-            out.append(r)
+        rows = p.sort_values(["start_ms", "row_no"], kind="stable").to_dict("records")
+        for r in rows:
+            r["text"] = _EDGE.sub("", r["text"])
+        gone = set()
+        for k, line in enumerate(rows[:-1]):
+            after = rows[k + 1]
+            if line["text"] == after["text"]:
+                cover(after, line)
+                gone.add(k)
+            elif not line["text"]:
+                gone.add(k)
+            elif k + 2 == len(rows) and not after["text"]:
+                gone.add(k + 1)
+            else:
+                rest = iter(rows[k + 1 :])
+                other = next(rest, None)
+                # the next one holds this line in front, then at its end; this one the next at its end, then in front
+                for this_is_short, front in ((True, True), (True, False), (False, False), (False, True)):
+                    while other is not None and (shed(other, line, front) if this_is_short else shed(line, other, front)):
+                        other = next(rest, None)
+        out = [r for k, r in enumerate(rows) if k not in gone]
         return p.iloc[:0] if not out else type(p)(out, columns=p.columns)
 
     return fold(lines, step, lines.schema)
@@ -222,30 +262,29 @@ def coverage(lines: DataFrame) -> DataFrame:
 
 
 def recombine_overlaps(lines: DataFrame) -> DataFrame:
-    """Lines without overlaps: where two meet, a line of both texts, the later one's on top."""
+    """Lines without overlaps: where two meet, a line of both texts, the later one's first. What comes of a pair has the earlier
+    line's other fields. Each file is a fold in order of starts; a new line goes before the first one beyond the pair that
+    doesn't begin before it."""
 
     def step(p):
-        rows = p.to_dict("records")
-        rows.sort(key=lambda r: (r["start_ms"], r["row_no"]))
-        k = 0
-        while k + 1 < len(rows):
-            a, b = rows[k], rows[k + 1]
-            if a["end_ms"] <= b["start_ms"]:
-                k += 1
+        rows = p.sort_values(["start_ms", "row_no"], kind="stable").to_dict("records")
+        done: list[dict] = []  # before the pair
+        while rows:
+            if not done or done[-1]["end_ms"] <= rows[0]["start_ms"]:
+                done.append(rows.pop(0))
                 continue
-            del rows[k : k + 2]
-            low, high = b["start_ms"], min(a["end_ms"], b["end_ms"])
-            tail = a if a["end_ms"] > b["end_ms"] else b
-            new = []
-            if a["start_ms"] < low:
-                new.append({**a, "end_ms": low})
-            if high > low:
-                new.append({**a, "start_ms": low, "end_ms": high, "text": a["text"] + "\\N" + b["text"]})
-            if max(a["end_ms"], b["end_ms"]) > high:
-                new.append({**tail, "start_ms": high})
-            rows += new
-            rows.sort(key=lambda r: r["start_ms"])
-        out = p.iloc[:0] if not rows else type(p)(rows, columns=p.columns)
+            a, b = done.pop(), rows.pop(0)
+            both = max(a["end_ms"], b["end_ms"])
+            pieces = [(a["start_ms"], b["start_ms"], a["text"]), (b["start_ms"], min(a["end_ms"], b["end_ms"]), b["text"] + "\\N" + a["text"])]
+            pieces += [(b["end_ms"], both, a["text"])] * (a["end_ms"] > b["end_ms"]) + [(a["end_ms"], both, b["text"])] * (b["end_ms"] > a["end_ms"])
+            for start, end, text in pieces[not b["start_ms"] > a["start_ms"] :]:
+                new = {**a, "start_ms": start, "end_ms": end, "text": text}
+                at = next((k for k, r in enumerate(rows) if r["start_ms"] >= start), len(rows))
+                if at:
+                    rows.insert(at, new)
+                else:
+                    done.append(new)
+        out = p.iloc[:0] if not done else type(p)(done, columns=p.columns)
         out["row_no"] = range(len(out))
         return out
 
