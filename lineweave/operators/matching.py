@@ -24,6 +24,14 @@ def similarity(a: Column | str, b: Column | str) -> Column:
     return F.when(longest == 0, 1.0).otherwise(1 - F.levenshtein(a, b) / longest)
 
 
+def similarity_from(a: Column | str, b: Column | str, least: float) -> Column:
+    """similarity() where it is at least `least`, else null. The distance isn't followed beyond what that allows."""
+    longest = F.greatest(F.length(a), F.length(b))
+    most = F.floor((1 - least) * longest + 1e-9).cast("int")
+    close = F.call_function("levenshtein", *(F.col(x) if isinstance(x, str) else x for x in (a, b)), most)
+    return F.when(longest == 0, 1.0).when(close >= 0, 1 - close / longest)
+
+
 def exact(queries: DataFrame, entries: DataFrame) -> DataFrame:
     """(query_id, text) and (file, key, text) with equal normalised texts."""
     q = queries.select("query_id", normalize("text").alias("norm"))
@@ -47,8 +55,8 @@ def fuzzy(queries: DataFrame, entries: DataFrame, threshold: float = 0.7, band:
     pairs = e.join(q, "_band")
     longest = F.greatest(F.length("q"), F.length("norm"))
     fits = F.least(F.length("q"), F.length("norm")) >= longest * threshold
-    pairs = pairs.where(fits).withColumn("score", similarity("q", "norm"))
-    return pairs.where(F.col("score") >= threshold).select("query_id", "file", "key", "text", "score")
+    pairs = pairs.where(fits).withColumn("score", similarity_from("q", "norm", threshold))
+    return pairs.where(F.col("score").isNotNull()).select("query_id", "file", "key", "text", "score")
 
 
 def ranked(matches: DataFrame, most: int = 300) -> DataFrame:
@@ -65,13 +73,26 @@ def match(queries: DataFrame, entries: DataFrame, threshold: float = 0.7, most:
     return ranked(hits.unionByName(other.select("query_id", F.col("_f").alias("file"), "key", "text", "score")), most)
 
 
+#: Names of languages and the code points of their scripts, the first that occurs in a text decides.
+SCRIPTS = (
+    ("日本語", r"\u3040-\u30FF\u31F0-\u31FF\uFF66-\uFF9F"),
+    ("中文", r"\u4E00-\u9FFF\u3400-\u4DBF"),
+    ("한국어", r"\uAC00-\uD7AF\u1100-\u11FF"),
+    ("Русский", r"\u0400-\u04FF"),
+    ("English", r"A-Za-z\u00C0-\u024F"),
+)
+
+
 def script_of(c: Column | str) -> Column:
-    """Language family by the scripts that occur: one kana is enough for ja, and so on down."""
-    rules = [("ja", r"[\u3040-\u30FF]"), ("zh", r"[\u4E00-\u9FFF]"), ("ko", r"[\uAC00-\uD7AF]"), ("ru", r"[\u0400-\u04FF]"), ("latin", r"[A-Za-z]")]
-    out = F.lit("unknown")
-    for name, pattern in reversed(rules):
-        out = F.when(F.col(c).rlike(pattern) if isinstance(c, str) else c.rlike(pattern), name).otherwise(out)
-    return out
+    """Language by the scripts that occur: one kana is enough for the first, and so on down; empty if none occurs. Texts of the
+    last script alone are scanned once."""
+    c = F.col(c) if isinstance(c, str) else c
+    last, pattern = SCRIPTS[-1]
+    out = F.when(c.rlike(f"[{pattern}]"), last).otherwise("")
+    some = F.lit(None).cast("string")
+    for name, pattern in reversed(SCRIPTS[:-1]):
+        some = F.when(c.rlike(f"[{pattern}]"), name).otherwise(some)
+    return F.when(c.rlike("[" + "".join(p for _, p in SCRIPTS[:-1]) + "]"), some).otherwise(out)
 
 
 def split_segments(c: Column | str) -> Column:
