@@ -8,8 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lineweave.functions import markup as B
+from lineweave.functions import tags as N
 from lineweave.functions import text as X
 from lineweave.functions import times as T
+from lineweave.operators import editing as E
 from lineweave.operators import evidence as V
 from lineweave.operators import history as H
 from lineweave.operators import karaoke as K
@@ -85,7 +87,8 @@ over_lines("split_at", lambda d: L.split_at(d, 4000).select("id", "row_no", "par
 over_lines("join_concat", lambda d: L.join_lines(d, ["file_id", "layer"]), "SELECT file_id, layer, min(row_no) AS row_no, min(start_ms) AS start_ms, max(end_ms) AS end_ms, string_agg(text, ' ' ORDER BY row_no) AS text FROM lines GROUP BY file_id, layer")
 over_lines("join_keep_first", lambda d: L.join_lines(d, ["file_id"], "keep_first"), "SELECT file_id, min(row_no) AS row_no, min(start_ms) AS start_ms, max(end_ms) AS end_ms, arg_min(text, row_no) AS text FROM lines GROUP BY file_id")
 over_lines("join_karaoke", lambda d: L.join_lines(d, ["file_id"], "karaoke"), "SELECT file_id, min(row_no) AS row_no, min(start_ms) AS start_ms, max(end_ms) AS end_ms, string_agg('{\\k' || ((end_ms - start_ms) // 10)::VARCHAR || '}' || text, '' ORDER BY row_no) AS text FROM lines GROUP BY file_id")
-over_lines("fit_new_line", lambda d: L.fit_new_line(d, 3500, 5000), "SELECT file_id, greatest(3500, max(CASE WHEN end_ms <= 3500 THEN end_ms END)) AS start_ms, least(8500, min(CASE WHEN start_ms >= 3500 THEN start_ms END)) AS end_ms FROM lines GROUP BY file_id")
+over_lines("fit_new_line", lambda d: L.fit_new_line(d, 3500, 5000), "SELECT file_id, 3500 AS start_ms, least(8500, min(CASE WHEN start_ms >= 3500 THEN start_ms END)) AS end_ms FROM lines GROUP BY file_id")
+over_lines("insert_after", lambda d: L.insert_beside(d, d.where("layer = 1"), 2000).select("file_id", "id", "row_no", "start_ms", "end_ms"), "SELECT file_id, CASE WHEN s = 0 THEN id END AS id, (row_number() OVER (PARTITION BY file_id ORDER BY row_no, s) - 1)::INT AS row_no, CASE WHEN s = 0 THEN start_ms ELSE end_ms END AS start_ms, CASE WHEN s = 0 THEN end_ms ELSE greatest(end_ms, least(end_ms + 2000, coalesce(n, end_ms + 2000))) END AS end_ms FROM (SELECT *, lead(start_ms) OVER (PARTITION BY file_id ORDER BY row_no) AS n FROM lines) CROSS JOIN (VALUES (0), (1)) AS c(s) WHERE s = 0 OR layer = 1")
 over_lines("recombine", lambda d: L.recombine(d).select("file_id", "id", "start_ms", "end_ms", "text"), None)
 over_lines("infer_resolution", lambda d: d.select("id", L.resolution(F.when(F.col("layer") == 0, 0).when(F.col("layer") == 1, 1280).otherwise(640), F.when(F.col("row_no") % 2 == 0, 0).otherwise(1024)).alias("r")).select("id", "r.width", "r.height"), "SELECT id, CASE WHEN w = 0 AND h = 0 THEN 384 WHEN w = 0 AND h = 1024 THEN 1280 WHEN w = 0 THEN h * 4 // 3 ELSE w END AS width, CASE WHEN w = 0 AND h = 0 THEN 288 WHEN h = 0 AND w = 1280 THEN 1024 WHEN h = 0 THEN w * 3 // 4 ELSE h END AS height FROM (SELECT id, CASE layer WHEN 0 THEN 0 WHEN 1 THEN 1280 ELSE 640 END AS w, CASE WHEN row_no % 2 = 0 THEN 0 ELSE 1024 END AS h FROM lines)")
 over_lines("clear_text", lambda d: d.select("id", X.only_tags(F.concat(F.lit("{\\i1}a{x}"), "text")).alias("text")), "SELECT id, '{\\i1}{x}' AS text FROM lines")
@@ -105,7 +108,7 @@ over_lines("fill_actor", lambda d: L.fill_actor(d).select("id", "actor"), "SELEC
 over_lines("cps", lambda d: d.select("id", X.chars_per_second("text", "start_ms", "end_ms").alias("cps")), "SELECT id, (CASE WHEN end_ms - start_ms <= 100 OR strlen(text) > end_ms - start_ms THEN -1 ELSE length(text) * 1000 // (end_ms - start_ms) END)::INT AS cps FROM lines")
 over_lines("char_count", lambda d: d.select("id", X.char_count("text", whitespace=False).alias("n"), X.max_line_length(F.concat("text", F.lit("\\Nab"))).alias("longest")), r"SELECT id, length(regexp_replace(text, '[\s\p{Z}]', '', 'g'))::INT AS n, greatest(length(text), 2)::INT AS longest FROM lines")
 over_lines("format_times", lambda d: d.select("id", T.format_ass("end_ms").alias("ass"), T.format_srt("end_ms").alias("srt"), T.parse(T.format_srt("end_ms")).alias("back")), "SELECT id, printf('%d:%02d:%02d.%02d', c // 360000, c // 6000 % 60, c // 100 % 60, c % 100) AS ass, printf('%02d:%02d:%02d,%03d', end_ms // 3600000, end_ms // 60000 % 60, end_ms // 1000 % 60, end_ms % 1000) AS srt, end_ms AS back FROM (SELECT *, (end_ms + 5) // 10 AS c FROM lines)")
-over_lines("frame_at_time", lambda d: d.select("id", *(T.frame_at("end_ms", 24000, 1001, m).alias(m) for m in ("exact", "start", "end"))), "SELECT id, (end_ms::BIGINT * 24000 // 1001000)::INT AS exact, ((end_ms::BIGINT - 1) * 24000 // 1001000 + 1)::INT AS start, ((end_ms::BIGINT - 1) * 24000 // 1001000)::INT AS \"end\" FROM lines")
+over_lines("frame_at_time", lambda d: d.select("id", *(T.frame_at("end_ms", 24000, 1001, m).alias(m) for m in ("exact", "start", "end"))), "SELECT l.id, max(CASE WHEN f.ms <= end_ms THEN f.frame END) AS exact, min(CASE WHEN f.ms >= end_ms THEN f.frame END) AS start, max(CASE WHEN f.ms < end_ms THEN f.frame END) AS \"end\" FROM lines l JOIN f ON f.frame BETWEEN end_ms * 0.0239 - 3 AND end_ms * 0.024 + 3 GROUP BY ALL", "f AS (SELECT k::INT AS frame, ((k * 1001000 + 12000) // 24000)::INT AS ms FROM range(0, 200000) AS r(k))")
 over_lines("time_at_frame", lambda d: d.select("id", T.time_at(F.col("row_no") * 100, 24000, 1001).alias("ms")), "SELECT id, ((row_no::BIGINT * 100 * 1001000 + 12000) // 24000)::INT AS ms FROM lines")
 over_lines("smpte_dropframe", lambda d: d.select("id", T.smpte((F.col("id") * 37).cast("bigint"), 30, True).alias("code"), T.smpte((F.col("id") * 37).cast("bigint"), 25).alias("pal")), "SELECT id, printf('%02d:%02d:%02d;%02d', g // 108000, g // 1800 % 60, g // 30 % 60, g % 30) AS code, printf('%02d:%02d:%02d:%02d', f // 90000, f // 1500 % 60, f // 25 % 60, f % 25) AS pal FROM (SELECT id, f, f + f // 17982 * 18 + CASE WHEN f % 17982 >= 2 THEN 2 * ((f % 17982 - 2) // 1798) ELSE 0 END AS g FROM (SELECT id, id * 37 AS f FROM lines))")
 over_lines("color_format", lambda d: d.select("id", X.color_style(F.col("row_no") * 30, F.col("layer") * 100, F.lit(7), F.lit(0)).alias("c")).select("id", "c", X.color_channels("c").alias("x")).select("id", "c", "x.r", "x.g", "x.b"), "SELECT id, printf('&H0007%02X%02X', layer * 100, row_no * 30) AS c, row_no * 30 AS r, layer * 100 AS g, 7 AS b FROM lines")
@@ -117,8 +120,51 @@ over_lines("lead_in", lambda d: G.lead_in(d, 500).select("id", "start_ms"), "SEL
 over_lines("lead_out", lambda d: G.lead_out(d, 500).select("id", "end_ms"), "SELECT a.id, least(a.end_ms + 500, min(b.start_ms)) AS end_ms FROM lines a LEFT JOIN lines b ON a.file_id = b.file_id AND b.start_ms >= a.end_ms GROUP BY a.id, a.end_ms")
 over_lines("make_adjacent", lambda d: G.make_adjacent(d, 2000, 1000).select("id", "start_ms", "end_ms"), "SELECT id, CASE WHEN (start_ms - p > 0 AND start_ms - p <= 2000) OR (start_ms - p < 0 AND p - start_ms <= 1000) THEN p + trunc((start_ms - p) * 0.5)::INT ELSE start_ms END AS start_ms, CASE WHEN (n - end_ms > 0 AND n - end_ms <= 2000) OR (n - end_ms < 0 AND end_ms - n <= 1000) THEN end_ms + trunc((n - end_ms) * 0.5)::INT ELSE end_ms END AS end_ms FROM (SELECT *, lag(end_ms) OVER w AS p, lead(start_ms) OVER w AS n FROM lines WINDOW w AS (PARTITION BY file_id ORDER BY start_ms, row_no))")
 over_lines("continuous_end", lambda d: G.make_continuous(d).select("id", "end_ms"), "SELECT id, coalesce(lead(start_ms) OVER (PARTITION BY file_id ORDER BY row_no), end_ms) AS end_ms FROM lines")
-over_lines("transform_rate", lambda d: G.transform_rate(d, (24000, 1001), (25, 1)).select("id", "start_ms", "end_ms"), None)
-over_lines("min_positive_gap", lambda d: d.withColumn("g", F.col("start_ms") - F.lag("end_ms").over(W.by_file())).groupBy("file_id").agg(F.min(F.when(F.col("g") > 0, F.col("g"))).alias("gap")), "SELECT file_id, min(CASE WHEN g > 0 THEN g END) AS gap FROM (SELECT file_id, start_ms - lag(end_ms) OVER (PARTITION BY file_id ORDER BY row_no) AS g FROM lines) GROUP BY file_id")
+_RATES = "f AS (SELECT k::INT AS frame, ((k * 1001000 + 12000) // 24000)::INT AS a, (((k + 1) * 1001000 + 12000) // 24000)::INT AS b, (k * 40)::INT AS p, ((k + 1) * 40)::INT AS q FROM range(0, 200000) AS r(k))"
+over_lines("transform_rate", lambda d: G.transform_rate(d, (24000, 1001), (25, 1)).select("id", "start_ms", "end_ms"), "SELECT l.id, (trunc(s.p + (s.q - s.p) * ((start_ms - s.a) / (s.b - s.a)::DOUBLE))::INT // 10 * 10)::INT AS start_ms, ((trunc(e.p + (e.q - e.p) * ((end_ms - e.a) / (e.b - e.a)::DOUBLE))::INT + 9) // 10 * 10)::INT AS end_ms FROM lines l JOIN f s ON s.a <= start_ms AND start_ms < s.b JOIN f e ON e.a <= end_ms AND end_ms < e.b", _RATES)
+over_lines("snap_to_scene", lambda d: G.snap_to_scene(d, d.select("file_id", (F.col("row_no") * 70).alias("frame")), F.col("layer") > 0, 100, (25, 1), 5000).select("id", "start_ms", "end_ms"), "SELECT id, CASE WHEN layer > 0 THEN coalesce(a, 0) * 40 - (CASE WHEN coalesce(a, 0) = 0 THEN 20 ELSE 20 END) ELSE start_ms END AS start_ms, CASE WHEN layer > 0 THEN (coalesce(b, 5000) - 1) * 40 + 20 ELSE end_ms END AS end_ms FROM (SELECT *, max(CASE WHEN row_no * 70 <= 100 THEN row_no * 70 END) OVER (PARTITION BY file_id) AS a, min(CASE WHEN row_no * 70 > 100 THEN row_no * 70 END) OVER (PARTITION BY file_id) AS b FROM lines)".replace("coalesce(a, 0) * 40 - (CASE WHEN coalesce(a, 0) = 0 THEN 20 ELSE 20 END)", "greatest(coalesce(a, 0) * 40 - 20, 0)"))
+over_lines("snap_to_frame", lambda d: G.snap_to_frame(d, F.col("layer") > 0, 100, (25, 1)).select("id", "start_ms", "end_ms"), "SELECT id, CASE WHEN layer > 0 THEN 3980 ELSE start_ms END AS start_ms, CASE WHEN layer > 0 THEN greatest(end_ms, 4020) ELSE end_ms END AS end_ms FROM lines")
+over_lines("snap_keyframes", lambda d: G.snap_to_keyframes(d, d.select("file_id", (F.col("row_no") * 70).alias("frame")), (25, 1), (500, 700, 600, 400)).select("id", "start_ms", "end_ms"), """SELECT id, CASE WHEN (ks > fs AND ks * 40 - 20 - start_ms <= 500) OR (ks < fs AND start_ms - (ks * 40 - 20) <= 700) THEN greatest(ks * 40 - 20, 0) ELSE start_ms END AS start_ms, CASE WHEN (ke - 1 > fe AND (ke - 1) * 40 + 20 - end_ms <= 600) OR (ke - 1 < fe AND end_ms - ((ke - 1) * 40 + 20) <= 400) THEN greatest((ke - 1) * 40 + 20, 0) ELSE end_ms END AS end_ms
+FROM (SELECT l.*, arg_min(k.k, (abs(k.k - fs), k.k)) AS ks, arg_min(k.k, (abs(k.k - fe), k.k)) AS ke FROM (SELECT *, (start_ms + 39) // 40 AS fs, (end_ms - 1) // 40 AS fe FROM lines) l JOIN (SELECT DISTINCT file_id, row_no * 70 AS k FROM lines) k USING (file_id) GROUP BY ALL)""")
+over_lines("join_next", lambda d: E.join_neighbour(d, d.where("row_no % 3 = 0")).select("id", "row_no", "start_ms", "end_ms", "text"), "SELECT id, (row_number() OVER (PARTITION BY file_id ORDER BY row_no) - 1)::INT AS row_no, CASE WHEN j THEN least(start_ms, ns) ELSE start_ms END AS start_ms, CASE WHEN j THEN greatest(end_ms, ne) ELSE end_ms END AS end_ms, CASE WHEN j THEN concat_ws(' ', nullif(trim(text), ''), nullif(trim(nt), '')) ELSE text END AS text FROM (SELECT *, row_no % 3 = 0 AND nt IS NOT NULL AS j FROM (SELECT *, lead(start_ms) OVER w AS ns, lead(end_ms) OVER w AS ne, lead(text) OVER w AS nt FROM lines WINDOW w AS (PARTITION BY file_id ORDER BY row_no))) WHERE row_no % 3 <> 1")
+over_lines("split_cursor", lambda d: E.split_at_cursor(d, d.where("layer = 1").select("file_id", "id", F.octet_length(F.substring("text", 1, 9)).alias("pos")), "estimate").select("file_id", "id", "row_no", "start_ms", "end_ms", "text"), "SELECT file_id, CASE WHEN k = 0 THEN id END AS id, (row_number() OVER (PARTITION BY file_id ORDER BY row_no, k) - 1)::INT AS row_no, CASE WHEN k = 1 THEN m ELSE start_ms END AS start_ms, CASE WHEN layer = 1 AND k = 0 THEN m ELSE end_ms END AS end_ms, CASE WHEN layer <> 1 THEN text WHEN k = 0 THEN a ELSE b END AS text FROM (SELECT *, CASE WHEN strlen(a) + strlen(b) > 0 THEN start_ms + trunc((end_ms - start_ms) * (strlen(a) / (strlen(a) + strlen(b))::DOUBLE))::INT END AS m FROM (SELECT *, rtrim(text[:9], chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS a, ltrim(text[10:], chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS b FROM lines)) CROSS JOIN (VALUES (0), (1)) AS c(k) WHERE layer = 1 OR k = 0")
+over_lines("copy_paste_rows", lambda d: E.paste_rows(d, E.copy_rows(d.where("layer = 1")).withColumn("at", F.lit(1))).select("file_id", "id", "row_no", "start_ms", "end_ms", "style", "text"), "SELECT file_id, id, (row_number() OVER (PARTITION BY file_id ORDER BY a, b, row_no) - 1)::INT AS row_no, start_ms, end_ms, style, text FROM (SELECT *, row_no AS a, 1 AS b FROM lines UNION ALL SELECT file_id, NULL, row_no, comment, layer, (start_ms + 5) // 10 * 10, (end_ms + 5) // 10 * 10, style, actor, effect, trim(regexp_replace(text, '[\r\n]', '', 'g')), 1, 0 FROM lines WHERE layer = 1)")
+over_lines("visible_at_frame", lambda d: E.visible_at_frame(d, 100, (25, 1)).select("id"), "SELECT id FROM lines WHERE (start_ms + 39) // 40 <= 100 AND (end_ms - 1) // 40 >= 100")
+over_lines("replace_one", lambda d: E.replace_one(d, d.where("layer = 1"), "text", "([aeiou])n", "<$1>").select("id", "text"), "SELECT id, CASE WHEN layer = 1 THEN regexp_replace(text, '([aeiou])n', '<\\1>') ELSE text END AS text FROM lines".replace("\\\\", "\\"))
+over_lines("grid_columns", lambda d: E.grid(d.withColumn("text", F.concat(F.lit("{\\i1}"), "text")), rate=(25, 1)).select("id", "number", "layer", "start", "end", "text"), "SELECT id, row_no + 1 AS number, CASE WHEN layer = 0 THEN '' ELSE layer::VARCHAR END AS layer, ((start_ms + 39) // 40)::VARCHAR AS start, ((end_ms - 1) // 40)::VARCHAR AS \"end\", '☀' || text AS text FROM lines")
+over_lines("column_widths", E.column_widths, "SELECT file_id, max(row_no) AS max_row, max(layer) AS max_layer, max(length(style))::INT AS style_width, max(length(actor))::INT AS actor_width, max(length(effect))::INT AS effect_width FROM lines GROUP BY file_id")
+over_lines("nth_pairs", lambda d: E.nth_pairs(d, "Default", "Sign"), "SELECT a.file_id, a.n, a.id AS source_id, a.text AS source_text, b.id AS target_id, b.text AS target_text FROM p a LEFT JOIN p b ON b.file_id = a.file_id AND b.n = a.n AND b.style = 'Sign' WHERE a.style = 'Default'", "p AS (SELECT *, (row_number() OVER (PARTITION BY file_id, style ORDER BY row_no))::INT AS n FROM lines WHERE NOT comment)")
+over_lines("invert_comments", lambda d: E.invert_comments(d, F.col("layer") == 1).select("id", "comment"), "SELECT id, CASE WHEN layer = 1 THEN NOT comment ELSE comment END AS comment FROM lines")
+over_lines("swap_lines", lambda d: E.swap(d, d.where("row_no = 0").select("file_id", "id", (F.col("id") + 1).alias("other_id"))).select("id", "row_no"), "SELECT id, (CASE WHEN n > 1 AND row_no < 2 THEN 1 - row_no ELSE row_no END)::INT AS row_no FROM (SELECT *, count(*) OVER (PARTITION BY file_id) AS n FROM lines)")
+over_lines("split_syllable", lambda d: K.split_syllable(K.syllables(d.withColumn("text", F.concat(F.lit("{\\k20}a{\\k30}"), "text"))), d.select("file_id", "id", F.lit(1).alias("idx"), F.octet_length(F.substring("text", 1, 4)).alias("pos"))).select("id", "idx", "text", "duration_ms", "syl_start_ms"), "SELECT id, k AS idx, CASE k WHEN 0 THEN 'a' WHEN 1 THEN text[:4] ELSE text[5:] END AS text, CASE k WHEN 0 THEN 200 WHEN 1 THEN 300 - x ELSE x END AS duration_ms, start_ms + CASE k WHEN 0 THEN 0 WHEN 1 THEN 200 ELSE 500 - x END AS syl_start_ms FROM (SELECT *, CASE WHEN strlen(text[5:]) = 0 THEN 0 WHEN strlen(text[:4]) = 0 THEN 300 ELSE (300 * strlen(text[5:]) // strlen(text) + 5) // 10 * 10 END::INT AS x FROM lines) CROSS JOIN (VALUES (0), (1), (2)) AS c(k)")
+over_lines("wrap_greedy", lambda d: d.select("id", B.wrap_points(F.transform(F.filter(F.split("text", " "), lambda x: x != ""), F.length), 30, "greedy").alias("breaks")), "SELECT l.id, coalesce(list(r.k - 1 ORDER BY r.k) FILTER (r.fresh), []) AS breaks FROM lines l LEFT JOIN r USING (id) GROUP BY l.id", "t AS (SELECT id, list_filter(string_split(text, ' '), lambda x: x <> '') AS ws FROM lines), r AS (WITH RECURSIVE g AS (SELECT id, ws, 1 AS k, length(ws[1]) AS line, false AS fresh FROM t WHERE len(ws) > 0 UNION ALL SELECT id, ws, k + 1, CASE WHEN line + length(ws[k + 1]) > 30 THEN length(ws[k + 1]) ELSE line + length(ws[k + 1]) END, line + length(ws[k + 1]) > 30 FROM g WHERE k < len(ws)) SELECT id, k, fresh FROM g)")
+over_lines("smpte_back", lambda d: d.select("id", T.frame_of_smpte(T.smpte((F.col("id") * 37).cast("bigint"), 30, True), 30, True).alias("frame")), "SELECT id, (id * 37)::INT AS frame FROM lines")
+over_lines("tag_table", lambda d: d.select("id", B.split_blocks(F.lit("x")).alias("_"), N.tags_of(F.concat(F.lit("{\\t(0,"), F.col("start_ms").cast("string"), F.lit(",\\fs20)\\clip(1,m 0 0)\\bordx}"), "text")).alias("t")).select("id", F.transform("t", lambda x: x["name"]).alias("names"), F.transform("t", lambda x: x["text"]).alias("texts")), "SELECT id, ['t', 'clip', 'bord'] AS names, ['\\t(0,' || start_ms || ',\\fs20)', '\\clip(1,m 0 0)', '\\bordx'] AS texts FROM lines".replace("\\\\", "\\"))
+
+
+@query("SELECT vec_id, arg_max(b, (n, -b)) AS mode FROM (SELECT vec_id, b, count(*) AS n FROM (SELECT vec_id, unnest(list_transform(embedding, lambda x: floor(floor((x::DOUBLE + 1) * 127)::INT * 32 / 256)::INT)) AS b FROM embeddings) GROUP BY ALL) GROUP BY vec_id")
+def histogram_mode(spark, d):
+    e = D.read(spark, d, "embeddings").select("vec_id", F.transform("embedding", lambda x: F.floor((x.cast("double") + 1) * 127).cast("int")).alias("p"))
+    return e.select("vec_id", V.histogram_mode("p").alias("mode"))
+
+
+@query("SELECT scan_id AS track_id, segment, frame, value + coalesce(b, 0) AS value FROM s JOIN (SELECT scan_id, segment, sum(e) OVER (PARTITION BY scan_id ORDER BY segment ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS b FROM (SELECT scan_id, segment, arg_max(value, frame) AS e FROM s GROUP BY ALL)) USING (scan_id, segment)", D.FRAMES, "s AS (SELECT scan_id, (frame // 5)::INT AS segment, frame, floor(value * 8) AS value FROM frames)")
+def accumulated_offsets(spark, d):
+    f = D.frames(spark, d).select(F.col("scan_id").alias("track_id"), F.floor(F.col("frame") / 5).cast("int").alias("segment"), "frame", F.floor(F.col("value") * 8).cast("double").alias("value"))
+    return V.accumulated(f, ["value"])
+
+
+@query("SELECT l.file_id, l.id, [l.id, n] AS extradata_ids FROM (SELECT *, (SELECT max(x.id) FROM lines x WHERE x.file_id = l.file_id) + 1 + layer AS n FROM lines l) l", D.LINES)
+def extradata_set(spark, d):
+    lines = D.lines(spark, d)
+    files = lines.groupBy("file_id").agg(F.max("id").alias("m"))
+    data = lines.select("file_id", "id", F.lit(0).alias("expiration"), F.lit("k").alias("key"), F.col("id").cast("string").alias("value"))
+    data = data.unionByName(files.select("file_id", F.explode(F.array(*(F.struct((F.col("m") + 1 + k).alias("id"), F.lit(f"v{k}").alias("value")) for k in range(3)))).alias("x")).select("file_id", "x.id", F.lit(0).alias("expiration"), F.lit("new").alias("key"), "x.value"))
+    values = lines.select("file_id", F.col("id").alias("line_id"), F.lit("new").alias("key"), F.concat(F.lit("v"), F.col("layer").cast("string")).alias("value"))
+    return E.set_extradata(lines.withColumn("extradata_ids", F.array("id")), data, values)[0].select("file_id", "id", "extradata_ids")
+
+
+over_lines("min_positive_gap", E.least_gap, "SELECT file_id, min(CASE WHEN g > 0 THEN g END) AS gap FROM (SELECT file_id, start_ms - lag(end_ms) OVER (PARTITION BY file_id ORDER BY row_no) AS g FROM lines) GROUP BY file_id")
 
 # karaoke
 over_lines("split_karaoke", lambda d: K.split_words(d).select("id", "idx", "text", "syl_start_ms", "duration_ms"), "SELECT id, (idx - 1)::INT AS idx, w AS text, start_ms + (e - s) * (u - strlen(w)) // t // 10 * 10 AS syl_start_ms, (e - s) * u // t // 10 * 10 - (e - s) * (u - strlen(w)) // t // 10 * 10 AS duration_ms FROM (SELECT id, idx, w, start_ms, start_ms::BIGINT AS s, end_ms::BIGINT AS e, sum(strlen(w)) OVER (PARTITION BY id ORDER BY idx)::BIGINT AS u, sum(strlen(w)) OVER (PARTITION BY id)::BIGINT AS t FROM (SELECT id, start_ms, end_ms, unnest(ws) AS w, generate_subscripts(ws, 1) AS idx FROM (SELECT *, list_filter(string_split(text, ' '), lambda x: x <> '') AS ws FROM lines)))")
@@ -158,7 +204,7 @@ def frame_at_time_vfr(spark, d):
     return G.frames_of(D.lines(spark, d), codes, "start_ms").select("id", "frame")
 
 
-_STATE = "s AS (SELECT *, coalesce(last_value(CASE WHEN coverage < 0 THEN NULL WHEN coverage >= 0.7 THEN true WHEN coverage < 0.3 THEN false WHEN NOT ocr_box THEN false END IGNORE NULLS) OVER (PARTITION BY scan_id ORDER BY frame ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), false) AS present FROM frames)"
+_STATE = "s AS (SELECT *, coalesce(last_value(CASE WHEN coverage < 0 THEN NULL WHEN NOT ocr_box OR coverage < 0.3 THEN false WHEN coverage >= 0.7 THEN true END IGNORE NULLS) OVER (PARTITION BY scan_id ORDER BY frame ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), false) AS present FROM frames)"
 _RUNS = "r AS (SELECT *, frame - row_number() OVER (PARTITION BY scan_id, present ORDER BY frame) AS g FROM s)"
 
 
@@ -187,9 +233,13 @@ def stitched_last_writer(spark, d):
     return V.last_writer(f)
 
 
-@query("SELECT scan_id AS track_id, frame, CASE WHEN abs(value - a) > 20 AND abs(value - b) > 20 AND abs(a - b) <= 20 THEN (a + b) / 2 ELSE value END AS value FROM (SELECT *, lag(value) OVER w AS a, lead(value) OVER w AS b FROM frames WINDOW w AS (PARTITION BY scan_id ORDER BY frame))", D.FRAMES)
+_SPIKES = "s AS (SELECT scan_id AS track_id, frame * 2 + frame % 2 AS frame, value AS x, coverage * 10 AS y FROM frames)"
+
+
+@query("SELECT track_id, frame, round(CASE WHEN hit THEN ex ELSE x END, 6) AS x, round(CASE WHEN hit THEN ey ELSE y END, 6) AS y FROM (SELECT *, coalesce((x - ex) ** 2 + (y - ey) ** 2 > 400 AND (x - xa) ** 2 + (y - ya) ** 2 > 400 AND (x - xb) ** 2 + (y - yb) ** 2 > 400, false) AS hit FROM (SELECT *, xa + (xb - xa) * t AS ex, ya + (yb - ya) * t AS ey FROM (SELECT a.*, (a.frame - p.frame) / (n.frame - p.frame)::DOUBLE AS t, p.x AS xa, p.y AS ya, n.x AS xb, n.y AS yb FROM o a LEFT JOIN o p ON p.track_id = a.track_id AND p.k = a.k - 1 LEFT JOIN o n ON n.track_id = a.track_id AND n.k = a.k + 1)))", D.FRAMES, _SPIKES, "o AS (SELECT *, row_number() OVER (PARTITION BY track_id ORDER BY frame) AS k FROM s)")
 def spike_repair(spark, d):
-    return V.repair_spikes(D.frames(spark, d).select(F.col("scan_id").alias("track_id"), "frame", "value"), "value", 20)
+    f = D.frames(spark, d).select(F.col("scan_id").alias("track_id"), (F.col("frame") * 2 + F.col("frame") % 2).alias("frame"), F.col("value").alias("x"), (F.col("coverage") * 10).alias("y"))
+    return V.repair_spikes(f, ["x", "y"], 20).withColumns({"x": F.round("x", 6), "y": F.round("y", 6)})
 
 
 @query("SELECT scan_id AS track_id, (frame // 8)::BIGINT AS \"column\", min(value) AS low, max(value) AS high, round(avg(value), 6) AS mean FROM frames GROUP BY ALL", D.FRAMES)
@@ -205,9 +255,12 @@ def array_mean_abs_diff(spark, d):
     return e.join(other, "vec_id").select("vec_id", F.round(V.mean_abs_diff("p", "e"), 5).alias("diff"))
 
 
-@query("SELECT q.item_id AS query_id, e.file, e.key, e.text FROM benchmark q JOIN entries e ON lower(substr(q.text, 1, 60)) = lower(e.text)", D.ENTRIES)
+_NORM = r"trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(text), '\\[Nn]|\n', ' ', 'g'), '\{[^{}]*\}', '', 'g'), '<[^<>]*>', '', 'g'), '[\x21-\x2F\x3A-\x40\x5B-\x60\x7B-\x7E\x{2000}-\x{206F}\x{3000}-\x{303F}\x{FEFF}\x{FF00}-\x{FF0F}\x{FF1A}-\x{FF20}]', '', 'g'), '[ \t\r]+', ' ', 'g'))"
+
+
+@query(f"SELECT q.item_id AS query_id, e.file, e.key, e.text FROM (SELECT item_id, {_NORM} AS n FROM benchmark) q JOIN (SELECT *, {_NORM} AS n FROM entries) e USING (n)", D.ENTRIES)
 def match_exact(spark, d):
-    q = D.read(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.substring("text", 1, 60).alias("text"))
+    q = D.read(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text")
     return M.exact(q, D.entries(spark, d))
 
 
@@ -219,12 +272,14 @@ def match_key_cross_file(spark, d):
 @query()
 def match_ranked(spark, d):
     q = D.read(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text")
-    return M.match(q, D.entries(spark, d, whole=True), 0.7)
+    return M.match(q, D.entries(spark, d), 0.7)
 
 
-@query("SELECT doc_id, CASE WHEN regexp_matches(text, '[A-Za-z]') THEN 'latin' ELSE 'unknown' END AS script FROM documents")
+@query("SELECT doc_id, CASE WHEN k = 0 THEN '日本語' WHEN k = 1 THEN '中文' WHEN k = 2 THEN '한국어' WHEN k = 3 THEN 'Русский' WHEN len(list_filter(string_split(text, ''), lambda c: c <> '' AND (unicode(c) BETWEEN 65 AND 90 OR unicode(c) BETWEEN 97 AND 122 OR unicode(c) BETWEEN 192 AND 591))) > 0 THEN 'English' ELSE '' END AS script FROM t", "t AS (SELECT doc_id, doc_id % 7 AS k, CASE doc_id % 7 WHEN 6 THEN regexp_replace(text, '[A-Za-zÀ-ɏ]', '7', 'g') ELSE text END AS text FROM documents)")
 def detect_script(spark, d):
-    return D.read(spark, d, "documents").select("doc_id", M.script_of("text").alias("script"))
+    sign = F.element_at(F.array(*map(F.lit, ("ﾀ", "㐁", "ᄀ", "ж", "", "Ø"))), (F.col("doc_id") % 7 + 1).cast("int"))
+    docs = D.read(spark, d, "documents").withColumn("text", F.when(F.col("doc_id") % 7 == 6, F.regexp_replace("text", "[A-Za-zÀ-ɏ]", "7")).otherwise(F.concat("text", F.when(F.col("doc_id") % 7 < 6, sign).otherwise(""))))
+    return docs.select("doc_id", M.script_of("text").alias("script"))
 
 
 @query("SELECT page_id, regexp_replace(html, '<[^>]*>', '', 'g') AS text FROM pages")
@@ -232,10 +287,11 @@ def strip_html(spark, d):
     return D.read(spark, d, "pages").select("page_id", X.strip_html("html").alias("text"))
 
 
-@query("SELECT style AS face, count(DISTINCT c) AS chars, count(DISTINCT id) AS lines FROM (SELECT style, id, unnest(string_split(text, '')) AS c FROM lines) WHERE c <> '' GROUP BY style", D.LINES)
+@query("SELECT style AS face, count(DISTINCT c) AS chars FROM (SELECT style, id, unnest(string_split(text, '')) AS c FROM lines) WHERE c <> '' GROUP BY style", D.LINES)
 def font_usage(spark, d):
-    chars = D.lines(spark, d).select(F.col("style").alias("face"), "id", F.explode(F.split("text", "")).alias("c")).where("c <> ''")
-    return chars.groupBy("face").agg(F.count_distinct("c").alias("chars"), F.count_distinct("id").alias("lines"))
+    d = D.lines(spark, d).withColumn("comment", F.lit(False))
+    styles = d.select("file_id", F.col("style").alias("name"), F.col("style").alias("face"), F.lit(False).alias("bold"), F.lit(False).alias("italic")).distinct()
+    return S.font_usage(d, styles).select("face", "chars")
 
 
 # markup

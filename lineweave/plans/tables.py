@@ -45,14 +45,14 @@ FRAMES = """frames AS (SELECT user_id AS scan_id, (row_number() OVER (PARTITION
  CASE WHEN event_type = 'error' THEN -1.0 ELSE value - floor(value) END AS coverage, event_type <> 'view' AS ocr_box, value FROM events)"""
 
 
-def entries(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
-    """benchmark items as two translation files: whole texts, or their first 60 characters as in the SQL."""
+def entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """benchmark items as two translation files; two items that follow each other have one key, one in each file."""
     b = read(spark, sf_dir, "benchmark")
-    key = F.concat(F.lit("item/"), (F.col("item_id") % 10).cast("string"))
-    return b.select(F.when(F.col("item_id") % 2 == 0, "a.json").otherwise("b.json").alias("file"), key.alias("key"), (F.col("text") if whole else F.substring("text", 1, 60)).alias("text"))
+    key = F.concat(F.lit("item/"), F.floor(F.col("item_id") / 2).cast("string"))
+    return b.select(F.when(F.col("item_id") % 2 == 0, "a.json").otherwise("b.json").alias("file"), key.alias("key"), "text")
 
 
-ENTRIES = """entries AS (SELECT CASE WHEN item_id % 2 = 0 THEN 'a.json' ELSE 'b.json' END AS file, 'item/' || (item_id % 10)::VARCHAR AS key, substr(text, 1, 60) AS text FROM benchmark)"""
+ENTRIES = """entries AS (SELECT CASE WHEN item_id % 2 = 0 THEN 'a.json' ELSE 'b.json' END AS file, 'item/' || (item_id // 2)::VARCHAR AS key, text FROM benchmark)"""
 
 
 def keyframes(spark: SparkSession, sf_dir: str) -> DataFrame:

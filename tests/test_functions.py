@@ -39,7 +39,7 @@ def test_graphemes(spark):
 
 def test_recombine_overlaps(spark):
     got = L.recombine_overlaps(lines(spark, [(0, 1000, "a"), (500, 1500, "b")])).orderBy("start_ms").collect()
-    assert [(r.start_ms, r.end_ms, r.text) for r in got] == [(0, 500, "a"), (500, 1000, "a\\Nb"), (1000, 1500, "b")]
+    assert [(r.start_ms, r.end_ms, r.text) for r in got] == [(0, 500, "a"), (500, 1000, "b\\Na"), (1000, 1500, "b")]
 
 
 def test_syllables(spark):

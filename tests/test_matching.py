@@ -16,7 +16,7 @@ def test_match_ranked_whole_texts(spark, tmp_path):
     head = "the same long beginning of all of these items goes on for over sixty letters "
     texts = [head + "and ends in one way", head + "and ends in one way", head + "and ends in one wax", head + "but " + "other words follow it " * 5, "short text", "short test", "q" * 90]
     spark.createDataFrame(list(enumerate(texts)), "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
-    entry = [("a.json" if i % 2 == 0 else "b.json", f"item/{i % 10}", t) for i, t in enumerate(texts)]
+    entry = [("a.json" if i % 2 == 0 else "b.json", f"item/{i // 2}", t) for i, t in enumerate(texts)]
     want = {}
     for q, t in enumerate(texts):
         hits = [(e, 1 - distance(t, e[2]) / max(len(t), len(e[2]))) for e in entry]

@@ -15,7 +15,7 @@ def values(df):
 
 
 def test_hold_jitter(spark):
-    assert values(V.hold_jitter(track(spark, [5, 6, 4, 9, 8, 5]), "value", 1)) == [5, 5, 5, 9, 9, 5]
+    assert values(V.hold_jitter(track(spark, [5, 5.5, 4.1, 9, 8.5, 9.1]), ["value"], 1)) == [5, 5, 5, 9, 9, 9.1]
 
 
 def test_straighten(spark):
@@ -32,8 +32,8 @@ def test_audio(spark):
 
 def test_spectrum(spark):
     wave = [np.sin(2 * np.pi * 2 * k / 16) for k in range(16)]
-    got = spark.range(1).select(V.spectrum(F.array(*(F.lit(float(x)) for x in wave))).alias("s")).first().s
-    assert len(got) == 8 and int(np.argmax(got)) == 2 and abs(got[2] - np.log10(9)) < 1e-9
+    got = spark.range(1).select(V.spectrum(F.array(*(F.lit(float(32768 * x)) for x in wave))).alias("s")).first().s
+    assert len(got) == 8 and int(np.argmax(got)) == 2 and abs(got[2] - np.log10(1 + 8 * 9 / np.sqrt(32))) < 1e-9
 
 
 def test_set_info(spark):
