@@ -132,5 +132,29 @@ FROM v LEFT JOIN m ON m.node = v.vec_id LEFT JOIN n ON n.u = v.vec_id
 """
 
 
+#: All pairs of lines of like length of which one has a third of the other, whose edit distance is then taken.
+_OP9 = r"""
+WITH RECURSIVE o AS (
+  SELECT doc_id, i - 1 AS line, regexp_replace(ls[i], '^\s+|\s+$', '', 'g') AS x
+  FROM (SELECT doc_id, ls, unnest(range(1, len(ls) + 1)) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents WHERE doc_id IS NOT NULL))),
+p AS (SELECT * FROM o WHERE x <> ''),
+d AS (SELECT x, row_number() OVER (ORDER BY x) AS id, length(x) AS n FROM (SELECT DISTINCT x FROM p)),
+l AS (
+  SELECT a.id AS u, b.id AS v FROM d AS a JOIN d AS b
+    ON b.n BETWEEN a.n AND a.n + 2 AND (b.n > a.n OR b.id > a.id) AND a.n >= 20
+   AND (contains(b.x, a.x[:a.n // 3]) OR contains(b.x, a.x[a.n // 3 + 1:2 * (a.n // 3)]) OR contains(b.x, a.x[2 * (a.n // 3) + 1:]))
+  WHERE levenshtein(a.x, b.x) <= 2),
+e AS (SELECT u, v FROM l UNION ALL SELECT v, u FROM l),
+c AS (SELECT id AS node, id AS root FROM d UNION SELECT e.v, c.root FROM c JOIN e ON e.u = c.node WHERE c.root < e.v),
+m AS (SELECT node, min(root) AS class FROM c GROUP BY node),
+k AS (SELECT u, count(*) AS n_links FROM e GROUP BY u),
+q AS (SELECT p.doc_id, p.line, d.n, coalesce(k.n_links, 0) AS n_links, (p.doc_id, p.line) <> min((p.doc_id, p.line)) OVER (PARTITION BY m.class) AS again
+      FROM p JOIN d USING (x) JOIN m ON m.node = d.id LEFT JOIN k ON k.u = d.id),
+g AS (SELECT doc_id, count(*) AS n_lines, sum(n_links) AS n_links, count(*) FILTER (again) AS n_again, coalesce(sum(n) FILTER (NOT again), 0) AS kept_chars FROM q GROUP BY doc_id)
+SELECT t.doc_id, coalesce(n_lines, 0)::BIGINT AS n_lines, coalesce(n_links, 0)::BIGINT AS n_links, coalesce(n_again, 0)::BIGINT AS n_again, coalesce(kept_chars, 0)::BIGINT AS kept_chars
+FROM documents AS t LEFT JOIN g USING (doc_id)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_suffix_dedup": _OP1, "op7_mixing": _OP7, "op8_embeddings": _OP8}
+    return {"op1_suffix_dedup": _OP1, "op7_mixing": _OP7, "op8_embeddings": _OP8, "op9_line_dedup": _OP9}
