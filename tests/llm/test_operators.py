@@ -700,7 +700,7 @@ def test_fingerprints_odd(spark, odd):
     assert digest.edited_likeness(table(spark, [])).count() == 0
 
 
-@pytest.mark.parametrize("name", ["op1_suffix_dedup", "op7_mixing", "op8_embeddings"])
+@pytest.mark.parametrize("name", ["op1_suffix_dedup", "op7_mixing", "op8_embeddings", "op9_line_dedup"])
 def test_sql(spark, name):
     from oracle import connect, differ
 
