@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -50,14 +51,22 @@ def timed(rows: DataFrame) -> DataFrame:
     return rows.withColumn("syl_start_ms", (F.col("start_ms") + F.sum("duration_ms").over(w) - F.col("duration_ms")).cast("int"))
 
 
+def running_sum(c: Column | str) -> Column:
+    """Sums of an array of whole numbers up to each of them: no shuffle as a window would need, no array built step by step."""
+
+    @F.pandas_udf("array<bigint>")
+    def run(s: pd.Series) -> pd.Series:
+        return s.map(lambda a: None if a is None else np.cumsum(a, dtype=np.int64))
+
+    return run(c)
+
+
 def split_words(lines: DataFrame) -> DataFrame:
     """One syllable for each word, with the line's time in proportion to its bytes."""
     words = F.filter(F.split("text", " "), lambda x: x != "")
-    none = F.array().cast("array<struct<text:string,upto:int>>")
-    upto = lambda s: F.coalesce(F.try_element_at(s, F.lit(-1))["upto"], F.lit(0))
-    marks = F.aggregate(words, none, lambda s, x: F.concat(s, F.array(F.struct(x.alias("text"), (upto(s) + F.octet_length(x)).alias("upto")))))
-    rows = lines.withColumn("_m", marks).withColumn("_total", upto(F.col("_m")))
-    rows = rows.select("file_id", "id", "start_ms", "end_ms", "_total", F.posexplode("_m").alias("idx", "x")).select("*", "x.text", "x.upto").drop("x")
+    rows = lines.withColumn("_w", words).withColumn("_u", running_sum(F.transform("_w", F.octet_length)))
+    rows = rows.select("file_id", "id", "start_ms", "end_ms", F.array_max("_u").alias("_total"), "_u", F.posexplode("_w").alias("idx", "text"))
+    rows = rows.withColumn("upto", F.get("_u", "idx"))
     span = F.col("end_ms") - F.col("start_ms")
     mark = lambda k: F.floor(span * k / F.col("_total") / 10).cast("int") * 10
     before = F.col("upto") - F.octet_length("text")
