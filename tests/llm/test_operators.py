@@ -467,6 +467,67 @@ def test_toxicity(spark):
     assert all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.3) for r in got)
 
 
+def word_hash(data):
+    from lineweave.llm.common import byte_values, prefix_hash, span_hash
+
+    b = np.frombuffer(data, np.uint8)
+    return span_hash(prefix_hash(byte_values(b)), np.array([0]), np.array([len(b)]))[0]
+
+
+def plain_toxic_features(text):
+    """Buckets of the words of a text, and of pairs of words one to three apart."""
+    from lineweave.llm.common import mix64
+
+    low = "".join(c.lower() if c.isascii() else c for c in text or "").encode()
+    h = [word_hash(w) for w in re.findall(rb"[a-z0-9\x80-\xff]+", low)]
+    found = {int(x >> np.uint64(64 - toxicity.BITS)) for x in h}
+    with np.errstate(over="ignore"):
+        for k in (1, 2, 3):
+            for a, b in zip(h, h[k:]):
+                x = mix64(np.array([a * np.uint64(3) + np.uint64(k) + mix64(np.array([b]))[0]]))[0]
+                found.add(int(x >> np.uint64(64 - toxicity.BITS)))
+    return sorted(found)
+
+
+def plain_ftrl(examples, passes, rate, l1, l2):
+    """Binary FTRL-proximal by the book, coordinate by coordinate."""
+    z, n, bias, bias_n = defaultdict(float), defaultdict(float), 0.0, 0.0
+
+    def weight(i):
+        return 0.0 if abs(z[i]) <= l1 else -(z[i] - math.copysign(l1, z[i])) / ((1 + math.sqrt(n[i])) / rate + l2)
+
+    for _ in range(passes):
+        for features, want in examples:
+            w = {i: weight(i) for i in features}
+            g = 1 / (1 + math.exp(-max(-35, min(35, sum(w.values()) + bias)))) - want
+            for i in features:
+                z[i] += g - (math.sqrt(n[i] + g * g) - math.sqrt(n[i])) / rate * w[i]
+                n[i] += g * g
+            bias_n += g * g
+            bias -= rate * g / (1 + math.sqrt(bias_n))
+    return {i: weight(i) for i in z if weight(i)}, bias
+
+
+def test_toxicity_by_definition(spark):
+    """Every score from plainly written features and steps."""
+    d = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{d}/documents.parquet")
+    labels = spark.read.parquet(f"{d}/labels.parquet")
+    got = {r.doc_id: r for r in toxicity.toxicity(docs, labels).collect()}
+    text = {r.doc_id: r.text for r in docs.collect()}
+    known = {r.doc_id: r.toxic for r in labels.collect() if zlib.crc32(str(r.doc_id).encode()) % 4 != 2 and r.doc_id in text}
+    from pyspark.sql import functions as F
+
+    order = {r.doc_id: r.h for r in docs.select("doc_id", F.xxhash64("doc_id").alias("h")).collect()}
+    examples = [(plain_toxic_features(text[i]), known[i]) for i in sorted(known, key=lambda i: (order[i], known[i]))]
+    w, bias = plain_ftrl(examples, toxicity.PASSES, toxicity.RATE, toxicity.L1, toxicity.L2)
+    assert w and len(got) == len(text)
+    for i, t in text.items():
+        s = bias + sum(w.get(f, 0.0) for f in plain_toxic_features(t))
+        assert got[i].score == pytest.approx(1 / (1 + math.exp(-max(-35, min(35, s)))), abs=1e-4)
+        assert got[i].predicted == (got[i].score >= 0.3)
+
+
 def test_toxicity_odd(spark, odd):
     labels = spark.createDataFrame([(i, 1, i % 2) for i in range(len(ODD))] + [(None, 1, 1), (3, 0, None)], "doc_id long, quality int, toxic int")
     got = toxicity.toxicity(odd, labels).collect()
@@ -484,6 +545,73 @@ def test_language(spark):
     assert all(0 <= r.score <= 1 for r in got)
 
 
+def plain_ngrams(text):
+    """Buckets of the n-grams of one to three code points of a lower-cased text, with their numbers."""
+    t = [32 if ord(c) in (9, 10, 13) else ord(c) for c in (text or "").lower()]
+    out = Counter()
+    for i in range(len(t)):
+        h = 0
+        for k in range(min(3, len(t) - i)):
+            h = (h * 0x01000193 & 0xFFFFFFFF) ^ ((t[i + k] * 0x9E3779B1 + k) & 0xFFFFFFFF)
+            x = h ^ (h >> 15)
+            out[(x * 0x85EBCA6B & 0xFFFFFFFF) >> (32 - language.BITS)] += 1
+    return out
+
+
+def test_language_by_definition(spark):
+    """Every prediction and score from plainly written features, steps and temperature."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    from pyspark.sql import functions as F
+
+    rows = docs.select("doc_id", "text", "lang", F.xxhash64("doc_id").alias("h")).collect()
+    known = [r for r in rows if r.lang is not None and r.text is not None and zlib.crc32(str(r.doc_id).encode()) % 3 != 1]
+    grams = {r.doc_id: plain_ngrams(r.text) for r in rows}
+    langs = sorted({r.lang for r in known})
+    df = Counter(b for r in known for b in grams[r.doc_id])
+    factor = defaultdict(lambda: language.SCALE * (math.log(1 + len(known)) + 1), {b: language.SCALE * (math.log((1 + len(known)) / (1 + k)) + 1) for b, k in df.items()})
+    z, n = defaultdict(lambda: np.zeros(len(langs))), defaultdict(lambda: np.zeros(len(langs)))
+    bias, bias_n = np.zeros(len(langs)), np.zeros(len(langs))
+
+    def weight(b):
+        return np.where(np.abs(z[b]) <= language.L1, 0, (np.sign(z[b]) * language.L1 - z[b]) / ((1 + np.sqrt(n[b])) / language.RATE + language.L2))
+
+    def values(r):
+        total = sum(grams[r.doc_id].values())
+        return {b: k / total * factor[b] for b, k in grams[r.doc_id].items()}
+
+    known = [r for r in sorted(known, key=lambda r: r.h) if grams[r.doc_id]]
+    held = [((r.h >> 7) & 1023) < language.CALIBRATE * 1024 for r in known]
+    for _ in range(language.PASSES):
+        for r, out in zip(known, held):
+            if out:
+                continue
+            v = values(r)
+            w = {b: weight(b) for b in v}
+            s = sum(w[b] * v[b] for b in v) + bias
+            g = np.exp(s - s.max())
+            g /= g.sum()
+            g[langs.index(r.lang)] -= 1
+            for b in v:
+                gv = g * v[b]
+                z[b] = z[b] + gv - (np.sqrt(n[b] + gv * gv) - np.sqrt(n[b])) / language.RATE * w[b]
+                n[b] = n[b] + gv * gv
+            bias_n += g * g
+            bias -= language.RATE * g / (1 + np.sqrt(bias_n))
+
+    def logits(r):
+        return sum((weight(b) * x for b, x in values(r).items()), np.zeros(len(langs))) + bias
+
+    trial = [(logits(r), langs.index(r.lang)) for r, out in zip(known, held) if out]
+    loss = lambda t: sum(math.log(np.exp((s - s.max()) / t).sum()) - (s[k] - s.max()) / t for s, k in trial)
+    best = min(np.geomspace(0.05, 20, 121), key=loss)
+    got = {r.doc_id: r for r in language.languages(docs).collect()}
+    for r in rows:
+        if r.text and any(c.isalpha() for c in r.text):
+            p = np.exp((logits(r) - logits(r).max()) / best)
+            p /= p.sum()
+            assert got[r.doc_id].score == pytest.approx(p.max(), abs=2e-3) and got[r.doc_id].lang_pred == langs[int(p.argmax())]
+
+
 def test_language_odd(spark, odd):
     got = language.languages(odd).collect()
     assert len(got) == len(ODD) + 3
