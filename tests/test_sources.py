@@ -1,3 +1,5 @@
+import time
+
 import pytest
 from pyspark.sql import functions as F
 from test_functions import lines
@@ -100,6 +102,23 @@ def test_stream_runs(spark, tmp_path):
     assert [tuple(r) for r in got] == [(1, 1, 3)]
 
 
+def test_stream_runs_of_idle_scans(spark, tmp_path):
+    """A run that is open when its scan has ended comes after the idle time; a frame without a box is off."""
+    schema = "scan_id long, frame int, coverage double, ocr_box boolean"
+    spark.createDataFrame([(1, 0, 0.9, True), (1, 1, 0.9, False), (1, 2, 0.9, True), (1, 3, 0.5, None)], schema).coalesce(1).write.parquet(str(tmp_path / "in"))
+    frames = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
+    q = S.stream_runs(frames, 0.8, 0.3, idle_ms=500).writeStream.format("memory").queryName("idle_runs").trigger(processingTime="300 milliseconds").start()
+    try:
+        for _ in range(120):
+            got = sorted(tuple(r) for r in spark.table("idle_runs").collect())
+            if len(got) == 2:
+                break
+            time.sleep(0.5)
+    finally:
+        q.stop()
+    assert got == [(1, 0, 0), (1, 2, 3)]
+
+
 def test_latest(spark):
     log = spark.createDataFrame([(1, 1, "a", False), (1, 2, "b", False), (2, 1, "c", False), (2, 3, "c", True)], "id long, version int, text string, deleted boolean")
     assert [tuple(r) for r in S.latest(log, ["id"], "version").collect()] == [(1, "b")]
