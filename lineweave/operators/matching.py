@@ -75,18 +75,19 @@ def fuzzy(queries: DataFrame, entries: DataFrame, threshold: float = 0.7, band:
 
 def _scored(probes: DataFrame, queries: DataFrame, threshold: float, band: int = 8) -> DataFrame:
     """probes (norm, ...) with each query (query_id, text, q) that is equal or at least so similar: columns query_id, query, score and
-    exact. Texts that are similar have like lengths, so they meet by bands of lengths; texts of up to two code points only
-    match longer ones that hold them."""
+    exact. Texts that are similar have like lengths, so they meet by bands of lengths, equal ones once; texts of up to two code
+    points only match longer ones that hold them."""
     n = F.length("q")
     low, high = F.floor(F.ceil(n * threshold) / band), F.floor(F.floor(n / threshold) / band)
-    q = queries.select("query_id", F.col("text").alias("query"), "q", F.explode(F.sequence(low, high)).alias("_band"))
-    pairs = probes.where("norm <> ''").withColumn("_band", F.floor(F.length("norm") / band)).join(q, "_band")
+    q = queries.select("q").distinct().withColumn("_band", F.explode(F.sequence(low, high)))
+    pairs = probes.select("norm").where("norm <> ''").distinct().withColumn("_band", F.floor(F.length("norm") / band)).join(q, "_band")
     exact = F.col("norm") == F.col("q")
     short = (F.least(F.length("q"), F.length("norm")) <= 2) & (F.length("q") != F.length("norm"))
     held = F.contains("q", "norm") | F.contains("norm", "q")
     fits = F.least(F.length("q"), F.length("norm")) >= F.greatest(F.length("q"), F.length("norm")) * threshold
     pairs = pairs.where(exact | (fits & (~short | held))).withColumn("exact", exact)
-    return pairs.withColumn("score", F.when(exact, 1.0).otherwise(similarity_from("q", "norm", threshold))).where("score is not null").drop("_band")
+    pairs = pairs.withColumn("score", F.when(exact, 1.0).otherwise(similarity_from("q", "norm", threshold))).where("score is not null").drop("_band")
+    return probes.join(pairs, "norm").join(queries.select("query_id", F.col("text").alias("query"), "q"), "q")
 
 
 def match(queries: DataFrame, entries: DataFrame, threshold: float = 0.7, most: int = 300, pairs: DataFrame | None = None, languages: DataFrame | None = None, preferred: str = "", split_regex: str = "") -> DataFrame:
@@ -114,12 +115,14 @@ def match(queries: DataFrame, entries: DataFrame, threshold: float = 0.7, most:
     found = found.withColumn("_n", F.row_number().over(best)).where("_n = 1")
     turn = F.when(F.col("kind") == "segment", 6).when(F.col("exact"), F.when(F.col("kind") == "text", 1).otherwise(2)).otherwise(F.when(F.col("kind") == "text", 3).otherwise(4))
     found = found.select("query_id", "query", "score", "exact", (F.col("kind") == "key").alias("from_key"), "matched", "direct", "k", "key", F.col("file").alias("of"), turn.alias("turn"), F.struct("file", "text", "k").alias("order"))
-    itself = found.where("direct <> query").select("*", F.col("of").alias("file"), F.col("direct").alias("text"), F.lit(0).alias("sub"))
-    other = e.where("key <> ''").select("key", F.col("file").alias("file"), F.col("text").alias("_t"), "segments")
-    crossed = found.join(other, "key").where("of <> file")
-    crossed = crossed.withColumn("text", F.coalesce(F.when(F.col("k") >= 0, F.get("segments", F.col("k"))["raw"]), "_t")).where("text <> '' and text <> direct").withColumn("sub", F.lit(1))
+    other = e.where("key <> ''").select(F.col("key").alias("_k"), F.col("file").alias("_f"), F.col("text").alias("_t"), "segments")
+    both = found.withColumn("sub", F.explode(F.array(F.lit(0), F.lit(1))))  # an entry itself, and what its key has elsewhere
+    both = both.join(other, (F.col("key") == F.col("_k")) & (F.col("sub") == 1), "left")
+    beside = F.coalesce(F.when(F.col("k") >= 0, F.get("segments", F.col("k"))["raw"]), "_t")
+    both = both.withColumns({"file": F.when(F.col("sub") == 0, F.col("of")).otherwise(F.col("_f")), "text": F.when(F.col("sub") == 0, F.col("direct")).otherwise(beside)})
+    both = both.where("if(sub = 0, direct <> query, file <> of and text <> '' and text <> direct)")
     columns = ["query_id", "file", "key", "text", "score", "exact", "from_key", "matched", "turn", "order", "sub"]
-    out = itself.select(columns).unionByName(crossed.select(columns))
+    out = both.select(columns)
     if pairs is not None:
         p = pairs.select("file", "key", "source", "translation").distinct().withColumns({"_s": segments("source"), "_t": segments("translation")})
         place = lambda kind, norm, matched, text, k: F.struct(F.lit(kind).alias("turn"), norm.alias("norm"), matched.alias("matched"), text.alias("text"), k.cast("int").alias("k"))
@@ -158,7 +161,8 @@ def script_of(c: Column | str) -> Column:
     some = F.lit(None).cast("string")
     for name, pattern in reversed(SCRIPTS[:-1]):
         some = F.when(c.rlike(f"[{pattern}]"), name).otherwise(some)
-    return F.when(c.rlike("[" + "".join(p for _, p in SCRIPTS[:-1]) + "]"), some).otherwise(out)
+    foreign = (F.octet_length(c) > F.length(c)) & c.rlike("[" + "".join(p for _, p in SCRIPTS[:-1]) + "]")
+    return F.when(c.isNull(), None).when(foreign, some).otherwise(out)
 
 
 def split_segments(c: Column | str, also: str = "") -> Column:
