@@ -21,7 +21,7 @@ def tokenizer_path(name: str) -> str:
 
 
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffixes.repeated_passages(documents(spark, sf_dir))
+    return suffixes.repeated_passages(documents(spark, sf_dir), within=False)
 
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -103,8 +103,8 @@ WITH w AS (
   SELECT doc_id, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS ws FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL),
 p AS (SELECT doc_id, ws, unnest(range(0, len(ws) - 49)) AS pos FROM w WHERE len(ws) >= 50),
 s AS (SELECT doc_id, pos, array_to_string(ws[pos + 1:pos + 50], ' ') AS stretch FROM p),
-r AS (SELECT doc_id, pos, min(doc_id) OVER (PARTITION BY stretch) AS least, max(doc_id) OVER (PARTITION BY stretch) AS most, count(*) OVER (PARTITION BY stretch) AS n FROM s),
-b AS (SELECT *, CASE WHEN pos > lag(pos) OVER d + 50 OR lag(pos) OVER d IS NULL THEN 1 ELSE 0 END AS fresh FROM r WHERE n > 1 WINDOW d AS (PARTITION BY doc_id ORDER BY pos)),
+r AS (SELECT doc_id, pos, min(doc_id) OVER (PARTITION BY stretch) AS least, max(doc_id) OVER (PARTITION BY stretch) AS most FROM s),
+b AS (SELECT *, CASE WHEN pos > lag(pos) OVER d + 50 OR lag(pos) OVER d IS NULL THEN 1 ELSE 0 END AS fresh FROM r WHERE least < most WINDOW d AS (PARTITION BY doc_id ORDER BY pos)),
 g AS (SELECT *, sum(fresh) OVER (PARTITION BY doc_id ORDER BY pos) AS run FROM b)
 SELECT doc_id, min(pos)::BIGINT AS start_word, (max(pos) + 50)::BIGINT AS end_word, (max(pos) + 50 - min(pos))::BIGINT AS n_words,
        CASE WHEN min(least) <> doc_id THEN min(least) ELSE max(most) END AS partner_id

@@ -164,7 +164,7 @@ def word_codes(column: pa.ChunkedArray, width: int) -> tuple[np.ndarray, np.ndar
     return out, size
 
 
-def extended(t: pa.Table, at: np.ndarray, n: np.ndarray, least: np.ndarray, most: np.ndarray, passage: int, leading: int) -> tuple[np.ndarray, ...]:
+def extended(t: pa.Table, at: np.ndarray, n: np.ndarray, least: np.ndarray, most: np.ndarray, passage: int, leading: int, within: bool) -> tuple[np.ndarray, ...]:
     """(low, high, least, most) of each row of t: how many words before the suffix the shortest and the longest of its repeated
     stretches reach (high -1: there is none), and the least and greatest doc_id that have one of these stretches.
 
@@ -196,8 +196,8 @@ def extended(t: pa.Table, at: np.ndarray, n: np.ndarray, least: np.ndarray, most
         begin = np.flatnonzero(new)
         group = np.cumsum(new) - 1
         r = ok[order]
-        total = np.add.reduceat(n[r], begin)[group] > 1
         a, b = np.minimum.reduceat(least[r], begin)[group], np.maximum.reduceat(most[r], begin)[group]
+        total = np.add.reduceat(n[r], begin)[group] > 1 if within else a < b
         r, a, b = r[total], a[total], b[total]
         low[r], high[r] = np.minimum(low[r], l), np.maximum(high[r], l)
         own_least[r], own_most[r] = np.minimum(own_least[r], a), np.maximum(own_most[r], b)
@@ -235,7 +235,7 @@ def stretches(t: pa.Table, at: np.ndarray, n: np.ndarray, least: np.ndarray, mos
     return _found(len(held), part=[part] * len(held), key=keys, low=low, n=[int(n[k].sum()) for k in held.values()], classes=runs, least=[int(least[k].min()) for k in held.values()], most=[int(most[k].max()) for k in held.values()])
 
 
-def compared(rows: DataFrame, n: int, passage: int, leading: int) -> DataFrame:
+def compared(rows: DataFrame, n: int, passage: int, leading: int, within: bool) -> DataFrame:
     """What extended() finds for suffixes() that are dealt out by range and sorted by their words, equal ones as one.
 
     Rows with a: the words from a to b repeat. Ranges are cut by the words, what is before them and the row, so very many
@@ -289,7 +289,7 @@ def compared(rows: DataFrame, n: int, passage: int, leading: int) -> DataFrame:
             return
         at, n, least, most = equal(t)
         groups = np.append(np.flatnonzero(new[at[:-1]]), len(n))
-        low, high, least, most = (np.repeat(x, n) for x in extended(t.take(pa.array(at[:-1])), groups, n, least, most, passage, leading))
+        low, high, least, most = (np.repeat(x, n) for x in extended(t.take(pa.array(at[:-1])), groups, n, least, most, passage, leading, within))
         hit = np.flatnonzero(high >= 0)
         pos = t["pos"].to_numpy()[hit]
         yield _found(len(hit), part=np.full(len(hit), part), a=pos - high[hit], b=pos + passage - low[hit], least=least[hit], most=most[hit], doc_id=t["doc_id"].to_numpy()[hit], row=t["row"].to_numpy()[hit])
@@ -298,12 +298,12 @@ def compared(rows: DataFrame, n: int, passage: int, leading: int) -> DataFrame:
     return dealt.drop("range").mapInArrow(run, _FOUND)
 
 
-def settled_groups(found: DataFrame, n: int, passage: int) -> DataFrame:
+def settled_groups(found: DataFrame, n: int, passage: int, within: bool) -> DataFrame:
     """(doc_id, row, a, b, least, most) of all suffixes in found whose stretches repeat: what is known already, and members of classes
     that keys of other parts settle. Each part has sent a stretch once, so a stretch that very many suffixes have is as many
     rows as there are parts that have it."""
     keyed = found.where("key is not null").select("part", "key", "low", "n", "classes", "least", "most")
-    again = keyed.groupBy("key").agg(F.sum("n").alias("n"), F.min("least").alias("least"), F.max("most").alias("most")).where("n > 1").withColumnRenamed("key", "k")
+    again = keyed.groupBy("key").agg(F.sum("n").alias("n"), F.min("least").alias("least"), F.max("most").alias("most")).where("n > 1" if within else "least < most").withColumnRenamed("key", "k")
     hits = keyed.drop("n", "least", "most").join(again, F.col("key") == F.col("k")).select("part", "low", "classes", "least", "most")
     members = found.where("key is null").select("part", "class", "doc_id", "row", "a", "b", "least", "most")
     kind = F.when(F.col("classes").isNotNull(), 0).when(F.col("class").isNotNull(), 1).otherwise(2).alias("kind")
@@ -335,9 +335,10 @@ def settled_groups(found: DataFrame, n: int, passage: int) -> DataFrame:
     return rows.mapInArrow(run, "doc_id long, row long, a long, b long, least long, most long")
 
 
-def repeated_passages(docs: DataFrame, passage: int = PASSAGE, leading: int = LEADING) -> DataFrame:
+def repeated_passages(docs: DataFrame, passage: int = PASSAGE, leading: int = LEADING, within: bool = True) -> DataFrame:
     """(doc_id, start_word, end_word, n_words, partner_id): maximal runs of words of each whole text in which every stretch
-    of `passage` words occurs at least twice in the table, within one text or in several.
+    of `passage` words occurs at least twice in the table, within one text or in several; with within=False, under two doc_ids at
+    least, so that a text which only repeats itself has none.
 
     Words are [^\\x20\\x09-\\x0D]+ and compare by their bytes. Suffixes are retained at the minimisers of all stretches; those whose
     leading words come once in the table are left out, the others sorted by their words and compared with their neighbours,
@@ -351,9 +352,9 @@ def repeated_passages(docs: DataFrame, passage: int = PASSAGE, leading: int = LE
     shared = cut(shared_anchors(docs, passage, leading))
     n = partitions(docs)
     bounds = range_bounds(docs, shared, passage, leading, n)
-    found = cut(compared(suffixes(docs, shared, passage, leading, bounds), max(n, len(bounds) + 1), passage, leading))
+    found = cut(compared(suffixes(docs, shared, passage, leading, bounds), max(n, len(bounds) + 1), passage, leading, within))
     drop(shared)
-    rows = settled_groups(found, n, passage)
+    rows = settled_groups(found, n, passage, within)
 
     def runs(batches):
         for t, at in by_group(batches, ["doc_id", "row"]):
