@@ -213,6 +213,19 @@ def test_passages_hot(spark, monkeypatch):
     assert suffixes.repeated_passages(table(spark, [" ".join(passage[:60]), " ".join(alone[:60])])).count() == 0
 
 
+def test_passages_of_several_documents(spark):
+    """Without repeats within one text: only stretches under two doc_ids count, in hot groups too."""
+    rng = random.Random(3)
+    own = [f"w{k}" for k in range(60)]
+    both = [f"v{k}" for k in range(70)]
+    texts = [" ".join(own * 3), " ".join(both + own[:5]), " ".join(["x", *both]), " ".join(both * 2)]
+    texts += [" ".join([f"y{rng.random()}", *both[:55], f"y{rng.random()}"]) for _ in range(80)]
+    df = table(spark, texts).repartition(20)
+    got = {(r.doc_id, r.start_word, r.end_word, r.partner_id) for r in suffixes.repeated_passages(df, within=False).collect()}
+    assert not any(d == 0 for d, *_ in got) and {(1, 0, 70, 83), (2, 1, 71, 1)} <= got and {r[0] for r in got} == set(range(1, 84))
+    assert {r.doc_id for r in suffixes.repeated_passages(df).collect()} == set(range(84))
+
+
 def test_passages_odd(spark, odd):
     got = suffixes.repeated_passages(odd).collect()
     assert [(r.doc_id, r.start_word, r.end_word, r.partner_id) for r in got] == [(7, 0, 3000, 7)]
