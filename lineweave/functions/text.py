@@ -73,6 +73,16 @@ def nfc(c: Column | str) -> Column:
     return run(c)
 
 
+def code_points(c: Column | str) -> Column:
+    """The characters of a text, one code point each."""
+    return F.filter(F.split(c, ""), lambda x: x != "")
+
+
+def tokens(c: Column | str, separator: str = ",") -> Column:
+    """Parts of a text between separators, without white space at their ends."""
+    return F.transform(F.split(c, re.escape(separator), -1), lambda x: F.trim(x))
+
+
 def casefold(c: Column | str) -> Column:
     @F.pandas_udf("string")
     def run(s: pd.Series) -> pd.Series:
@@ -115,6 +125,16 @@ def rgb_to_ycbcr(r: Column, g: Column, b: Column, matrix: str = "601", full: boo
     return F.struct((y * sy + base).alias("y"), ((b - y) / (2 * (1 - kb)) * sc + 128).alias("cb"), ((r - y) / (2 * (1 - kr)) * sc + 128).alias("cr"))
 
 
+def ycbcr_to_rgb(y: Column, cb: Column, cr: Column, matrix: str = "601", full: bool = False) -> Column:
+    """Channels 0..255, rounded, of Y, Cb and Cr in TV or full range."""
+    kr, kb = LUMA[matrix]
+    sy, sc, base = (1.0, 1.0, 0) if full else (219 / 255, 224 / 255, 16)
+    level = (y - base) / sy
+    r, b = level + (cr - 128) / sc * (2 * (1 - kr)), level + (cb - 128) / sc * (2 * (1 - kb))
+    g = (level - kr * r - kb * b) / (1 - kr - kb)
+    return F.struct(*(F.greatest(F.least(F.round(c), F.lit(255.0)), F.lit(0.0)).cast("int").alias(n) for c, n in ((r, "r"), (g, "g"), (b, "b"))))
+
+
 def rgb_to_hsv(r: Column, g: Column, b: Column) -> Column:
     """Hue in degrees, saturation and value in 0..1."""
     top, low = F.greatest(r, g, b), F.least(r, g, b)

@@ -373,6 +373,10 @@ over_lines("insert_lines", lambda d: L.insert_lines(d, d.where("layer = 1").with
 over_lines("hsv_round_trip", lambda d: d.select("id", X.rgb_to_hsv(F.col("row_no") * 20 % 256, F.col("layer") * 100, F.lit(7)).alias("x")).select("id", X.hsv_to_rgb(F.col("x.h"), F.col("x.s"), F.col("x.v")).alias("y")).select("id", "y.r", "y.g", "y.b"), "SELECT id, (row_no * 20 % 256)::INT AS r, layer * 100 AS g, 7 AS b FROM lines")
 
 
+over_lines("ycbcr_round_trip", lambda d: d.select("id", X.rgb_to_ycbcr(F.col("row_no") * 20 % 256, F.col("layer") * 100, F.lit(7), "709").alias("x")).select("id", X.ycbcr_to_rgb(F.col("x.y"), F.col("x.cb"), F.col("x.cr"), "709").alias("y")).select("id", "y.r", "y.g", "y.b"), "SELECT id, (row_no * 20 % 256)::INT AS r, layer * 100 AS g, 7 AS b FROM lines")
+over_lines("code_points", lambda d: d.select("id", X.code_points("text").alias("chars"), X.tokens("text").alias("parts")), "SELECT id, list_filter(string_split(text, ''), lambda x: x <> '') AS chars, list_transform(string_split(text, ','), lambda x: trim(x)) AS parts FROM lines")
+
+
 @query("SELECT class, count(*) AS n FROM (SELECT 'style' AS class FROM styles UNION ALL SELECT 'dialogue' FROM lines UNION ALL SELECT 'info' FROM (SELECT DISTINCT file_id FROM lines)) GROUP BY class", D.LINES, D.STYLES)
 def script_classes(spark, d):
     lines = D.lines(spark, d)

@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lineweave.functions.text import convert_newlines, strip_tags
-from lineweave.functions.times import format_ass, format_srt, frame_at, smpte
-from lineweave.operators.lines import actor_share, merge_identical, recombine_overlaps, sort_lines, strip_comments
+from lineweave.functions.times import format_ass, format_srt, frame_at, smpte, time_at
+from lineweave.operators.lines import actor_share, merge_identical, recombine_overlaps, sort_lines, strip_comments, with_style
 from lineweave.operators.windows import by_file
 
 
@@ -75,6 +75,24 @@ def encore(lines: DataFrame, rate: int = 30, drop: bool = False) -> DataFrame:
     return gathered(prepared(lines), line)
 
 
+def transtation(lines: DataFrame, styles: DataFrame, rate: int = 25, drop: bool = False) -> DataFrame:
+    """Entries SUB[alignment type start>end] with times in frames. styles: (file_id, ord, name, alignment, italic), of which a line's
+    says where it stands and whether it is italic. An end at which the next line begins is a frame earlier, as ends count."""
+    rows = recombine_overlaps(strip_comments(sort_lines(lines)))
+    w = by_file()
+    same = (F.lag("text").over(w) == F.col("text")) & (F.lag("end_ms").over(w) == F.col("start_ms"))
+    rows = rows.withColumn("_new", F.when(same, 0).otherwise(1)).withColumn("_run", F.sum("_new").over(w))
+    rows = rows.groupBy("file_id", "_run").agg(F.min("start_ms").alias("start_ms"), F.max_by(F.struct("row_no", "end_ms", "style", "text"), "row_no").alias("x")).select("file_id", "start_ms", "x.*")
+    rows = with_style(rows.withColumn("next_start", F.lead("start_ms").over(w)), styles, ["alignment", "italic"])
+    touch = (F.col("end_ms") == F.col("next_start")) & (F.col("next_start") > 0)
+    end = F.when(touch, time_at(frame_at("end_ms", rate, 1, "end") - 1, rate, 1, "end")).otherwise(F.col("end_ms"))
+    a = F.coalesce("style_alignment", F.lit(2))
+    place = F.concat(F.when(a >= 7, "9").when(a >= 4, "4").otherwise("0"), F.when(a % 3 == 1, "L").when(a % 3 == 0, "R").otherwise(" "), F.when(F.col("style_italic"), "I").otherwise("N"))
+    code = lambda c: smpte(frame_at(c, rate, 1), rate, drop)
+    line = F.concat(F.lit("SUB["), place, F.lit(" "), code(F.col("start_ms")), F.lit(">"), code(end), F.lit("]\r\n"), strip_tags(convert_newlines("text", "\r\n")))
+    return gathered(rows, line, between="\n\n").withColumn("content", F.concat("content", F.lit("SUB[\n")))
+
+
 #: Fixed text: first lines of timecode and keyframe files
 TIMECODE_HEAD = "# timecode format v2\n"
 KEYFRAME_HEAD = "# keyframe format v1\nfps 0\n"

@@ -119,6 +119,13 @@ def test_stream_runs_of_idle_scans(spark, tmp_path):
     assert got == [(1, 0, 0), (1, 2, 3)]
 
 
+def test_transtation(spark):
+    df = lines(spark, [(0, 1000, "a"), (1000, 2000, "a"), (2000, 3000, "{\\b1}b\\Nc")]).withColumn("style", F.when(F.col("start_ms") == 2000, "TOP").otherwise("none"))
+    styles = spark.createDataFrame([(1, 0, "Top", 9, True)], "file_id int, ord int, name string, alignment int, italic boolean")
+    got = W.transtation(df, styles, 25).first().content
+    assert got == "SUB[0 N 00:00:00:00>00:00:01:23]\r\na\n\nSUB[9RI 00:00:02:00>00:00:03:00]\r\nb\r\nc\nSUB[\n"
+
+
 def test_latest(spark):
     log = spark.createDataFrame([(1, 1, "a", False), (1, 2, "b", False), (2, 1, "c", False), (2, 3, "c", True)], "id long, version int, text string, deleted boolean")
     assert [tuple(r) for r in S.latest(log, ["id"], "version").collect()] == [(1, "b")]
