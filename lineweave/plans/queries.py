@@ -122,7 +122,7 @@ over_lines("make_adjacent", lambda d: G.make_adjacent(d, 2000, 1000).select("id"
 over_lines("continuous_end", lambda d: G.make_continuous(d).select("id", "end_ms"), "SELECT id, coalesce(lead(start_ms) OVER (PARTITION BY file_id ORDER BY row_no), end_ms) AS end_ms FROM lines")
 _RATES = "f AS (SELECT k::INT AS frame, ((k * 1001000 + 12000) // 24000)::INT AS a, (((k + 1) * 1001000 + 12000) // 24000)::INT AS b, (k * 40)::INT AS p, ((k + 1) * 40)::INT AS q FROM range(0, 200000) AS r(k))"
 over_lines("transform_rate", lambda d: G.transform_rate(d, (24000, 1001), (25, 1)).select("id", "start_ms", "end_ms"), "SELECT l.id, (trunc(s.p + (s.q - s.p) * ((start_ms - s.a) / (s.b - s.a)::DOUBLE))::INT // 10 * 10)::INT AS start_ms, ((trunc(e.p + (e.q - e.p) * ((end_ms - e.a) / (e.b - e.a)::DOUBLE))::INT + 9) // 10 * 10)::INT AS end_ms FROM lines l JOIN f s ON s.a <= start_ms AND start_ms < s.b JOIN f e ON e.a <= end_ms AND end_ms < e.b", _RATES)
-over_lines("snap_to_scene", lambda d: G.snap_to_scene(d, d.select("file_id", (F.col("row_no") * 70).alias("frame")), F.col("layer") > 0, 100, (25, 1), 5000).select("id", "start_ms", "end_ms"), "SELECT id, CASE WHEN layer > 0 THEN coalesce(a, 0) * 40 - (CASE WHEN coalesce(a, 0) = 0 THEN 20 ELSE 20 END) ELSE start_ms END AS start_ms, CASE WHEN layer > 0 THEN (coalesce(b, 5000) - 1) * 40 + 20 ELSE end_ms END AS end_ms FROM (SELECT *, max(CASE WHEN row_no * 70 <= 100 THEN row_no * 70 END) OVER (PARTITION BY file_id) AS a, min(CASE WHEN row_no * 70 > 100 THEN row_no * 70 END) OVER (PARTITION BY file_id) AS b FROM lines)".replace("coalesce(a, 0) * 40 - (CASE WHEN coalesce(a, 0) = 0 THEN 20 ELSE 20 END)", "greatest(coalesce(a, 0) * 40 - 20, 0)"))
+over_lines("snap_to_scene", lambda d: G.snap_to_scene(d, d.select("file_id", (F.col("row_no") * 70).alias("frame")), F.col("layer") > 0, 100, (25, 1), 5000).select("id", "start_ms", "end_ms"), "SELECT id, CASE WHEN layer > 0 THEN greatest(coalesce(a, 0) * 40 - 20, 0) ELSE start_ms END AS start_ms, CASE WHEN layer > 0 THEN (coalesce(b, 5000) - 1) * 40 + 20 ELSE end_ms END AS end_ms FROM (SELECT *, max(CASE WHEN row_no * 70 <= 100 THEN row_no * 70 END) OVER (PARTITION BY file_id) AS a, min(CASE WHEN row_no * 70 > 100 THEN row_no * 70 END) OVER (PARTITION BY file_id) AS b FROM lines)")
 over_lines("snap_to_frame", lambda d: G.snap_to_frame(d, F.col("layer") > 0, 100, (25, 1)).select("id", "start_ms", "end_ms"), "SELECT id, CASE WHEN layer > 0 THEN 3980 ELSE start_ms END AS start_ms, CASE WHEN layer > 0 THEN greatest(end_ms, 4020) ELSE end_ms END AS end_ms FROM lines")
 over_lines("snap_keyframes", lambda d: G.snap_to_keyframes(d, d.select("file_id", (F.col("row_no") * 70).alias("frame")), (25, 1), (500, 700, 600, 400)).select("id", "start_ms", "end_ms"), """SELECT id, CASE WHEN (ks > fs AND ks * 40 - 20 - start_ms <= 500) OR (ks < fs AND start_ms - (ks * 40 - 20) <= 700) THEN greatest(ks * 40 - 20, 0) ELSE start_ms END AS start_ms, CASE WHEN (ke - 1 > fe AND (ke - 1) * 40 + 20 - end_ms <= 600) OR (ke - 1 < fe AND end_ms - ((ke - 1) * 40 + 20) <= 400) THEN greatest((ke - 1) * 40 + 20, 0) ELSE end_ms END AS end_ms
 FROM (SELECT l.*, arg_min(k.k, (abs(k.k - fs), k.k)) AS ks, arg_min(k.k, (abs(k.k - fe), k.k)) AS ke FROM (SELECT *, (start_ms + 39) // 40 AS fs, (end_ms - 1) // 40 AS fe FROM lines) l JOIN (SELECT DISTINCT file_id, row_no * 70 AS k FROM lines) k USING (file_id) GROUP BY ALL)""")
@@ -130,16 +130,16 @@ over_lines("join_next", lambda d: E.join_neighbour(d, d.where("row_no % 3 = 0"))
 over_lines("split_cursor", lambda d: E.split_at_cursor(d, d.where("layer = 1").select("file_id", "id", F.octet_length(F.substring("text", 1, 9)).alias("pos")), "estimate").select("file_id", "id", "row_no", "start_ms", "end_ms", "text"), "SELECT file_id, CASE WHEN k = 0 THEN id END AS id, (row_number() OVER (PARTITION BY file_id ORDER BY row_no, k) - 1)::INT AS row_no, CASE WHEN k = 1 THEN m ELSE start_ms END AS start_ms, CASE WHEN layer = 1 AND k = 0 THEN m ELSE end_ms END AS end_ms, CASE WHEN layer <> 1 THEN text WHEN k = 0 THEN a ELSE b END AS text FROM (SELECT *, CASE WHEN strlen(a) + strlen(b) > 0 THEN start_ms + trunc((end_ms - start_ms) * (strlen(a) / (strlen(a) + strlen(b))::DOUBLE))::INT END AS m FROM (SELECT *, rtrim(text[:9], chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS a, ltrim(text[10:], chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS b FROM lines)) CROSS JOIN (VALUES (0), (1)) AS c(k) WHERE layer = 1 OR k = 0")
 over_lines("copy_paste_rows", lambda d: E.paste_rows(d, E.copy_rows(d.where("layer = 1")).withColumn("at", F.lit(1))).select("file_id", "id", "row_no", "start_ms", "end_ms", "style", "text"), "SELECT file_id, id, (row_number() OVER (PARTITION BY file_id ORDER BY a, b, row_no) - 1)::INT AS row_no, start_ms, end_ms, style, text FROM (SELECT *, row_no AS a, 1 AS b FROM lines UNION ALL SELECT file_id, NULL, row_no, comment, layer, (start_ms + 5) // 10 * 10, (end_ms + 5) // 10 * 10, style, actor, effect, trim(regexp_replace(text, '[\r\n]', '', 'g')), 1, 0 FROM lines WHERE layer = 1)")
 over_lines("visible_at_frame", lambda d: E.visible_at_frame(d, 100, (25, 1)).select("id"), "SELECT id FROM lines WHERE (start_ms + 39) // 40 <= 100 AND (end_ms - 1) // 40 >= 100")
-over_lines("replace_one", lambda d: E.replace_one(d, d.where("layer = 1"), "text", "([aeiou])n", "<$1>").select("id", "text"), "SELECT id, CASE WHEN layer = 1 THEN regexp_replace(text, '([aeiou])n', '<\\1>') ELSE text END AS text FROM lines".replace("\\\\", "\\"))
+over_lines("replace_one", lambda d: E.replace_one(d, d.where("layer = 1"), "text", "([aeiou])n", "<$1>").select("id", "text"), "SELECT id, CASE WHEN layer = 1 THEN regexp_replace(text, '([aeiou])n', '<\\1>') ELSE text END AS text FROM lines")
 over_lines("grid_columns", lambda d: E.grid(d.withColumn("text", F.concat(F.lit("{\\i1}"), "text")), rate=(25, 1)).select("id", "number", "layer", "start", "end", "text"), "SELECT id, row_no + 1 AS number, CASE WHEN layer = 0 THEN '' ELSE layer::VARCHAR END AS layer, ((start_ms + 39) // 40)::VARCHAR AS start, ((end_ms - 1) // 40)::VARCHAR AS \"end\", '☀' || text AS text FROM lines")
 over_lines("column_widths", E.column_widths, "SELECT file_id, max(row_no) AS max_row, max(layer) AS max_layer, max(length(style))::INT AS style_width, max(length(actor))::INT AS actor_width, max(length(effect))::INT AS effect_width FROM lines GROUP BY file_id")
 over_lines("nth_pairs", lambda d: E.nth_pairs(d, "Default", "Sign"), "SELECT a.file_id, a.n, a.id AS source_id, a.text AS source_text, b.id AS target_id, b.text AS target_text FROM p a LEFT JOIN p b ON b.file_id = a.file_id AND b.n = a.n AND b.style = 'Sign' WHERE a.style = 'Default'", "p AS (SELECT *, (row_number() OVER (PARTITION BY file_id, style ORDER BY row_no))::INT AS n FROM lines WHERE NOT comment)")
 over_lines("invert_comments", lambda d: E.invert_comments(d, F.col("layer") == 1).select("id", "comment"), "SELECT id, CASE WHEN layer = 1 THEN NOT comment ELSE comment END AS comment FROM lines")
 over_lines("swap_lines", lambda d: E.swap(d, d.where("row_no = 0").select("file_id", "id", (F.col("id") + 1).alias("other_id"))).select("id", "row_no"), "SELECT id, (CASE WHEN n > 1 AND row_no < 2 THEN 1 - row_no ELSE row_no END)::INT AS row_no FROM (SELECT *, count(*) OVER (PARTITION BY file_id) AS n FROM lines)")
 over_lines("split_syllable", lambda d: K.split_syllable(K.syllables(d.withColumn("text", F.concat(F.lit("{\\k20}a{\\k30}"), "text"))), d.select("file_id", "id", F.lit(1).alias("idx"), F.octet_length(F.substring("text", 1, 4)).alias("pos"))).select("id", "idx", "text", "duration_ms", "syl_start_ms"), "SELECT id, k AS idx, CASE k WHEN 0 THEN 'a' WHEN 1 THEN text[:4] ELSE text[5:] END AS text, CASE k WHEN 0 THEN 200 WHEN 1 THEN 300 - x ELSE x END AS duration_ms, start_ms + CASE k WHEN 0 THEN 0 WHEN 1 THEN 200 ELSE 500 - x END AS syl_start_ms FROM (SELECT *, CASE WHEN strlen(text[5:]) = 0 THEN 0 WHEN strlen(text[:4]) = 0 THEN 300 ELSE (300 * strlen(text[5:]) // strlen(text) + 5) // 10 * 10 END::INT AS x FROM lines) CROSS JOIN (VALUES (0), (1), (2)) AS c(k)")
-over_lines("wrap_greedy", lambda d: d.select("id", B.wrap_points(F.transform(F.filter(F.split("text", " "), lambda x: x != ""), F.length), 30, "greedy").alias("breaks")), "SELECT l.id, coalesce(list(r.k - 1 ORDER BY r.k) FILTER (r.fresh), []) AS breaks FROM lines l LEFT JOIN r USING (id) GROUP BY l.id", "t AS (SELECT id, list_filter(string_split(text, ' '), lambda x: x <> '') AS ws FROM lines), r AS (WITH RECURSIVE g AS (SELECT id, ws, 1 AS k, length(ws[1]) AS line, false AS fresh FROM t WHERE len(ws) > 0 UNION ALL SELECT id, ws, k + 1, CASE WHEN line + length(ws[k + 1]) > 30 THEN length(ws[k + 1]) ELSE line + length(ws[k + 1]) END, line + length(ws[k + 1]) > 30 FROM g WHERE k < len(ws)) SELECT id, k, fresh FROM g)")
+over_lines("wrap_greedy", lambda d: d.select("id", B.wrap_points(F.transform(F.filter(F.split("text", " "), lambda x: x != ""), F.length), 30, "greedy").cast("array<string>").alias("b")).select("id", F.array_join("b", ",").alias("breaks")), "SELECT l.id, coalesce(string_agg((r.k - 1)::VARCHAR, ',' ORDER BY r.k) FILTER (r.fresh), '') AS breaks FROM lines l LEFT JOIN r USING (id) GROUP BY l.id", "t AS (SELECT id, list_filter(string_split(text, ' '), lambda x: x <> '') AS ws FROM lines), r AS (WITH RECURSIVE g AS (SELECT id, ws, 1 AS k, length(ws[1]) AS line, false AS fresh FROM t WHERE len(ws) > 0 UNION ALL SELECT id, ws, k + 1, CASE WHEN line + length(ws[k + 1]) > 30 THEN length(ws[k + 1]) ELSE line + length(ws[k + 1]) END, line + length(ws[k + 1]) > 30 FROM g WHERE k < len(ws)) SELECT id, k, fresh FROM g)")
 over_lines("smpte_back", lambda d: d.select("id", T.frame_of_smpte(T.smpte((F.col("id") * 37).cast("bigint"), 30, True), 30, True).alias("frame")), "SELECT id, (id * 37)::INT AS frame FROM lines")
-over_lines("tag_table", lambda d: d.select("id", B.split_blocks(F.lit("x")).alias("_"), N.tags_of(F.concat(F.lit("{\\t(0,"), F.col("start_ms").cast("string"), F.lit(",\\fs20)\\clip(1,m 0 0)\\bordx}"), "text")).alias("t")).select("id", F.transform("t", lambda x: x["name"]).alias("names"), F.transform("t", lambda x: x["text"]).alias("texts")), "SELECT id, ['t', 'clip', 'bord'] AS names, ['\\t(0,' || start_ms || ',\\fs20)', '\\clip(1,m 0 0)', '\\bordx'] AS texts FROM lines".replace("\\\\", "\\"))
+over_lines("tag_table", lambda d: d.select("id", N.tags_of(F.concat(F.lit("{\\t(0,"), F.col("start_ms").cast("string"), F.lit(",\\fs20)\\clip(1,m 0 0)\\bordx}"), "text")).alias("t")).select("id", F.array_join(F.transform("t", lambda x: x["name"]), "|").alias("names"), F.array_join(F.transform("t", lambda x: x["text"]), "|").alias("texts")), r"SELECT id, 't|clip|bord' AS names, '\t(0,' || start_ms || ',\fs20)|\clip(1,m 0 0)|\bordx' AS texts FROM lines")
 
 
 @query("SELECT vec_id, arg_max(b, (n, -b)) AS mode FROM (SELECT vec_id, b, count(*) AS n FROM (SELECT vec_id, unnest(list_transform(embedding, lambda x: floor(floor((x::DOUBLE + 1) * 127)::INT * 32 / 256)::INT)) AS b FROM embeddings) GROUP BY ALL) GROUP BY vec_id")
@@ -154,14 +154,14 @@ def accumulated_offsets(spark, d):
     return V.accumulated(f, ["value"])
 
 
-@query("SELECT l.file_id, l.id, [l.id, n] AS extradata_ids FROM (SELECT *, (SELECT max(x.id) FROM lines x WHERE x.file_id = l.file_id) + 1 + layer AS n FROM lines l) l", D.LINES)
+@query("SELECT l.file_id, l.id, l.id || ',' || n AS extradata_ids FROM (SELECT *, (SELECT max(x.id) FROM lines x WHERE x.file_id = l.file_id) + 1 + layer AS n FROM lines l) l", D.LINES)
 def extradata_set(spark, d):
     lines = D.lines(spark, d)
     files = lines.groupBy("file_id").agg(F.max("id").alias("m"))
     data = lines.select("file_id", "id", F.lit(0).alias("expiration"), F.lit("k").alias("key"), F.col("id").cast("string").alias("value"))
     data = data.unionByName(files.select("file_id", F.explode(F.array(*(F.struct((F.col("m") + 1 + k).alias("id"), F.lit(f"v{k}").alias("value")) for k in range(3)))).alias("x")).select("file_id", "x.id", F.lit(0).alias("expiration"), F.lit("new").alias("key"), "x.value"))
     values = lines.select("file_id", F.col("id").alias("line_id"), F.lit("new").alias("key"), F.concat(F.lit("v"), F.col("layer").cast("string")).alias("value"))
-    return E.set_extradata(lines.withColumn("extradata_ids", F.array("id")), data, values)[0].select("file_id", "id", "extradata_ids")
+    return E.set_extradata(lines.withColumn("extradata_ids", F.array("id")), data, values)[0].select("file_id", "id", F.array_join(F.col("extradata_ids").cast("array<string>"), ",").alias("extradata_ids"))
 
 
 over_lines("min_positive_gap", E.least_gap, "SELECT file_id, min(CASE WHEN g > 0 THEN g END) AS gap FROM (SELECT file_id, start_ms - lag(end_ms) OVER (PARTITION BY file_id ORDER BY row_no) AS g FROM lines) GROUP BY file_id")
@@ -374,7 +374,7 @@ over_lines("hsv_round_trip", lambda d: d.select("id", X.rgb_to_hsv(F.col("row_no
 
 
 over_lines("ycbcr_round_trip", lambda d: d.select("id", X.rgb_to_ycbcr(F.col("row_no") * 20 % 256, F.col("layer") * 100, F.lit(7), "709").alias("x")).select("id", X.ycbcr_to_rgb(F.col("x.y"), F.col("x.cb"), F.col("x.cr"), "709").alias("y")).select("id", "y.r", "y.g", "y.b"), "SELECT id, (row_no * 20 % 256)::INT AS r, layer * 100 AS g, 7 AS b FROM lines")
-over_lines("code_points", lambda d: d.select("id", X.code_points("text").alias("chars"), X.tokens("text").alias("parts")), "SELECT id, list_filter(string_split(text, ''), lambda x: x <> '') AS chars, list_transform(string_split(text, ','), lambda x: trim(x)) AS parts FROM lines")
+over_lines("code_points", lambda d: d.select("id", F.array_join(X.code_points("text"), "|").alias("chars"), F.array_join(X.tokens("text"), "|").alias("parts")), "SELECT id, array_to_string(list_filter(string_split(text, ''), lambda x: x <> ''), '|') AS chars, array_to_string(list_transform(string_split(text, ','), lambda x: trim(x)), '|') AS parts FROM lines")
 
 
 @query("SELECT class, count(*) AS n FROM (SELECT 'style' AS class FROM styles UNION ALL SELECT 'dialogue' FROM lines UNION ALL SELECT 'info' FROM (SELECT DISTINCT file_id FROM lines)) GROUP BY class", D.LINES, D.STYLES)
