@@ -97,6 +97,19 @@ def toggle_tag(c: Column | str, name: str) -> Column:
     return set_tag(c, name, F.when(whole_value(now) != 0, "0").otherwise("1"))
 
 
+def font_name_at(c: Column | str, position: Column) -> Column:
+    r"""(start, end) of the font name that a \fn tag gives and the character at a position, from 0, is part of; end is exclusive. Null
+    where that character is part of none."""
+    text = F.col(c) if isinstance(c, str) else c
+    upto = F.substring(text, F.lit(1), position + 1)
+    # whole blocks, then one that is open and in which a font name has begun
+    head = F.regexp_extract(upto, r"(?s)^(?:[^{]*\{[^}]*\})*[^{]*\{[^}]*\\fn([^\\}]+)$", 1)
+    start = (position + 1 - F.length(head)).cast("int")
+    rest = F.regexp_extract(F.substring(text, start + 1, F.length(text)), r"(?s)^[^\\}]*", 0)
+    found = F.struct(start.alias("start"), (start + F.length(rest)).cast("int").alias("end"))
+    return F.when((position >= 0) & (position < F.length(text)) & (head != ""), found)
+
+
 def translate_blocks(c: Column | str, texts: Column) -> Column:
     """The text with its plain pieces replaced by those that texts (map of piece number, from 0, to text) has."""
     return F.array_join(F.transform(split_blocks(c), lambda p, i: F.when(~p.rlike(f"^{BLOCK}$"), F.coalesce(F.element_at(texts, i), p)).otherwise(p)), "")

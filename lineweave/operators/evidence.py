@@ -89,6 +89,60 @@ def cluster_rows(boxes: DataFrame, share: float = 0.5) -> DataFrame:
     return boxes.groupBy("scan_id", "frame").applyInPandas(run, names + ", cluster int")
 
 
+def text_pixels(rgb: Column | str, deviation: int) -> Column:
+    """Places of the pixels of an image (red, green, blue by turns) that look like burnt-in text: much lighter or darker than the
+    commonest brightness, or, if those are fewer than one in 64, with a channel that differs from the mean colour there by the
+    deviation. An empty image has none."""
+
+    def one(values) -> np.ndarray:
+        px = np.asarray(values, np.int64).reshape(-1, 3)
+        if not len(px):
+            return np.zeros(0, np.int32)
+        light = px.sum(1) // 3
+        common = int(np.bincount(light // 8, minlength=32).argmax()) * 8
+        ground = px[(light >= common) & (light < min(255, common + 8))]
+        ground = ground.sum(0) // len(ground) if len(ground) else np.zeros(3, np.int64)
+        base = int(ground.sum()) // 3
+        bright, dark = light >= np.clip(base + 80, 195, 235), light <= np.clip(base - 80, 25, 60)
+        text = bright if base < 140 else dark if base > 200 else bright | dark
+        if text.sum() < len(px) // 64:
+            text = np.abs(px - ground).max(1) >= deviation
+        return np.flatnonzero(text).astype(np.int32)
+
+    @F.pandas_udf("array<int>")
+    def run(s: pd.Series) -> pd.Series:
+        return s.map(lambda v: None if v is None else one(v))
+
+    return run(rgb)
+
+
+#: Fixed value: how far, in pixels, the extents of a colour may differ from those at the anchor
+EXTENT = 5
+
+
+def align_to_point(frames: DataFrame, anchors: DataFrame) -> DataFrame:
+    """(scan_id, first_frame, last_frame): where a patch of colour stands around an anchor (scan_id, anchor). frames: (scan_id, frame, found,
+    left, right, up, down), every frame from the first to the last, found and the extents of the colour from the point. Every
+    second frame from the anchor counts; the one before the first that lacks the patch is looked at too. Scans whose anchor
+    lacks it have no row."""
+    scan = Window.partitionBy("scan_id")
+    order = scan.orderBy("frame")
+    edges = ("left", "right", "up", "down")
+    rows = frames.join(anchors.select("scan_id", "anchor"), "scan_id")
+    rows = rows.withColumn("_a", F.max(F.when((F.col("frame") == F.col("anchor")) & F.col("found"), F.struct(*edges))).over(scan))
+    near = F.coalesce(F.col("found"), F.lit(False))
+    for e in edges:
+        near = near & (F.abs(F.col(e) - F.col("_a")[e]) <= EXTENT)
+    rows = rows.where("_a IS NOT NULL").withColumn("_ok", F.coalesce(near, F.lit(False)))
+    rows = rows.withColumns({"_before": F.lag("_ok").over(order), "_after": F.lead("_ok").over(order)})
+    far = F.col("frame") - F.col("anchor")
+    gone = (far % 2 == 0) & ~F.col("_ok")
+    right = F.min(F.when(gone & (far > 0), F.struct("frame", (F.col("frame") - F.when(F.col("_before"), 1).otherwise(2)).alias("to"))))
+    left = F.max(F.when(gone & (far < 0), F.struct("frame", (F.col("frame") + F.when(F.col("_after"), 1).otherwise(2)).alias("to"))))
+    out = rows.groupBy("scan_id").agg(left.alias("l"), right.alias("r"), F.min("frame").alias("a"), F.max("frame").alias("b"))
+    return out.select("scan_id", F.coalesce("l.to", "a").alias("first_frame"), F.coalesce("r.to", "b").alias("last_frame"))
+
+
 # ---------------------------------------------------------------- motion samples
 
 

@@ -72,3 +72,20 @@ def synonyms(words: DataFrame, thesaurus: DataFrame) -> DataFrame:
     """The entries of thesaurus (word, meaning, synonym) for each word, whatever its case."""
     t = thesaurus.select(F.lower("word").alias("_w"), "meaning", "synonym")
     return words.join(t, F.lower("word") == F.col("_w")).drop("_w")
+
+
+def suggestions(words: DataFrame, dictionary: DataFrame) -> DataFrame:
+    """(word, suggestion, distance): the dictionary's words (word) at most one edit from each, whatever its case. Words that are
+    equal but for one letter, or one more, share a form with one letter less: such forms are joined, no pairs are tried."""
+    forms = lambda c: F.array_distinct(F.concat(F.array(c), F.transform(F.sequence(F.lit(1), F.greatest(F.length(c), F.lit(1))), lambda i: F.concat(F.substring(c, F.lit(1), i - 1), F.substring(c, i + 1, F.length(c))))))
+    a = words.select("word", F.lower("word").alias("_w")).distinct().withColumn("_f", F.explode(forms(F.col("_w"))))
+    b = dictionary.select(F.lower("word").alias("suggestion")).distinct().withColumn("_f", F.explode(forms(F.col("suggestion"))))
+    near = a.join(b, "_f").select("word", "suggestion", F.levenshtein("_w", "suggestion", 1).alias("distance")).where("distance >= 0")
+    return near.distinct()
+
+
+def user_words(dictionary: DataFrame, changes: DataFrame) -> DataFrame:
+    """The dictionary (word) after changes (word, added boolean, at): a word's last change holds."""
+    last = changes.groupBy(F.lower("word").alias("word")).agg(F.max_by("added", "at").alias("_in"))
+    rows = dictionary.select(F.lower("word").alias("word")).distinct().join(last, "word", "full")
+    return rows.where(F.coalesce("_in", F.lit(True))).select("word")

@@ -11,6 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lineweave.functions.htmltags import to_overrides
 from lineweave.functions.times import parse, time_at
 
 LINES = "file_id string, row_no int, comment boolean, layer int, start_ms int, end_ms int, style string, actor string, effect string, margin_l int, margin_r int, margin_v int, text string"
@@ -62,12 +63,12 @@ def ass_styles(files: DataFrame) -> DataFrame:
 
 
 def srt_lines(files: DataFrame) -> DataFrame:
-    """SubRip: blocks of a number, times and text."""
+    """SubRip: blocks of a number, times and text, whose b, i, u, s and font tags become overrides."""
     times = r"(\d+:\d+:\d+[,.]\d+)\s*-->\s*(\d+:\d+:\d+[,.]\d+)"
     block = F.posexplode(F.regexp_extract_all("content", F.lit(rf"(?s)(?:^|\n)\s*\d+\s*\n{times}[^\n]*\n(.*?)(?=\n\s*\n\s*\d+\s*\n\d+:|\s*\z)"), 0)).alias("row_no", "b")
     rows = files.select("file_id", block)
     cut = lambda k: F.regexp_extract("b", rf"(?s)\A\s*\d+\s*\n{times}[^\n]*\n(.*)\z", k)
-    return rows.select("file_id", "row_no", parse(cut(1)).alias("start_ms"), parse(cut(2)).alias("end_ms"), F.replace(F.trim(cut(3)), F.lit("\n"), F.lit("\\N")).alias("text"))
+    return rows.select("file_id", "row_no", parse(cut(1)).alias("start_ms"), parse(cut(2)).alias("end_ms"), F.replace(to_overrides(F.trim(cut(3))), F.lit("\n"), F.lit("\\N")).alias("text"))
 
 
 def microdvd_lines(files: DataFrame, num: int = 24000, den: int = 1001) -> DataFrame:

@@ -115,6 +115,31 @@ def keyframes(frames: DataFrame) -> DataFrame:
     return gathered(rows, F.col("row_no").cast("string"), KEYFRAME_HEAD)
 
 
+#: Sections of motion keyframes, the columns of each with what follows them, and the factor of their numbers
+MOTION = {"Anchor Point": ("\tX pixels\tY pixels\tZ pixels", ("anchor_x", "anchor_y"), "\t0", 1), "Position": ("\tX pixels\tY pixels\tZ pixels", ("x", "y"), "\t0", 1),
+          "Scale": ("\tX percent\tY percent\tZ percent", ("scale_x", "scale_y"), "\t100", 100), "Rotation": ("\tDegrees", ("rotation",), "", 1)}
+
+
+def motion_keyframes(samples: DataFrame, tracks: DataFrame, first_frame: int | None = None) -> DataFrame:
+    """(track_id, content) of samples (track_id, frame, anchor_x, anchor_y, x, y, scale_x, scale_y, rotation) and tracks (track_id, fps, width,
+    height): frames count from first_frame, or from the track's first; numbers have three decimals. Tracks without samples have
+    empty sections."""
+    end = "\r\n"
+    numbers = [c for _, names, _, _ in MOTION.values() for c in names]
+    rows = F.sort_array(F.collect_list(F.struct("frame", *(F.col(c).cast("double").alias(c) for c in numbers))))
+    per = tracks.join(samples.groupBy("track_id").agg(rows.alias("_s")), "track_id", "left")
+    per = per.withColumn("_s", F.coalesce("_s", F.array().cast(per.schema["_s"].dataType)))
+    first = F.lit(first_frame) if first_frame is not None else F.get("_s", F.lit(0))["frame"]
+
+    def section(name: str) -> Column:
+        head, names, tail, factor = MOTION[name]
+        line = lambda s: F.concat(F.lit("\t"), (s["frame"] - first).cast("string"), *(F.format_string("\t%.3f", s[c] * factor) for c in names), F.lit(tail + end))
+        return F.concat(F.lit(f"{name}{end}\tFrame{head}{end}"), F.array_join(F.transform("_s", line), ""), F.lit(end))
+
+    top = F.format_string(f"Adobe After Effects 6.0 Keyframe Data{end}{end}\tUnits Per Second\t%.3f{end}\tSource Width\t%d{end}\tSource Height\t%d{end}\tSource Pixel Aspect Ratio\t1{end}\tComp Pixel Aspect Ratio\t1{end}{end}", F.col("fps").cast("double"), "width", "height")
+    return per.select("track_id", F.concat(top, *map(section, MOTION), F.lit(f"End of Keyframe Data{end}")).alias("content"))
+
+
 def can_save_plain(lines: DataFrame) -> DataFrame:
     """Whether a format without styles and markup keeps all of each file."""
     return lines.groupBy("file_id").agg(F.bool_and((F.col("style") == "Default") & ~F.col("text").rlike(r"\{[^}]*\}")).alias("can_save"))
