@@ -7,7 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lineweave.functions import htmltags as HT
+from lineweave.functions import kana as KN
 from lineweave.functions import markup as B
+from lineweave.functions import paths as P
+from lineweave.functions import patterns as R
+from lineweave.functions import shapes as SH
 from lineweave.functions import tags as N
 from lineweave.functions import text as X
 from lineweave.functions import times as T
@@ -19,9 +24,12 @@ from lineweave.operators import lines as L
 from lineweave.operators import matching as M
 from lineweave.operators import resample as Z
 from lineweave.operators import styles as S
+from lineweave.operators import templates as TP
 from lineweave.operators import timing as G
 from lineweave.operators import windows as W
 from lineweave.plans import tables as D
+from lineweave.sources import ttxt as TX
+from lineweave.sources import writers as WR
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -382,3 +390,58 @@ def script_classes(spark, d):
     lines = D.lines(spark, d)
     info = lines.select("file_id").distinct().select("file_id", F.lit("PlayResX").alias("key"), F.lit("640").alias("value"))
     return L.script_rows(info, D.styles(spark, d), lines).groupBy("class").agg(F.count("*").alias("n"))
+
+
+# shapes, patterns, paths
+def _drawing():
+    return F.format_string("m %d 1 l %d 9 %d -2 b 1 2 3 4 %d %d", F.col("row_no"), F.col("row_no") * 2, F.col("layer"), F.col("layer") * 7, F.col("row_no") + 3)
+
+
+over_lines("drawing_bounds", lambda d: d.select("id", SH.segments(_drawing()).alias("s")).select("id", F.size("s").alias("n"), SH.bounds("s").alias("b"), SH.encode("s").alias("drawing")).select("id", "n", "b.*", "drawing"), "SELECT id, 4 AS n, least(row_no, layer, layer * 7, 1)::DOUBLE AS left, -2.0::DOUBLE AS top, greatest(row_no * 2, layer * 7, 3)::DOUBLE AS right, greatest(9, row_no + 3)::DOUBLE AS bottom, format('m {} 1 l {} 9 {} -2 b 1 2 3 4 {} {}', row_no, row_no * 2, layer, layer * 7, row_no + 3) AS drawing FROM lines")
+over_lines("curve_points", lambda d: d.select("id", SH.point(F.array(*(F.col(c).cast("double") for c in ("layer", "row_no", "start_ms", "end_ms", "row_no", "layer", "end_ms", "start_ms"))), F.col("row_no") % 5 / 4).alias("q")).select("id", F.round("q.x", 6).alias("x"), F.round("q.y", 6).alias("y")), "SELECT id, round(layer * u ** 3 + start_ms * 3 * t * u ** 2 + row_no * 3 * t ** 2 * u + end_ms * t ** 3, 6) AS x, round(row_no * u ** 3 + end_ms * 3 * t * u ** 2 + layer * 3 * t ** 2 * u + start_ms * t ** 3, 6) AS y FROM (SELECT *, (row_no % 5) / 4.0::DOUBLE AS t, 1 - (row_no % 5) / 4.0::DOUBLE AS u FROM lines)")
+over_lines("nearest_on_line", lambda d: d.select("id", SH.nearest(F.array(F.lit(0.0), F.lit(0.0), F.lit(20.0), F.lit(10.0)), F.col("row_no").cast("double"), F.col("layer") * 4.0).alias("t")).withColumn("t", F.round("t", 9)), "SELECT id, round(greatest(0.0::DOUBLE, least(1.0::DOUBLE, (row_no * 20 + layer * 40) / 500.0::DOUBLE)), 9) AS t FROM lines")
+over_lines("perspective_points", lambda d: d.select("id", SH.perspective((F.col("row_no") % 4) / 3, F.col("layer") / 2, [F.lit(v) for v in (0.0, 0.0, 10.0, 0.0, 8.0, 6.0, 2.0, 6.0)]).alias("q")).select("id", F.round("q.x", 6).alias("x"), F.round("q.y", 6).alias("y")), "SELECT id, round((10 * u + 10 / 3.0 * v) / (2 / 3.0 * v + 1), 6) AS x, round(10 * v / (2 / 3.0 * v + 1), 6) AS y FROM (SELECT id, (row_no % 4) / 3.0::DOUBLE AS u, layer / 2.0::DOUBLE AS v FROM lines)")
+over_lines("clip_bounds", lambda d: d.select("id", SH.clip_value(F.concat(F.lit("{\\"), F.when(F.col("layer") == 1, "i").otherwise(""), F.lit("clip("), F.concat_ws(", ", F.col("row_no"), F.lit("-2.5"), F.col("layer"), F.lit("4")), F.lit(")}"), "text")).alias("c")).select("id", "c.*"), "SELECT id, layer = 1 AS inverse, row_no::DOUBLE AS x1, -2.5::DOUBLE AS y1, layer::DOUBLE AS x2, 4.0::DOUBLE AS y2 FROM lines")
+over_lines("placed_gradients", lambda d: d.select("id", SH.placed_gradient(F.format_string("(%d, 5,%d,1,90, a(1,2),b)", "row_no", "layer")).alias("g")).select("id", "g.*"), "SELECT id, least(row_no, layer)::DOUBLE AS left, 1.0::DOUBLE AS top, greatest(row_no, layer)::DOUBLE AS right, 5.0::DOUBLE AS bottom, '(90,a(1,2),b)' AS rest FROM lines")
+over_lines("font_name_at", lambda d: d.select("id", B.font_name_at(F.concat(F.lit("{\\b1\\fnA "), "style", F.lit("}"), "text"), F.col("row_no") * 2).alias("f")).select("id", F.col("f.start").alias("from"), F.col("f.end").alias("to")), "SELECT id, CASE WHEN row_no * 2 BETWEEN 7 AND 8 + length(style) THEN 7 END AS \"from\", CASE WHEN row_no * 2 BETWEEN 7 AND 8 + length(style) THEN 9 + length(style) END AS \"to\" FROM lines")
+over_lines("pattern_places", lambda d: d.select("id", F.explode(R.found("text", R.compiled("AN", "ICASE"))).alias("m")).select("id", "m.str", "m.first", "m.last"), "SELECT id, substr(text, f::BIGINT, 2) AS str, f::INT AS first, (f + 1)::INT AS last FROM (SELECT id, text, unnest(list_transform(range(1, len(p)), lambda k: 1 + 2 * (k - 1) + list_sum(list_transform(p[1:k], lambda x: length(x))))) AS f FROM (SELECT id, text, string_split(lower(text), 'an') AS p FROM lines))")
+over_lines("pattern_edits", lambda d: d.select("id", R.substitute("text", "an", "<>", 1).alias("one"), R.substituted("text", "[ae]", F.upper).alias("all"), F.size(R.split("text", " +", skip_empty=True)).alias("parts")), "SELECT id, regexp_replace(text, 'an', '<>') AS one, translate(text, 'ae', 'AE') AS \"all\", len(list_filter(string_split_regex(text, ' +'), lambda x: x <> ''))::INT AS parts FROM lines")
+over_lines("path_folders", lambda d: d.select("id", P.decode(F.concat(F.when(F.col("layer") == 0, "?video").when(F.col("layer") == 1, "?script/").otherwise("/x/"), F.col("id").cast("string")), {"?video": "/v/a", "?script": "/s/"}).alias("path")), "SELECT id, CASE layer WHEN 0 THEN '/v/a/' WHEN 1 THEN '/s/' ELSE '/x/' END || id AS path FROM lines")
+over_lines("html_overrides", lambda d: d.select("id", HT.to_overrides(F.concat(F.lit("<i><I>"), "text", F.lit("</i></i><font size="), F.col("row_no").cast("string"), F.lit(">x</font></b>"))).alias("text")), r"SELECT id, '{\i1}' || text || '{\i\fs' || row_no || '}x{\fs}' AS text FROM lines")
+
+# timed-text samples, karaoke cuts and templates, evidence
+over_lines("ttxt_samples", TX.samples, "SELECT file_id, row_no, 1 AS part, start_ms, text FROM lines UNION ALL SELECT file_id, row_no, 0, b, '' FROM (SELECT *, lag(end_ms) OVER (PARTITION BY file_id ORDER BY row_no) AS b FROM lines) WHERE b <> start_ms UNION ALL SELECT file_id, max(row_no), 2, arg_max(end_ms, row_no), '' FROM lines GROUP BY file_id")
+_UNITS = r"u AS (SELECT file_id, id, start_ms, end_ms, list_transform(string_split_regex(trim(text), '\s+'), lambda x: x) || ['', 'x', '#'] AS u FROM lines)"
+over_lines("even_words", lambda d: KN.evenly(d, KN.word_units(F.concat(F.regexp_replace(F.trim("text"), r"[\s|#]+", " "), F.lit(" ||x#|")))).select("id", "idx", "text", "syl_start_ms", "duration_ms"), "SELECT id, (k - 1)::INT AS idx, u[k] AS text, a::INT AS syl_start_ms, (b - a)::INT AS duration_ms FROM (SELECT *, CASE WHEN k = 1 THEN start_ms ELSE least(end_ms, (start_ms + (end_ms - start_ms) * (k - 1) // len(u) + 5) // 10 * 10) END AS a, CASE WHEN k = len(u) THEN end_ms ELSE least(end_ms, (start_ms + (end_ms - start_ms) * k // len(u) + 5) // 10 * 10) END AS b FROM (SELECT *, unnest(range(1, len(u) + 1)) AS k FROM u))", _UNITS)
+
+
+def _templated(d: DataFrame) -> DataFrame:
+    sung = d.withColumn("text", F.concat(F.lit("{\\k20}a{\\k"), F.col("row_no").cast("string"), F.lit("}bc")))
+    own = d.groupBy("file_id").agg(F.min("row_no").alias("row_no")).withColumns({"id": -F.col("row_no") - 1, "comment": F.lit(True), "layer": F.lit(4), "start_ms": F.lit(0), "end_ms": F.lit(0), "style": F.lit("Sign"), "actor": F.lit(""), "effect": F.lit("template syl loop 2"), "text": F.lit("!retime('syl', j)!$si:$dur ")})
+    return TP.apply(sung, K.syllables(sung), TP.read(own)).select("id", "n", "start_ms", "end_ms", "layer", "text")
+
+
+over_lines("template_effects", _templated, "SELECT id, (2 * i + j - 1)::INT AS n, (start_ms + a + j)::INT AS start_ms, (start_ms + a + ms)::INT AS end_ms, 4 AS layer, (i + 1) || ':' || ms || ' ' || t AS text FROM (SELECT id, start_ms, i, j, CASE i WHEN 0 THEN 0 ELSE 200 END AS a, CASE i WHEN 0 THEN 200 ELSE row_no * 10 END AS ms, CASE i WHEN 0 THEN 'a' ELSE 'bc' END AS t FROM lines, (VALUES (0), (1)) AS s(i), (VALUES (1), (2)) AS r(j) WHERE style = 'Sign' AND NOT comment AND effect = '')")
+
+
+@query("SELECT scan_id, coalesce((SELECT max(CASE WHEN p.ok THEN f.frame + 1 ELSE f.frame + 2 END) FROM e f JOIN e p ON p.scan_id = f.scan_id AND p.frame = f.frame + 1 WHERE f.scan_id = a.scan_id AND NOT f.ok AND f.frame < 9 AND f.frame % 2 = 1 AND NOT EXISTS (SELECT 1 FROM e g WHERE g.scan_id = f.scan_id AND NOT g.ok AND g.frame % 2 = 1 AND g.frame > f.frame AND g.frame < 9)), 1)::INT AS first_frame, coalesce((SELECT min(CASE WHEN p.ok THEN f.frame - 1 ELSE f.frame - 2 END) FROM e f JOIN e p ON p.scan_id = f.scan_id AND p.frame = f.frame - 1 WHERE f.scan_id = a.scan_id AND NOT f.ok AND f.frame > 9 AND f.frame % 2 = 1 AND NOT EXISTS (SELECT 1 FROM e g WHERE g.scan_id = f.scan_id AND NOT g.ok AND g.frame % 2 = 1 AND g.frame < f.frame AND g.frame > 9)), (SELECT max(frame) FROM e WHERE e.scan_id = a.scan_id))::INT AS last_frame FROM e a WHERE frame = 9 AND found", D.FRAMES, "t AS (SELECT scan_id, frame, ocr_box AS found, CASE WHEN coverage < 0.2 THEN 9 ELSE 0 END AS d FROM frames)", "e AS (SELECT t.scan_id, t.frame, t.found, t.found AND abs(t.d - x.d) <= 5 AS ok FROM t JOIN t x ON x.scan_id = t.scan_id AND x.frame = 9 AND x.found)")
+def align_to_point(spark, d):
+    f = D.frames(spark, d).select("scan_id", "frame", F.col("ocr_box").alias("found"), *(F.lit(3).alias(c) for c in ("left", "right", "up")), F.when(F.col("coverage") < 0.2, 9).otherwise(0).alias("down"))
+    return V.align_to_point(f, f.select("scan_id").distinct().withColumn("anchor", F.lit(9)))
+
+
+@query("SELECT a.w AS word, b.w AS suggestion, levenshtein(a.w, b.w)::INT AS distance FROM w a JOIN w b ON abs(length(a.w) - length(b.w)) <= 1 WHERE levenshtein(a.w, b.w) <= 1", r"w AS (SELECT DISTINCT lower(unnest(regexp_extract_all(text, '[a-z]+'))) AS w FROM benchmark)")
+def near_words(spark, d):
+    w = D.read(spark, d, "benchmark").select(F.explode(F.regexp_extract_all("text", F.lit("[a-z]+"), 0)).alias("word")).distinct()
+    return S.suggestions(w, w)
+
+
+_MOTION_SQL = "SELECT scan_id AS track_id, 'Adobe After Effects 6.0 Keyframe Data' || n || n || t || 'Units Per Second' || t || '25.000' || n || t || 'Source Width' || t || '640' || n || t || 'Source Height' || t || '480' || n || t || 'Source Pixel Aspect Ratio' || t || '1' || n || t || 'Comp Pixel Aspect Ratio' || t || '1' || n || n || 'Anchor Point' || n || h || string_agg(t || (frame - 1) || t || '0.000' || t || '1.000' || t || '0' || n, '' ORDER BY frame) || n || 'Position' || n || h || string_agg(t || (frame - 1) || t || frame || '.000' || t || '2.500' || t || '0' || n, '' ORDER BY frame) || n || 'Scale' || n || replace(h, 'pixels', 'percent') || string_agg(t || (frame - 1) || t || '100.000' || t || (frame * 100) || '.000' || t || '100' || n, '' ORDER BY frame) || n || 'Rotation' || n || t || 'Frame' || t || 'Degrees' || n || string_agg(t || (frame - 1) || t || '-' || frame || '.000' || n, '' ORDER BY frame) || n || 'End of Keyframe Data' || n AS content FROM frames, (SELECT chr(9) AS t, chr(13) || chr(10) AS n, chr(9) || 'Frame' || chr(9) || 'X pixels' || chr(9) || 'Y pixels' || chr(9) || 'Z pixels' || chr(13) || chr(10) AS h) GROUP BY scan_id, t, n, h"
+
+
+@query(_MOTION_SQL, D.FRAMES)
+def motion_keyframes(spark, d):
+    f = D.frames(spark, d).select(F.col("scan_id").alias("track_id"), "frame")
+    at = {"anchor_x": F.lit(0), "anchor_y": F.lit(1), "x": F.col("frame"), "y": F.lit(2.5), "scale_x": F.lit(1), "scale_y": F.col("frame"), "rotation": -F.col("frame")}
+    tracks = f.select("track_id").distinct().withColumns({"fps": F.lit(25), "width": F.lit(640), "height": F.lit(480)})
+    return WR.motion_keyframes(f.withColumns(at), tracks)
