@@ -75,14 +75,20 @@ def encore(lines: DataFrame, rate: int = 30, drop: bool = False) -> DataFrame:
     return gathered(prepared(lines), line)
 
 
-def transtation(lines: DataFrame, styles: DataFrame, rate: int = 25, drop: bool = False) -> DataFrame:
-    """Entries SUB[alignment type start>end] with times in frames. styles: (file_id, ord, name, alignment, italic), of which a line's
-    says where it stands and whether it is italic. An end at which the next line begins is a frame earlier, as ends count."""
+def merged(lines: DataFrame) -> DataFrame:
+    """(file_id, start_ms, row_no, end_ms, style, text): as prepared(), but each run of equal lines has its last one's number and style."""
     rows = recombine_overlaps(strip_comments(sort_lines(lines)))
     w = by_file()
     same = (F.lag("text").over(w) == F.col("text")) & (F.lag("end_ms").over(w) == F.col("start_ms"))
     rows = rows.withColumn("_new", F.when(same, 0).otherwise(1)).withColumn("_run", F.sum("_new").over(w))
-    rows = rows.groupBy("file_id", "_run").agg(F.min("start_ms").alias("start_ms"), F.max_by(F.struct("row_no", "end_ms", "style", "text"), "row_no").alias("x")).select("file_id", "start_ms", "x.*")
+    rows = rows.groupBy("file_id", "_run").agg(F.min("start_ms").alias("start_ms"), F.max_by(F.struct("row_no", "end_ms", "style", "text"), "row_no").alias("x"))
+    return rows.select("file_id", "start_ms", "x.*")
+
+
+def transtation(lines: DataFrame, styles: DataFrame, rate: int = 25, drop: bool = False) -> DataFrame:
+    """Entries SUB[alignment type start>end] with times in frames. styles: (file_id, ord, name, alignment, italic), of which a line's
+    says where it stands and whether it is italic. An end at which the next line begins is a frame earlier, as ends count."""
+    rows, w = merged(lines), by_file()
     rows = with_style(rows.withColumn("next_start", F.lead("start_ms").over(w)), styles, ["alignment", "italic"])
     touch = (F.col("end_ms") == F.col("next_start")) & (F.col("next_start") > 0)
     end = F.when(touch, time_at(frame_at("end_ms", rate, 1, "end") - 1, rate, 1, "end")).otherwise(F.col("end_ms"))

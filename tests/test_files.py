@@ -9,6 +9,7 @@ from test_sources import files
 from lineweave.operators.styles import synonyms
 from lineweave.sources import charsets as C
 from lineweave.sources import sound as S
+from lineweave.sources import stl as L
 from lineweave.sources import ttxt as T
 
 
@@ -74,3 +75,25 @@ def test_thesaurus(spark):
     got = C.thesaurus(df)
     assert sorted(map(tuple, got.collect())) == [("cat", "gossip", "chat"), ("cat", "n feline", "kitty"), ("cat", "n feline", "tom")]
     assert synonyms(spark.createDataFrame([("Cat",)], "word string"), got.where(F.col("meaning") == "gossip")).first().synonym == "chat"
+
+
+def test_stl(spark):
+    df = lines(spark, [(0, 1000, r"a{\i1}b é\Nc{\u1}"), (2000, 3000, r"{\an8}" + "x" * 112), (4000, 5000, "one two three")])
+    styles = spark.createDataFrame([(0, 0, "Default", 2, False, False)], "file_id int, ord int, name string, alignment int, italic boolean, underline boolean")
+    info = spark.createDataFrame([(0, "Title", "Tïtle")], "file_id int, key string, value string")
+    styles, info = (t.withColumn("file_id", F.lit(df.first().file_id)) for t in (styles, info))
+    raw = L.stl(df, styles, info, L.Settings(row_length=9, offset="01000000")).first().content
+    head, body = raw[:1024], [raw[k : k + 128] for k in range(1024, len(raw), 128)]
+    assert len(raw) == 1024 + 128 * len(body) and head[:16] == b"850STL25.0100000" and head[16:48].rstrip() == "Tïtle".encode("cp850")
+    assert head[238:248] == b"    4    3" and head[272 - 16 : 272] == b"0100000001000000"
+    assert [(b[3], b[1]) for b in body] == [(255, 0), (0, 1), (255, 1), (255, 2)]
+    assert body[0][16:].rstrip(b"\x8f") == b"a\x80b \xc2e\x8a\x80c\x82" and body[0][5:13] == bytes([1, 0, 0, 0, 1, 0, 1, 0]) and body[0][13:16] == bytes([99, 2, 0])
+    assert body[1][16:] == b"x" * 112 and body[2][16:] == b"\x8f" * 112 and body[1][13:15] == bytes([0, 2])
+    assert body[3][16:].rstrip(b"\x8f").split(b"\x8a") in ([b"one two ", b"three"], [b"one ", b"two three"])
+    long = df.where("start_ms = 4000")
+    plain = L.stl(long, styles, settings=L.Settings(table="U8", row_length=5, wrap="skip", display=1)).first().content
+    assert plain[1024 + 16 : 1024 + 18] == b" \x8f" and plain[12:14] == b"U8"
+
+
+def test_iso6937():
+    assert L.iso6937("Åé ß£ñ中") == b"\xcaA\xc2e \xfb\xa3\xc4n?"
