@@ -62,13 +62,55 @@ def ass_styles(files: DataFrame) -> DataFrame:
     return rows.select("file_id", F.col("n").alias("ord"), *(F.trim(F.col("_p")[i]).alias(c) for i, c in enumerate(STYLE)))
 
 
+_SRT_TIMES = re.compile(r"([0-9]{1,2}:[0-9]{1,2}:[0-9]{1,2},[0-9]+) --> ([0-9]{1,2}:[0-9]{1,2}:[0-9]{1,2},[0-9]+)")
+
+
+def _srt_blocks(content: str) -> list[tuple[str, str, str]]:
+    """(start, end, text) of each subtitle; ValueError says which line is wrong. A subtitle begins after a blank line, with a number and
+    then times, or with times at once; any other line after a blank one goes on with the text."""
+    lines = [x.strip(" \t\r\f\v") for x in content.split("\n")]
+    begins = [(not k or not lines[k - 1]) and bool(re.fullmatch("[0-9]+", x) or _SRT_TIMES.match(x)) for k, x in enumerate(lines)]
+    first = next((k for k, x in enumerate(lines) if x), len(lines))
+    if first < len(lines) and not begins[first]:
+        raise ValueError(f"line {first + 1}: a number was expected")
+    out, k = [], first
+    while k < len(lines):
+        k += not _SRT_TIMES.match(lines[k])
+        if k < len(lines) and not (times := _SRT_TIMES.match(lines[k])):
+            raise ValueError(f"line {k + 1}: times were expected")
+        body = k + 1
+        if body >= len(lines) or body == len(lines) - 1 and not lines[body]:
+            raise ValueError("the file ends within a subtitle")
+        # the line after the times is text whatever it holds
+        k = next((j for j in range(body + 1, len(lines)) if begins[j]), len(lines))
+        out.append((times[1], times[2], "\n".join(lines[body:k]).rstrip("\n")))
+    return out
+
+
+def _srt(files: DataFrame) -> DataFrame:
+    def run(batches):
+        for p in batches:
+            rows = []
+            for name, content in zip(p.file_id, p.content):
+                try:
+                    rows += [(name, i, *x, None) for i, x in enumerate(_srt_blocks(content))]
+                except ValueError as e:
+                    rows.append((name, 0, None, None, None, str(e)))
+            yield pd.DataFrame(rows, columns=["file_id", "row_no", "a", "b", "text", "problem"])
+
+    kind = files.schema["file_id"].dataType.simpleString()
+    return files.select("file_id", "content").mapInPandas(run, f"file_id {kind}, row_no int, a string, b string, text string, problem string")
+
+
 def srt_lines(files: DataFrame) -> DataFrame:
-    """SubRip: blocks of a number, times and text, whose b, i, u, s and font tags become overrides."""
-    times = r"(\d+:\d+:\d+[,.]\d+)\s*-->\s*(\d+:\d+:\d+[,.]\d+)"
-    block = F.posexplode(F.regexp_extract_all("content", F.lit(rf"(?s)(?:^|\n)\s*\d+\s*\n{times}[^\n]*\n(.*?)(?=\n\s*\n\s*\d+\s*\n\d+:|\s*\z)"), 0)).alias("row_no", "b")
-    rows = files.select("file_id", block)
-    cut = lambda k: F.regexp_extract("b", rf"(?s)\A\s*\d+\s*\n{times}[^\n]*\n(.*)\z", k)
-    return rows.select("file_id", "row_no", parse(cut(1)).alias("start_ms"), parse(cut(2)).alias("end_ms"), F.replace(to_overrides(F.trim(cut(3))), F.lit("\n"), F.lit("\\N")).alias("text"))
+    """SubRip: blocks of a number, times and text, whose b, i, u, s and font tags become overrides. A file with an error gives no lines;
+    srt_problems() names it."""
+    text = F.replace(to_overrides("text"), F.lit("\n"), F.lit("\\N")).alias("text")
+    return _srt(files).where("problem is null").select("file_id", "row_no", parse("a").alias("start_ms"), parse("b").alias("end_ms"), text)
+
+
+def srt_problems(files: DataFrame) -> DataFrame:
+    return _srt(files).where("problem is not null").select("file_id", "problem")
 
 
 def microdvd_lines(files: DataFrame, num: int = 24000, den: int = 1001) -> DataFrame:

@@ -8,6 +8,7 @@ from test_sources import files
 
 from lineweave.operators.styles import synonyms
 from lineweave.sources import charsets as C
+from lineweave.sources import readers as R
 from lineweave.sources import sound as S
 from lineweave.sources import stl as L
 from lineweave.sources import ttxt as T
@@ -97,3 +98,13 @@ def test_stl(spark):
 
 def test_iso6937():
     assert L.iso6937("Åé ß£ñ中") == b"\xcaA\xc2e \xfb\xa3\xc4n?"
+
+
+def test_srt(spark):
+    t = "00:00:0%d,000 --> 00:00:0%d,500"
+    good = "\n".join(["", "1", t % (1, 1), "a", "2", "", "b", "", "2", t % (2, 2), "", "c", "", "", t % (3, 3), "7", "", ""])
+    bad = ["x\n", "1\nnope\n", "1\n" + t % (1, 1) + "\n", "1", "1\n" + t % (1, 1) + "\na\n\n5\nb\n"]
+    df = files(spark, good, *bad, "\n\n", "1\n" + t % (1, 1) + "\n<b>x</b>")
+    got = [tuple(r) for r in R.srt_lines(df).orderBy("file_id", "row_no").collect()]
+    assert got == [("f0", 0, 1000, 1500, "a\\N2\\N\\Nb"), ("f0", 1, 2000, 2500, "\\Nc"), ("f0", 2, 3000, 3500, "7"), ("f7", 0, 1000, 1500, "{\\b1}x{\\b}")]
+    assert sorted(r.file_id for r in R.srt_problems(df).collect()) == ["f1", "f2", "f3", "f4", "f5"]

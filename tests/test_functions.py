@@ -54,7 +54,7 @@ def test_files(spark, tmp_path):
     for r in W.ass(df.withColumns({c: F.lit(0) for c in ("margin_l", "margin_r", "margin_v")})).collect():
         (tmp_path / "a.ass").write_text(r.content)
     got = R.srt_lines(R.texts(spark, str(tmp_path / "a.srt"))).orderBy("row_no").collect()
-    assert [(r.start_ms, r.end_ms, r.text) for r in got] == [(0, 1000, "<i>one</i>"), (1500, 2500, "two\\Nlines")]
+    assert [(r.start_ms, r.end_ms, r.text) for r in got] == [(0, 1000, "{\\i1}one{\\i}"), (1500, 2500, "two\\Nlines")]
     back = R.ass_lines(R.texts(spark, str(tmp_path / "a.ass"))).orderBy("row_no").collect()
     assert [(r.start_ms, r.end_ms, r.style, r.text) for r in back] == [(0, 1000, "Default", "{\\i1}one{\\i0}"), (1500, 2500, "Default", "two\\Nlines")]
 
