@@ -90,10 +90,10 @@ def smpte(frame: Column | str, rate: int = 30, drop: bool = False) -> Column:
 
 
 def frame_of_smpte(code: Column | str, rate: int = 30, drop: bool = False) -> Column:
-    """Frame number of hh:mm:ss:ff. With drop frames a number that is left out stands for the next there is. What isn't four
-    numbers gives 0."""
+    """Frame number, a long, of hh:mm:ss:ff. With drop frames a number that is left out stands for the
+    next there is. What isn't four numbers within an int's range gives 0."""
     c = F.col(code) if isinstance(code, str) else code
-    parts = F.transform(F.split(c, "[:;]"), lambda x: x.try_cast("int"))
+    parts = F.transform(F.split(c, "[:;]"), lambda x: x.try_cast("int").cast("bigint"))
     h, m, s, f = (F.get(parts, F.lit(k)) for k in range(4))
     plain = ((h * 60 + m) * 60 + s) * rate + f
     if drop:
@@ -101,4 +101,4 @@ def frame_of_smpte(code: Column | str, rate: int = 30, drop: bool = False) -> Co
         minute, ten = rate * 60 - lost, rate * 600 - 9 * lost
         f = F.when((m % 10 != 0) & (s == 0) & (f < lost), lost).otherwise(f)
         plain = h * ten * 6 + F.floor(m / 10) * ten + m % 10 * minute + s * rate + f
-    return F.when((F.size(parts) == 4) & plain.isNotNull(), plain).otherwise(0).cast("int")
+    return F.when((F.size(parts) == 4) & plain.isNotNull(), plain).otherwise(0).cast("bigint")

@@ -10,6 +10,7 @@ from lineweave.operators import evidence as V
 from lineweave.operators import lines as L
 from lineweave.operators import matching as M
 from lineweave.operators import timing as G
+from lineweave.plans import queries as plans
 from lineweave.sources import scripts
 
 
@@ -48,6 +49,18 @@ def test_smpte_there_and_back(spark):
     assert tuple(one) == (1800, 0)
 
 
+def test_smpte_of_frames_beyond_an_int(spark):
+    d = spark.range(2**31 - 40_000, 2**31 + 40_000, 7)
+    for rate, drop in ((30, True), (60, True), (25, False)):
+        back = T.frame_of_smpte(T.smpte("id", rate, drop), rate, drop)
+        assert d.where(back.isNull() | (back != F.col("id"))).count() == 0
+
+
+def test_smpte_back_of_many_files(spark, tmp_path):
+    spark.sql("SELECT 59999L AS conv_id, 7L AS turn, 'user' AS role, 'x' AS text").write.parquet(f"{tmp_path}/conversations.parquet")
+    assert [tuple(r) for r in plans.QUERIES["smpte_back"](spark, str(tmp_path)).collect()] == [(59_999_007, 59_999_007 * 37)]
+
+
 def test_recombine(spark):
     def run(*rows):
         return [(r.start_ms, r.end_ms, r.text) for r in L.recombine(lines(spark, rows)).orderBy("start_ms", "end_ms").collect()]
