@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from itertools import combinations
+from math import ceil, log, log1p
 
 import numpy as np
 import pyarrow as pa
@@ -13,11 +14,16 @@ from pyspark.sql import functions as F
 from lineweave.llm.common import _SPACE, cut, drop, mix64, partitions, pieces, settled, spread, utf8, words
 from lineweave.llm.components import components
 
-#: Share of shingles at which two texts are near copies; hash bands that propose pairs and minima of a band: a pair at 0.8 shares
-#: no band with a chance of (1 - 0.8^4)^20, 3 in 100,000.
-ALIKE, BANDS, BAND = 0.8, 20, 4
-#: Fingerprint bits in which such a pair may differ to be compared (10 are expected at 0.8, with a deviation of 3), and sets of a tile.
-WIDE, TILE = 22, 256
+#: Share of shingles at which two texts are near copies, and the chance at which such a pair may have no root of the tries in common.
+ALIKE, MISS = 0.8, 3e-5
+#: Chance at most that a fingerprint bit differs between two sets at ALIKE, by their sizes' exact binomials; sets of at most TINY
+#: shingles differ more often, as they have more ties.
+UNLIKE, TINY, UNLIKE_TINY = 0.162, 5, 0.1875
+#: 64-bit words of a wide fingerprint that are compared, bits in which they may differ to propose a pair (31 are expected at 0.8, with
+#: a deviation of 5), sets of a trie node that are compared at once, and sets of a tile.
+WIDE, FAR, LEAF, TILE = 3, 60, 256, 256
+#: Bits of a root of the wide tries at least.
+LEAST_ROOT = 6
 #: Distinct fingerprints that share a root of the tries on average, at most, and blocks at which a root is taken at most.
 ROOTED, MOST_BLOCKS = 4096, 5
 #: Pairs of trie nodes that one step of the traversal holds.
@@ -208,36 +214,66 @@ def near_duplicates(docs: DataFrame, width: int = 4, budget: int = 4, seed: int
     return settled(fps.join(label, "fp", "left").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"), fps, label)
 
 
-def shingle_sets(docs: DataFrame, width: int, seed: int, whole: bool) -> DataFrame:
-    """(doc_id, mark, size, fp) of each row: a hash of its set of shingles, their number and the fingerprint; with `bands`, hashes
-    of BAND minima each, or if whole with the sorted `shingles` themselves."""
-    odd = mix64(np.arange(1, BANDS * BAND + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
+def roots_of(n: int) -> tuple[int, int, int]:
+    """Bits of a root, the same for tiny sets, and roots of each wide fingerprint, so that about ROOTED of n share a root and a
+    pair at ALIKE shares none with a chance of MISS at most."""
+    bits = max(LEAST_ROOT, (n // max(ROOTED, 1)).bit_length())
+    agree = (1 - UNLIKE) ** bits
+    return bits, int(log(agree) / log(1 - UNLIKE_TINY)), ceil(log(MISS) / log1p(-agree))
+
+
+_LANES = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").view(np.uint64).ravel()
+
+
+def wide_bits(hashes: np.ndarray, begin: np.ndarray, count: int) -> np.ndarray:
+    """SimHash of each row in count words of 64 bits, one column a bit; the first word is majority()'s. Rows without hashes get
+    zeros."""
+    n = np.diff(begin)
+    out = np.zeros((len(n), 64 * count), np.uint8)
+    full = np.flatnonzero(n)
+    if not len(full):
+        return out
+    many = -(-n[full] // 255)  # byte lanes hold the sums of 255 shingles
+    first = np.concatenate([[0], np.cumsum(many)[:-1]])
+    at = np.repeat(begin[:-1][full], many) + 255 * (np.arange(many.sum()) - np.repeat(first, many))
+    for k in range(count):
+        h = (mix64(hashes ^ mix64(np.array([k], np.uint64))) if k else hashes).view(np.uint8).reshape(-1, 8)
+        for x in range(8):
+            ones = np.add.reduceat(np.add.reduceat(_LANES[h[:, x]], at).view(np.uint8).reshape(-1, 8), first, axis=0, dtype=np.int32)
+            out[full, 64 * k + 8 * x : 64 * k + 8 * x + 8] = 2 * ones > n[full][:, None]
+    return out
+
+
+def shingle_sets(docs: DataFrame, width: int, seed: int, total: int | None = None) -> DataFrame:
+    """(doc_id, mark, size, fp) of each row: a hash of its set of shingles, their number and WIDE words of the set's SimHash; with
+    `roots`, the roots of its fingerprint among `total` ones, or without a total with the sorted `shingles` themselves."""
+    bits, short, many = roots_of(total or 0)
 
     def run(batches):
         for b in batches:
             data, off = utf8(b.column("text"))
             for i, j in pieces(off):
                 h, begin = shingle_hashes(data[off[i] : off[j]], off[i : j + 1] - off[i], width, seed)
-                fp = majority(h, begin)
                 sets = [np.unique(h[x:y]) for x, y in zip(begin[:-1].tolist(), begin[1:].tolist())]
+                size = np.array([len(x) for x in sets], np.int32)
+                wide = wide_bits(np.concatenate(sets), np.concatenate([[0], np.cumsum(size)]), WIDE if total is None else max(WIDE, -(-bits * many // 64)))
+                fp = np.packbits(wide[:, : 64 * WIDE], axis=1, bitorder="little")
                 marks = [xxhash.xxh3_128_digest(x.tobytes()) for x in sets]
-                cols = [b.column("doc_id").slice(i, j - i), pa.array(marks, pa.binary()), pa.array([len(x) for x in sets], pa.int32()), pa.array(fp.view(np.int64))]
-                if whole:
+                cols = [b.column("doc_id").slice(i, j - i), pa.array(marks, pa.binary()), pa.array(size), pa.array([x.tobytes() for x in fp], pa.binary())]
+                if total is None:
                     cols.append(pa.array([x.tobytes() for x in sets], pa.binary()))
                 else:
-                    low = np.zeros((BANDS * BAND, j - i), np.uint64)
-                    full = np.flatnonzero(np.diff(begin))
-                    if len(full):
-                        for k, m in enumerate(odd):
-                            low[k, full] = np.minimum.reduceat((h ^ (h >> np.uint64(31))) * m, begin[:-1][full])
-                    value = np.zeros((BANDS, j - i), np.uint64)
-                    for k in range(BAND):
-                        value = mix64(value ^ low[k::BAND])
-                    value = mix64(value + np.arange(BANDS, dtype=np.uint64)[:, None])
-                    cols.append(pa.ListArray.from_arrays(np.arange(0, BANDS * (j - i) + 1, BANDS, dtype=np.int32), pa.array(np.ascontiguousarray(value.T).view(np.int64).ravel())))
-                yield pa.RecordBatch.from_arrays(cols, ["doc_id", "mark", "size", "fp", "shingles" if whole else "bands"])
+                    runs = wide[:, : bits * many].reshape(-1, many, bits)
+                    tiny = np.flatnonzero(size <= TINY)
+                    at = np.concatenate([[0], np.cumsum(many * (1 + (size <= TINY)))]).astype(np.int32)
+                    value = np.zeros(at[-1], np.int64)
+                    place = at[:-1, None] + np.arange(many)
+                    value[place] = runs @ (1 << np.arange(bits)) + (np.arange(many) << bits)
+                    value[place[tiny] + many] = runs[tiny][:, :, :short] @ (1 << np.arange(short)) + (np.arange(many, 2 * many) << bits)
+                    cols.append(pa.ListArray.from_arrays(at, pa.array(value)))
+                yield pa.RecordBatch.from_arrays(cols, ["doc_id", "mark", "size", "fp", "shingles" if total is None else "roots"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, mark binary, size int, fp long, " + ("shingles binary" if whole else "bands array<long>"))
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, mark binary, size int, fp binary, " + ("shingles binary" if total is None else "roots array<long>"))
 
 
 def paired(rows: DataFrame, keys: list[str], most: int, node: str = "node") -> DataFrame:
@@ -249,25 +285,79 @@ def paired(rows: DataFrame, keys: list[str], most: int, node: str = "node") -> D
     return rows.withColumn("p", F.least("own", "other")).withColumn("q", F.greatest("own", "other")).drop("parts", "other")
 
 
+def wide_links(fp: np.ndarray, budget: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs i < j of rows of fp that differ in at most budget bits, and in how many.
+
+    fp: words by row, sorted by the first word. Its bits make a binary trie that is joined with itself as in trie_links(), but pairs
+    of nodes of at most LEAF rows are settled at once by counting the differing bits of all words; rows of one first word are
+    halved."""
+    words = list(np.ascontiguousarray(fp.T))
+    mids: dict[tuple[int, int, int], int] = {}
+
+    def mid(bit: int, lo: int, hi: int) -> int:
+        if bit < 0:
+            return (lo + hi) // 2
+        if (bit, lo, hi) not in mids:
+            high = int(words[0][lo]) >> bit << bit | 1 << bit
+            mids[bit, lo, hi] = lo + int(np.searchsorted(words[0][lo:hi], np.uint64(high)))
+        return mids[bit, lo, hi]
+
+    side = min(LEAF, len(fp))
+    held = [np.empty((side, side), kind) for kind in (np.uint64, np.uint8, np.uint8)]
+    found = []
+    stack = [(63, 0, len(fp), 0, len(fp), 0)] if len(fp) > 1 else []
+    while stack:
+        bit, al, ah, bl, bh, d = stack.pop()
+        if ah - al <= LEAF and bh - bl <= LEAF:
+            x, one, far = (b[: ah - al, : bh - bl] for b in held)
+            far[:] = 0
+            for w in words:
+                np.bitwise_xor(w[al:ah, None], w[None, bl:bh], out=x)
+                far += np.bitwise_count(x, out=one)
+            i, j = np.divmod(np.flatnonzero(far <= budget), bh - bl)
+            if al == bl:
+                i, j = i[i < j], j[i < j]
+            if len(i):
+                found.append((i + al, j + bl, far[i, j]))
+            continue
+        am, bm, step = mid(bit, al, ah), mid(bit, bl, bh), int(bit >= 0)
+        pairs = [(al, am, bl, bm, d), (am, ah, bm, bh, d), (al, am, bm, bh, d + step)]
+        if al != bl:
+            pairs.append((am, ah, bl, bm, d + step))
+        stack += [(bit - 1, *x) for x in pairs if x[1] > x[0] and x[3] > x[2] and x[4] <= budget]
+    if not found:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint8)
+    return tuple(np.concatenate(x) for x in zip(*found))
+
+
 def maybe_alike(fp: np.ndarray, size: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs i < j whose sizes allow a Jaccard similarity of `least` and whose fingerprints are near, nearest first."""
-    far = np.bitwise_count(fp[:, None] ^ fp[None, :])
-    low, high = np.minimum(size[:, None], size[None, :]), np.maximum(size[:, None], size[None, :])
-    i, j = np.nonzero(np.triu((far <= WIDE) & (low / high >= least), 1))
-    order = np.argsort(far[i, j], kind="stable")
-    return i[order], j[order]
+    """Pairs i < j whose sizes allow a Jaccard similarity of `least` and whose wide fingerprints are near, nearest first."""
+    order = np.argsort(fp[:, 0], kind="stable")
+    i, j, far = wide_links(fp[order], FAR)
+    i, j = order[i], order[j]
+    i, j = np.minimum(i, j), np.maximum(i, j)
+    ok = np.minimum(size[i], size[j]) >= least * np.maximum(size[i], size[j])
+    i, j, far = i[ok], j[ok], far[ok]
+    nearest = np.lexsort((j, i, far))
+    return i[nearest], j[nearest]
+
+
+def wide_words(column) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint64).reshape(-1, WIDE)
 
 
-def alike_links(docs: DataFrame, nodes: DataFrame, width: int, seed: int, least: float) -> DataFrame:
+def alike_links(docs: DataFrame, nodes: DataFrame, total: int, width: int, seed: int, least: float) -> DataFrame:
     """Links (u, v) that join the same nodes as all pairs of shingle sets with a Jaccard similarity of `least` do.
 
-    nodes: (mark, node, size, fp, bands), one row for each distinct set. Bands propose groups; within what their possible pairs
-    connect, each pair of sets is compared exactly, unless links join it already. Bands and groups that many sets share are
-    dealt out as pairs of parts, and a task gives trees, so no table grows with the square of a group.
+    nodes: (mark, node, size, fp, roots), one row for each distinct set. Fingerprints that share a root, the same bits at one of
+    as many places as roots_of() gives, make a trie that is joined with itself under a budget of FAR differing bits and so
+    proposes pairs; within what these connect, each pair of sets within the budget is compared exactly, unless links join it
+    already. Roots and groups that many sets share are dealt out as pairs of parts, and a task gives trees, so no table grows with
+    the square of a group.
     """
 
     def propose(t, at):
-        node, fp, size = t["node"].to_numpy(), t["fp"].to_numpy().view(np.uint64), t["size"].to_numpy()
+        node, fp, size = t["node"].to_numpy(), wide_words(t["fp"]), t["size"].to_numpy()
         us, vs = [], []
         for a, b in zip(at[:-1].tolist(), at[1:].tolist()):
             if b - a > 1:
@@ -278,13 +368,14 @@ def alike_links(docs: DataFrame, nodes: DataFrame, width: int, seed: int, least:
         cat = [np.concatenate(x) if x else np.zeros(0, np.int64) for x in (us, vs)]
         yield pa.RecordBatch.from_arrays([pa.array(x) for x in cat], ["u", "v"])
 
-    rows = nodes.where("size > 0").select("node", "size", "fp", F.explode("bands").alias("value"))
-    loose = cut(components(spread(paired(rows, ["value"], TILE), partitions(docs), ["value", "p", "q"], propose, "u long, v long")))
-    sets = shingle_sets(docs.join(loose.select(F.col("node").alias("doc_id")), "doc_id", "left_semi"), width, seed, True)
+    rows = nodes.where("size > 0").select("node", "size", "fp", F.explode("roots").alias("value"))
+    most = max(512, 2 * total >> roots_of(total)[0])
+    loose = cut(components(spread(paired(rows, ["value"], most), partitions(docs), ["value", "p", "q"], propose, "u long, v long")))
+    sets = shingle_sets(docs.join(loose.select(F.col("node").alias("doc_id")), "doc_id", "left_semi"), width, seed)
     rows = sets.where("size > 0").join(loose, sets.doc_id == loose.node).select("component", "node", "mark", "size", "fp", "shingles")
 
     def compare(t, at):
-        node, fp, size = t["node"].to_numpy(), t["fp"].to_numpy().view(np.uint64), t["size"].to_numpy()
+        node, fp, size = t["node"].to_numpy(), wide_words(t["fp"]), t["size"].to_numpy()
         us, vs = [], []
         for a, b in zip(at[:-1].tolist(), at[1:].tolist()):
             held = [np.frombuffer(x, np.uint64) for x in t["shingles"].slice(a, b - a).to_pylist()]
@@ -317,11 +408,13 @@ def alike_links(docs: DataFrame, nodes: DataFrame, width: int, seed: int, least:
 
 def similar(docs: DataFrame, width: int = 5, seed: int = 42, least: float = ALIKE) -> DataFrame:
     """(doc_id, component_id) of each row of docs: texts link when the Jaccard similarity of their sets of word shingles is
-    `least` or more, and component_id is the smallest doc_id reachable. Null and wordless texts link with each other; rows that
+    `least` or more, and component_id is the smallest doc_id reachable. SimHash fingerprints of the sets propose the pairs (for a
+    `least` of ALIKE or more), their exact similarity decides. Null and wordless texts link with each other; rows that
     repeat a doc_id each give a row, and link what any of their texts link."""
-    sets = cut(shingle_sets(docs, width, seed, False))
-    nodes = cut(sets.groupBy("mark").agg(F.min("doc_id").alias("node"), F.first("size").alias("size"), F.first("fp").alias("fp"), F.first("bands").alias("bands")))
-    found = cut(components(alike_links(docs, nodes.where("node is not null"), width, seed, least)))
+    total = docs.count()
+    sets = cut(shingle_sets(docs, width, seed, total))
+    nodes = cut(sets.groupBy("mark").agg(F.min("doc_id").alias("node"), F.first("size").alias("size"), F.first("fp").alias("fp"), F.first("roots").alias("roots")))
+    found = cut(components(alike_links(docs, nodes.where("node is not null"), total, width, seed, least)))
     label = cut(nodes.join(found, "node", "left").select("mark", F.coalesce("component", "node").alias("component_id")))
     drop(nodes, found)
     return settled(sets.join(label, "mark").select("doc_id", "component_id"), sets, label)

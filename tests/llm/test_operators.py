@@ -111,6 +111,51 @@ def test_simhash(docs, rows, width, budget, rooted, monkeypatch):
     assert got == {d: (f"{fp[d]:016x}", want[d]) for d in ids}
 
 
+def test_wide_links(monkeypatch):
+    """Nodes of few rows, first words that many rows share, and copies."""
+    rng = np.random.default_rng(6)
+    for n, budget, leaf in ((300, 60, 16), (200, 20, 8), (2, 60, 128), (1, 60, 128), (400, 60, 128)):
+        monkeypatch.setattr(simhash, "LEAF", leaf)
+        fp = rng.integers(0, 1 << 63, (n // 3 + 1, 3), dtype=np.uint64)[rng.integers(0, n // 3 + 1, n)]
+        fp[: n // 4, 0] = fp[0, 0]
+        for _ in range(15):
+            fp[np.arange(n), rng.integers(1, 3, n)] ^= np.uint64(1) << rng.integers(0, 64, n).astype(np.uint64)
+            fp[n // 4 :, 0] ^= np.uint64(1) << rng.integers(0, 64, n - n // 4).astype(np.uint64)
+        fp = fp[np.argsort(fp[:, 0])]
+        far = np.bitwise_count(fp[:, None] ^ fp[None]).sum(axis=2)
+        i, j, d = simhash.wide_links(fp, budget)
+        i, j = np.minimum(i, j), np.maximum(i, j)
+        assert sorted(zip(i.tolist(), j.tolist(), d.tolist())) == [(x, y, far[x, y]) for x in range(n) for y in range(x + 1, n) if far[x, y] <= budget]
+
+
+@pytest.mark.parametrize("rooted", [4096, 2])
+def test_fingerprints_propose_near_copies(spark, rooted, monkeypatch):
+    """Sets at a Jaccard similarity of 0.8, tiny ones and texts in which one shingle comes very often too, with roots of few and of
+    more bits; nothing but near fingerprints with a common root is compared."""
+    monkeypatch.setattr(simhash, "ROOTED", rooted)
+    assert (simhash.roots_of(400)[0] > simhash.LEAST_ROOT) == (rooted == 2)
+    rng = random.Random(9)
+    rows = []
+    for k in range(200):
+        n = (4, 8, 40, 300)[k % 4] + 4  # words of n - 4 shingles, and of a quarter more
+        w = [f"w{rng.randrange(9**9)}" for _ in range(n + (n - 4) // 4)]
+        rows += [(2 * k, " ".join(w[:n])), (2 * k + 1, " ".join(w))]
+    w = [f"w{k}" for k in range(60)]
+    rows += [(900, " ".join(w)), (901, " ".join(w + ["again"] * 3000))]
+    got = {r.doc_id: r.component_id for r in simhash.similar(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {d: d - d % 2 for d, _ in rows}
+
+
+def test_near_copies_come_by_fingerprints():
+    """Equal sizes whose wide fingerprints are far apart are no pair, near ones are."""
+    fp = np.zeros((3, simhash.WIDE), np.uint64)
+    fp[1] = 2**20 - 1  # 60 bits
+    fp[2] = 2**21 - 1
+    i, j = simhash.maybe_alike(fp, np.array([9, 9, 9]), 0.8)
+    assert list(zip(i.tolist(), j.tolist())) == [(1, 2), (0, 1)]
+    assert simhash.wide_links(fp, 0)[0].size == 0
+
+
 def test_simhash_odd(spark, odd):
     got = simhash.near_duplicates(odd).collect()
     assert len(got) == len(ODD) + 3
